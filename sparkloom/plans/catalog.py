@@ -1,0 +1,11 @@
+"""All queries of the engine by name, and their SQL."""
+
+from __future__ import annotations
+
+
+def queries() -> dict:
+    return {}
+
+
+def oracle_sql() -> dict:
+    return {}
