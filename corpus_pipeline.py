@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from sparkloom.llm import decontaminate, minhash, toxicity
-from sparkloom.llm.queries import NOT_HELD_OUT
+from sparkloom.llm import decontaminate, minhash, segment, toxicity
+from sparkloom.llm.queries import NOT_HELD_OUT, tokenizer_path
 from sparkloom.llm.store import kept, table
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -28,7 +28,12 @@ def not_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return decontaminate.removed(docs, decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))).select(*COLUMNS)
 
 
-STAGES = [("toxicity", not_toxic), ("near_dedup", not_repeated), ("decontamination", not_benchmark)]
+def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Sampled segmentations of every document that is left, by rank, each decoded again and compared."""
+    return segment.sample(docs, tokenizer_path("piece_bpe_32k.model"))
+
+
+STAGES = [("toxicity", not_toxic), ("near_dedup", not_repeated), ("decontamination", not_benchmark), ("sentencepiece", segmented)]
 
 #: Learned scores and seeded sampling can't be written in SQL; the tests hold every stage against a brute-force version.
 ORACLE_SQL = None

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, minhash, token_output, toxicity, url_filter, vectors
+from sparkloom.llm import decontaminate, html_text, license_scan, minhash, preference, segment, token_output, toxicity, url_filter, vectors
 from sparkloom.llm.store import table
 
 #: The rules of op6: verdict, host/path.
@@ -26,10 +26,22 @@ def op1_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op2_sentencepiece_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.sample(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
 def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_output.round_trip(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op4_preference_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return preference.formatted(preference.paired(preference.conversations(table(spark, sf_dir, "conversations"))))
+
+
+def op5_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents")).select("doc_id", "licenses", "n_licenses", "n_sentences")
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.build(spark, iter(URL_RULES)))
 
@@ -41,6 +53,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, lexicon).select("doc_id", held_out.alias("held_out"), "score", "predicted")
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -51,7 +67,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_embedding_near_dedup, op3_token_output, op6_url_filter, op7_toxicity, op9_decontamination, op10_minhash_near_dedup)}
+    found = (
+        op1_embedding_near_dedup, op2_sentencepiece_sampling, op3_token_output, op4_preference_format, op5_license_scan, op6_url_filter,
+        op7_toxicity, op8_html_extraction, op9_decontamination, op10_minhash_near_dedup,
+    )
+    return {f.__name__: f for f in found}
 
 
 _RULES = ", ".join(f"('{v}', '{r}')" for v, r in URL_RULES)
@@ -67,6 +87,24 @@ low as (select u, min(w) as low from reach group by u),
 n as (select u, count(*) as n_links from links group by u)
 select vec_id, coalesce(n_links, 0) as n_links, least(vec_id, coalesce(low, vec_id)) as component_id, vec_id = least(vec_id, coalesce(low, vec_id)) as kept
 from embeddings left join n on n.u = vec_id left join low on low.u = vec_id
+""",
+    "op4_preference_format": r"""
+with t as (select distinct conv_id, turn, coalesce(role, 'user') as role, coalesce(text, '') as text from conversations),
+n as (select *, row_number() over (partition by conv_id order by turn nulls first, role, text) as k, count(*) over (partition by conv_id) as size from t),
+opening as (select conv_id, min(conv_id) over (partition by role, text) as chosen_id from n where k = 1),
+same as (select o.conv_id, a.k, coalesce(a.role = b.role and a.text = b.text, false) as same from opening o join n a on a.conv_id = o.chosen_id
+         left join n b on b.conv_id = o.conv_id and b.k = a.k),
+lcp as (select conv_id, coalesce(min(k) filter (not same) - 1, max(k)) as n_common from same group by conv_id),
+lone as (select conv_id, coalesce(max(k) filter (role = 'assistant') - 1, max(k)) as n_common from n group by conv_id),
+cut as (select o.conv_id, o.chosen_id, case when o.conv_id = o.chosen_id then lone.n_common else lcp.n_common end as n_common
+        from opening o join lcp using (conv_id) join lone using (conv_id)),
+out as (select conv_id, k, role, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as s, length(role) + 13 as head from n),
+side as (select c.conv_id, c.n_common, which, out.* exclude (conv_id), coalesce(sum(length(s)) over (partition by c.conv_id, which, k > n_common order by k rows between unbounded preceding and 1 preceding), 0) as pos
+         from (select *, 'c' as which, chosen_id as id from cut union all select *, 'r', conv_id from cut where conv_id <> chosen_id) c join out on out.conv_id = c.id),
+text as (select conv_id, which, coalesce(string_agg(s, '' order by k) filter (k <= n_common), '') as prompt, coalesce(string_agg(s, '' order by k) filter (k > n_common), '') as rest,
+         coalesce(string_agg((pos + head)::bigint || '-' || (pos + length(s))::bigint, ',' order by k) filter (k > n_common and role = 'assistant'), '') as mask from side group by conv_id, which)
+select c.conv_id, c.chosen_id, case when c.conv_id <> c.chosen_id then c.conv_id end as rejected_id, n_common, a.prompt, a.rest as chosen, a.mask as chosen_mask, b.rest as rejected, b.mask as rejected_mask
+from cut c join text a on a.conv_id = c.conv_id and a.which = 'c' left join text b on b.conv_id = c.conv_id and b.which = 'r'
 """,
     "op6_url_filter": rf"""
 with rules(verdict, rule) as (values {_RULES}),
