@@ -1,11 +1,374 @@
-"""All queries of the engine by name, and their SQL."""
+"""All queries of the engine by name, and the SQL that each must agree with."""
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def queries() -> dict:
-    return {}
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
+from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, redaction_count
+from sparkloom.functions.text import content_hash, md5_bucket, normalize
+from sparkloom.operators import evaluation, rules, sessions, similarity, split
+from sparkloom.schema import TOKEN_EDGES
 
-def oracle_sql() -> dict:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_FOUND: dict[str, tuple[Query, str | None]] = {}
+
+
+def _query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        _FOUND[f.__name__] = (f, sql)
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# The driver's tables in the engine's roles: documents are examples (lang: category, source: group), labels their
+# status, benchmark the evaluation cases, conversations messages, events the activity log of user sessions.
+def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = "case event_type when 'error' then 'circuit_breaker' when 'click' then 'tool_call' when 'view' then 'tool_result' when 'purchase' then 'outcome' else 'message' end"
+    return _table(spark, sf_dir, "events").selectExpr("event_id as id", "user_id as session_id", "ts", "concat('m', user_id % 3) as model_version", f"{kind} as event", "props as data", "value")
+
+
+_ACT = "(select event_id as id, user_id as session_id, ts, 'm' || (user_id % 3) as model_version, case event_type when 'error' then 'circuit_breaker' when 'click' then 'tool_call' when 'view' then 'tool_result' when 'purchase' then 'outcome' else 'message' end as event, props as data, value from events)"
+_NORM = r"trim(regexp_replace(lower(text), '[\s\x1c-\x1f\x85\xA0\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}]+', ' ', 'g'))"
+_GRAMS = "case when length(t) = 0 then [] when length(t) <= 5 then [t] else list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) end"
+_OVERLAP = f"""
+d as (select doc_id, {_GRAMS} as g from (select doc_id, {_NORM} as t from documents)),
+b as (select item_id, {_GRAMS} as g from (select item_id, {_NORM} as t from benchmark)),
+dg as (select doc_id, len(g) as n_doc, unnest(g) as gram from d), bg as (select item_id, len(g) as n_eval, unnest(g) as gram from b),
+o as (select doc_id, item_id, n_doc, n_eval, count(*) as common from dg join bg using (gram) group by all)"""
+
+
+@_query(f"with {_OVERLAP} select doc_id, item_id, common, n_doc + n_eval - common as n_union from o where common >= 0.3::double * (n_doc + n_eval - common)")
+def contamination_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against evaluation cases by Jaccard similarity of 5-grams."""
+    out = similarity.contamination(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "common", F.col("n_union").cast("long").alias("n_union"))
+
+
+@_query(f"with {_OVERLAP} select doc_id, item_id, common, n_eval from o where common >= 0.9::double * n_eval")
+def containment_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold most of an evaluation case."""
+    out = similarity.containment(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+    return out.select("doc_id", "item_id", "common", F.col("n_eval").cast("long").alias("n_eval"))
+
+
+@_query(f"with {_OVERLAP} select doc_id, lang from documents where doc_id not in (select doc_id from o where common >= 0.3::double * (n_doc + n_eval - common))")
+def decontaminated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    hit = similarity.contamination(docs, _table(spark, sf_dir, "benchmark")).select("doc_id").distinct()
+    return docs.select("doc_id", "lang").join(hit, "doc_id", "left_anti")
+
+
+@_query("select sha256(text) as content_hash, min(doc_id) as first_id, count(*) as members from documents group by 1 having count(*) > 1")
+def exact_duplicate_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Equal contents."""
+    return similarity.exact_groups(_table(spark, sf_dir, "documents").withColumn("content_hash", F.sha2("text", 256)), "content_hash", "doc_id")
+
+
+@_query("select doc_id from (select doc_id, row_number() over (partition by text order by doc_id) as k from documents) where k = 1")
+def dedup_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first of equal contents stays."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return similarity.first_wins(docs, "h", "doc_id").select("doc_id")
+
+
+@_query("select doc_id from (select doc_id, count(*) over (partition by text) as n from documents) where n = 1")
+def dedup_drop_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 at dataset build: every member of a set of equal contents goes."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("h"))
+    return similarity.drop_all(docs, "h").select("doc_id")
+
+
+@_query(f"""
+with t as (select {_NORM} as t, min(doc_id) as id from documents group by 1), s as (select id, {_GRAMS} as g from t), n as (select id, len(g) as n, unnest(g) as gram from s),
+c as (select gram, count(*) as df from n group by 1), p as (select id, n, gram, df, row_number() over (partition by id order by df, gram) as k from n join c using (gram)),
+f as (select * from p where k <= n - ceil(0.85::double * n) + 1 and df > 1),
+pairs as (select distinct a.id as x, b.id as y from f a join f b on a.gram = b.gram and a.id < b.id where least(a.n, b.n) >= 0.85::double * greatest(a.n, b.n)),
+o as (select x, y, len(list_intersect(a.g, b.g)) as common, len(a.g) + len(b.g) as both_n from pairs join s a on a.id = x join s b on b.id = y)
+select x as first_id, y as second_id, common, both_n - common as n_union from o where common >= 0.85::double * (both_n - common)""")
+def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exact similarity self-join with a prefix filter."""
+    return similarity.near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+@_query("select lang, count(*) as docs, count(distinct text) as distinct_texts, count(*) - count(distinct text) as surplus_copies, sum(n_chars)::bigint as chars from documents group by 1")
+def curation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    n = F.countDistinct(F.sha2("text", 256))
+    return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), n.alias("distinct_texts"), (F.count(F.lit(1)) - n).alias("surplus_copies"), F.sum("n_chars").alias("chars"))
+
+
+@_query("""
+with g as (select lang, source, count(*) as n, sha256('42|' || lang || '|' || source) as o from documents group by 1, 2),
+w as (select *, sum(n) over (partition by lang) as total, count(*) over (partition by lang) as groups, coalesce(sum(n) over (partition by lang order by o, source rows between unbounded preceding and 1 preceding), 0) as before from g),
+s as (select lang, source, case when groups > 1 and total > 1 and before < greatest(1, round_even(total * 0.1::double, 0)) then 'val' else 'train' end as split from w)
+select doc_id, lang, source, split from documents join s using (lang, source)""")
+def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """whole groups, stratified, in seeded order."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return split.group_split(docs, id_col="doc_id", stratum="lang", group="source")
+
+
+@_query(_FOUND["group_split"][1].replace("select doc_id, lang, source, split from documents", "select lang, split, count(*) as n from documents") + " group by 1, 2")
+def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of each split and stratum."""
+    return split.split_counts(group_split(spark, sf_dir), "lang")
+
+
+@_query("select source from documents where false")
+def leaking_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """F9 on a split isolated across strata: no group on both sides."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("all", F.lit("all"))
+    return split.leaking_groups(split.group_split(docs, id_col="doc_id", stratum="all", group="source"), "source")
+
+
+_SCANS = ", ".join(f"regexp_matches(html, '{p.replace(chr(39), chr(39) * 2)}') as p{k}" for k, p in enumerate(SCAN.values()))
+_NAMES = ", ".join(f"case when p{k} then '{n}' end" for k, n in enumerate(SCAN))
+
+
+@_query(f"select page_id, array_to_string(list_filter([{_NAMES}], lambda x: x is not null), ',') as secrets from (select page_id, {_SCANS} from pages)")
+def page_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of the secret patterns in a text."""
+    return _table(spark, sf_dir, "pages").select("page_id", F.array_join(found_secrets(F.col("html")), ",").alias("secrets"))
+
+
+def _redact_sql(col: str) -> str:
+    for p, to in REDACT:
+        col = f"regexp_replace({col}, '(?i){p.replace(chr(39), chr(39) * 2)}', '{to}', 'g')"
+    return col
+
+
+@_query(f"select doc_id, md5(r) as redacted_md5, length(r) as n_chars from (select doc_id, {_redact_sql('text')} as r from documents)")
+def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered redaction."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", redact(F.col("text")).alias("r"))
+    return docs.select("doc_id", F.md5("r").alias("redacted_md5"), F.char_length("r").cast("long").alias("n_chars"))
+
+
+@_query(None)
+def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places that redaction replaces, by language."""
+    docs = _table(spark, sf_dir, "documents").select("lang", redaction_count(F.col("text")).alias("c"))
+    return docs.groupBy("lang").agg(F.sum("c").cast("long").alias("redactions"), F.count_if(F.col("c") > 0).alias("docs"))
+
+
+@_query("select model_version, count(distinct session_id) as sessions, count(*) filter (event = 'circuit_breaker') as breakers, count(*) filter (event = 'circuit_breaker') / count(distinct session_id) as breaker_rate from " + _ACT + " group by 1")
+def circuit_breaker_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1."""
+    act = _activity(spark, sf_dir)
+    n, c = F.countDistinct("session_id"), F.count_if(F.col("event") == "circuit_breaker")
+    return act.groupBy("model_version").agg(n.alias("sessions"), c.alias("breakers"), (c / n).alias("breaker_rate"))
+
+
+@_query("select model_version, count(*) filter (event = 'tool_call') as calls, count(*) filter (event = 'tool_result' and data like '%7%') as errors from " + _ACT + " group by 1")
+def tool_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D2 with a marker that the data have."""
+    act = _activity(spark, sf_dir)
+    return act.groupBy("model_version").agg(F.count_if(F.col("event") == "tool_call").alias("calls"), F.count_if((F.col("event") == "tool_result") & F.col("data").like("%7%")).alias("errors"))
+
+
+@_query("select model_version, count(*) filter (event = 'outcome') as successes, count(distinct session_id) as sessions, (sum(cast(value as decimal(18, 2))) filter (event = 'outcome'))::double as total_value from " + _ACT + " group by 1")
+def task_success(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Outcomes by model."""
+    act = _activity(spark, sf_dir)
+    total = F.sum(F.when(F.col("event") == "outcome", F.col("value").cast("decimal(18,2)"))).cast("double")
+    return act.groupBy("model_version").agg(F.count_if(F.col("event") == "outcome").alias("successes"), F.countDistinct("session_id").alias("sessions"), total.alias("total_value"))
+
+
+@_query(f"""
+with a as (select *, row_number() over (partition by session_id order by ts, id) as n from {_ACT}),
+b as (select *, lead(event) over w as next_event, lead(n) over w as next_n from a where event in ('circuit_breaker', 'tool_call') window w as (partition by session_id order by ts, id))
+select id, session_id, next_n - n as distance from b where event = 'circuit_breaker' and next_event = 'tool_call' and next_n - n <= 3""")
+def recoveries_within_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An error and the next call at most three rows later."""
+    w = Window.partitionBy("session_id").orderBy("ts", "id")
+    rows = _activity(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("event in ('circuit_breaker', 'tool_call')")
+    rows = rows.withColumn("next_event", F.lead("event").over(w)).withColumn("distance", (F.lead("n").over(w) - F.col("n")).cast("long"))
+    return rows.where("event = 'circuit_breaker' and next_event = 'tool_call' and distance <= 3").select("id", "session_id", "distance")
+
+
+@_query(f"select id, session_id from (select *, lag(data) over w as before, lag(id) over w as before_id from {_ACT} where event = 'tool_call' window w as (partition by session_id order by ts, id)) where before_id is not null and before = data")
+def repeated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A call that repeats the one before."""
+    w = Window.partitionBy("session_id").orderBy("ts", "id")
+    calls = _activity(spark, sf_dir).where("event = 'tool_call'")
+    return calls.withColumn("b", F.lag("data").over(w)).withColumn("i", F.lag("id").over(w)).where("i is not null and b = data").select("id", "session_id")
+
+
+@_query(f"""
+with a as (select *, last_value(case when event = 'tool_call' then id end ignore nulls) over (partition by session_id order by ts, id rows between unbounded preceding and 1 preceding) as call_before,
+first_value(case when event = 'tool_call' then id end ignore nulls) over (partition by session_id order by ts, id rows between 1 following and unbounded following) as call_after from {_ACT})
+select id, call_before, call_after from a where event = 'circuit_breaker'""")
+def error_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C6 as-of join: an error with the call before and the call after."""
+    w = Window.partitionBy("session_id").orderBy("ts", "id")
+    call = F.when(F.col("event") == "tool_call", F.col("id"))
+    rows = _activity(spark, sf_dir).withColumn("call_before", F.last(call, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("call_after", F.first(call, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    return rows.where("event = 'circuit_breaker'").select("id", "call_before", "call_after")
+
+
+@_query("select distinct user_id as session_id from events where (md5_number(user_id::varchar) % 100) >= 0 and (" + " + ".join(f"('0x' || substr(md5(user_id::varchar), {8 * k + 1}, 8))::bigint * {pow(96, 3 - k, 100)}" for k in range(4)) + ") % 100 / 100 <= 0.2")
+def success_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """sessions in the sampled md5 buckets."""
+    return sessions.success_sample(_activity(spark, sf_dir).select("session_id").distinct())
+
+
+@_query(f"select id, session_id from (select *, row_number() over (partition by session_id order by ts, id) as n from {_ACT}) where n <= 500")
+def first_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 500 events of a session."""
+    return sessions.first_events(_activity(spark, sf_dir)).select("id", "session_id")
+
+
+_EDGES = ", ".join(f"({k}, {e})" for k, e in enumerate(TOKEN_EDGES))
+
+
+@_query(f"with e(bucket, edge) as (values {_EDGES}), d as (select (select count(*) from e where n_chars > edge) as bucket from documents), all_b as (select unnest(range(0, {len(TOKEN_EDGES) + 1})) as bucket) select cast(all_b.bucket as integer) as bucket, count(d.bucket) as n from all_b left join d using (bucket) group by 1")
+def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by size bucket, empty buckets too."""
+    docs = _table(spark, sf_dir, "documents")
+    bucket = sum((F.when(F.col("n_chars") > e, 1).otherwise(0) for e in TOKEN_EDGES), F.lit(0)).cast("int")
+    counts = docs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    return spark.range(len(TOKEN_EDGES) + 1).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+@_query("select lang, cast(quality as integer) as quality, count(*) as n, grouping(lang)::integer as all_langs, grouping(quality)::integer as all_qualities from documents left join labels using (doc_id) group by grouping sets ((lang), (quality), ())")
+def status_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts by category and by status in one pass."""
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id", "left")
+    out = rows.groupingSets([["lang"], ["quality"], []], "lang", "quality").agg(F.count(F.lit(1)).alias("n"), F.grouping("lang").cast("int").alias("all_langs"), F.grouping("quality").cast("int").alias("all_qualities"))
+    return out
+
+
+@_query("""
+with s as (select lang as suite, count(*) as total, count(*) filter (quality = 1) as passed from documents join labels using (doc_id) group by 1),
+w as (select *, passed / total as p, 1 + 1.96::double * 1.96 / total as denom, total::double as t from s)
+select suite, total, passed, round(greatest(0, (p + 3.8416::double / (2 * t) - 1.96::double * sqrt((p * (1 - p) + 3.8416::double / (4 * t)) / t)) / denom), 6) as low,
+round(least(1, (p + 3.8416::double / (2 * t) + 1.96::double * sqrt((p * (1 - p) + 3.8416::double / (4 * t)) / t)) / denom), 6) as high from w""")
+def wilson_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Interval of the share of good documents."""
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("lang").alias("suite")).agg(F.count(F.lit(1)).alias("total"), F.count_if(F.col("quality") == 1).alias("passed"))
+    low, high = evaluation.wilson(F.col("passed"), F.col("total"))
+    return rows.select("suite", "total", "passed", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@_query("select doc_id, lang, source from documents where text ilike '%license%' and lang = 'en' order by n_chars desc, doc_id limit 20")
+def list_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: filtered listing, one page."""
+    docs = _table(spark, sf_dir, "documents").where(F.col("text").ilike("%license%") & (F.col("lang") == "en"))
+    return docs.orderBy(F.desc("n_chars"), "doc_id").limit(20).select("doc_id", "lang", "source")
+
+
+@_query("select event_id, ts::varchar as ts from (select * from events where event_type = 'error' and user_id % 3 = 1 order by ts desc, event_id desc limit 50)")
+def query_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B2: filtered events, newest first."""
+    rows = _table(spark, sf_dir, "events").where("event_type = 'error' and user_id % 3 = 1").orderBy(F.desc("ts"), F.desc("event_id")).limit(50)
+    return rows.select("event_id", F.col("ts").cast("string").alias("ts"))
+
+
+@_query("select lang, arg_max(doc_id, n_chars * 1000000000 - doc_id) as longest_id, max(n_chars) as longest, count(*) filter (n_chars > 8192) as over_limit from documents group by 1")
+def length_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Largest size, where, and how many are too long."""
+    return _table(spark, sf_dir, "documents").groupBy("lang").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("longest_id"), F.max("n_chars").alias("longest"), F.count_if(F.col("n_chars") > 8192).alias("over_limit"))
+
+
+@_query("""
+with m as (select conv_id, row_number() over w as k, role, lag(role) over w as before, first_value(role) over w as opening, count(*) over (partition by conv_id) as n, text from conversations window w as (partition by conv_id order by turn))
+select conv_id, sum((k > 1 and role in ('user', 'assistant') and role = before)::integer + (k > 1 and role = 'system' and opening = 'system')::integer + (k = n and role <> 'assistant')::integer + (role = 'tool' and coalesce(before, '') not in ('assistant', 'tool'))::integer)::bigint as role_errors,
+sum((trim(text) = '')::integer)::bigint as empty_errors, not bool_or(role = 'assistant') as no_assistant from m group by 1""")
+def conversation_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C1 to C3 over conversations."""
+    found = _conversations(spark, sf_dir).select("conv_id", rules.structure(F.col("messages"), F.lit(None).cast("string")).alias("v"))
+    count = lambda code: F.size(F.filter("v", lambda x: x["code"] == code)).cast("long")
+    return found.select("conv_id", count("C1").alias("role_errors"), count("C2").alias("empty_errors"), (count("C3") > 0).alias("no_assistant"))
+
+
+def _conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "role", F.col("text").alias("content")))).alias("t"))
+    return turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"))
+
+
+@_query(r"""
+select conv_id, sha256('{"messages": [' || string_agg('{"content": "' || replace(replace(replace(text, '\', '\\'), '"', '\"'), chr(10), '\n') || '", "role": "' || role || '"}', ', ' order by turn) || '], "tools": null}') as content_hash from conversations group by 1""")
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """G1: hash of an example's canonical JSON."""
+    return _conversations(spark, sf_dir).select("conv_id", content_hash(F.col("messages")).alias("content_hash"))
+
+
+@_query("select event_type, count(*) as n, sum((props::json->>'k')::bigint)::bigint as k_total from events group by 1")
+def json_properties(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H4: values inside JSON."""
+    return _table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.sum(F.get_json_object("props", "$.k").cast("long")).alias("k_total"))
+
+
+@_query(f"select md5({_NORM}) as norm_md5, count(*) as n from documents group by 1")
+def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Normalised text."""
+    return _table(spark, sf_dir, "documents").groupBy(F.md5(normalize(F.col("text"))).alias("norm_md5")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("select 'v' || lpad((max(doc_id) + 1)::varchar, 4, '0') as next_id from documents")
+def next_version_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D26."""
+    return split.next_version(_table(spark, sf_dir, "documents").select(F.concat(F.lit("v"), F.col("doc_id")).alias("id")))
+
+
+@_query("select count(*) filter (quality = 1) as approved, count(*) filter (quality = 1) >= 150 as ready from labels")
+def feedback_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D23."""
+    n = F.count_if(F.col("quality") == 1)
+    return _table(spark, sf_dir, "labels").agg(n.alias("approved"), (n >= 150).alias("ready"))
+
+
+@_query(None)
+def mined_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Failure cases of all sessions."""
+    return sessions.detect_cases(_activity(spark, sf_dir))
+
+
+@_query(None)
+def model_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """D1 to D4 in one frame, with recoveries."""
+    return sessions.reliability(_activity(spark, sf_dir))
+
+
+@_query(None)
+def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All rules over conversations as examples."""
+    rows = _conversations(spark, sf_dir).select(F.col("conv_id").cast("string").alias("id"), F.lit("plan").alias("category"), "messages", F.lit(None).cast("string").alias("tools")).withColumn("content_hash", content_hash(F.col("messages")))
+    return rules.report(rows, rules.validate(rows))
+
+
+@_query(None)
+def json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """H1: which event properties are strict JSON objects."""
+    rows = _table(spark, sf_dir, "events").select("event_type", evaluation.valid_json(F.col("props")).alias("ok"))
+    return rows.groupBy("event_type").agg(F.count_if("ok").alias("valid"), F.count(F.lit(1)).alias("n"))
+
+
+@_query("with b as (select event_type as gate, 100.0::double * count(*) filter (value > 5) / count(*) as value from events group by 1) select 'click' as gate, (select value from b where gate = 'click') >= 50 as passed union all select 'missing', false")
+def gate_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Gates against thresholds; a gate without a value fails."""
+    values = _table(spark, sf_dir, "events").groupBy(F.col("event_type").alias("gate")).agg((100.0 * F.count_if(F.col("value") > 5) / F.count(F.lit(1))).alias("value"))
+    limits = spark.createDataFrame([("click", 50.0), ("missing", 0.0)], "gate string, low double")
+    return limits.join(values, "gate", "left").select("gate", F.coalesce(F.col("value") >= F.col("low"), F.lit(False)).alias("passed"))
+
+
+@_query("select doc_id, cast((" + " + ".join(f"('0x' || substr(md5(doc_id::varchar), {8 * k + 1}, 8))::bigint * {pow(96, 3 - k, 100)}" for k in range(4)) + ") % 100 as bigint) as bucket from documents")
+def md5_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", md5_bucket(F.col("doc_id").cast("string")).alias("bucket"))
+
+
+def queries() -> dict[str, Query]:
+    return {name: f for name, (f, _) in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {name: sql for name, (_, sql) in _FOUND.items() if sql}
