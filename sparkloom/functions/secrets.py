@@ -49,8 +49,12 @@ def found_secrets(text: Column) -> Column:
 
 def secret_matches(text: Column) -> Column:
     """All matches as (name, first 20 characters and an ellipsis); the rest is never shown."""
-    each = (F.transform(F.regexp_extract_all(text, F.lit(p), F.lit(0)), lambda m, n=name: F.struct(F.lit(n).alias("name"), F.concat(F.substring(m, 1, 20), F.lit("…")).alias("shown"))) for name, p in SCAN.items())
-    return F.concat(*each)
+
+    def found(name: str, pattern: str) -> Column:
+        shown = lambda m: F.struct(F.lit(name).alias("name"), F.concat(F.substring(m, 1, 20), F.lit("…")).alias("shown"))
+        return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), shown)
+
+    return F.concat(*(found(name, p) for name, p in SCAN.items()))
 
 
 def _insensitive(pattern: str) -> str:

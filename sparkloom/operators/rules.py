@@ -249,7 +249,12 @@ def dataset_rules(examples: DataFrame) -> DataFrame:
     reviews = examples.where("category = 'sec'").select("id", _review("messages").alias("r")).select("id", "r.status", "r.types")
     share = reviews.where("status in ('PASS', 'REJECT')").agg(F.avg(F.expr("cast(status = 'PASS' as double)")).alias("value"))
     s6 = share.select(F.lit("S6").alias("code"), F.lit("PASS share").alias("subject"), "value", F.coalesce(F.col("value").between(*PASS_WINDOW), F.lit(True)).alias("ok"))
-    families = F.array(*(F.struct(F.lit(t).alias("family"), F.exists("types", lambda x, t=t: (x == t) | x.startswith(t + "_") | (x.startswith("a0") if t == "owasp" else F.lit(False))).alias("has")) for t in REQUIRED_TYPES))
+
+    def family(name: str) -> Column:
+        has = F.exists("types", lambda x: (x == name) | x.startswith(name + "_") | (x.startswith("a0") if name == "owasp" else F.lit(False)))
+        return F.struct(F.lit(name).alias("family"), has.alias("has"))
+
+    families = F.array(*map(family, REQUIRED_TYPES))
     covered = reviews.where("status = 'REJECT'").select(F.inline(families)).groupBy("family").agg(F.count_if("has").alias("n"))
     wanted = examples.sparkSession.createDataFrame([(t,) for t in REQUIRED_TYPES], "family string")
     s7 = wanted.join(covered, "family", "left").select(F.lit("S7").alias("code"), F.col("family").alias("subject"), F.coalesce("n", F.lit(0)).cast("double").alias("value"), (F.coalesce("n", F.lit(0)) >= MIN_PER_TYPE).alias("ok"))
