@@ -8,9 +8,9 @@ weighted Jaccard similarity. Points are made in ascending time and a process end
 work for a text is about its shingles plus m log m points.
 
 Search. Texts of equal words are one node (128-bit digest), found by a partial aggregate. Nodes that share a band meet at
-the band's smallest node, never pairwise; those pairs are verified on whole texts. What a band still holds in different
-components is then compared across components, so no link that the bands show is lost and a group of near copies costs
-one comparison per member. With 32 bands of 5 registers a link at similarity 0.8 is missed with probability 3e-6.
+the band's centre (the node that meets most others), never pairwise; those pairs are verified on whole texts. What bands
+still connect in different components is then compared across components, block by block, so no link that the bands show
+is lost and most members of a group of near copies cost one comparison. With 32 bands of 5 registers a link at similarity 0.8 is missed with probability 3e-6.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from sparkloom.llm.store import kept
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
+#: Nodes of a block of the comparison across components, about.
+BLOCK = 256
 SEED = 0x5DEECE66D
 _U = np.uint64
 
@@ -119,12 +121,15 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
     return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node binary, n long, keys array<long>")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float) -> DataFrame:
-    """The pairs (u, v) of nodes whose texts are similar enough."""
-    need = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+def _texts(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """node, text of the needed nodes."""
     wanted = nodes.select("node", "id").join(need, "node")
-    texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, F.col("doc").eqNullSafe(F.col("id"))).select("node", "text")
-    texts = kept(texts, "texts")
+    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, F.col("doc").eqNullSafe(F.col("id")))
+    return found.select("node", "text").distinct()
+
+
+def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
+    """The pairs (u, v) of nodes whose texts are similar enough."""
     left = pairs.join(texts.select(F.col("node").alias("v"), F.col("text").alias("text_v")), "v")
     both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "text_u", "text_v")
 
@@ -134,7 +139,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
             keep = []
             for k in range(batch.num_rows):
                 u, v = batch.column("u")[k].as_py(), batch.column("v")[k].as_py()
-                if u != last_key:
+                if u != last_key or last is None:
                     last_key, last = u, _bag(batch.column("text_u").slice(k, 1), u, size)
                 other = _bag(batch.column("text_v").slice(k, 1), v, size)
                 keep.append(last is not None and other is not None and similarity(last, other) >= threshold)
@@ -143,6 +148,62 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, t
     return both.mapInArrow(run, "u binary, v binary").distinct()
 
 
+def across(rows: DataFrame, size: int, threshold: float) -> DataFrame:
+    """Links between nodes of one cluster that have different roots; rows: cluster, node, n, root, keys, text.
+
+    Each node outside a cluster's largest root is compared with every node of another root that shares a band, in a grid
+    of blocks: a task holds two blocks and sends a spanning forest of what links there, not pairs.
+    """
+    counts = rows.groupBy("cluster", "root").agg(F.count(F.lit(1)).alias("c"))
+    tops = counts.groupBy("cluster").agg(F.max(F.struct("c", "root")).alias("top"), F.sum("c").alias("all"), F.count(F.lit(1)).alias("roots"))
+    tops = tops.where("roots > 1").select("cluster", F.col("top.root").alias("main"), F.ceil(F.col("all") / BLOCK).alias("bx"), F.ceil((F.col("all") - F.col("top.c")) / BLOCK).alias("bq"))
+    split = kept(rows.join(kept(tops, "tops"), "cluster"), "cluster-rows")
+    one = F.collect_list(F.struct("node", "n", "root", "keys", "text"))
+    place = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("long")
+    xs = split.groupBy("cluster", place("bx").alias("x"), "bq").agg(one.alias("xs"))
+    xs = xs.select("cluster", "x", F.explode(F.sequence(F.lit(0), F.col("bq") - 1)).alias("q"), "xs")
+    qs = split.where("root != main").groupBy("cluster", place("bq").alias("q"), "bx").agg(one.alias("qs"))
+    qs = qs.select("cluster", "q", F.explode(F.sequence(F.lit(0), F.col("bx") - 1)).alias("x"), "qs")
+    grid = xs.join(qs, ["cluster", "x", "q"]).select("xs", "qs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                found = _across(batch.column("xs")[k].as_py(), batch.column("qs")[k].as_py(), size, threshold)
+                if found:
+                    u, v = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(u, pa.binary()), pa.array(v, pa.binary())], ["u", "v"])
+
+    return grid.mapInArrow(run, "u binary, v binary")
+
+
+def _across(xs: list[dict], qs: list[dict], size: int, threshold: float) -> list[tuple[bytes, bytes]]:
+    nx, nq = np.array([r["n"] for r in xs]), np.array([r["n"] for r in qs])
+    kx, kq = np.array([r["keys"] for r in xs]), np.array([r["keys"] for r in qs])
+    roots: dict[bytes, int] = {}
+    rx = np.array([roots.setdefault(r["root"], len(roots)) for r in xs])
+    rq = np.array([roots.setdefault(r["root"], len(roots)) for r in qs])
+    bags: dict[bytes, tuple[np.ndarray, np.ndarray] | None] = {}
+
+    def bag(row: dict) -> tuple[np.ndarray, np.ndarray] | None:
+        if row["node"] not in bags:
+            bags[row["node"]] = _bag(pa.array([row["text"]], pa.string()), row["node"], size)
+        return bags[row["node"]]
+
+    group = np.arange(len(roots))  # roots that links of this block have joined
+    out = []
+    for k in range(len(qs)):
+        able = (rx != rq[k]) & (np.minimum(nx, nq[k]) >= threshold * np.maximum(nx, nq[k])) & (kx == kq[k]).any(axis=1)
+        for j in np.flatnonzero(able).tolist():
+            if group[rx[j]] == group[rq[k]]:
+                continue
+            a, b = bag(xs[j]), bag(qs[k])
+            if a is not None and b is not None and similarity(a, b) >= threshold:
+                out.append((qs[k]["node"], xs[j]["node"]))
+                group[group == group[rx[j]]] = group[rq[k]]
+    return out
+
+
 def _bag(text: pa.Array, node: bytes, size: int) -> tuple[np.ndarray, np.ndarray] | None:
     """The multiset of a text; None if it isn't the node's text (another row with the same id)."""
     words = W.split(text)
@@ -167,27 +228,26 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     keyed = rows_.where("size(keys) > 0").select("node", "id", "n", "keys")
     # one sketch for each node: of the row that gave the node its id (equal rows give equal sketches, distinct drops them)
     firsts = keyed.join(nodes.select("node", F.col("id").alias("first")), "node").where(F.col("id").eqNullSafe(F.col("first")))
-    exploded = firsts.select("node", "n", F.explode("keys").alias("key"))
-    shared = exploded.groupBy("key").agg(F.min("node").alias("u"), F.max("node").alias("top")).where("u != top").select("key", "u")
-    members = kept(exploded.join(kept(shared, "bands"), "key").select("key", "node", "n", "u").distinct(), "members")
-    sized = nodes.select(F.col("node").alias("u"), F.col("n").alias("n_u"))
-    pairs = members.where("node != u").select("u", F.col("node").alias("v"), "n").distinct().join(sized, "u")
-    pairs = kept(pairs.where(F.least("n", "n_u") >= threshold * F.greatest("n", "n_u")).select("u", "v"), "pairs")
-    links = kept(verified(pairs, nodes, docs, id_col, text_col, size, threshold), "verified")
+    exploded = firsts.select("node", F.explode("keys").alias("key"))
+    shared = exploded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count(F.lit(1)).alias("held")).where("low != top")
+    members = kept(exploded.join(kept(shared.select("key", "held"), "bands"), "key"), "members")
+    degree = kept(members.groupBy("node").agg(F.sum("held").alias("degree")), "degrees")
+    ranked = kept(members.join(degree, "node").select("key", "node", "degree"), "ranked")
+    centre = kept(ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("c")).select("key", F.col("c.node").alias("u")), "centres")
+    star = kept(ranked.join(centre, "key").where("node != u").select("u", F.col("node").alias("v")).distinct(), "star")
+    texts = kept(_texts(degree.select("node"), nodes, docs, id_col, text_col), "texts")
+    sized = nodes.select("node", "n")
+    pairs = star.join(sized.toDF("u", "n_u"), "u").join(sized.toDF("v", "n_v"), "v").where(F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v"))
+    links = kept(verified(pairs.select("u", "v"), texts, size, threshold), "verified")
     root = components(links)
-    # what bands hold in different components, compared across components
-    where = members.select("key", "node", "n").join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    where = kept(where, "members")
-    split = where.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("key")
-    rest = kept(where.join(kept(split, "split"), "key", "left_semi"), "rest")
-    left = rest.select("key", F.col("node").alias("u"), F.col("n").alias("n_u"), F.col("root").alias("root_u"))
-    right = rest.select("key", F.col("node").alias("v"), "n", "root")
-    cross = left.join(right, "key").where(F.col("root_u") < F.col("root")).where(F.least("n", "n_u") >= threshold * F.greatest("n", "n_u"))
-    cross = cross.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct().join(pairs, ["u", "v"], "left_anti")
-    cross = kept(cross, "cross")
-    if not cross.isEmpty():
-        links = links.unionByName(kept(verified(cross, nodes, docs, id_col, text_col, size, threshold), "verified"))
-        root = components(links)
+    # what bands hold in different components, compared across components: clusters are what bands connect
+    cluster = components(star).withColumnRenamed("root", "cluster")
+    rest = cluster.join(root, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
+    rest = kept(rest, "rest")
+    several = rest.groupBy("cluster").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("cluster")
+    rest = rest.join(kept(several, "several"), "cluster").join(firsts, "node").join(texts, "node")
+    more = kept(across(kept(rest.select("cluster", "node", "n", "root", "keys", "text"), "rest"), size, threshold), "across")
+    root = components(links.unionByName(more))
     grouped = nodes.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     low = kept(grouped.groupBy("root").agg(F.min("id").alias("component_id")), "groups")
     # the group's kept row: a row of the smallest node among those with its smallest id
