@@ -1,7 +1,7 @@
 """Licences in texts by sentence rules: normalised sentences become identifiers, whose sequences match ordered rules.
 
 A sentence ends at a full stop, question or exclamation mark or semicolon before white space, or at an empty line; a line
-break inside one may be a wrap or an end, so every run of whole lines of a sentence is looked up. A rule is an ordered
+break or colon inside one may be a wrap or an end, so every run of whole lines of a sentence is looked up. A rule is an ordered
 sequence of identifiers of one licence; it matches where its identifiers follow one another with at most ``GAP`` unknown
 sentences between two. Where matches overlap, the one of more identifiers wins, then the earlier rule.
 """
@@ -55,7 +55,7 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+|\n[ \t]*\n\s*")
-_LINE = re.compile(r"\n")
+_LINE = re.compile(r"\n|(?<=:)\s")
 
 
 def normal(sentence: str) -> str:

@@ -36,6 +36,8 @@ BYTE_PENALTY = 2.0
 CHUNK = 2 << 20
 #: Up to so many characters before a word's end, probabilities are summed as they are; before that as logarithms.
 LINEAR = 12
+#: Log probabilities are multiples of 1 / GRID, so that sums are exact and don't depend on what else is in a chunk.
+GRID = 2.0**30
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -243,7 +245,7 @@ class Search:
         since = self.first[:-1].copy()  # the character from which the popped set is free
         for pop in range(k + 1):
             if pop < k:
-                logs = np.where(taken > 0, np.log(prob), 0.0)
+                logs = np.round(np.where(taken > 0, np.log(prob), 0.0) * GRID) / GRID
                 run = np.cumsum(logs)
                 before = run - logs - (np.concatenate([[0.0], run])[self.first[:-1]])[self.doc] if n else run
                 total = np.concatenate([[0.0], run])
