@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.llm.store import new_dir
+from sparkloom.llm.store import kept, new_dir
 from sparkloom.llm.words import chunks
 
 MAGIC = b"SLTK1"
@@ -152,7 +152,7 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = END_
             frames = pa.array([packer.compress(x) for _, x in packed], pa.binary())
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in packed], pa.int64()), frames], ["id", "n", "frame"])
 
-    frames = rows.mapInArrow(encode, "id long, n long, frame binary")
+    frames = kept(rows.mapInArrow(encode, "id long, n long, frame binary"), "frames")  # the range sort reads them twice
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     ordered = frames.repartitionByRange(n, "id").sortWithinPartitions("id", "n", "frame")
     digest = hashlib.sha256(dictionary).digest()
