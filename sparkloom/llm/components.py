@@ -32,6 +32,14 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
     return out.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def _is_settled(links: DataFrame) -> bool:
+    """Whether every larger end has one link and is no smaller end: then the smaller ends are the roots."""
+    ends = links.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down"))
+    ends = ends.unionByName(links.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    ends = ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """links (u, v) of any one orderable type -> (node, root): root is the smallest node that links reach.
 
@@ -39,17 +47,12 @@ def components(links: DataFrame) -> DataFrame:
     """
     links = links.where("u is not null and v is not null and u != v")
     links = kept(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "links")
-    sign = F.struct(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")))
-    before = links.agg(sign).first()[0]
-    for _ in range(MAX_ROUNDS if before[0] else 0):
-        links = kept(_star(kept(_star(links, True), "links"), False), "links")
-        now = links.agg(sign).first()[0]
-        if now == before:
+    for _ in range(MAX_ROUNDS):
+        if _is_settled(links):
             break
-        before = now
+        links = kept(_star(kept(_star(links, True), "links"), False), "links")
     else:
-        if before[0]:
-            raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
+        raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
         links.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )

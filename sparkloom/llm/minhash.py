@@ -89,14 +89,40 @@ def node_keys(words: W.Words) -> list[bytes]:
     return out
 
 
-def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard of two multisets (ascending values, multiplicities); 0 if either is empty."""
-    if not len(a[0]) or not len(b[0]):
-        return 0.0
-    k = np.minimum(np.searchsorted(b[0], a[0]), len(b[0]) - 1)
-    same = b[0][k] == a[0]
-    common = int(np.minimum(a[1][same], b[1][k[same]]).sum())
-    return common / (int(a[1].sum()) + int(b[1].sum()) - common)
+class Bags:
+    """The multisets of a column of texts, rows ascending: doc, value, weight; first of each row, total weight, and own.
+
+    own: whether a row's text is that of its node (another row may have the same id).
+    """
+
+    def __init__(self, text: pa.Array, nodes: list[bytes], size: int):
+        doc, value, weight, own, done = [], [], [], [], 0
+        for part in W.chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])])):
+            words = W.split(part.column("text"))
+            d, v, w = W.bag(words, size)
+            doc.append(d + done)
+            value.append(v)
+            weight.append(w)
+            own += [k == node for k, node in zip(node_keys(words), nodes[done : done + part.num_rows], strict=True)]
+            done += part.num_rows
+        self.doc, self.value = np.concatenate([np.empty(0, np.int64), *doc]), np.concatenate([np.empty(0, _U), *value])
+        self.weight = np.concatenate([np.empty(0, np.int64), *weight])
+        self.own = np.array(own, bool)
+        self.first = np.searchsorted(self.doc, np.arange(done + 1))
+        self.total = np.bincount(self.doc, weights=self.weight, minlength=done)
+
+    def common(self, other: Bags) -> np.ndarray:
+        """The weight that each row shares with the other's row of the same place."""
+        doc, value, weight = (np.concatenate([getattr(self, x), getattr(other, x)]) for x in ("doc", "value", "weight"))
+        order = np.lexsort((value, doc))
+        doc, value, weight = doc[order], value[order], weight[order]
+        at = np.flatnonzero((doc[1:] == doc[:-1]) & (value[1:] == value[:-1]))
+        return np.bincount(doc[at], weights=np.minimum(weight[at], weight[at + 1]), minlength=len(self.total))
+
+
+def alike(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Weighted Jaccard of multisets of total weights a and b; 0 where both are empty."""
+    return common / np.maximum(a + b - common, 1)
 
 
 def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
@@ -134,22 +160,16 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
     both = left.join(texts.select(F.col("node").alias("u"), F.col("text").alias("text_u")), "u").select("u", "v", "text_u", "text_v")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last_key, last = None, None
-        for batch in batches:
-            keep = []
-            for k in range(batch.num_rows):
-                u, v = batch.column("u")[k].as_py(), batch.column("v")[k].as_py()
-                if u != last_key or last is None:
-                    last_key, last = u, _bag(batch.column("text_u").slice(k, 1), u, size)
-                other = _bag(batch.column("text_v").slice(k, 1), v, size)
-                keep.append(last is not None and other is not None and similarity(last, other) >= threshold)
-            yield batch.select(["u", "v"]).filter(pa.array(keep, pa.bool_()))
+        for part in W.chunks(batches, column="text_v"):
+            a, b = (Bags(part.column("text_" + x), part.column(x).to_pylist(), size) for x in "uv")
+            same = a.own & b.own & (alike(a.common(b), a.total, b.total) >= threshold)
+            yield part.select(["u", "v"]).filter(pa.array(same))
 
     return both.mapInArrow(run, "u binary, v binary").distinct()
 
 
 def across(rows: DataFrame, size: int, threshold: float) -> DataFrame:
-    """Links between nodes of one cluster that have different roots; rows: cluster, node, n, root, keys, text.
+    """Links between the roots of one cluster, of nodes that are similar enough; rows: cluster, node, n, root, keys, text.
 
     Each node outside a cluster's largest root is compared with every node of another root that shares a band, in a grid
     of blocks: a task holds two blocks and sends a spanning forest of what links there, not pairs.
@@ -183,36 +203,28 @@ def _across(xs: list[dict], qs: list[dict], size: int, threshold: float) -> list
     roots: dict[bytes, int] = {}
     rx = np.array([roots.setdefault(r["root"], len(roots)) for r in xs])
     rq = np.array([roots.setdefault(r["root"], len(roots)) for r in qs])
-    bags: dict[bytes, tuple[np.ndarray, np.ndarray] | None] = {}
-
-    def bag(row: dict) -> tuple[np.ndarray, np.ndarray] | None:
-        if row["node"] not in bags:
-            bags[row["node"]] = _bag(pa.array([row["text"]], pa.string()), row["node"], size)
-        return bags[row["node"]]
-
+    bx, bq = (Bags(pa.array([r["text"] for r in rows], pa.string()), [r["node"] for r in rows], size) for rows in (xs, qs))
+    order = np.argsort(bx.value, kind="stable")  # postings: which rows have a shingle, and how often
+    post, row, times = bx.value[order], bx.doc[order], bx.weight[order]
+    names = list(roots)
     group = np.arange(len(roots))  # roots that links of this block have joined
     out = []
     for k in range(len(qs)):
-        able = (rx != rq[k]) & (np.minimum(nx, nq[k]) >= threshold * np.maximum(nx, nq[k])) & (kx == kq[k]).any(axis=1)
-        for j in np.flatnonzero(able).tolist():
-            if group[rx[j]] == group[rq[k]]:
-                continue
-            a, b = bag(xs[j]), bag(qs[k])
-            if a is not None and b is not None and similarity(a, b) >= threshold:
-                out.append((qs[k]["node"], xs[j]["node"]))
+        able = bx.own & (group[rx] != group[rq[k]]) & (np.minimum(nx, nq[k]) >= threshold * np.maximum(nx, nq[k])) & (kx == kq[k]).any(axis=1)
+        if not bq.own[k] or not able.any():
+            continue
+        mine = slice(bq.first[k], bq.first[k + 1])
+        low, high = np.searchsorted(post, bq.value[mine], "left"), np.searchsorted(post, bq.value[mine], "right")
+        n = high - low
+        at = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        common = np.bincount(row[at], weights=np.minimum(times[at], np.repeat(bq.weight[mine], n)), minlength=len(xs))
+        for j in np.flatnonzero(able & (alike(common, bx.total, bq.total[k]) >= threshold)).tolist():
+            if group[rx[j]] != group[rq[k]]:
+                out.append((names[rq[k]], names[rx[j]]))
                 group[group == group[rx[j]]] = group[rq[k]]
     return out
 
 
-def _bag(text: pa.Array, node: bytes, size: int) -> tuple[np.ndarray, np.ndarray] | None:
-    """The multiset of a text; None if it isn't the node's text (another row with the same id)."""
-    words = W.split(text)
-    if node_keys(words)[0] != node:
-        return None
-    _, value, weight = W.bag(words, size)
-    return value, weight
-
-
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: id, component_id (smallest id of its group) and kept (the group's one row with that id).
@@ -239,16 +251,17 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     sized = nodes.select("node", "n")
     pairs = star.join(sized.toDF("u", "n_u"), "u").join(sized.toDF("v", "n_v"), "v").where(F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v"))
     links = kept(verified(pairs.select("u", "v"), texts, size, threshold), "verified")
-    root = components(links)
-    # what bands hold in different components, compared across components: clusters are what bands connect
-    cluster = components(star).withColumnRenamed("root", "cluster")
-    rest = cluster.join(root, "node", "left").select("node", "cluster", F.coalesce("root", "node").alias("root"))
-    rest = kept(rest, "rest")
-    several = rest.groupBy("cluster").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a != b").select("cluster")
-    rest = rest.join(kept(several, "several"), "cluster").join(firsts, "node").join(texts, "node")
+    named = degree.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    named = kept(named, "named")
+    # what bands connect but links don't, as a graph of roots: its components are the clusters to compare across
+    of = lambda x: named.select(F.col("node").alias(x), F.col("root").alias("root_" + x))
+    between = star.join(of("u"), "u").join(of("v"), "v").where("root_u != root_v").select(F.col("root_u").alias("u"), F.col("root_v").alias("v"))
+    cluster = components(between).toDF("root", "cluster")
+    rest = named.join(cluster, "root").join(firsts, "node").join(texts, "node")
     more = kept(across(kept(rest.select("cluster", "node", "n", "root", "keys", "text"), "rest"), size, threshold), "across")
-    root = components(links.unionByName(more))
-    grouped = nodes.join(root, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
+    top = components(more).toDF("root", "top")
+    named = named.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    grouped = nodes.join(named, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
     low = kept(grouped.groupBy("root").agg(F.min("id").alias("component_id")), "groups")
     # the group's kept row: a row of the smallest node among those with its smallest id
     best = grouped.join(low, "root")
