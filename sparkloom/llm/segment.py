@@ -2,7 +2,7 @@
 
 The lattice of a text has a node between any two characters and an edge for each vocabulary piece; a character without a
 piece of its own has one edge that stands for its bytes. Pieces never join words, so the lattice of a text is the chain of
-its words' lattices, and each different word of a batch gets one backward pass (log-sum-exp), vectorised over all words.
+its words' lattices, and each different word that a worker meets gets one backward pass (log-sum-exp), vectorised over all words.
 A piece's log probability follows Zipf's law in its rank: -log(rank + 2), up to a constant that cancels.
 
 Search. Every set of segmentations S that shares a prefix has a perturbed maximum, Gumbel(log P(S)); the A* queue holds such
@@ -21,6 +21,7 @@ from __future__ import annotations
 import math
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
@@ -34,6 +35,8 @@ SAMPLES, SEED = 2, 2024
 #: Log probability of each byte of a character that the vocabulary lacks, beside the rarest piece.
 BYTE_PENALTY = 2.0
 CHUNK = 2 << 20
+#: Characters of different words whose lattices a worker keeps (about 200 bytes each).
+WORD_CHARS = 1 << 19
 #: Up to so many characters before a word's end, probabilities are summed as they are; before that as logarithms.
 LINEAR = 12
 #: Log probabilities are multiples of 1 / GRID, so that sums are exact and don't depend on what else is in a chunk.
@@ -94,6 +97,7 @@ class Vocabulary:
             self.table.append((h[order_], np.array(ids, np.int32)[order_], maybe))
         raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(self.pieces)]
         self.raw = raw
+        self.lattices = Lattices(self)
 
     @staticmethod
     def _hash(piece: str) -> int:
@@ -121,23 +125,57 @@ def vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
-class Lattice:
-    """The lattices of the different words of a chunk: conditional probabilities of the edges at each character."""
+class Lattices:
+    """The lattices of the different words of a worker's chunks: conditional probabilities of the edges at each character.
 
-    def __init__(self, v: Vocabulary, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray):
+    A word's lattice is built once and kept; when all that is kept exceeds WORD_CHARS characters, a chunk starts afresh.
+    """
+
+    def __init__(self, v: Vocabulary):
+        self.v, self.most = v, v.longest
+        self._empty()
+
+    def _empty(self) -> None:
+        self.keys, self.at, self.used = np.empty(0, _U), np.empty(0, np.int64), 0
+        self.cond, self.cum = (np.empty((0, self.most), np.float32) for _ in range(2))
+        self.piece = np.empty((0, self.most), np.int32)
+
+    def place(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Where each word's characters begin in the tables; words that are not there yet are added."""
         h = _hashes(cp)
         inverse = powers(_INVERSE, len(cp) + 1)
         key = mix((h[ends] - h[starts]) * inverse[starts] + (ends - starts).astype(_U))
-        _, first, self.word = np.unique(key, return_index=True, return_inverse=True)
-        s, e = starts[first], ends[first]
-        size = e - s
-        self.base = np.concatenate([[0], np.cumsum(size)])[:-1]  # of each different word, in the joined characters
+        key, first, word = np.unique(key, return_index=True, return_inverse=True)
+        new = ~np.isin(key, self.keys, assume_unique=True)
+        if self.used + int((ends - starts)[first[new]].sum()) > WORD_CHARS:
+            self._empty()
+            new[:] = True
+        if new.any():
+            base = self._add(cp, h, inverse, starts[first[new]], ends[first[new]])
+            keys, at = np.concatenate([self.keys, key[new]]), np.concatenate([self.at, base])
+            order = np.argsort(keys)
+            self.keys, self.at = keys[order], at[order]
+        return self.at[np.searchsorted(self.keys, key)][word]
+
+    def _room(self, total: int) -> None:
+        if len(self.cond) < total:
+            size = max(total, min(2 * len(self.cond), WORD_CHARS))
+            for name in ("cond", "cum", "piece"):
+                old = getattr(self, name)
+                table = np.empty((size, self.most), old.dtype)
+                table[: self.used] = old[: self.used]
+                setattr(self, name, table)
+
+    def _add(self, cp: np.ndarray, h: np.ndarray, inverse: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Builds the lattices of the words from s to e; one backward pass over all of them."""
+        v, size = self.v, e - s
+        base = np.concatenate([[0], np.cumsum(size)])[:-1]  # of each word, in the joined characters
         total = int(size.sum())
-        source = np.arange(total) - np.repeat(self.base, size) + np.repeat(s, size)  # where each joined character stands in cp
+        self._room(self.used + total)
+        cond, piece = self.cond[self.used : self.used + total], self.piece[self.used : self.used + total]
+        cond[:], piece[:] = 0, -1
+        source = np.arange(total) - np.repeat(base, size) + np.repeat(s, size)  # where each joined character stands in cp
         left = np.repeat(e, size) - source  # characters up to the end of the word
-        self.most = v.longest
-        self.cond = np.zeros((total, self.most), np.float32)
-        self.piece = np.full((total, self.most), -1, np.int32)
         beta, log_beta = np.zeros(total + 1), np.zeros(total + 1)
         order = np.argsort(left, kind="stable")
         bounds = np.concatenate([[0], np.cumsum(np.bincount(left))]) if total else np.zeros(1, np.int64)
@@ -155,12 +193,12 @@ class Lattice:
                 if not len(got):
                     continue
                 to = at[got]
-                self.piece[to, size_ - 1] = ids
+                piece[to, size_ - 1] = ids
                 if plain:
                     w[got, size_ - 1] = v.p[ids] * beta[to + size_] if size_ < d else v.p[ids]
                 else:
                     w[got, size_ - 1] = v.logp[ids] + log_beta[to + size_]
-            lone = np.flatnonzero(self.piece[at, 0] < 0)
+            lone = np.flatnonzero(piece[at, 0] < 0)
             if plain:
                 w[lone, 0] = np.exp(v.byte_logp * wide[here[lone]]) * (beta[at[lone] + 1] if d > 1 else 1.0)
                 beta[at] = sums = w.sum(axis=1)
@@ -172,17 +210,33 @@ class Lattice:
                 w = np.exp(w - top[:, None])
                 sums = w.sum(axis=1)
                 log_beta[at] = top + np.log(sums)
-            self.cond[at, :n] = w / sums[:, None]
-        used = max(1, int(np.flatnonzero(self.cond.any(axis=0)).max(initial=0)) + 1)
-        self.cond, self.piece = np.ascontiguousarray(self.cond[:, :used]), np.ascontiguousarray(self.piece[:, :used])
-        self.cum = np.cumsum(self.cond, axis=1)
-        self.cum /= self.cum[:, -1:]
+            cond[at, :n] = w / sums[:, None]
+        cum = np.cumsum(cond, axis=1)
+        self.cum[self.used : self.used + total] = cum / cum[:, -1:]
+        self.used += total
+        return base + self.used - total
 
 
 def _uniform(key: np.ndarray) -> np.ndarray:
     return (mix(key) >> _U(11)).astype(np.float64) * 2.0**-53 + 2.0**-54
 
 
+@dataclass
+class Path:
+    """The segmentations of one pop, an entry for each piece: its first character, text, length and probability, the log
+    probability of what stands before it, and the priority of the set that leaves the path there."""
+
+    at: np.ndarray
+    doc: np.ndarray
+    size: np.ndarray
+    prob: np.ndarray
+    before: np.ndarray
+    priority: np.ndarray
+
+    def index(self, character: int) -> int:
+        return int(np.searchsorted(self.at, character))
+
+
 class Search:
     """k pops of the perturbed A* search for each text of a chunk (all texts at once)."""
 
@@ -201,9 +255,10 @@ class Search:
         start[1:] |= blank[1:] & ~blank[:-1]
         self.starts = np.flatnonzero(start)
         self.ends = np.append(self.starts[1:], n) if n else self.starts
-        self.lattice = Lattice(v, self.cp, self.starts, self.ends)
+        self.lattice = v.lattices
+        base = self.lattice.place(self.cp, self.starts, self.ends)
         word_of = np.cumsum(start) - 1
-        self.node = self.lattice.base[self.lattice.word][word_of] + np.arange(n) - self.starts[word_of] if n else np.zeros(0, np.int64)
+        self.node = base[word_of] + np.arange(n) - self.starts[word_of] if n else np.zeros(0, np.int64)
         self.end_of = self.ends[word_of] if n else np.zeros(0, np.int64)
 
     def _uniform(self, at: np.ndarray, draw: int) -> np.ndarray:
@@ -236,72 +291,62 @@ class Search:
         """For each pop: which texts have one, the lengths taken at each character, log probabilities and perturbed maxima.
 
         Ends with the thresholds kappa as a fifth kind of entry: (texts, None, None, kappa)."""
-        n, docs = len(self.cp), len(self.texts)
+        docs = len(self.texts)
         alive = np.ones(docs, bool)
         top = -np.log(-np.log(_uniform(self.keys ^ mix(np.full(docs, 0xA11CE, _U)))))
         taken, prob = self._draw(self.starts, 0, {})
-        paths: list[tuple[np.ndarray, np.ndarray]] = []  # of each pop: lengths taken, priority of leaving at each character
+        paths: list[Path] = []
         banned: dict[tuple[int, int], list[int]] = {}  # path, character -> edges already taken there
         since = self.first[:-1].copy()  # the character from which the popped set is free
-        for pop in range(k + 1):
-            if pop < k:
-                logs = np.round(np.where(taken > 0, np.log(prob), 0.0) * GRID) / GRID
-                run = np.cumsum(logs)
-                before = run - logs - (np.concatenate([[0.0], run])[self.first[:-1]])[self.doc] if n else run
-                total = np.concatenate([[0.0], run])
-                logp = total[self.first[1:]] - total[self.first[:-1]]
-                yield alive.copy(), taken, logp, top.copy()
-                free = (taken > 0) & alive[self.doc] & (np.arange(n) >= since[self.doc]) if n else np.zeros(0, bool)
-                if pop:  # at the popped node itself the rest is less all edges taken there so far
-                    free[self._popped] = False
-                at = np.flatnonzero(free)
-                priority = np.full(n, -np.inf)
-                priority[at] = self._cut(before[at] + np.log1p(-np.minimum(prob[at], 1 - 1e-9)), top[self.doc[at]], at, pop)
-                priority[at[prob[at] >= 1 - 1e-7]] = -np.inf  # the only edge (conditional probabilities are 32 bit)
-                paths.append((taken, priority, before))
+        for pop in range(k):
+            at = np.flatnonzero(taken)
+            p, d = prob[at], self.doc[at]
+            logs = np.round(np.log(p) * GRID) / GRID
+            total = np.concatenate([[0.0], np.cumsum(logs)])
+            bounds = total[np.searchsorted(at, self.first)]
+            before = total[1:] - logs - bounds[d]
+            yield alive.copy(), taken, np.diff(bounds), top.copy()
+            free = (p < 1 - 1e-7) & alive[d] & (at >= since[d])  # else the only edge (conditional probabilities are 32 bit)
+            if pop:  # at the popped node itself the rest is less all edges taken there so far
+                free[np.searchsorted(at, popped)] = False
+            free = np.flatnonzero(free)
+            priority = np.full(len(at), -np.inf)
+            priority[free] = self._cut(before[free] + np.log1p(-np.minimum(p[free], 1 - 1e-9)), top[d[free]], at[free], pop)
+            paths.append(Path(at, d, taken[at], p, before, priority))
             # the best set of each text over all paths
             best, path, where = np.full(docs, -np.inf), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
-            for a, (_, priority, _) in enumerate(paths):
-                at = np.flatnonzero(priority > -np.inf)
-                if not len(at):
-                    continue
-                d = self.doc[at]
+            for a, one in enumerate(paths):
+                some = np.flatnonzero(one.priority > -np.inf)
                 m = np.full(docs, -np.inf)
-                np.maximum.at(m, d, priority[at])
-                hit = at[priority[at] == m[d]]
-                better = m[self.doc[hit]] > best[self.doc[hit]]
-                hit = hit[better]
-                best[self.doc[hit]], path[self.doc[hit]], where[self.doc[hit]] = m[self.doc[hit]], a, hit
-            if pop >= k - 1:
-                if pop == k - 1:
-                    yield np.isfinite(best), None, None, best
-                    return
+                np.maximum.at(m, one.doc[some], one.priority[some])
+                hit = some[one.priority[some] == m[one.doc[some]]]
+                hit = hit[m[one.doc[hit]] > best[one.doc[hit]]]
+                to = one.doc[hit]
+                best[to], path[to], where[to] = m[to], a, one.at[hit]
+            if pop == k - 1:
+                yield np.isfinite(best), None, None, best
+                return
             alive = np.isfinite(best)
             top = np.where(alive, best, -np.inf)
             d = np.flatnonzero(alive)
-            self._popped = where[d]
+            popped = where[d]
             stop: dict[int, list[int]] = {}
-            for row, a, w in zip(d.tolist(), path[d].tolist(), where[d].tolist(), strict=True):
-                stop[w] = banned.setdefault((a, w), [int(paths[a][0][w])])
+            for a, w in zip(path[d].tolist(), popped.tolist(), strict=True):
+                stop[w] = banned.setdefault((a, w), [int(paths[a].size[paths[a].index(w)])])
             restart = self.starts[(self.starts > where[self.doc[self.starts]]) & alive[self.doc[self.starts]]]
-            new, new_prob = self._draw(np.concatenate([where[d], restart]), pop + 1, stop)
+            taken, prob = self._draw(np.concatenate([popped, restart]), pop + 1, stop)
             # up to the popped node the path is that of the set; behind it the new draw
-            old = np.zeros(n, np.int16)
-            for a, (t, _, _) in enumerate(paths):
-                mine = alive & (path == a)
-                old = np.where(mine[self.doc], t, old)
-            keep = np.arange(n) < where[self.doc]
-            taken = np.where(keep, old, new)
-            prob = np.where(keep, np.where(old > 0, self.lattice.cond[self.node, np.maximum(old, 1) - 1], 1.0), new_prob)
+            for a, one in enumerate(paths):
+                old = np.flatnonzero((alive & (path == a))[one.doc] & (one.at < where[one.doc]))
+                taken[one.at[old]], prob[one.at[old]] = one.size[old], one.prob[old]
             since = np.where(alive, where, 0)
-            for a, (_, priority, before) in enumerate(paths):
-                rows = d[path[d] == a]
-                for w in where[rows].tolist():  # what still is in the popped set: all but the edges taken at its node
-                    edges = banned[a, w]
+            for a, one in enumerate(paths):
+                for w in where[d[path[d] == a]].tolist():  # what still is in the popped set: all but the edges taken at its node
+                    edges, j = banned[a, w], one.index(w)
                     edges.append(int(taken[w]))
                     rest = 1.0 - float(self.lattice.cond[self.node[w], [x - 1 for x in edges]].sum())
-                    one = np.array([w])
-                    priority[w] = self._cut(np.array([before[w] + math.log(rest)]), top[self.doc[one]], one, 1000 + pop)[0] if rest > 1e-6 else -np.inf
+                    here = np.array([w])
+                    one.priority[j] = self._cut(np.array([one.before[j] + math.log(rest)]), top[self.doc[here]], here, 1000 + pop)[0] if rest > 1e-6 else -np.inf
 
     def _cut(self, loc: np.ndarray, top: np.ndarray, at: np.ndarray, pop: int) -> np.ndarray:
         """Draws from Gumbel(loc) cut off at top."""
@@ -321,9 +366,7 @@ class Search:
             out = np.repeat(found, count)
             out[np.repeat(found < 0, count)] = np.concatenate(spelled)
             found = out
-        n = np.zeros(len(self.texts), np.int64)
-        np.add.at(n, self.doc[at], count)
-        return found, n
+        return found, np.bincount(self.doc[at], weights=count, minlength=len(self.texts)).astype(np.int64)
 
 
 def inclusion(logp: np.ndarray, kappa: np.ndarray) -> np.ndarray:
