@@ -386,3 +386,45 @@ def test_pipeline_stages(spark, tmp_path):
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == ids and all(r.round_trip for r in out)
     assert json.dumps(sorted(r.rank for r in out)) == json.dumps([0] * len(ids) + [1] * len(ids))
+
+
+def test_comparison_across_roots_against_brute_force():
+    """Blocks compared as a whole give the same links of roots as one pair after another."""
+    rng = np.random.default_rng(5)
+    base = [f"w{k}" for k in range(60)]
+    texts = []
+    for _ in range(40):
+        words = list(base)
+        for at in rng.choice(60, rng.integers(0, 6), replace=False):
+            words[at] = f"x{rng.integers(3)}"
+        texts.append(" ".join(words + words[: rng.integers(0, 4)]))
+    texts += ["", "a", "a b"]
+    split = W.split(pa.array(texts))
+    nodes = minhash.node_keys(split)
+    doc, value, weight = W.bag(split, 5)
+    bags = [dict(zip(value[doc == k].tolist(), weight[doc == k].tolist(), strict=True)) for k in range(len(texts))]
+    rows = [{"node": n, "n": sum(bags[k].values()), "root": bytes([k]), "keys": [1, k % 2], "text": texts[k]} for k, n in enumerate(nodes)]
+    rows[3]["text"] = "another text of the same id"
+
+    def close(a: int, b: int) -> bool:
+        common = sum(min(w, bags[b].get(v, 0)) for v, w in bags[a].items())
+        union = sum(bags[a].values()) + sum(bags[b].values()) - common
+        return 3 not in (a, b) and common > 0 and common / union >= 0.8
+
+    def groups(pairs) -> set[frozenset]:
+        found = {r["root"]: {r["root"]} for r in rows}
+        for u, v in pairs:
+            both = found[u] | found[v]
+            for x in both:
+                found[x] = both
+        return {frozenset(x) for x in found.values()}
+
+    expected = groups((rows[a]["root"], rows[b]["root"]) for a in range(len(rows)) for b in range(len(rows)) if close(a, b))
+    found = minhash._across(rows, rows[:20], 5, 0.8)
+    some = groups((rows[a]["root"], rows[b]["root"]) for a in range(20) for b in range(len(rows)) if close(a, b))
+    assert groups(found) == some
+    assert groups(minhash._across(rows, rows, 5, 0.8)) == expected
+    assert found and 1 < len(expected) < len(rows) and all(u != v for u, v in found)
+    left, right = minhash.Bags(pa.array(texts), nodes, 5), minhash.Bags(pa.array(texts[::-1]), nodes[::-1], 5)
+    common = [sum(min(w, bags[-1 - k].get(v, 0)) for v, w in bags[k].items()) for k in range(len(texts))]
+    assert left.common(right).tolist() == common and left.own.all()
