@@ -17,7 +17,8 @@ from pyspark.sql import types as T
 
 from sparkloom.functions.chat_json import argument_problems, strict_object, tool_calls
 from sparkloom.functions.secrets import found_secrets
-from sparkloom.operators.similarity import near_duplicates
+from sparkloom.functions.text import all_text
+from sparkloom.operators.similarity import near_duplicates, with_first
 from sparkloom.schema import GIVE_UP_SHARE, MAX_SEQ_LEN, MIN_PER_TYPE, PASS_WINDOW, PLAN_STATUSES, REQUIRED_TYPES, ROLES, TOOLS, VIOLATION_TYPE, VIOLATIONS
 
 # Phrases that mark failed tool results, giving up, and partial files; English and Thai.
@@ -207,16 +208,31 @@ def structure(messages: Column, tools: Column, tokens: Column | None = None) ->
     return F.concat(*(F.coalesce(x, none) for x in out))
 
 
+def _alike(texts: DataFrame) -> DataFrame:
+    """id, peer: each row of texts (id, hash, text) with the first row of every similar text, and of its own text under another hash."""
+    rows = with_first(texts, id_col="id")
+    near = near_duplicates(texts, id_col="id").select(F.inline(F.expr("array(struct(first_id, second_id as peer), struct(second_id as first_id, first_id as peer))")))
+    # rows of one normalised text: the first row of the first hash, and for that hash's rows the first row of the others
+    low = rows.groupBy("first_id", "hash").agg(F.min("id").alias("low"))
+    top = low.groupBy("first_id").agg(F.min(F.struct("low", "hash")).alias("top"), F.count(F.lit(1)).alias("n")).where("n > 1").select("first_id", "top")
+    others = low.join(top, "first_id").where("not hash <=> top.hash").groupBy("first_id", "top").agg(F.min("low").alias("second"))
+    same = rows.join(others, "first_id").select("id", F.expr("if(hash <=> top.hash, second, top.low)").alias("peer"))
+    return rows.join(near, "first_id").select("id", "peer").unionByName(same)
+
+
 def validate(examples: DataFrame, hash_col: str | None = "content_hash") -> DataFrame:
-    """Violations of every example in long form: id, code, level, message, location. C6 is found by joins, the others row by row."""
+    """Violations of every example in long form: id, code, level, message, location. C6 is found by joins, the others row by row.
+
+    C6 warns every example once for each similar text other than its own, naming that text's first example, and once for examples that differ only in case or
+    white space.
+    """
     found = examples.select("id", F.concat(structure(F.col("messages"), F.col("tools")), _category_violations("category", "messages")).alias("v")).select("id", F.inline("v"))
     if not hash_col:
         return found
     copies = examples.groupBy(hash_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     exact = examples.join(copies, hash_col).select("id", F.lit("C6").alias("code"), F.lit("err").alias("level"), F.lit("exact duplicate").alias("message"), F.lit(None).cast("string").alias("location"))
-    near = near_duplicates(examples.select("id", F.array_join(F.transform("messages", lambda m: m["content"]), "\n").alias("text")), id_col="id")
-    both = near.select(F.col("first_id").alias("id"), F.col("second_id").alias("peer")).unionByName(near.select(F.col("second_id").alias("id"), F.col("first_id").alias("peer")))
-    warn = both.select("id", F.lit("C6").alias("code"), F.lit("warn").alias("level"), F.lit("near duplicate").alias("message"), F.col("peer").cast("string").alias("location"))
+    warn = _alike(examples.select("id", F.col(hash_col).alias("hash"), all_text(F.col("messages")).alias("text")))
+    warn = warn.select("id", F.lit("C6").alias("code"), F.lit("warn").alias("level"), F.lit("near duplicate").alias("message"), F.col("peer").cast("string").alias("location"))
     return found.unionByName(exact).unionByName(warn)
 
 

@@ -59,10 +59,16 @@ def containment(docs: DataFrame, evals: DataFrame, threshold: float = 0.9, **col
     return overlaps(docs, evals, **cols).where(F.col("common") >= threshold * F.col("n_eval")).select("doc_id", "item_id", "common", "n_eval")
 
 
+def with_first(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """rows without the text, with first_id: the id that stands for their text in ``near_duplicates``. Texts empty after normalisation aren't in."""
+    keyed = rows.withColumn("_text", F.sha2(normalize(F.coalesce(F.col(text_col), F.lit(""))), 256)).where(F.col("_text") != F.sha2(F.lit(""), 256)).drop(text_col)
+    return keyed.join(keyed.groupBy("_text").agg(F.min(id_col).alias("first_id")), "_text").drop("_text")
+
+
 def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR_DUP) -> DataFrame:
     """Pairs of different normalised texts with Jaccard similarity from ``threshold`` on: first_id, second_id, common, n_union.
 
-    Equal texts are represented by their smallest id. Prefix filter: grams are ordered by how few texts have them; two
+    Equal texts are represented by their smallest id; ``with_first`` names it for every row. Prefix filter: grams are ordered by how few texts have them; two
     sets that similar share a gram among their first n - ceil(t n) + 1, so only these are joined, with a length filter.
     """
     texts = rows.select(F.col(id_col).alias("id"), normalize(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))

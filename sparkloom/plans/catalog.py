@@ -94,10 +94,16 @@ pairs as (select distinct a.id as x, b.id as y from f a join f b on a.gram = b.g
 o as (select x, y, len(list_intersect(a.g, b.g)) as common, len(a.g) + len(b.g) as both_n from pairs join s a on a.id = x join s b on b.id = y)
 select x as first_id, y as second_id, common, both_n - common as n_union from o where common >= 0.85::double * (both_n - common)""")
 def near_duplicate_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Exact similarity self-join with a prefix filter."""
+    """Exact similarity self-join with a prefix filter; near_duplicate_members names the copies of a text."""
     return similarity.near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+@_query(f"with t as (select doc_id, {_NORM} as t from documents) select doc_id, min(doc_id) over (partition by t) as first_id from t where t <> ''")
+def near_duplicate_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The id that stands for each document in near_duplicate_pairs."""
+    return similarity.with_first(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 @_query("select lang, count(*) as docs, count(distinct text) as distinct_texts, count(*) - count(distinct text) as surplus_copies, sum(n_chars)::bigint as chars from documents group by 1")
 def curation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")

@@ -179,6 +179,15 @@ def test_validation_and_build(spark, tmp_path):
     assert {(r.subject, r.ok) for r in rules.dataset_rules(rows).collect()} >= {("owasp", False)}
 
 
+def test_similar_examples_with_copies(spark):
+    long = "a long enough answer about nothing in particular, said twice over for good measure"
+    texts = {"a1": long + " x", "a2": long + " x", "b1": long + " y", "b2": long + " y", "c1": "Some  Words here", "c2": "some words HERE", "c3": "some words here", "c4": "some words here", "d": "else", "e1": "", "e2": " "}
+    rows = spark.createDataFrame([(k, "none", [U, {"role": "assistant", "content": t}] if t.strip() else [{"role": "assistant", "content": t}], None, "manual", None, "approved") for k, t in texts.items()], EXAMPLES)
+    found = rules.validate(rows.withColumn("content_hash", text.content_hash(F.col("messages"), F.col("tools")))).where("code = 'C6'").collect()
+    assert sorted((r.id, r.location) for r in found if r.level == "warn") == [("a1", "b1"), ("a2", "b1"), ("b1", "a1"), ("b2", "a1"), ("c1", "c2"), ("c2", "c1"), ("c3", "c1"), ("c4", "c1")]
+    assert sorted(r.id for r in found if r.level == "err") == ["a1", "a2", "b1", "b2", "c3", "c4"]
+
+
 def test_lines_round_trip(spark, tmp_path):
     rows = _examples(spark).where("id like 'e%'")
     jsonl.write_lines(rows, str(tmp_path / "out"))
