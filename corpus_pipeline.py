@@ -14,18 +14,17 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity score doesn't reject. The lexicon is learned from the labelled rows of docs."""
     lexicon = toxicity.fit(docs, table(spark, sf_dir, "labels"), train=NOT_HELD_OUT)
-    rejected = toxicity.score(docs, lexicon).where("predicted = 1 and doc_id is not null").select("doc_id").distinct()
-    return docs.join(rejected, "doc_id", "left_anti").select(*COLUMNS)
+    return toxicity.accepted(docs, lexicon).select(*COLUMNS)
 
 
 def not_repeated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, that of the smallest id."""
-    return minhash.deduplicated(docs, kept(minhash.near_duplicates(docs), "classes")).select(*COLUMNS)
+    return minhash.deduplicated(docs).select(*COLUMNS)
 
 
 def not_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    return decontaminate.removed(docs, decontaminate.scan(docs, table(spark, sf_dir, "benchmark"))).select(*COLUMNS)
+    return decontaminate.removed(docs, table(spark, sf_dir, "benchmark")).select(*COLUMNS)
 
 
 def segmented(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

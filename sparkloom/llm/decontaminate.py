@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import words as W
+from sparkloom.llm.store import with_row_key
 
 WINDOW = 10
 #: Symbols of a shard's index; a longer single text is a shard of its own.
@@ -257,6 +258,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     return ids.mapInArrow(search, f"id {ids.schema['id'].dataType.simpleString()}, {OUT}").withColumnRenamed("id", id_col)
 
 
-def removed(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs without the rows whose id ``scan`` found contaminated; rows with a null id stay."""
-    return docs.join(found.where("contaminated").select(id_col).distinct(), id_col, "left_anti")
+def removed(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
+    """docs without the rows that ``scan`` finds contaminated; each row is judged by itself, whatever its id."""
+    keyed = with_row_key(docs)
+    found = scan(keyed, benchmark, id_col="row_key", text_col=text_col, **options).where("contaminated").select("row_key")
+    return keyed.join(found, "row_key", "left_anti").drop("row_key")

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import words as W
 from sparkloom.llm.components import components
-from sparkloom.llm.store import kept
+from sparkloom.llm.store import kept, with_row_key
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -125,9 +125,10 @@ def alike(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / np.maximum(a + b - common, 1)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int) -> DataFrame:
-    """id, node, n (shingles), keys (one for each band; none for a text without words). A null text has no node."""
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, key_col: str | None = None) -> DataFrame:
+    """id, node, n (shingles), keys (one for each band; none for a text without words), and row_key if asked for. A null text has no node."""
+    key = [F.col(key_col).alias("row_key")] if key_col else []
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *key)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches):
@@ -142,9 +143,11 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel()))
             missing = text.is_null().to_numpy(zero_copy_only=False)
             nodes = pa.array([None if m else k for k, m in zip(node_keys(words), missing, strict=True)], pa.binary())
-            yield pa.RecordBatch.from_arrays([part.column("id"), nodes, pa.array(n), lists], ["id", "node", "n", "keys"])
+            own = ["row_key"] if key_col else []
+            yield pa.RecordBatch.from_arrays([part.column("id"), nodes, pa.array(n), lists, *map(part.column, own)], ["id", "node", "n", "keys", *own])
 
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node binary, n long, keys array<long>")
+    more = f", row_key {source.schema['row_key'].dataType.simpleString()}" if key_col else ""
+    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node binary, n long, keys array<long>{more}")
 
 
 def _texts(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -234,7 +237,13 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     stay alone. Rows of one node that repeat the kept id are all kept; a group whose ids are all null has a null
     component_id and keeps the rows of one node. Other columns aren't read; an empty table gives an empty result.
     """
-    rows_ = kept(sketch(docs, id_col, text_col, size, bands, rows), "sketch")
+    found = _judged(docs, id_col, text_col, size, threshold, bands, rows)
+    return found.select(F.col("id").alias(id_col), "component_id", "kept")
+
+
+def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int, key_col: str | None = None) -> DataFrame:
+    """id, node, component_id, kept, and row_key if asked for."""
+    rows_ = kept(sketch(docs, id_col, text_col, size, bands, rows, key_col), "sketch")
     nodes = rows_.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
     nodes = kept(nodes, "nodes")
     keyed = rows_.where("size(keys) > 0").select("node", "id", "n", "keys")
@@ -267,13 +276,22 @@ def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str =
     best = grouped.join(low, "root")
     chosen = best.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("node").alias("kept_node"))
     classes = kept(best.join(chosen, "root").select("node", "component_id", (F.col("node") == F.col("kept_node")).alias("holds")), "classes")
-    return rows_.select("id", "node").join(classes, "node", "left").select(
-        F.col("id").alias(id_col),
+    return rows_.drop("n", "keys").join(classes, "node", "left").select(
+        "id", "node",
         F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
         (F.col("node").isNull() | (F.col("holds") & F.col("id").eqNullSafe(F.col("component_id")))).alias("kept"),
-    )
+        *(["row_key"] if key_col else []),
+    )
 
 
-def deduplicated(docs: DataFrame, found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs with one row of each group. Ids must be unique and not null."""
-    return docs.join(found.where("kept").select(id_col), id_col, "left_semi")
+def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
+                 bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """docs with one row of each group of near-duplicates: of its smallest id, nulls last. Null texts all stay.
+
+    Rows are told apart by a key of their own, so ids may be null or repeat, and whole rows may too.
+    """
+    keyed = with_row_key(docs)
+    found = kept(_judged(keyed, id_col, text_col, size, threshold, bands, rows, "row_key").where("kept").select("node", "row_key"), "best")
+    best = found.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key")
+    best = best.unionByName(found.where("node is null").select("row_key"))
+    return keyed.join(best, "row_key", "left_semi").drop("row_key")

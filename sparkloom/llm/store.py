@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -31,3 +32,15 @@ def kept(df: DataFrame, kind: str = "table") -> DataFrame:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def with_row_key(df: DataFrame, name: str = "row_key") -> DataFrame:
+    """df with a struct that differs from row to row and is never null.
+
+    Rows of a plain table of files are told apart by file and place, at no cost; any other df is written first.
+    """
+    if df._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        place = (F.xxhash64("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("place"))
+    else:
+        df, place = kept(df.withColumn("_place", F.monotonically_increasing_id()), "rows"), (F.lit(0).alias("file"), F.col("_place").alias("place"))
+    return df.withColumn(name, F.struct(*place)).drop("_place")

@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.llm.store import with_row_key
 from sparkloom.llm.words import chunks
 
 THRESHOLD = 0.7
@@ -201,3 +202,10 @@ def score(documents: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", tex
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
+
+
+def accepted(documents: DataFrame, lexicon: Lexicon, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of documents that ``score`` doesn't predict to be toxic; each row is judged by itself, whatever its id."""
+    keyed = with_row_key(documents)
+    rejected = score(keyed, lexicon, id_col="row_key", text_col=text_col, threshold=threshold).where("predicted = 1").select("row_key")
+    return keyed.join(rejected, "row_key", "left_anti").drop("row_key")

@@ -388,6 +388,33 @@ def test_pipeline_stages(spark, tmp_path):
     assert json.dumps(sorted(r.rank for r in out)) == json.dumps([0] * len(ids) + [1] * len(ids))
 
 
+def test_pipeline_stages_judge_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(8)
+    text = [" ".join("".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(60)) for _ in range(60)]
+    item = " ".join("".join(rng.choice("klmnop") for _ in range(5)) for _ in range(14))
+    bad, leak = " utter scoundrel", " " + item
+    rows = [(k, t) for k, t in enumerate(text[:30])] + [(300 + k, t + bad) for k, t in enumerate(text[:30])]
+    rows += [(None, text[30]), (None, text[31]), (None, text[31]), (None, text[32] + bad), (None, text[33] + leak), (None, text[0]), (None, None), (None, "")]
+    rows += [(300, text[34]), (400, text[35] + leak), (400, text[36]), (500, text[37]), (500, text[37]), (501, text[38]), (501, text[39])]
+    want = {t: k for k, t in enumerate(text[:30])} | {text[30]: None, text[31]: None, None: None, "": None, text[34]: 300, text[36]: 400, text[37]: 500, text[38]: 501, text[39]: 501}
+    frame = lambda x: spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in x], "doc_id long, text string, lang string, source string, n_chars long")
+    frame(rows).repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, 1, int(300 <= i < 400)) for i in range(330)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plain = lambda df: collections.Counter((r.doc_id, r.text) for r in df.collect())
+    docs, gone = spark.read.parquet(str(tmp_path / "documents.parquet")), lambda mark: [x for x in rows if mark not in (x[1] or "")]
+    clean = corpus_pipeline.not_toxic(spark, docs, str(tmp_path))
+    assert plain(clean) == collections.Counter(gone(bad))
+    single = {(i, t): 1 for t, i in want.items()}
+    for source in (clean, frame(gone(bad))):
+        assert plain(corpus_pipeline.not_repeated(spark, source, str(tmp_path))) == single | {(None, text[33] + leak): 1, (400, text[35] + leak): 1}
+    assert plain(corpus_pipeline.not_benchmark(spark, docs, str(tmp_path))) == collections.Counter(gone(leak))
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    assert sorted((r.doc_id is None, r.doc_id or 0) for r in out if r.rank == 0) == sorted((i is None, i or 0) for i in want.values())
+
+
 def test_comparison_across_roots_against_brute_force():
     """Blocks compared as a whole give the same links of roots as one pair after another."""
     rng = np.random.default_rng(5)
