@@ -1,7 +1,8 @@
 """Licences in texts by sentence rules: normalised sentences become identifiers, whose sequences match ordered rules.
 
 A sentence ends at a full stop, question or exclamation mark or semicolon before white space, or at an empty line; a line
-break or colon inside one may be a wrap or an end, so every run of whole lines of a sentence is looked up. A rule is an ordered
+break or colon inside one may be a wrap or an end, so every run of whole lines of a sentence is looked up; where a rule's own
+sentence has such an end inside ("v. 2.0."), the run goes on. A rule is an ordered
 sequence of identifiers of one licence; it matches where its identifiers follow one another with at most ``GAP`` unknown
 sentences between two. Where matches overlap, the one of more identifiers wins, then the earlier rule.
 """
@@ -69,46 +70,52 @@ class Rules:
     sequences: tuple[tuple[str, tuple[int, ...]], ...]
     openings: frozenset[str]  # first words of the sentences
     longest: int  # words of the longest sentence
+    open: frozenset[str]  # normalised beginnings of the sentences up to a place where ``_SENTENCE`` cuts them, as after "v." in "v. 2.0."
 
     @classmethod
     def of(cls, rules: tuple[tuple[str, tuple[str, ...]], ...]) -> Rules:
         ids: dict[str, int] = {}
         sequences = tuple((name, tuple(ids.setdefault(normal(s), len(ids) + 1) for s in parts)) for name, parts in rules)
-        return cls(ids, sequences, frozenset(s.split(" ")[0] for s in ids), max((s.count(" ") + 1 for s in ids), default=0))
+        cut = frozenset(normal(s[: gap.start()]) for _, parts in rules for s in parts for gap in _SENTENCE.finditer(s))
+        return cls(ids, sequences, frozenset(s.split(" ")[0] for s in ids), max((s.count(" ") + 1 for s in ids), default=0), cut)
 
 
 def sentence_ids(text: str, rules: Rules) -> list[tuple[int, int, int]]:
-    """(identifier or 0, start, end) of each sentence in order; a known run of lines splits its sentence."""
-    out, at = [], 0
+    """(identifier or 0, start, end) of each sentence in order; a known run of lines splits its sentence, or spans the cuts that its own words have."""
+    lines, at = [], 0  # start, end, and the text after it up to the next sentence, None inside a sentence
     for gap in [*_SENTENCE.finditer(text), None]:
-        start, end = at, gap.start() if gap else len(text)
+        a, end = at, gap.start() if gap else len(text)
         at = gap.end() if gap else at
-        lines, a = [], start
-        for cut in [*_LINE.finditer(text, start, end), None]:
-            b = cut.start() if cut else end
-            lines.append((a, b))
-            a = cut.end() if cut else a
-        k, unknown = 0, False
-        while k < len(lines):
-            found = None
-            word = _WORD.search(text, lines[k][0], lines[k][1])
-            if word and word[0].lower() in rules.openings:
-                words: list[str] = []
-                for j in range(k, len(lines)):
-                    words += _WORD.findall(text[lines[j][0] : lines[j][1]].lower())
-                    if len(words) > rules.longest:
-                        break
-                    number = rules.ids.get(" ".join(words))
-                    if number:
-                        found = (number, j)
-            if found:
-                out.append((found[0], lines[k][0], lines[found[1]][1]))
-                k, unknown = found[1] + 1, False
-            else:
-                if word and not unknown:
-                    out.append((0, *lines[k]))
-                    unknown = True
-                k += 1
+        for cut in _LINE.finditer(text, a, end):
+            lines.append((a, cut.start(), None))
+            a = cut.end()
+        lines.append((a, end, gap[0] if gap else "\n\n"))
+    out: list[tuple[int, int, int]] = []
+    k, unknown = 0, False
+    while k < len(lines):
+        found = None
+        word = _WORD.search(text, lines[k][0], lines[k][1])
+        if word and word[0].lower() in rules.openings:
+            words: list[str] = []
+            for j in range(k, len(lines)):
+                words += _WORD.findall(text[lines[j][0] : lines[j][1]].lower())
+                if len(words) > rules.longest:
+                    break
+                number = rules.ids.get(" ".join(words))
+                if number:
+                    found = (number, j)
+                if lines[j][2] is not None and (lines[j][2].count("\n") > 1 or " ".join(words) not in rules.open):
+                    break
+        last = found[1] if found else k
+        if found:
+            out.append((found[0], lines[k][0], lines[last][1]))
+            unknown = False
+        elif word and not unknown:
+            out.append((0, *lines[k][:2]))
+            unknown = True
+        if lines[last][2] is not None:
+            unknown = False
+        k = last + 1
     return out
 
 

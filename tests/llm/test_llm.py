@@ -323,6 +323,18 @@ def test_licences(spark):
     assert dict(rows)[5][got[5].spans[0].start : got[5].spans[0].end] == "Licensed under CC BY-NC 4.0." and got[900].n_licenses == 0
 
 
+def test_every_licence_rule_is_found_in_its_own_text():
+    table = license_scan.Rules.of(license_scan.RULES)
+    for name, parts in license_scan.RULES:
+        for text in (" ".join(parts), "\n\n".join(parts), "Some words before. " + re.sub(r"(\w+ \w+ \w+) ", r"\1\n# ", " ".join(parts)) + "\n\nAnd words after."):
+            assert [x[0] for x in license_scan.matches(license_scan.sentence_ids(text, table), table)] == [name]
+    notice = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
+    text = f"/* {notice} If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/. */"
+    [(name, a, b)] = license_scan.matches(license_scan.sentence_ids(text, table), table)
+    assert name == "MPL-2.0" and text[a:b].endswith(notice)
+    assert not license_scan.matches(license_scan.sentence_ids(notice.replace("v. 2.0", "v.\n\n2.0"), table), table)
+
+
 def test_html_held_out_accuracy():
     rng, right, total = np.random.default_rng(1234), 0, 0
     for _ in range(120):
