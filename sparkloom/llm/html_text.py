@@ -26,9 +26,17 @@ TRAIN_PAGES, EPOCHS, BATCH = 900, 12, 30
 SEED = 7
 
 # Elements of HTML by how text flows through them.
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
+INLINE = frozenset(
+    "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr"
+    " math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle merror mpadded mphantom msub msup msubsup munder mover munderover mmultiscripts mtable mtr mtd semantics annotation".split()
+)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template iframe textarea title svg math object select option canvas audio video".split())
+#: Elements whose content is no markup, and elements whose content is markup that isn't shown as text.
+RAW = frozenset("script style iframe textarea title".split())
+MUTED = frozenset("template svg select option canvas audio video".split())
+#: Inside these of an svg element HTML may go on; elsewhere an HTML tag ends the svg element.
+FOREIGN = frozenset("foreignobject desc".split())
+HTML = frozenset("article aside blockquote body br center dd div dl dt footer form h1 h2 h3 h4 h5 h6 header hr img li main nav ol p pre section table ul".split())
 
 _TAG = re.compile(
     r"""<!--(?:.*?-->|.*)|<[!?][^>]*+>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)""", re.DOTALL
@@ -46,11 +54,22 @@ class Block:
 
 
 def blocks(page: str) -> list[Block]:
-    """Leaf blocks in page order. Unclosed and stray tags are closed as browsers do, roughly; scripts, styles, forms' values and the title give none."""
+    """Leaf blocks in page order. Unclosed and stray tags are closed as browsers do, roughly; scripts, styles, forms' values, drawings, media and the title give none.
+
+    What isn't shown ends at its close tag or its parent's, or at once if it's closed by itself or never.
+    """
     out: list[Block] = []
     stack: list[tuple[str, str]] = []  # tag, path entry
     text: list[str] = []
     at, linked = 0, 0
+    seen: dict[str, int] = {}
+
+    def ahead(start: str) -> int:
+        """Where the next tag that begins so is, the page's length if there's none."""
+        if seen.get(start, -1) < at:
+            m = re.compile(rf"<{re.escape(start)}(?=[\s/>])", re.IGNORECASE).search(page, at)
+            seen[start] = m.start() if m else len(page)
+        return seen[start]
 
     def flush() -> None:
         nonlocal linked
@@ -63,7 +82,7 @@ def blocks(page: str) -> list[Block]:
     while True:
         m = _TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
-        if piece:
+        if piece and not any(tag in MUTED for tag, _ in stack):
             text.append(piece)
             if any(tag == "a" for tag, _ in stack):
                 linked += len(piece)
@@ -83,10 +102,26 @@ def blocks(page: str) -> list[Block]:
             continue
         if name in RAW:
             flush()
+            if rest.endswith("/") and ahead(name) <= ahead("/" + name):  # closed by itself, if no close tag of its own follows
+                continue
             end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
             at = end.end() if end else len(page) if name in ("script", "style") else at
             continue
-        if name not in INLINE:
+        inside = next((tag for tag, _ in reversed(stack) if tag in MUTED or tag in FOREIGN), None)
+        if inside == "svg" and name in HTML or inside == "option" and name not in INLINE and not any(tag == "select" for tag, _ in stack):
+            while stack.pop()[0] != inside:
+                pass
+            inside = None
+        if name in MUTED:
+            flush()
+            if inside == name == "option":
+                while stack.pop()[0] != name:
+                    pass
+            # option ends by itself, svg and template may hold their like, another one is unclosed if its like opens first
+            end = ahead("/" + name)
+            if rest.endswith("/") or name != "option" and (end == len(page) or name not in ("svg", "template") and ahead(name) < end):
+                continue
+        elif name not in INLINE and not any(tag in MUTED for tag, _ in stack):
             flush()
             while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == name == "li"):
                 stack.pop()

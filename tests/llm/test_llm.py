@@ -356,6 +356,23 @@ def test_html_pages(spark):
     assert by[2].text == by[3].text == "" and len(got) == 6
 
 
+def test_html_hidden_elements_end_where_they_should():
+    found = lambda page: [b.text for b in html_text.blocks(page)]
+    text = ["Kept one.", "Kept two."]
+    body = "<article><p>Kept one.</p><p>Kept two.</p></article>"
+    for before, after in (
+        ('<svg class="i"/>', "<svg><text>no</text></svg>"), ("<math/>", "<math></math>"), ("<svg><g>", "<svg></svg>"), ('<script src="a.js"/>', "<script>no()</script>"),
+        ("<datalist id=d><option>no<option>no</datalist>", "<select><option>no</option></select>"), ("<option>no", "<option>no</option>"), ("<video src=v>", "<video>no</video>"),
+        ("<div><svg><g>no</div>", "<svg></svg>"), ("<select><option>no</option>", "<p></p>"), ("<svg><svg>no</svg>no<foreignObject><div>no</div></foreignObject></svg>", ""),
+    ):
+        got = found(f"<body>{before}{body}{after}</body>")
+        assert [x for x in got if x != "no"] == text and (got == text or before.startswith("<select>")), before
+    assert found("<p>As <math><mi>x</mi><mo>=</mo><mn>2</mn></math> shows.</p>") == ["As x=2 shows."]
+    assert found("<object data=a><p>Instead.</p></object><noscript><p>Without.</p></noscript>") == ["Instead.", "Without."]
+    assert found("<p>a <select><option>no<option>no</select> b</p><script>no</script><textarea><p>no</textarea>") == ["a", "b"]
+    assert [b.path for b in html_text.blocks("<p>a <svg><path/></svg> b</p>")] == [("p",), ("p",)]
+
+
 def test_gradients():
     rng = np.random.default_rng(0)
     model, size = html_text.Labeller(1), html_text.PATH_DIM + html_text.WORD_DIM + html_text.NUMBERS
