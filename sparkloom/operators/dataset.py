@@ -15,10 +15,10 @@ from sparkloom.schema import FEEDBACK_RATIO, VAL_RATIO
 from sparkloom.sources.jsonl import export_lines
 
 
-def clean_examples(examples: DataFrame, evals: DataFrame | None, item_text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """Approved examples without errors and without evaluation overlap, and all violations found on the way."""
+def clean_examples(examples: DataFrame, evals: DataFrame | None, item_text: str = "text", tokens_col: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Approved examples without errors and without evaluation overlap, and all violations found on the way; too long ones go if tokens_col counts their tokens."""
     rows = examples.where("status = 'approved'").withColumn("content_hash", content_hash(F.col("messages"), F.col("tools")))
-    found = rules.validate(rows)
+    found = rules.validate(rows, tokens_col=tokens_col)
     good = rows.join(found.where("level = 'err'").select("id").distinct(), "id", "left_anti")
     if evals is not None:
         texts = good.select(F.col("id").alias("doc_id"), all_text(F.col("messages")).alias("text"))
@@ -27,15 +27,15 @@ def clean_examples(examples: DataFrame, evals: DataFrame | None, item_text: str
     return good, found
 
 
-def build(examples: DataFrame, evals: DataFrame | None = None, *, ratio: float = VAL_RATIO, seed: int = 42) -> DataFrame:
+def build(examples: DataFrame, evals: DataFrame | None = None, *, ratio: float = VAL_RATIO, seed: int = 42, tokens_col: str | None = None) -> DataFrame:
     """The rows of a new version with their split."""
-    return split.group_split(clean_examples(examples, evals)[0], ratio=ratio, seed=seed)
+    return split.group_split(clean_examples(examples, evals, tokens_col=tokens_col)[0], ratio=ratio, seed=seed)
 
 
-def build_feedback(originals: DataFrame, feedback: DataFrame, evals: DataFrame | None = None, *, seed: int = 42) -> DataFrame:
+def build_feedback(originals: DataFrame, feedback: DataFrame, evals: DataFrame | None = None, *, seed: int = 42, tokens_col: str | None = None) -> DataFrame:
     """Originals with feedback rows of at most FEEDBACK_RATIO of the whole, by id; equal contents and contaminated feedback don't come in."""
-    base = clean_examples(originals, None)[0]
-    extra = clean_examples(feedback, evals)[0].join(base.select("content_hash"), "content_hash", "left_anti")
+    base = clean_examples(originals, None, tokens_col=tokens_col)[0]
+    extra = clean_examples(feedback, evals, tokens_col=tokens_col)[0].join(base.select("content_hash"), "content_hash", "left_anti")
     room = int(base.count() * FEEDBACK_RATIO / (1 - FEEDBACK_RATIO))
     return split.regression_split(base, extra.orderBy("id").limit(room).select(*base.columns), seed=seed)
 

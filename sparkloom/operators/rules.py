@@ -182,7 +182,7 @@ def _violation(code: str, level: str, message: str, location: Column | None = No
 
 
 def structure(messages: Column, tools: Column, tokens: Column | None = None) -> Column:
-    """Violations of C1 to C5 as one array."""
+    """Violations of C1 to C5 as one array; C4 only if tokens are given."""
     role = lambda i: F.try_element_at(messages, i + 1)["role"]
     places = F.when(F.size(messages) > 0, F.sequence(F.lit(0), F.size(messages) - 1)).otherwise(F.array().cast("array<int>"))
     none = F.array().cast(VIOLATIONS)
@@ -220,13 +220,13 @@ def _alike(texts: DataFrame) -> DataFrame:
     return rows.join(near, "first_id").select("id", "peer").unionByName(same)
 
 
-def validate(examples: DataFrame, hash_col: str | None = "content_hash") -> DataFrame:
+def validate(examples: DataFrame, hash_col: str | None = "content_hash", tokens_col: str | None = None) -> DataFrame:
     """Violations of every example in long form: id, code, level, message, location. C6 is found by joins, the others row by row.
 
     C6 warns every example once for each similar text other than its own, naming that text's first example, and once for examples that differ only in case or
-    white space.
+    white space. C4 needs ``tokens_col``, the tokens of each rendered example (``functions.tokens``); without it, or where it's null, C4 is skipped.
     """
-    found = examples.select("id", F.concat(structure(F.col("messages"), F.col("tools")), _category_violations("category", "messages")).alias("v")).select("id", F.inline("v"))
+    found = examples.select("id", F.concat(structure(F.col("messages"), F.col("tools"), F.col(tokens_col) if tokens_col else None), _category_violations("category", "messages")).alias("v")).select("id", F.inline("v"))
     if not hash_col:
         return found
     copies = examples.groupBy(hash_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, redaction_count
 from sparkloom.functions.text import content_hash, md5_bucket, normalize
+from sparkloom.functions.tokens import rendered, token_count
 from sparkloom.operators import evaluation, rules, sessions, similarity, split
 from sparkloom.schema import TOKEN_EDGES
 
@@ -347,9 +348,12 @@ def model_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @_query(None)
 def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules over conversations as examples."""
+    """C1 to C6 and P1 to P4 over conversations as examples. No table holds tool, loop or review examples: T, L and S rules and dataset_rules run in no query."""
+    import public_tokenizers
+
     rows = _conversations(spark, sf_dir).select(F.col("conv_id").cast("string").alias("id"), F.lit("plan").alias("category"), "messages", F.lit(None).cast("string").alias("tools")).withColumn("content_hash", content_hash(F.col("messages")))
-    return rules.report(rows, rules.validate(rows))
+    tokens = token_count(rendered(F.col("messages"), F.col("tools")), public_tokenizers.path("word_bpe_49k.json"))
+    return rules.report(rows, rules.validate(rows.withColumn("tokens", tokens), tokens_col="tokens"))
 
 
 @_query(None)

@@ -10,7 +10,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from sparkloom.functions import chat_json, secrets, text
+from sparkloom.functions import chat_json, secrets, text, tokens
 from sparkloom.operators import dataset, evaluation, rules, sessions, similarity, split, workflow
 from sparkloom.schema import ACTIVITY, EXAMPLES
 from sparkloom.sources import jsonl
@@ -179,6 +179,19 @@ def test_validation_and_build(spark, tmp_path):
     assert {(r.subject, r.ok) for r in rules.dataset_rules(rows).collect()} >= {("owasp", False)}
 
 
+def test_too_long_examples(spark):
+    import public_tokenizers
+
+    rows = _examples(spark).where("id in ('e1', 'e2', 'e4')").withColumn("messages", F.expr("if(id = 'e1', transform(messages, m -> struct(m.role, repeat(concat(m.content, ' zq 7 '), 3000) as content)), messages)"))
+    counted = rows.withColumn("tokens", tokens.token_count(tokens.rendered(F.col("messages"), F.col("tools")), public_tokenizers.path("word_bpe_49k.json")))
+    counted = counted.withColumn("tokens", F.when(F.col("id") != "e4", F.col("tokens"))).withColumn("content_hash", text.content_hash(F.col("messages"), F.col("tools")))
+    assert [r.id for r in rules.validate(counted, tokens_col="tokens").where("code = 'C4' and level = 'err'").collect()] == ["e1"]
+    e1 = rows.where("id = 'e1'").withColumn("tokens", F.lit(8193))
+    assert dataset.build(e1, tokens_col="tokens").count() == 0
+    short = rows.where("id = 'e2'").withColumn("tokens", F.lit(8192))
+    assert dataset.build(short, tokens_col="tokens").count() == 1
+
+
 def test_similar_examples_with_copies(spark):
     long = "a long enough answer about nothing in particular, said twice over for good measure"
     texts = {"a1": long + " x", "a2": long + " x", "b1": long + " y", "b2": long + " y", "c1": "Some  Words here", "c2": "some words HERE", "c3": "some words here", "c4": "some words here", "d": "else", "e1": "", "e2": " "}
