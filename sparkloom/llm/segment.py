@@ -7,11 +7,15 @@ A piece's log probability follows Zipf's law in its rank: -log(rank + 2), up to
 
 Search. Every set of segmentations S that shares a prefix has a perturbed maximum, Gumbel(log P(S)); the A* queue holds such
 sets with their maxima as exact priorities. The best set is popped and its maximal segmentation read off top-down (at each
-node the maximum goes to an edge with the edge's conditional probability). What remains of the set is split by the node
-at which it leaves that path, and each part gets its maximum from the Gumbel distribution cut off at the popped one's. So
+node the maximum goes to an edge with the edge's conditional probability). What remains of the set is split by the word in
+which it leaves that path, and each part gets its maximum from the Gumbel distribution cut off at the popped one's. So
 the k-th pop is the k-th largest perturbed segmentation: k distinct ones, as if drawn one after another without
 replacement. The queue's best after k pops is the threshold kappa of the inclusion scores P(Gumbel(log p) > kappa).
 
+A set is a path's words before some word, any segmentation of that word but those already taken there, and anything
+behind. What the taken ones leave of a word is summed over the tree of their pieces, from sums of the other edges and
+never by a difference, so a rest of any size keeps its precision and no segmentation is lost however improbable it is.
+
 All texts of a chunk are searched together, with one numpy pass for each pop. Draws are hashes of row key, pop and position, so a row
 gives the same samples in any batch, partition or run.
 """
@@ -34,13 +38,15 @@ from sparkloom.llm.words import chunks, mix, powers
 SAMPLES, SEED = 2, 2024
 #: Log probability of each byte of a character that the vocabulary lacks, beside the rarest piece.
 BYTE_PENALTY = 2.0
-CHUNK = 2 << 20
-#: Characters of different words whose lattices a worker keeps (about 200 bytes each).
-WORD_CHARS = 1 << 19
+CHUNK = 1 << 20
+#: Characters of different words whose lattices a worker keeps (about 70 bytes each).
+WORD_CHARS = 3 << 19
 #: Up to so many characters before a word's end, probabilities are summed as they are; before that as logarithms.
 LINEAR = 12
-#: Log probabilities are multiples of 1 / GRID, so that sums are exact and don't depend on what else is in a chunk.
+#: Log probabilities of words before a set are multiples of 1 / GRID: such sums are exact and don't depend on what else is in a chunk.
 GRID = 2.0**30
+#: Slots of the hash tables of pieces, and of those by which prefixes of pieces are told from most other strings.
+SLOTS = 1 << 18
 _U = np.uint64
 _BASE = 0xD6E8FEB86659FD93
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -85,34 +91,62 @@ class Vocabulary:
         for i in usual:
             self.logp[i] = -math.log(rank[i] + 2)
         self.byte_logp = -math.log(len(usual) + 2) - BYTE_PENALTY
-        self.p = np.exp(self.logp)
         self.longest = max(len(self.pieces[i]) for i in usual)
+        hashed = {i: _hashes(_codepoints(self.pieces[i])) for i in usual}
         self.table = []
         for size in range(1, self.longest + 1):
             ids = [i for i in usual if len(self.pieces[i]) == size]
-            h = np.array([self._hash(self.pieces[i]) for i in ids], _U)
-            order_ = np.argsort(h)
-            maybe = np.zeros(1 << 16, bool)
-            maybe[(h & _U(0xFFFF)).astype(np.int64)] = True
-            self.table.append((h[order_], np.array(ids, np.int32)[order_], maybe))
-        raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(self.pieces)]
-        self.raw = raw
+            h = np.array([int(hashed[i][-1]) for i in ids], _U)
+            prefix = np.zeros(SLOTS, bool)
+            prefix[np.array([int(x[size]) % SLOTS for x in hashed.values() if len(x) > size], np.int64)] = True
+            slot, chain = np.full(SLOTS, -1, np.int32), np.full(len(ids) + 1, -1, np.int32)
+            for k, at in enumerate((h % _U(SLOTS)).astype(np.int64).tolist()):
+                slot[at], chain[k] = k, slot[at]
+            self.table.append((h, np.array(ids, np.int32), slot, chain, prefix))
+        self.raw = [bytes([int(p[1:-1], 16)]) if sp.is_byte(i) else p.replace(_BLANK, " ").encode() for i, p in enumerate(self.pieces)]
+        self.flat = np.frombuffer(b"".join(self.raw), np.uint8)
+        self.raw_size = np.array([len(x) for x in self.raw], np.int64)
+        self.raw_first = np.cumsum(self.raw_size) - self.raw_size
+        self.spelled: dict[int, np.ndarray] = {}
         self.lattices = Lattices(self)
 
-    @staticmethod
-    def _hash(piece: str) -> int:
-        h = _hashes(_codepoints(piece))
-        return int(h[-1])
-
-    def find(self, h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
-        """Which of the hashed strings of so many characters are pieces, and their ids."""
-        keys, ids, maybe = self.table[size - 1]
-        at = np.flatnonzero(maybe[(h & _U(0xFFFF)).astype(np.int64)])
-        if not len(at) or not len(keys):
-            return np.empty(0, np.int64), ids[:0]
-        k = np.minimum(np.searchsorted(keys, h[at]), len(keys) - 1)
-        same = keys[k] == h[at]
-        return at[same], ids[k[same]]
+    def matches(self, h: np.ndarray, inverse: np.ndarray, source: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All pieces that start at the characters ``source`` and fit into ``left`` characters: place in source, id and length."""
+        at, out = np.arange(len(source)), []
+        for size, (keys, ids, slot, chain, prefix) in enumerate(self.table, 1):
+            fits = left[at] >= size
+            at = at[fits] if not fits.all() else at
+            begin = source[at]
+            key = (h[begin + size] - h[begin]) * inverse[begin]
+            to = (key & _U(SLOTS - 1)).astype(np.int64)
+            some = prefix[to]
+            at, key, to = at[some], key[some], to[some]
+            if not len(at):
+                break
+            found, where = slot[to], np.arange(len(at))
+            piece = np.full(len(at), -1, np.int32)
+            while len(where := where[found >= 0]):
+                found = found[found >= 0]
+                same = keys[found] == key[where]
+                piece[where[same]] = ids[found[same]]
+                where, found = where[~same], chain[found[~same]]
+            same = piece >= 0
+            out.append((at[same], piece[same], np.full(int(same.sum()), size, np.int8)))
+        none = (np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int8))
+        return tuple(np.concatenate(x) for x in zip(none, *out, strict=True))
+
+    def spelling(self, character: int) -> np.ndarray:
+        """Ids of a character without a piece: of its bytes, or unknown."""
+        if character not in self.spelled:
+            ids = self.bytes[list(chr(character).encode("utf-8", "replace"))]
+            self.spelled[character] = ids if (ids >= 0).all() else np.array([self.unknown], np.int32)
+        return self.spelled[character]
+
+    def spelled_out(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of all ids, one after another."""
+        size = self.raw_size[ids]
+        ends = np.cumsum(size)
+        return self.flat[np.repeat(self.raw_first[ids] - ends + size, size) + np.arange(int(ends[-1]) if len(ends) else 0)]
 
     def decode(self, ids: list[int]) -> str:
         """The text of ids; the blank that the model puts in front is dropped."""
@@ -126,19 +160,21 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Lattices:
-    """The lattices of the different words of a worker's chunks: conditional probabilities of the edges at each character.
+    """The lattices of the different words of a worker's chunks: the edges at each character with their conditional probabilities.
 
-    A word's lattice is built once and kept; when all that is kept exceeds WORD_CHARS characters, a chunk starts afresh.
+    The edges of a node stand together, the likeliest first. A word's lattice is built once and kept; when all that is kept
+    exceeds WORD_CHARS characters, a chunk starts afresh.
     """
 
     def __init__(self, v: Vocabulary):
-        self.v, self.most = v, v.longest
+        self.v = v
         self._empty()
 
     def _empty(self) -> None:
         self.keys, self.at, self.used = np.empty(0, _U), np.empty(0, np.int64), 0
-        self.cond, self.cum = (np.empty((0, self.most), np.float32) for _ in range(2))
-        self.piece = np.empty((0, self.most), np.int32)
+        self.first = np.zeros(1, np.int32)  # of each node's edges; one more at the end
+        self.cum, self.logc = np.empty(0, np.float32), np.empty(0)  # running probability (infinite at the last edge), log probability
+        self.piece, self.size = np.empty(0, np.int32), np.empty(0, np.int8)
 
     def place(self, cp: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Where each word's characters begin in the tables; words that are not there yet are added."""
@@ -157,62 +193,78 @@ class Lattices:
             self.keys, self.at = keys[order], at[order]
         return self.at[np.searchsorted(self.keys, key)][word]
 
-    def _room(self, total: int) -> None:
-        if len(self.cond) < total:
-            size = max(total, min(2 * len(self.cond), WORD_CHARS))
-            for name in ("cond", "cum", "piece"):
-                old = getattr(self, name)
-                table = np.empty((size, self.most), old.dtype)
-                table[: self.used] = old[: self.used]
-                setattr(self, name, table)
-
     def _add(self, cp: np.ndarray, h: np.ndarray, inverse: np.ndarray, s: np.ndarray, e: np.ndarray) -> np.ndarray:
         """Builds the lattices of the words from s to e; one backward pass over all of them."""
-        v, size = self.v, e - s
-        base = np.concatenate([[0], np.cumsum(size)])[:-1]  # of each word, in the joined characters
-        total = int(size.sum())
-        self._room(self.used + total)
-        cond, piece = self.cond[self.used : self.used + total], self.piece[self.used : self.used + total]
-        cond[:], piece[:] = 0, -1
-        source = np.arange(total) - np.repeat(base, size) + np.repeat(s, size)  # where each joined character stands in cp
-        left = np.repeat(e, size) - source  # characters up to the end of the word
-        beta, log_beta = np.zeros(total + 1), np.zeros(total + 1)
-        order = np.argsort(left, kind="stable")
-        bounds = np.concatenate([[0], np.cumsum(np.bincount(left))]) if total else np.zeros(1, np.int64)
-        wide = 1 + (cp > 0x7F) + (cp > 0x7FF) + (cp > 0xFFFF)
-        for d in range(1, len(bounds) - 1):
-            at = order[bounds[d] : bounds[d + 1]]
-            if not len(at):
+        v, length = self.v, e - s
+        base = np.cumsum(length) - length  # of each word, in the joined characters
+        total = int(length.sum())
+        source = np.arange(total) + np.repeat(s - base, length)  # where each joined character stands in cp
+        left = np.repeat(e, length) - source  # characters up to the end of the word
+        at, piece, size = v.matches(h, inverse, source, left)
+        lone = np.ones(total, bool)
+        lone[at[size == 1]] = False
+        lone = np.flatnonzero(lone)
+        c = cp[source[lone]]
+        logp = np.concatenate([v.byte_logp * (1 + (c > 0x7F) + (c > 0x7FF) + (c > 0xFFFF)), v.logp[piece]])
+        at, piece, size = np.concatenate([lone, at]), np.concatenate([np.full(len(lone), -1, np.int32), piece]), np.concatenate([np.ones(len(lone), np.int8), size])
+        # edges stand by size, those of one size by node: the n-th of a node is the n-th that is met
+        count, nth, a = np.zeros(total, np.int64), np.empty(len(at), np.int64), 0
+        for b in [len(lone), *(len(lone) + np.searchsorted(size[len(lone) :], np.arange(1, self.v.longest + 1), "right")).tolist()]:
+            nth[a:b] = count[at[a:b]]
+            count[at[a:b]] += 1
+            a = b
+        # nodes by characters left, the edges of a node together
+        node = np.argsort(left.astype(np.int16) if total and left.max() < 1 << 15 else left, kind="stable")
+        start = np.empty(total, np.int64)
+        start[node] = np.cumsum(count[node]) - count[node]
+        to = start[at] + nth
+        logw, ahead, final = np.empty(len(at)), np.empty(len(at), np.int64), np.empty(len(at), bool)
+        logw[to], ahead[to], final[to] = logp, at + size, left[at] == size
+        p, start, times = np.exp(logw), start[node], count[node]
+        beta, log_beta, cond = np.zeros(total + 1), np.zeros(total + 1), np.empty(len(at))
+        bounds = np.searchsorted(left[node], np.arange(1, int(left.max(initial=0)) + 2))
+        edges = np.append(start, len(at))
+        for d, (a, b) in enumerate(zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True), 1):
+            if a == b:
                 continue
-            here = source[at]
-            n = min(d, self.most)
-            plain = d <= LINEAR  # no product of so few probabilities underflows
-            w = np.full((len(at), n), 0.0 if plain else -np.inf)
-            for size_ in range(1, n + 1):
-                got, ids = v.find((h[here + size_] - h[here]) * inverse[here], size_)
-                if not len(got):
-                    continue
-                to = at[got]
-                piece[to, size_ - 1] = ids
-                if plain:
-                    w[got, size_ - 1] = v.p[ids] * beta[to + size_] if size_ < d else v.p[ids]
-                else:
-                    w[got, size_ - 1] = v.logp[ids] + log_beta[to + size_]
-            lone = np.flatnonzero(piece[at, 0] < 0)
-            if plain:
-                w[lone, 0] = np.exp(v.byte_logp * wide[here[lone]]) * (beta[at[lone] + 1] if d > 1 else 1.0)
-                beta[at] = sums = w.sum(axis=1)
-                if d > LINEAR - self.most:
-                    log_beta[at] = np.log(sums)
+            x, here, own = slice(int(edges[a]), int(edges[b])), start[a:b] - start[a], node[a:b]
+            if d <= LINEAR:  # no product of so few probabilities underflows
+                w = p[x] * np.where(final[x], 1.0, beta[ahead[x]])
+                sums = np.add.reduceat(w, here)
+                beta[own], log_beta[own] = sums, np.log(sums)
             else:
-                w[lone, 0] = v.byte_logp * wide[here[lone]] + log_beta[at[lone] + 1]
-                top = w.max(axis=1)
-                w = np.exp(w - top[:, None])
-                sums = w.sum(axis=1)
-                log_beta[at] = top + np.log(sums)
-            cond[at, :n] = w / sums[:, None]
-        cum = np.cumsum(cond, axis=1)
-        self.cum[self.used : self.used + total] = cum / cum[:, -1:]
+                w = logw[x] + np.where(final[x], 0.0, log_beta[ahead[x]])
+                top = np.maximum.reduceat(w, here)
+                w = np.exp(w - np.repeat(top, times[a:b]))
+                sums = np.add.reduceat(w, here)
+                log_beta[own] = top + np.log(sums)
+            cond[x] = w / np.repeat(sums, times[a:b])
+        cond = cond[to]  # as the edges stand
+        # nodes by place; a node's likeliest edge first, the others by size
+        top, best = np.zeros(total), np.full(total, 1 << 30, np.int64)
+        np.maximum.at(top, at, cond)
+        likeliest = np.flatnonzero(cond == top[at])
+        np.minimum.at(best, at[likeliest], nth[likeliest])
+        start = np.cumsum(count) - count
+        to = start[at] + np.where(nth == best[at], 0, nth + (nth < best[at]))
+        placed = [np.empty(len(at), x.dtype) for x in (cond, piece, size)]
+        for new, old in zip(placed, (cond, piece, size), strict=True):
+            new[to] = old
+        cond, piece, size = placed
+        cum, rest = cond.copy(), np.zeros(total)
+        for k in range(1, int(count.max(initial=0))):  # added up edge by edge: the same in any chunk
+            have = np.flatnonzero(count > k)
+            more = start[have] + k
+            cum[more] += cum[more - 1]
+            rest[have] += cond[more]
+        cum[start + count - 1] = np.inf
+        with np.errstate(divide="ignore"):
+            logc = np.log(cond)
+        logc[start] = np.where(cond[start] > 0.5, np.log1p(-np.minimum(rest, 0.5)), logc[start])
+        start = np.append(start, len(at))
+        self.first = np.concatenate([self.first, (self.first[-1] + start[1:]).astype(np.int32)])
+        for name, more in (("cum", cum.astype(np.float32)), ("logc", logc), ("piece", piece), ("size", size)):
+            setattr(self, name, np.concatenate([getattr(self, name), more]))
         self.used += total
         return base + self.used - total
 
@@ -223,18 +275,51 @@ def _uniform(key: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Path:
-    """The segmentations of one pop, an entry for each piece: its first character, text, length and probability, the log
-    probability of what stands before it, and the priority of the set that leaves the path there."""
+    """The segmentations of one pop: the edge taken at each character (-1: none), and for each word the log probability of
+    the words before it and the priority of the set that leaves the path in it."""
 
-    at: np.ndarray
-    doc: np.ndarray
-    size: np.ndarray
-    prob: np.ndarray
+    edge: np.ndarray
     before: np.ndarray
     priority: np.ndarray
 
-    def index(self, character: int) -> int:
-        return int(np.searchsorted(self.at, character))
+
+class Rest:
+    """A word without some segmentations: the tree of their edges, with the share that is left of each of its nodes."""
+
+    def __init__(self, lattice: Lattices, node: int, taken: list[list[int]]):
+        self.lattice = lattice
+        self.nodes, self.children = [node], [{}]
+        for edges in taken:
+            at = 0
+            for e in edges:
+                if e not in self.children[at]:
+                    self.children[at][e] = len(self.nodes)
+                    self.nodes.append(self.nodes[at] + int(lattice.size[e]))
+                    self.children.append({})
+                at = self.children[at][e]
+        self.left = [0.0] * len(self.nodes)
+        for at in range(len(self.nodes) - 1, -1, -1):  # children come after their parents
+            if self.children[at]:
+                self.left[at] = math.fsum(x for _, x in self.edges(at))
+
+    def edges(self, at: int) -> list[tuple[int, float]]:
+        """The edges of a node of the tree and what is left of each."""
+        low, high = int(self.lattice.first[self.nodes[at]]), int(self.lattice.first[self.nodes[at] + 1])
+        return [(e, math.exp(x) * (self.left[self.children[at][e]] if e in self.children[at] else 1.0)) for e, x in enumerate(self.lattice.logc[low:high].tolist(), low)]
+
+    def draw(self, uniform: Iterator[float]) -> list[int]:
+        """Edges from the word's start up to and with the one that leaves the tree."""
+        at, out = 0, []
+        while at is not None:
+            some = [(e, x) for e, x in self.edges(at) if x > 0]
+            goal = next(uniform) * self.left[at]
+            for e, x in some:
+                goal -= x
+                if goal <= 0:
+                    break
+            out.append(e)
+            at = self.children[at].get(e)
+        return out
 
 
 class Search:
@@ -257,114 +342,132 @@ class Search:
         self.ends = np.append(self.starts[1:], n) if n else self.starts
         self.lattice = v.lattices
         base = self.lattice.place(self.cp, self.starts, self.ends)
-        word_of = np.cumsum(start) - 1
-        self.node = base[word_of] + np.arange(n) - self.starts[word_of] if n else np.zeros(0, np.int64)
-        self.end_of = self.ends[word_of] if n else np.zeros(0, np.int64)
+        self.word = np.cumsum(start, dtype=np.int32) - np.int32(1)
+        self.shift = base - self.starts  # from a word's characters to their nodes
+        self.word_doc = self.doc[self.starts]
+        self.first_word = np.searchsorted(self.starts, self.first)
 
     def _uniform(self, at: np.ndarray, draw: int) -> np.ndarray:
         d = self.doc[at]
         return _uniform(self.keys[d] + (at - self.first[d]).astype(_U) * _U(0x9E6C63D0876A9A47) + _U(draw * 0xC2B2AE3D27D4EB4F & (1 << 64) - 1))
 
-    def _draw(self, at: np.ndarray, pop: int, banned: dict[int, list[int]]) -> tuple[np.ndarray, np.ndarray]:
-        """Edges read off top-down from characters ``at`` to the ends of their words: length taken at each character (0: none), and its probability."""
-        taken, prob = np.zeros(len(self.cp), np.int16), np.ones(len(self.cp))
-        first = True
+    def _draw(self, at: np.ndarray, pop: int, edge: np.ndarray, logs: np.ndarray) -> None:
+        """Edges read off top-down from characters ``at`` to the ends of their words: put in edge, their log probabilities added to their words'."""
+        lattice = self.lattice
         while len(at):
-            node = self.node[at]
-            u = np.minimum(self._uniform(at, pop), 1 - 2.0**-24).astype(np.float32)
-            size = (self.lattice.cum[node] <= u[:, None]).sum(axis=1)
-            size = np.minimum(size, self.lattice.cum.shape[1] - 1)
-            if first and banned:
-                for k in np.flatnonzero(np.isin(at, list(banned))).tolist():
-                    p = self.lattice.cond[node[k]].astype(np.float64)
-                    p[[x - 1 for x in banned[int(at[k])]]] = 0
-                    cum = np.cumsum(p)
-                    size[k] = min(int((cum <= float(u[k]) * cum[-1]).sum()), int(np.flatnonzero(p).max()))
-            taken[at] = size + 1
-            prob[at] = self.lattice.cond[node, size]
-            nxt = at + size + 1
-            at = nxt[nxt < self.end_of[at]]
-            first = False
-        return taken, prob
-
-    def run(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """For each pop: which texts have one, the lengths taken at each character, log probabilities and perturbed maxima.
+            word = self.word[at]
+            node = at + self.shift[word]
+            e = lattice.first[node]
+            open_ = np.flatnonzero(lattice.cum[e] < np.inf)
+            u = self._uniform(at[open_], 4 * pop)
+            over = lattice.cum[e[open_]] <= u
+            while over.any():
+                open_, u = open_[over], u[over]
+                e[open_] += 1
+                over = lattice.cum[e[open_]] <= u
+            edge[at] = e
+            logs[word] += lattice.logc[e]
+            nxt = at + lattice.size[e]
+            at = nxt[nxt < self.ends[word]]
+
+    def _edges(self, edge: np.ndarray, word: int) -> list[int]:
+        at, end, out = int(self.starts[word]), int(self.ends[word]), []
+        while at < end:
+            out.append(int(edge[at]))
+            at += int(self.lattice.size[out[-1]])
+        return out
+
+    def _draws(self, at: int, pop: int) -> Iterator[float]:
+        k = 0
+        while True:
+            yield float(self._uniform(np.array([at]), 4 * ((pop << 20) + k) + 1)[0])
+            k += 1
+
+    def run(self, k: int) -> Iterator[tuple[np.ndarray, np.ndarray | None, np.ndarray | None, np.ndarray]]:
+        """For each pop: which texts have one, the edges taken at each character, log probabilities and perturbed maxima.
 
         Ends with the thresholds kappa as a fifth kind of entry: (texts, None, None, kappa)."""
-        docs = len(self.texts)
+        docs, words = len(self.texts), len(self.starts)
         alive = np.ones(docs, bool)
         top = -np.log(-np.log(_uniform(self.keys ^ mix(np.full(docs, 0xA11CE, _U)))))
-        taken, prob = self._draw(self.starts, 0, {})
+        edge, logs = np.full(len(self.cp), -1, np.int32), np.zeros(words)
+        self._draw(self.starts, 0, edge, logs)
         paths: list[Path] = []
-        banned: dict[tuple[int, int], list[int]] = {}  # path, character -> edges already taken there
-        since = self.first[:-1].copy()  # the character from which the popped set is free
+        taken: dict[tuple[int, int], list[list[int]]] = {}  # path, word -> segmentations already taken there
+        since = self.first_word[:-1].copy()  # the first word of which the popped set leaves more than the path
+        some = np.flatnonzero(np.diff(self.first_word))  # texts that have words
         for pop in range(k):
-            at = np.flatnonzero(taken)
-            p, d = prob[at], self.doc[at]
-            logs = np.round(np.log(p) * GRID) / GRID
-            total = np.concatenate([[0.0], np.cumsum(logs)])
-            bounds = total[np.searchsorted(at, self.first)]
-            before = total[1:] - logs - bounds[d]
-            yield alive.copy(), taken, np.diff(bounds), top.copy()
-            free = (p < 1 - 1e-7) & alive[d] & (at >= since[d])  # else the only edge (conditional probabilities are 32 bit)
-            if pop:  # at the popped node itself the rest is less all edges taken there so far
-                free[np.searchsorted(at, popped)] = False
-            free = np.flatnonzero(free)
-            priority = np.full(len(at), -np.inf)
-            priority[free] = self._cut(before[free] + np.log1p(-np.minimum(p[free], 1 - 1e-9)), top[d[free]], at[free], pop)
-            paths.append(Path(at, d, taken[at], p, before, priority))
+            whole = np.round(logs * GRID) / GRID
+            total = np.concatenate([[0.0], np.cumsum(whole)])
+            bounds = total[self.first_word]
+            before = total[:-1] - bounds[self.word_doc]
+            yield alive.copy(), edge, np.diff(bounds), top.copy()
+            free = np.flatnonzero((logs < 0) & alive[self.word_doc] & (np.arange(words) >= since[self.word_doc]))
+            priority = np.full(words, -np.inf)
+            with np.errstate(divide="ignore"):
+                priority[free] = self._cut(before[free] + np.log(-np.expm1(logs[free])), top[self.word_doc[free]], self.starts[free], 4 * pop + 2)
+            paths.append(Path(edge, before, priority))
             # the best set of each text over all paths
             best, path, where = np.full(docs, -np.inf), np.zeros(docs, np.int64), np.zeros(docs, np.int64)
             for a, one in enumerate(paths):
-                some = np.flatnonzero(one.priority > -np.inf)
                 m = np.full(docs, -np.inf)
-                np.maximum.at(m, one.doc[some], one.priority[some])
-                hit = some[one.priority[some] == m[one.doc[some]]]
-                hit = hit[m[one.doc[hit]] > best[one.doc[hit]]]
-                to = one.doc[hit]
-                best[to], path[to], where[to] = m[to], a, one.at[hit]
+                if len(some):
+                    m[some] = np.maximum.reduceat(one.priority, self.first_word[some])
+                hit = np.flatnonzero((one.priority > -np.inf) & (one.priority == m[self.word_doc]))
+                hit = hit[m[self.word_doc[hit]] > best[self.word_doc[hit]]]
+                to = self.word_doc[hit]
+                best[to], path[to], where[to] = m[to], a, hit
             if pop == k - 1:
                 yield np.isfinite(best), None, None, best
                 return
             alive = np.isfinite(best)
             top = np.where(alive, best, -np.inf)
-            d = np.flatnonzero(alive)
-            popped = where[d]
-            stop: dict[int, list[int]] = {}
-            for a, w in zip(path[d].tolist(), popped.tolist(), strict=True):
-                stop[w] = banned.setdefault((a, w), [int(paths[a].size[paths[a].index(w)])])
-            restart = self.starts[(self.starts > where[self.doc[self.starts]]) & alive[self.doc[self.starts]]]
-            taken, prob = self._draw(np.concatenate([popped, restart]), pop + 1, stop)
-            # up to the popped node the path is that of the set; behind it the new draw
-            for a, one in enumerate(paths):
-                old = np.flatnonzero((alive & (path == a))[one.doc] & (one.at < where[one.doc]))
-                taken[one.at[old]], prob[one.at[old]] = one.size[old], one.prob[old]
-            since = np.where(alive, where, 0)
+            edge, logs = np.full(len(self.cp), -1, np.int32), np.zeros(words)
+            # up to the popped word the path is that of the set; behind it there are new draws
             for a, one in enumerate(paths):
-                for w in where[d[path[d] == a]].tolist():  # what still is in the popped set: all but the edges taken at its node
-                    edges, j = banned[a, w], one.index(w)
-                    edges.append(int(taken[w]))
-                    rest = 1.0 - float(self.lattice.cond[self.node[w], [x - 1 for x in edges]].sum())
-                    here = np.array([w])
-                    one.priority[j] = self._cut(np.array([one.before[j] + math.log(rest)]), top[self.doc[here]], here, 1000 + pop)[0] if rest > 1e-6 else -np.inf
-
-    def _cut(self, loc: np.ndarray, top: np.ndarray, at: np.ndarray, pop: int) -> np.ndarray:
+                mine = alive & (path == a)
+                old = mine[self.word_doc] & (np.arange(words) < where[self.word_doc])
+                at = np.flatnonzero(old[self.word] & (one.edge >= 0))
+                edge[at] = one.edge[at]
+                np.add.at(logs, self.word[at], self.lattice.logc[one.edge[at]])
+            restart = []
+            for d in np.flatnonzero(alive).tolist():
+                a, w = int(path[d]), int(where[d])
+                done = taken.setdefault((a, w), [self._edges(paths[a].edge, w)])
+                at, node = int(self.starts[w]), int(self.starts[w] + self.shift[w])
+                for e in Rest(self.lattice, node, done).draw(self._draws(at, pop)):
+                    edge[at] = e
+                    logs[w] += self.lattice.logc[e]
+                    at += int(self.lattice.size[e])
+                if at < self.ends[w]:
+                    restart.append(at)
+            later = alive[self.word_doc] & (np.arange(words) > where[self.word_doc])
+            self._draw(np.concatenate([np.array(restart, np.int64), self.starts[later]]), pop + 1, edge, logs)
+            since = np.where(alive, where + 1, 0)
+            for d in np.flatnonzero(alive).tolist():  # what still is in the popped set: all but the segmentations taken in its word
+                a, w = int(path[d]), int(where[d])
+                taken[a, w].append(self._edges(edge, w))
+                left, at = Rest(self.lattice, int(self.starts[w] + self.shift[w]), taken[a, w]).left[0], self.starts[w : w + 1]
+                paths[a].priority[w] = self._cut(paths[a].before[w : w + 1] + math.log(left), top[d : d + 1], at, 4 * pop + 3)[0] if left > 0 else -np.inf
+
+    def _cut(self, loc: np.ndarray, top: np.ndarray, at: np.ndarray, draw: int) -> np.ndarray:
         """Draws from Gumbel(loc) cut off at top."""
-        u = self._uniform(at, 2048 + pop)
-        return loc - np.log(np.exp(np.minimum(loc - top, 700)) - np.log(u))
+        return loc - np.log(np.exp(np.minimum(loc - top, 700)) - np.log(self._uniform(at, draw)))
 
-    def ids(self, taken: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def ids(self, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and how many each has."""
-        at = np.flatnonzero(taken > 0)
-        found = self.lattice.piece[self.node[at], taken[at] - 1]
+        at = np.flatnonzero(edge >= 0)
+        found = self.lattice.piece[edge[at]]
         lone = np.flatnonzero(found < 0)
         count = np.ones(len(at), np.int64)
         if len(lone):
-            raw = [chr(c).encode("utf-8", "replace") for c in self.cp[at[lone]].tolist()]
-            spelled = [self.v.bytes[list(r)] if (self.v.bytes[list(r)] >= 0).all() else np.array([self.v.unknown], np.int32) for r in raw]
-            count[lone] = [len(x) for x in spelled]
+            characters, which = np.unique(self.cp[at[lone]], return_inverse=True)
+            spelled = [self.v.spelling(int(c)) for c in characters]
+            size = np.array([len(x) for x in spelled])
+            count[lone] = size[which]
+            flat, first, ends = np.concatenate(spelled), np.cumsum(size) - size, np.cumsum(size[which])
             out = np.repeat(found, count)
-            out[np.repeat(found < 0, count)] = np.concatenate(spelled)
+            out[out < 0] = flat[np.repeat(first[which] - ends + size[which], size[which]) + np.arange(int(ends[-1]))]
             found = out
         return found, np.bincount(self.doc[at], weights=count, minlength=len(self.texts)).astype(np.int64)
 
@@ -385,8 +488,8 @@ def sample(docs: DataFrame, model_path: str, *, k: int = SAMPLES, seed: int = SE
     n_tokens; ids_crc32 of the ids as little-endian 32-bit integers; log_prob of the segmentation among all of its text;
     perturbed, its Gumbel value; log_inclusion, the log of its inclusion score; round_trip, whether the ids decode to the
     normalised text. A text with fewer than k segmentations has as many rows as it has (log_inclusion 0). Null counts as
-    empty, which has one segmentation, of no pieces. The row key is id and text, so rows that repeat both get the same
-    samples; null ids count as one value. Other columns aren't read.
+    empty, which has one segmentation, of no pieces. The row key is the id, so rows that repeat id and text get the same
+    samples and texts that share an id share its draws; null ids count as one value. Other columns aren't read.
     """
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.lit(seed)).alias("key"))
 
@@ -408,18 +511,24 @@ def sample(docs: DataFrame, model_path: str, *, k: int = SAMPLES, seed: int = SE
 
 def _samples(v: Vocabulary, texts: list[str], keys: np.ndarray, k: int, with_ids: bool) -> Iterator[tuple]:
     search = Search(v, texts, keys)
-    plain = [t.replace(_BLANK, " ")[1:] if t.startswith(_BLANK) else t for t in search.texts]
+    plain = np.frombuffer("".join(search.texts).replace(_BLANK, " ").encode("utf-8", "replace"), np.uint8)
+    size = np.bincount(search.doc, weights=1 + (search.cp > 0x7F) + (search.cp > 0x7FF) + (search.cp > 0xFFFF) - 2 * (search.cp == ord(_BLANK)), minlength=len(texts)).astype(np.int64)
+    first = np.cumsum(size) - size
     pops = []
-    for have, taken, logp, value in search.run(k):
-        if taken is None:
+    for have, edge, logp, value in search.run(k):
+        if edge is None:
             kappa = value
             break
-        ids, n = search.ids(taken)
-        ends = np.cumsum(n)
+        ids, n = search.ids(edge)
+        spelled = v.spelled_out(ids)
+        ends, spelled_ends = np.cumsum(n), np.concatenate([[0], np.cumsum(v.raw_size[ids])])
+        raw = memoryview(ids.astype("<u4").tobytes())
+        low = ends - n
         rows = []
         for d in np.flatnonzero(have).tolist():
-            own = ids[ends[d] - n[d] : ends[d]]
-            rows.append((d, int(n[d]), zlib.crc32(own.astype("<u4").tobytes()), v.decode(own.tolist()) == plain[d], own if with_ids else None))
+            back = spelled[spelled_ends[low[d]] : spelled_ends[ends[d]]]
+            same = len(back) == size[d] and bool((back == plain[first[d] : first[d] + size[d]]).all())
+            rows.append((d, int(n[d]), zlib.crc32(raw[4 * low[d] : 4 * ends[d]]), same, ids[low[d] : ends[d]] if with_ids else None))
         pops.append((rows, logp, value))
     for rank, (rows, logp, value) in enumerate(pops):
         score = inclusion(logp, kappa)

@@ -9,6 +9,7 @@ import json
 import math
 import random
 import re
+import types
 import zlib
 
 import numpy as np
@@ -279,6 +280,30 @@ def test_sampled_segmentations(tokenizers):
     assert abs(total / n - 1) < 0.03  # inclusion scores make the sum of p / q unbiased
 
 
+def test_no_segmentation_is_lost(tokenizers):
+    """With a large k every segmentation of a text comes out once, with its probability, however improbable it is."""
+    v = segment.vocabulary(tokenizers.path("piece_bpe_32k.model"))
+    texts = ["the", "The", "and", "is", "a", "of", "ther", "tion", "nation", "Sterpf", "é漢字😀x", "xxxxxx", "the is", "12 ab"]
+    found = collections.defaultdict(list)
+    for row in segment._samples(v, texts, W.mix(np.arange(len(texts), dtype=np.uint64)), 400, True):
+        found[row[0]].append(row)
+    for k, t in enumerate(texts):
+        want, rows = all_segmentations(v, t), found[k]
+        assert {tuple(r[8].tolist()) for r in rows} == set(want) and len(rows) == len(want) < 400, t
+        assert all(abs(want[tuple(r[8].tolist())] - r[4]) < 1e-6 and r[6] == 0 and r[7] for r in rows)
+        assert all(a[5] > b[5] for a, b in itertools.pairwise(rows))
+
+
+def test_what_is_left_of_a_word_keeps_its_precision():
+    """A likely segmentation may leave 1e-20: the rest is summed, never a difference."""
+    lattice = types.SimpleNamespace(first=np.array([0, 2, 4]), logc=np.array([-1e-20, math.log(1e-20), math.log(0.25), math.log(0.75)]), size=np.array([1, 2, 1, 1]))
+    assert math.isclose(segment.Rest(lattice, 0, [[0, 2], [0, 3]]).left[0], 1e-20)
+    assert math.isclose(segment.Rest(lattice, 0, [[0, 3], [1]]).left[0], 0.25)
+    assert segment.Rest(lattice, 0, [[0, 3], [1], [0, 2]]).left[0] == 0
+    assert segment.Rest(lattice, 0, [[0, 2], [0, 3]]).draw(iter([0.5])) == [1]
+    assert segment.Rest(lattice, 0, [[0, 3], [1]]).draw(iter([0.5, 0.5])) == [0, 2]
+
+
 def test_segmentation_edges(spark, tokenizers):
     import sentencepiece
 
