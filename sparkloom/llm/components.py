@@ -10,7 +10,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import kept
+from sparkloom.llm.store import kept, scope
 
 MAX_ROUNDS = 50
 
@@ -50,7 +50,9 @@ def components(links: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if _is_settled(links):
             break
-        links = kept(_star(kept(_star(links, True), "links"), False), "links")
+        with scope(links.sparkSession) as out:
+            links = kept(_star(kept(_star(links, True), "links"), False), "links")
+            out.append(links)
     else:
         raise RuntimeError(f"components did not settle in {MAX_ROUNDS} rounds")
     return links.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(
