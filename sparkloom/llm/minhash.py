@@ -2,8 +2,8 @@
 
 Signatures. Every shingle with multiplicity w owns the weight levels 1..w. The levels are split into dyadic intervals
 [0,1), [1,2), [2,4), ...; each interval is a Poisson process of points in time whose rate is its width, and each point
-carries a level inside the interval (chosen by halving it again and again) and one of the registers. Points above w don't
-count. A register keeps its earliest point, so two multisets agree in a register with probability equal to their
+carries a level inside the interval, drawn uniformly, and one of the registers. Points above w don't count. (The same points
+as a tree of processes split in halves gives, without the tree: all points of an interval are made, and levels at once.) A register keeps its earliest point, so two multisets agree in a register with probability equal to their
 weighted Jaccard similarity. Points are made in ascending time and a process ends at its text's latest register, so the
 work for a text is about its shingles plus m log m points.
 
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from sparkloom.llm import words as W
 from sparkloom.llm.components import components
-from sparkloom.llm.store import kept, with_row_key
+from sparkloom.llm.store import kept, scope, with_row_key
 
 SIZE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 32, 5
@@ -33,6 +33,8 @@ BANDS, ROWS = 32, 5
 BLOCK = 256
 SEED = 0x5DEECE66D
 _U = np.uint64
+#: The column of the row keys beside those of the documents.
+_KEY = "_near_row"
 
 
 def signatures(doc: np.ndarray, value: np.ndarray, weight: np.ndarray, n_docs: int, registers: int) -> np.ndarray:
@@ -90,24 +92,19 @@ def node_keys(words: W.Words) -> list[bytes]:
 
 
 class Bags:
-    """The multisets of a column of texts, rows ascending: doc, value, weight; first of each row, total weight, and own.
+    """The multisets of a column of texts, rows ascending: doc, value, weight; first of each row, and total weight."""
 
-    own: whether a row's text is that of its node (another row may have the same id).
-    """
-
-    def __init__(self, text: pa.Array, nodes: list[bytes], size: int):
-        doc, value, weight, own, done = [], [], [], [], 0
+    def __init__(self, text: pa.Array, size: int):
+        doc, value, weight, done = [], [], [], 0
         for part in W.chunks(iter([pa.RecordBatch.from_arrays([text], ["text"])])):
             words = W.split(part.column("text"))
             d, v, w = W.bag(words, size)
             doc.append(d + done)
             value.append(v)
             weight.append(w)
-            own += [k == node for k, node in zip(node_keys(words), nodes[done : done + part.num_rows], strict=True)]
             done += part.num_rows
         self.doc, self.value = np.concatenate([np.empty(0, np.int64), *doc]), np.concatenate([np.empty(0, _U), *value])
         self.weight = np.concatenate([np.empty(0, np.int64), *weight])
-        self.own = np.array(own, bool)
         self.first = np.searchsorted(self.doc, np.arange(done + 1))
         self.total = np.bincount(self.doc, weights=self.weight, minlength=done)
 
@@ -125,10 +122,9 @@ def alike(common: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return common / np.maximum(a + b - common, 1)
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, key_col: str | None = None) -> DataFrame:
-    """id, node, n (shingles), keys (one for each band; none for a text without words), and row_key if asked for. A null text has no node."""
-    key = [F.col(key_col).alias("row_key")] if key_col else []
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *key)
+def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, key_col: str) -> DataFrame:
+    """id, node, n (shingles), keys (one for each band; none for a text without words) and row_key. A null text has no node."""
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(key_col).alias("row_key"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches):
@@ -143,18 +139,10 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, r
             lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[full].ravel()))
             missing = text.is_null().to_numpy(zero_copy_only=False)
             nodes = pa.array([None if m else k for k, m in zip(node_keys(words), missing, strict=True)], pa.binary())
-            own = ["row_key"] if key_col else []
-            yield pa.RecordBatch.from_arrays([part.column("id"), nodes, pa.array(n), lists, *map(part.column, own)], ["id", "node", "n", "keys", *own])
-
-    more = f", row_key {source.schema['row_key'].dataType.simpleString()}" if key_col else ""
-    return source.mapInArrow(run, f"id {source.schema['id'].dataType.simpleString()}, node binary, n long, keys array<long>{more}")
+            yield pa.RecordBatch.from_arrays([part.column("id"), nodes, pa.array(n), lists, part.column("row_key")], ["id", "node", "n", "keys", "row_key"])
 
-
-def _texts(need: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """node, text of the needed nodes."""
-    wanted = nodes.select("node", "id").join(need, "node")
-    found = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).join(wanted, F.col("doc").eqNullSafe(F.col("id")))
-    return found.select("node", "text").distinct()
+    kinds = [source.schema[x].dataType.simpleString() for x in ("id", "row_key")]
+    return source.mapInArrow(run, f"id {kinds[0]}, node binary, n long, keys array<long>, row_key {kinds[1]}")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) -> DataFrame:
@@ -164,9 +152,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, threshold: float) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches, column="text_v"):
-            a, b = (Bags(part.column("text_" + x), part.column(x).to_pylist(), size) for x in "uv")
-            same = a.own & b.own & (alike(a.common(b), a.total, b.total) >= threshold)
-            yield part.select(["u", "v"]).filter(pa.array(same))
+            a, b = (Bags(part.column("text_" + x), size) for x in "uv")
+            yield part.select(["u", "v"]).filter(pa.array(alike(a.common(b), a.total, b.total) >= threshold))
 
     return both.mapInArrow(run, "u binary, v binary").distinct()
 
@@ -206,15 +193,15 @@ def _across(xs: list[dict], qs: list[dict], size: int, threshold: float) -> list
     roots: dict[bytes, int] = {}
     rx = np.array([roots.setdefault(r["root"], len(roots)) for r in xs])
     rq = np.array([roots.setdefault(r["root"], len(roots)) for r in qs])
-    bx, bq = (Bags(pa.array([r["text"] for r in rows], pa.string()), [r["node"] for r in rows], size) for rows in (xs, qs))
+    bx, bq = (Bags(pa.array([r["text"] for r in rows], pa.string()), size) for rows in (xs, qs))
     order = np.argsort(bx.value, kind="stable")  # postings: which rows have a shingle, and how often
     post, row, times = bx.value[order], bx.doc[order], bx.weight[order]
     names = list(roots)
     group = np.arange(len(roots))  # roots that links of this block have joined
     out = []
     for k in range(len(qs)):
-        able = bx.own & (group[rx] != group[rq[k]]) & (np.minimum(nx, nq[k]) >= threshold * np.maximum(nx, nq[k])) & (kx == kq[k]).any(axis=1)
-        if not bq.own[k] or not able.any():
+        able = (group[rx] != group[rq[k]]) & (np.minimum(nx, nq[k]) >= threshold * np.maximum(nx, nq[k])) & (kx == kq[k]).any(axis=1)
+        if not able.any():
             continue
         mine = slice(bq.first[k], bq.first[k + 1])
         low, high = np.searchsorted(post, bq.value[mine], "left"), np.searchsorted(post, bq.value[mine], "right")
@@ -230,25 +217,37 @@ def _across(xs: list[dict], qs: list[dict], size: int, threshold: float) -> list
 
 def near_duplicates(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
                     bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """One row per row of docs: id, component_id (smallest id of its group) and kept (the group's one row with that id).
+    """One row per row of docs: id, component_id (smallest id of its group) and kept (whether it is the group's one kept row).
 
     Texts are linked from weighted Jaccard similarity ``threshold`` on; groups are what links reach. Fewer than ``size``
     words are one shingle. Texts with the same words are one node; texts without words only match equal ones; null texts
-    stay alone. Rows of one node that repeat the kept id are all kept; a group whose ids are all null has a null
-    component_id and keeps the rows of one node. Other columns aren't read; an empty table gives an empty result.
+    stay alone and are kept. Of rows that repeat the smallest id one is kept; null ids come after all others, and a group whose
+    ids are all null has a null component_id. Other columns aren't read; an empty table gives an empty result.
     """
-    found = _judged(docs, id_col, text_col, size, threshold, bands, rows)
+    found = _judged(with_row_key(docs, _KEY), id_col, text_col, size, threshold, bands, rows)
     return found.select(F.col("id").alias(id_col), "component_id", "kept")
 
 
-def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int, key_col: str | None = None) -> DataFrame:
-    """id, node, component_id, kept, and row_key if asked for."""
-    rows_ = kept(sketch(docs, id_col, text_col, size, bands, rows, key_col), "sketch")
-    nodes = rows_.where("node is not null").groupBy("node").agg(F.min("id").alias("id"), F.max("n").alias("n"), F.count(F.lit(1)).alias("copies"))
-    nodes = kept(nodes, "nodes")
-    keyed = rows_.where("size(keys) > 0").select("node", "id", "n", "keys")
-    # one sketch for each node: of the row that gave the node its id (equal rows give equal sketches, distinct drops them)
-    firsts = keyed.join(nodes.select("node", F.col("id").alias("first")), "node").where(F.col("id").eqNullSafe(F.col("first")))
+def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: float, bands: int, rows: int) -> DataFrame:
+    """id, row_key, component_id and kept of each row of docs, which has a column _KEY."""
+    with scope(docs.sparkSession) as stay:
+        rows_ = kept(sketch(docs, id_col, text_col, size, bands, rows, _KEY), "sketch")
+        classes = _classes(rows_, docs, text_col, size, threshold)
+        stay += [rows_, classes]
+    return rows_.drop("n", "keys").join(classes, "node", "left").select(
+        "id", "row_key",
+        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("best.id")).alias("component_id"),
+        F.coalesce(F.col("best.row_key") == F.col("row_key"), F.lit(True)).alias("kept"),
+    )
+
+
+def _classes(rows: DataFrame, docs: DataFrame, text_col: str, size: int, threshold: float) -> DataFrame:
+    """node and best, the first row (by id, nulls last) of its group."""
+    # the first row of a node stands for it: its sketch and its text are the node's
+    first = F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "row_key")).alias("best")
+    nodes = kept(rows.where("node is not null").groupBy("node").agg(first, F.max("n").alias("n")), "nodes")
+    keyed = rows.where("size(keys) > 0").select("node", "row_key", "keys")
+    firsts = kept(keyed.join(nodes.select("node", "n", F.col("best.row_key").alias("first")), "node").where("row_key = first").select("node", "row_key", "n", "keys"), "firsts")
     exploded = firsts.select("node", F.explode("keys").alias("key"))
     shared = exploded.groupBy("key").agg(F.min("node").alias("low"), F.max("node").alias("top"), F.count(F.lit(1)).alias("held")).where("low != top")
     members = kept(exploded.join(kept(shared.select("key", "held"), "bands"), "key"), "members")
@@ -256,8 +255,9 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: f
     ranked = kept(members.join(degree, "node").select("key", "node", "degree"), "ranked")
     centre = kept(ranked.groupBy("key").agg(F.max(F.struct("degree", "node")).alias("c")).select("key", F.col("c.node").alias("u")), "centres")
     star = kept(ranked.join(centre, "key").where("node != u").select("u", F.col("node").alias("v")).distinct(), "star")
-    texts = kept(_texts(degree.select("node"), nodes, docs, id_col, text_col), "texts")
-    sized = nodes.select("node", "n")
+    wanted = firsts.join(degree.select("node"), "node", "left_semi").select("node", "row_key")
+    texts = kept(docs.select(F.col(_KEY).alias("row_key"), F.col(text_col).alias("text")).join(wanted, "row_key").select("node", "text"), "texts")
+    sized = firsts.select("node", "n")
     pairs = star.join(sized.toDF("u", "n_u"), "u").join(sized.toDF("v", "n_v"), "v").where(F.least("n_u", "n_v") >= threshold * F.greatest("n_u", "n_v"))
     links = kept(verified(pairs.select("u", "v"), texts, size, threshold), "verified")
     named = degree.join(components(links), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
@@ -270,28 +270,17 @@ def _judged(docs: DataFrame, id_col: str, text_col: str, size: int, threshold: f
     more = kept(across(kept(rest.select("cluster", "node", "n", "root", "keys", "text"), "rest"), size, threshold), "across")
     top = components(more).toDF("root", "top")
     named = named.join(top, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
-    grouped = nodes.join(named, "node", "left").select("node", "id", F.coalesce("root", "node").alias("root"))
-    low = kept(grouped.groupBy("root").agg(F.min("id").alias("component_id")), "groups")
-    # the group's kept row: a row of the smallest node among those with its smallest id
-    best = grouped.join(low, "root")
-    chosen = best.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("node").alias("kept_node"))
-    classes = kept(best.join(chosen, "root").select("node", "component_id", (F.col("node") == F.col("kept_node")).alias("holds")), "classes")
-    return rows_.drop("n", "keys").join(classes, "node", "left").select(
-        "id", "node",
-        F.when(F.col("node").isNull(), F.col("id")).otherwise(F.col("component_id")).alias("component_id"),
-        (F.col("node").isNull() | (F.col("holds") & F.col("id").eqNullSafe(F.col("component_id")))).alias("kept"),
-        *(["row_key"] if key_col else []),
-    )
+    grouped = kept(nodes.join(named, "node", "left").select("node", "best", F.coalesce("root", "node").alias("root")), "grouped")
+    best = kept(grouped.groupBy("root").agg(F.min("best").alias("best")), "groups")
+    return kept(grouped.drop("best").join(best, "root").select("node", "best"), "classes")
 
 
 def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = SIZE, threshold: float = THRESHOLD,
                  bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """docs with one row of each group of near-duplicates: of its smallest id, nulls last. Null texts all stay.
+    """docs with the kept row of each group of near-duplicates: of its smallest id, nulls last. Null texts all stay.
 
-    Rows are told apart by a key of their own, so ids may be null or repeat, and whole rows may too.
+    Rows are told apart by a key of their own, so ids may be null or repeat, and whole rows may too; all columns stay.
     """
-    keyed = with_row_key(docs)
-    found = kept(_judged(keyed, id_col, text_col, size, threshold, bands, rows, "row_key").where("kept").select("node", "row_key"), "best")
-    best = found.where("node is not null").groupBy("node").agg(F.min("row_key").alias("row_key")).select("row_key")
-    best = best.unionByName(found.where("node is null").select("row_key"))
-    return keyed.join(best, "row_key", "left_semi").drop("row_key")
+    keyed = with_row_key(docs, _KEY)
+    best = _judged(keyed, id_col, text_col, size, threshold, bands, rows).where("kept").select(F.col("row_key").alias(_KEY))
+    return keyed.join(best, _KEY, "left_semi").drop(_KEY)

@@ -128,6 +128,18 @@ words as (select doc_id, count(distinct j) as n_hit from (select doc_id, unnest(
 items as (select doc_id, count(*) as n_items, sha256(string_agg(item, ',' order by item)) as items_sha256 from (select distinct doc_id, cast(item_id as varchar) as item from hits) group by doc_id)
 select doc_id, cast(len(w) as bigint) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, coalesce(items_sha256, sha256('')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
 from dw left join words using (doc_id) left join items using (doc_id)
+""",
+    "op10_minhash_near_dedup": r"""
+with recursive dw as (select doc_id, text, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents where text is not null),
+g as (select doc_id, g, count(*) as c from (select doc_id, list_aggregate(w[k:k + 4], 'string_agg', ' ') as g from dw, unnest(range(1, greatest(len(w) - 4, 1) + 1)) t(k) where len(w) > 0) group by all),
+n as (select doc_id, sum(c) as n from g group by 1),
+common as (select a.doc_id as u, b.doc_id as v, sum(least(a.c, b.c)) as common from g a join g b using (g) where a.doc_id < b.doc_id group by all),
+one as (select u, v from common join n a on a.doc_id = u join n b on b.doc_id = v where common::double / (a.n + b.n - common) >= 0.8::double
+        union all select a.doc_id, b.doc_id from dw a join dw b using (text) where len(a.w) = 0 and a.doc_id < b.doc_id),
+links as (select u, v from one union all select v, u from one),
+reach(u, v) as (select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u),
+low as (select u, min(v) as low from reach group by u)
+select doc_id, least(doc_id, coalesce(low, doc_id)) as component_id, doc_id = least(doc_id, coalesce(low, doc_id)) as kept from documents left join low on low.u = doc_id
 """,
 }
 
