@@ -19,11 +19,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.llm import words as W
-from sparkloom.llm.store import with_row_key
 
 WINDOW = 10
 #: Symbols of a shard's index; a longer single text is a shard of its own.
@@ -32,6 +33,8 @@ SAMPLE = 16
 #: Windows searched at once.
 BLOCK_WINDOWS = 1 << 18
 MAX_BENCHMARK_BYTES = 256 << 20
+#: Bytes of documents that wait for the verdict of their shard in ``removed``, about.
+HELD_BYTES = 16 << 20
 
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
@@ -230,6 +233,14 @@ class _Shard:
             at += len(counts)
 
 
+def _phrases(docs: DataFrame, benchmark: DataFrame, item_col: str, item_text_col: str, window: int, max_benchmark_bytes: int) -> Broadcast:
+    items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).alias("text"))
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    if size > max_benchmark_bytes:
+        raise ValueError(f"the benchmark has {size} bytes of text; max_benchmark_bytes is {max_benchmark_bytes}")
+    return docs.sparkSession.sparkContext.broadcast(Phrases(((r[0], r[1]) for r in items.toLocalIterator()), window))
+
+
 def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id",
          item_text_col: str = "text", window: int = WINDOW, max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
     """One row per row of docs: id, counts of words, hit words and items, the items, and the removal spans (in characters).
@@ -239,11 +250,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     but isn't named; an item of no words, and an empty benchmark, match nothing. Other columns of docs aren't read.
     ValueError if the benchmark's texts exceed ``max_benchmark_bytes``: split it then and take the union of the spans.
     """
-    items = benchmark.select(F.col(item_col).cast("string").alias("name"), F.col(item_text_col).alias("text"))
-    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    if size > max_benchmark_bytes:
-        raise ValueError(f"the benchmark has {size} bytes of text; max_benchmark_bytes is {max_benchmark_bytes}")
-    phrases = docs.sparkSession.sparkContext.broadcast(Phrases(((r[0], r[1]) for r in items.toLocalIterator()), window))
+    phrases = _phrases(docs, benchmark, item_col, item_text_col, window, max_benchmark_bytes)
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard = _Shard(phrases.value)
@@ -258,8 +265,30 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     return ids.mapInArrow(search, f"id {ids.schema['id'].dataType.simpleString()}, {OUT}").withColumnRenamed("id", id_col)
 
 
-def removed(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", **options) -> DataFrame:
-    """docs without the rows that ``scan`` finds contaminated; each row is judged by itself, whatever its id."""
-    keyed = with_row_key(docs)
-    found = scan(keyed, benchmark, id_col="row_key", text_col=text_col, **options).where("contaminated").select("row_key")
-    return keyed.join(found, "row_key", "left_anti").drop("row_key")
+def removed(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW,
+            max_benchmark_bytes: int = MAX_BENCHMARK_BYTES) -> DataFrame:
+    """docs without the rows that ``scan`` finds contaminated, with all columns, under any names.
+
+    Each row is judged by itself, where it is read, whatever its id: nothing is shuffled. Null and empty texts stay, so do
+    repeated rows; an empty table gives an empty result, an empty benchmark removes nothing.
+    """
+    phrases, place = _phrases(docs, benchmark, item_col, item_text_col, window, max_benchmark_bytes), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shard, held, size = _Shard(phrases.value), [], 0
+        for part in W.chunks(batches, place):
+            text = part.column(place)
+            shard.add(pa.nulls(part.num_rows), W.split(text))
+            held.append(part)
+            size += text.nbytes
+            if shard.size >= SHARD_SYMBOLS or size >= HELD_BYTES:
+                yield from _clean(held, shard)
+                shard, held, size = _Shard(phrases.value), [], 0
+        yield from _clean(held, shard)
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def _clean(parts: list[pa.RecordBatch], shard: _Shard) -> Iterator[pa.RecordBatch]:
+    for part, found in zip(parts, shard.result(), strict=True):
+        yield part.filter(pc.invert(found.column("contaminated")))

@@ -19,7 +19,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.store import with_row_key
 from sparkloom.llm.words import chunks
 
 THRESHOLD = 0.7
@@ -187,6 +186,10 @@ def fit(documents: DataFrame, labels: DataFrame, *, train: str, id_col: str = "d
     return learn((r[0], r[1]) for r in rows.toLocalIterator())
 
 
+def probability(lexicon: Lexicon, x: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(lexicon.slope * x - lexicon.bias, -500, 500)))
+
+
 def score(documents: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
     """One row per row of documents: id, score in 0..1 and predicted (1 from ``threshold``).
 
@@ -198,14 +201,24 @@ def score(documents: DataFrame, lexicon: Lexicon, *, id_col: str = "doc_id", tex
         a = lexicon.automaton()
         for batch in chunks(batches):
             x = np.array([evidence(a, t or "") for t in batch.column("text").to_pylist()])
-            s = 1 / (1 + np.exp(-np.clip(lexicon.slope * x - lexicon.bias, -500, 500)))
+            s = probability(lexicon, x)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["id", "score", "predicted"])
 
     return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, score double, predicted int").withColumnRenamed("id", id_col)
 
 
 def accepted(documents: DataFrame, lexicon: Lexicon, *, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of documents that ``score`` doesn't predict to be toxic; each row is judged by itself, whatever its id."""
-    keyed = with_row_key(documents)
-    rejected = score(keyed, lexicon, id_col="row_key", text_col=text_col, threshold=threshold).where("predicted = 1").select("row_key")
-    return keyed.join(rejected, "row_key", "left_anti").drop("row_key")
+    """The rows of documents that ``score`` doesn't predict to be toxic, with all columns, under any names.
+
+    Each row is judged by itself, where it is read, whatever its id: nothing is shuffled. Null and empty texts stay, so do
+    repeated rows; an empty table gives an empty result.
+    """
+    place = documents.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a = lexicon.automaton()
+        for batch in chunks(batches, place):
+            x = np.array([evidence(a, t or "") for t in batch.column(place).to_pylist()])
+            yield batch.filter(pa.array(probability(lexicon, x) < threshold))
+
+    return documents.mapInArrow(run, documents.schema)

@@ -67,7 +67,7 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def chunks(batches: Iterator[pa.RecordBatch], column: str = "text", limit: int = 0) -> Iterator[pa.RecordBatch]:
+def chunks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = 0) -> Iterator[pa.RecordBatch]:
     """The batches cut by rows so that each holds about ``limit`` bytes of text, or one row."""
     limit = limit or CHUNK_BYTES
     for batch in batches:
