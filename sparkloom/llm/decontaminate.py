@@ -220,11 +220,12 @@ class _Shard:
         at = 0
         for ids, counts in self.rows:
             span = range(at, at + len(counts))
-            names = [sorted({p.names[k] for k in items[r]} - {None}) if r in items else [] for r in span]
+            own = [{p.names[k] for k in items[r]} if r in items else set() for r in span]
+            names = [sorted(x - {None}) for x in own]
             n_hit = hit[at : at + len(counts)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    ids, pa.array(counts.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in names], pa.int64()),
+                    ids, pa.array(counts.astype(np.int64)), pa.array(n_hit), pa.array([len(x) for x in own], pa.int64()),
                     pa.array([hashlib.sha256(",".join(x).encode()).hexdigest() if x else none for x in names], pa.string()),
                     pa.array(n_hit > 0), pa.array([spans.get(r, []) for r in span], _SPANS), pa.array(names, pa.list_(pa.string())),
                 ],
@@ -246,8 +247,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_
     """One row per row of docs: id, counts of words, hit words and items, the items, and the removal spans (in characters).
 
     A window is ``window`` consecutive words of an item; an item of fewer words, but not none, is one window. Null and
-    empty texts have no words and no hits; null or repeated ids are judged row by row; an item without id counts for hits
-    but isn't named; an item of no words, and an empty benchmark, match nothing. Other columns of docs aren't read.
+    empty texts have no words and no hits; null or repeated ids are judged row by row; items without id count for hits and as one item,
+    but aren't named; an item of no words, and an empty benchmark, match nothing. Other columns of docs aren't read.
     ValueError if the benchmark's texts exceed ``max_benchmark_bytes``: split it then and take the union of the spans.
     """
     phrases = _phrases(docs, benchmark, item_col, item_text_col, window, max_benchmark_bytes)

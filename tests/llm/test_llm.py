@@ -164,6 +164,8 @@ def test_decontamination_against_brute_force(spark, monkeypatch):
     text = dict(rows)
     for r in got:
         assert sum(len(words(text[r.doc_id][s.start : s.end])) for s in r.spans) == r.n_hit
+    nameless = decontaminate.scan(docs_frame(spark, [(1, "x " + items[3][1])]), spark.createDataFrame([(None, items[3][1])], "item_id long, text string")).first()
+    assert (nameless.n_items, nameless.items_sha256, nameless.contaminated) == (1, hashlib.sha256(b"").hexdigest(), True)
     assert decontaminate.scan(docs_frame(spark, []), bench).count() == 0
     assert decontaminate.scan(docs_frame(spark, rows), bench.where("false")).where("contaminated").count() == 0
     with pytest.raises(ValueError):
