@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from sparkloom.schema import SHINGLE
 
@@ -22,6 +25,24 @@ def shingles(text: Column, n: int = SHINGLE) -> Column:
     return F.when(F.char_length(text) <= n, short).when(text.rlike(r"[\x{10000}-\x{10FFFF}]"), slow).otherwise(fast)
 
 
+def grams_of(text: str | None) -> np.ndarray:
+    """64-bit hashes of ``shingles`` of a normalised text, ascending; null counts as empty."""
+    cp = np.frombuffer((text or "").encode("utf-32-le", "replace"), np.uint32).astype(np.uint64)
+    size = min(len(cp), SHINGLE)
+    h = np.zeros(len(cp) - size + 1 if size else 0, np.uint64)
+    for k in range(size):
+        h = (h ^ cp[k : k + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return np.unique((h ^ h >> np.uint64(32)).view(np.int64))
+
+
+@F.pandas_udf(T.ArrayType(T.LongType()))
+def gram_hashes(texts: pd.Series) -> pd.Series:
+    """``grams_of`` by numpy, as SQL functions need a regular expression or a substring from the start for each gram."""
+    return pd.Series([grams_of(t) for t in texts], dtype=object)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     common = F.size(F.array_intersect(a, b))
     return F.when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(common / (F.size(a) + F.size(b) - common))
@@ -64,10 +85,17 @@ def md5_bucket(key: Column) -> Column:
 def allowed_path(path: Column) -> Column:
     """Whether a workspace path stays inside and touches no secret file."""
     parts = path.rlike(r"(^|[\\/])\.\.([\\/]|$)") | path.rlike(r"^([\\/]|[A-Za-z]:)")
-    secret = F.lower(path).rlike(r"(^|[\\/])(\.env|\.git|id_rsa|\.ssh)([\\/]|$)|\.(pem|key|p12|pfx)$")
+    secret = F.lower(path).rlike(r"(^|[\\/])(\.env(\.local|\.production|\.development)?|\.git|id_rsa|\.ssh)([\\/]|$)|\.(pem|key|p12|pfx|jks)$")
     return ~(parts | secret)
 
 
-def ulid() -> Column:
-    """A new id with a time prefix; not deterministic."""
-    return F.concat(F.lit("ex_"), F.upper(F.lpad(F.conv(F.unix_millis(F.current_timestamp()), 10, 32), 10, "0")), F.upper(F.substring(F.replace(F.uuid(), F.lit("-"), F.lit("")), 1, 16)))
+# Crockford's digits of base 32.
+CROCKFORD = "0123456789ABCDEFGHJKMNPQRSTVWXYZ"
+
+
+def ulid(prefix: str = "ex_") -> Column:
+    """A new id: 48 bits of milliseconds and 80 random bits in 26 of Crockford's digits; not deterministic."""
+    usual = "0123456789ABCDEFGHIJKLMNOPQRSTUV"  # digits of conv
+    digits = lambda n, size: F.translate(F.lpad(F.conv(n, 10, 32), size, "0"), usual, CROCKFORD)
+    half = lambda: F.floor(F.rand() * F.lit(2.0**40)).cast("long")
+    return F.concat(F.lit(prefix), digits(F.unix_millis(F.current_timestamp()), 10), digits(half(), 8), digits(half(), 8))

@@ -1,15 +1,24 @@
-"""Duplicates, near-duplicates and contamination as exact set-similarity joins."""
+"""Duplicates, near-duplicates and contamination as exact set-similarity joins.
+
+Sets are the character 5-grams of normalised texts. Joins run on 64-bit hashes of grams; what they find is confirmed on
+the grams themselves, or counted on hashes whose chance of a clash is 1e-10 for a million different grams.
+"""
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from sparkloom.functions.text import normalize, shingles
+from sparkloom.functions.text import gram_hashes, grams_of, normalize, shingles
 from sparkloom.schema import EVAL_OVERLAP, NEAR_DUP
 
-#: Text bytes up to which the evaluation side of a contamination join is broadcast; a larger side is joined by shuffle.
-BROADCAST_BYTES = 64 << 20
+#: Grams up to which the evaluation side of a contamination join is broadcast (some 100 bytes each); a larger side is joined by shuffle.
+BROADCAST_GRAMS = 1 << 21
 
 
 def exact_groups(rows: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -34,29 +43,55 @@ def not_existing(rows: DataFrame, existing: DataFrame, key: str) -> DataFrame:
 
 
 def _grams(rows: DataFrame, id_col: str, text_col: str, side: str) -> DataFrame:
-    out = rows.select(F.col(id_col).alias(f"{side}_id"), shingles(normalize(F.col(text_col))).alias("g"))
-    return out.select(f"{side}_id", F.size("g").alias(f"n_{side}"), F.explode("g").alias("gram"))
+    out = rows.select(F.col(id_col).alias(f"{side}_id"), gram_hashes(normalize(F.col(text_col))).alias("g"))
+    return out.select(f"{side}_id", F.size("g").alias(f"n_{side}"), "g")
 
 
-def overlaps(docs: DataFrame, evals: DataFrame, *, doc_id: str = "doc_id", eval_id: str = "item_id", text: str = "text") -> DataFrame:
-    """doc_id, item_id, common, n_doc, n_eval for all pairs that share a gram; the smaller side is broadcast if its size allows."""
-    size = evals.agg(F.coalesce(F.sum(F.octet_length(text)), F.lit(0))).first()[0]
+def overlaps(docs: DataFrame, evals: DataFrame, *, doc_id: str = "doc_id", eval_id: str = "item_id", text: str = "text", jaccard: float = 0.0) -> DataFrame:
+    """doc_id, item_id, common, n_doc, n_eval for all pairs that share a gram and whose sizes allow the Jaccard similarity.
+
+    The evaluation side is broadcast if its size allows: a text has no more grams than characters.
+    """
     right = _grams(evals, eval_id, text, "eval")
-    left = _grams(docs, doc_id, text, "doc").withColumnRenamed("doc_id", "doc_id")
-    joined = left.join(F.broadcast(right) if size <= BROADCAST_BYTES else right, "gram")
+    size = evals.agg(F.coalesce(F.sum(F.char_length(text)), F.lit(0))).first()[0]
+    left = _grams(docs, doc_id, text, "doc")
+    if jaccard:  # a set outside these sizes is similar to no item
+        low, high = right.where("n_eval > 0").agg(F.min("n_eval"), F.max("n_eval")).first()
+        left = left.where(F.col("n_doc").between(F.lit(jaccard * (low or 0)), F.lit((high or 0) / jaccard)))
+    flat = lambda df, side: df.select(f"{side}_id", f"n_{side}", F.explode("g").alias("gram"))
+    right = flat(right, "eval")
+    joined = flat(left, "doc").join(F.broadcast(right) if size <= BROADCAST_GRAMS else right, "gram")
+    if jaccard:
+        joined = joined.where(F.least("n_doc", "n_eval") >= F.lit(jaccard) * F.greatest("n_doc", "n_eval"))
     out = joined.groupBy("doc_id", "eval_id", "n_doc", "n_eval").agg(F.count(F.lit(1)).alias("common"))
     return out.withColumnRenamed("eval_id", "item_id")
 
 
 def contamination(docs: DataFrame, evals: DataFrame, threshold: float = EVAL_OVERLAP, **cols: str) -> DataFrame:
-    """Pairs with Jaccard similarity from ``threshold`` on: doc_id, item_id, common, n_union."""
-    out = overlaps(docs, evals, **cols).withColumn("n_union", F.expr("n_doc + n_eval - common"))
+    """Pairs with Jaccard similarity from ``threshold`` (> 0) on: doc_id, item_id, common, n_union."""
+    out = overlaps(docs, evals, jaccard=threshold, **cols).withColumn("n_union", F.expr("n_doc + n_eval - common"))
     return out.where(F.col("common") >= threshold * F.col("n_union")).select("doc_id", "item_id", "common", "n_union")
 
 
-def containment(docs: DataFrame, evals: DataFrame, threshold: float = 0.9, **cols: str) -> DataFrame:
-    """Pairs where the document holds that share of the item's grams: doc_id, item_id, common, n_eval."""
-    return overlaps(docs, evals, **cols).where(F.col("common") >= threshold * F.col("n_eval")).select("doc_id", "item_id", "common", "n_eval")
+def containment(docs: DataFrame, evals: DataFrame, threshold: float = 0.9, *, doc_id: str = "doc_id", eval_id: str = "item_id", text: str = "text") -> DataFrame:
+    """Pairs where the document holds that share of the item's grams: doc_id, item_id, common, n_eval.
+
+    A document that does holds one of any n - ceil(threshold n) + 1 grams of the item, so the grams that the fewest items
+    have find the candidates, and only these are compared in full.
+    """
+    right, left = _grams(evals, eval_id, text, "eval").where("n_eval > 0"), _grams(docs, doc_id, text, "doc")
+    grams = right.select("eval_id", "n_eval", F.explode("g").alias("gram"))
+    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
+    order = F.sort_array(F.collect_list(F.struct("df", "gram")))
+    least = grams.join(counts, "gram").groupBy("eval_id", "n_eval").agg(order.alias("o"))
+    least = least.select("eval_id", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), (F.col("n_eval") - F.ceil(F.lit(threshold) * F.col("n_eval")) + 1).cast("int")))).alias("x")).select("eval_id", F.col("x.gram").alias("gram"))
+    size = evals.agg(F.coalesce(F.sum(F.char_length(text)), F.lit(0))).first()[0]
+    flat = left.select("doc_id", F.explode("g").alias("gram"))
+    found = flat.join(F.broadcast(least) if size <= BROADCAST_GRAMS else least, "gram").select("doc_id", "eval_id").distinct()
+    sets = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    full = found.join(right.select("eval_id", "n_eval", F.col("g").alias("e")), "eval_id").join(sets.select("doc_id", gram_hashes(normalize(F.col("t"))).alias("g")), "doc_id")
+    out = full.select("doc_id", F.col("eval_id").alias("item_id"), F.size(F.array_intersect("g", "e")).cast("long").alias("common"), "n_eval")
+    return out.where(F.col("common") >= threshold * F.col("n_eval"))
 
 
 def with_first(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -65,22 +100,60 @@ def with_first(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return keyed.join(keyed.groupBy("_text").agg(F.min(id_col).alias("first_id")), "_text").drop("_text")
 
 
-def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR_DUP) -> DataFrame:
-    """Pairs of different normalised texts with Jaccard similarity from ``threshold`` on: first_id, second_id, common, n_union.
+def pigeonhole_keys(grams: np.ndarray, threshold: float) -> list[tuple[int, int, np.ndarray]]:
+    """Class, need and keys of a set of gram hashes (ascending), by class of sizes.
 
-    Equal texts are represented by their smallest id; ``with_first`` names it for every row. Prefix filter: grams are ordered by how few texts have them; two
-    sets that similar share a gram among their first n - ceil(t n) + 1, so only these are joined, with a length filter.
+    Two sets of Jaccard similarity from ``threshold`` on have, in some class, as many keys in common as either needs there.
+    """
+    n, base, out = len(grams), (1 + 1e-9) / threshold, []
+    own = math.floor(math.log(n) / math.log(base)) if n else -1
+    for klass in range(max(0, own - 1), own + 1):
+        apart = math.floor((1 - threshold) / threshold * base ** (klass + 1) + 1e-6)
+        parts = apart + 1 + (apart // 5 + 4 if apart >= 20 else 0)
+        part = grams.view(np.uint64) % np.uint64(parts)
+        order = np.argsort(part, kind="stable")
+        first = np.flatnonzero(np.diff(part[order], prepend=np.uint64(parts)))
+        with np.errstate(over="ignore"):
+            mixed = grams.view(np.uint64)[order] * np.uint64(0x94D049BB133111EB)
+            whole = np.add.reduceat(mixed ^ mixed >> np.uint64(31), first) + part[order][first] * np.uint64(0x9E3779B97F4A7C15) + np.uint64(klass)
+            whole *= np.uint64(0xBF58476D1CE4E5B9)
+        out.append((klass, max(1, len(first) - apart), (whole ^ whole >> np.uint64(32)).view(np.int64)))
+        if len(first) <= apart:
+            out.append((-1, 1, grams[: n - math.ceil(threshold * n) + 1]))
+    return out
+
+
+_KEYED = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("class", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
+
+
+def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR_DUP) -> DataFrame:
+    """Pairs of different normalised texts with Jaccard similarity from ``threshold`` (below 1) on: first_id, second_id, common, n_union.
+
+    Equal texts are represented by their smallest id; ``with_first`` names it for every row. Candidates by the pigeonhole
+    principle: sets of n and more grams that similar differ in at most H = (1 - t) / t n grams. Grams are dealt to some
+    1.2 H parts by hash, so all but H of a set's parts are the same in both; the hash of a whole part (some five grams) is
+    the join key, and a pair must share as many keys. Sizes fall into classes by powers of 1 / t; a set is
+    dealt once as the smaller one and once as the larger one of a pair. A set with no more than H parts that aren't empty
+    (a small one) joins others of that kind by a prefix filter in the order of hashes. Candidates are compared gram by gram.
     """
     texts = rows.select(F.col(id_col).alias("id"), normalize(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    texts = texts.groupBy("text").agg(F.min("id").alias("id")).select("id", shingles(F.col("text")).alias("g")).where("size(g) > 0")
-    grams = texts.select("id", F.size("g").alias("n"), F.explode("g").alias("gram"))
-    counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    ordered = grams.join(counts, "gram").withColumn("k", F.row_number().over(Window.partitionBy("id").orderBy("df", "gram")))
-    prefix = ordered.where((F.col("k") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n")) + 1) & (F.col("df") > 1)).select("id", "n", "gram")
-    a, b = prefix.toDF("first_id", "n_a", "gram"), prefix.toDF("second_id", "n_b", "gram")
+    texts = texts.groupBy("text").agg(F.min("id").alias("id")).where("text <> ''")
+
+    @F.pandas_udf(_KEYED)
+    def keyed(column: pd.Series) -> pd.Series:
+        sets = [grams_of(t) for t in column]
+        return pd.Series([[{"n": len(g), "class": c, "need": need, "keys": k} for c, need, k in pigeonhole_keys(g, threshold)] for g in sets], dtype=object)
+
+    keys = texts.select("id", F.explode(keyed("text")).alias("k")).select("id", "k.n", "k.class", "k.need", F.explode("k.keys").alias("key"))
+    by = Window.partitionBy("class", "key")
+    keys = keys.select("*", F.min("id").over(by).alias("low"), F.max("id").over(by).alias("top")).where("low <> top").select("id", "n", "class", "need", "key")
+    a, b = keys.toDF("first_id", "n_a", "class", "need_a", "key"), keys.toDF("second_id", "n_b", "class", "need_b", "key")
     able = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
-    pairs = a.join(b, "gram").where((F.col("first_id") < F.col("second_id")) & able).select("first_id", "second_id").distinct()
-    full = pairs.join(texts.toDF("first_id", "g_a"), "first_id").join(texts.toDF("second_id", "g_b"), "second_id")
+    pairs = a.join(b, ["class", "key"]).where((F.col("first_id") < F.col("second_id")) & able)
+    pairs = pairs.groupBy("first_id", "second_id", "class").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    pairs = pairs.where("shared >= need").select("first_id", "second_id").distinct()
+    full = pairs.join(texts.toDF("text_a", "first_id"), "first_id").join(texts.toDF("text_b", "second_id"), "second_id")
+    full = full.select("first_id", "second_id", shingles(F.col("text_a")).alias("g_a"), shingles(F.col("text_b")).alias("g_b"))
     common = F.size(F.array_intersect("g_a", "g_b"))
     out = full.select("first_id", "second_id", common.cast("long").alias("common"), (F.size("g_a") + F.size("g_b") - common).cast("long").alias("n_union"))
     return out.where(F.col("common") >= F.lit(threshold) * F.col("n_union"))
