@@ -58,6 +58,30 @@ def tool_calls(text: str | None) -> tuple[list[dict[str, Any]], list[str], str]:
     return calls, issues, rest
 
 
+def response_calls(text: str | None, api_calls: list[Any] | None = None) -> list[dict[str, Any]]:
+    """Name and arguments of the calls of a response: embedded ones, then those given beside the text; arguments that aren't JSON are None."""
+    out = [{"name": c["name"], "arguments": c["arguments"]} for c in tool_calls(text)[0]]
+    for call in api_calls or []:
+        given = call.get("function") if isinstance(call, dict) else None
+        given = given if isinstance(given, dict) else {}
+        arguments = given.get("arguments", {})
+        if isinstance(arguments, str):
+            try:
+                arguments = json.loads(arguments)
+            except ValueError:
+                arguments = None
+        out.append({"name": given.get("name"), "arguments": arguments})
+    if not out:
+        for body in re.findall(r"(?s)<tool_call>\s*(.*?)\s*</tool_call>", text or ""):
+            try:
+                value = json.loads(body)
+            except ValueError:
+                value = {}
+            if isinstance(value, dict):
+                out.append({"name": value.get("name"), "arguments": value.get("arguments")})
+    return out
+
+
 def argument_problems(name: str, arguments: Any) -> list[str]:
     """Why a call doesn't fit the tool registry."""
     if name not in TOOLS:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import json
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions.chat_json import argument_problems, lenient_object, strict_object, tool_calls
+from sparkloom.functions.chat_json import argument_problems, lenient_object, response_calls, strict_object
 from sparkloom.schema import GATES
 
 # Phrases that report a failure, and phrases that claim success; English and Thai.
@@ -19,35 +21,53 @@ CLAIMS = (
     "success", "succeeded", "successfully", "done", "completed", "finished", "it works", "here is the content", "here are the contents",
     "เสร็จแล้ว", "เรียบร้อย", "สำเร็จ", "อ่านไฟล์แล้ว", "เนื้อหาคือ",
 )
+# Words that tie a report to the tool's error, and severities.
+ABOUT_ERROR = ("not found", "permission", "blocked", "syntax", "branch", "error", "failed", "ล้มเหลว", "ไม่พบ")
+SEVERITIES = ("critical", "high", "medium", "low")
+
+
+def _fits(call: dict) -> bool:
+    return isinstance(call["arguments"], dict) and not argument_problems(call["name"], call["arguments"])
 
 
-def tool_syntax(content: str | None, tool: str, args: dict) -> bool:
-    """The first call is the expected one, fits the registry and has the expected arguments."""
-    calls = tool_calls(content)[0]
-    return bool(calls) and calls[0]["name"] == tool and not argument_problems(tool, calls[0]["arguments"]) and all(calls[0]["arguments"].get(k) == v for k, v in args.items())
+def tool_syntax(content: str | None, tool: str, args: dict, api_calls: list | None = None) -> bool:
+    """The first call is the expected one, fits the registry and has the expected arguments. api_calls: calls beside the content."""
+    calls = response_calls(content, api_calls)
+    return bool(calls) and calls[0]["name"] == tool and _fits(calls[0]) and all(calls[0]["arguments"].get(k) == v for k, v in args.items())
 
 
-def anti_loop(content: str | None, tool: str, args: dict, error: str) -> bool:
+def anti_loop(content: str | None, tool: str, args: dict, error: str, api_calls: list | None = None) -> bool:
     """A valid call that differs from the failed one, or a truthful report of the failure."""
-    calls = tool_calls(content)[0]
+    calls = response_calls(content, api_calls)
     if calls:
-        return not argument_problems(calls[0]["name"], calls[0]["arguments"]) and (calls[0]["name"], calls[0]["arguments"]) != (tool, args)
+        return _fits(calls[0]) and (calls[0]["name"], calls[0]["arguments"]) != (tool, args)
     low = (content or "").lower()
-    words = {w for w in error.lower().split() if len(w) > 3}
-    return any(m in low for m in REPORTS) and not any(m in low for m in CLAIMS) and (any(w in low for w in words) or not words or "error" in low)
+    said = lambda marks: any(m in low for m in marks)
+    return bool(low.strip()) and said(REPORTS) and not said(CLAIMS) and (not error or said(ABOUT_ERROR))
+
+
+def _well_formed(issue: dict) -> bool:
+    line, text = issue.get("line"), [issue.get(f) for f in ("file", "type", "fix")]
+    return isinstance(line, int) and not isinstance(line, bool) and line > 0 and all(isinstance(x, str) and x.strip() for x in text) and str(issue.get("severity", "")).lower() in SEVERITIES
 
 
-def security_review(content: str | None, status: str, kind: str | None, line: int | None) -> bool:
-    """Status, and for a rejection the issue's type (equal, prefix or part), its exact line and one well-formed issue."""
+def security_review(content: str | None, status: str, kind: str | None = None, line: int | None = None) -> bool:
+    """Status whatever its case, and for a rejection the issue's type (equal or part), its exact line (0: any) and one well-formed issue."""
     value = strict_object(content)[0]
-    if value is None or value.get("status") != status:
+    if value is None or str(value.get("status", "")).upper() != status.upper():
         return False
-    if status != "REJECT":
+    if status.upper() != "REJECT":
         return True
     issues = [i for i in value.get("issues") or [] if isinstance(i, dict)] if isinstance(value.get("issues"), list) else []
-    typed = kind is None or any(kind in str(i.get("type", "")).lower() for i in issues)
-    placed = line is None or any(i.get("line") == line and not isinstance(i.get("line"), bool) for i in issues)
-    return typed and placed and any(all(i.get(f) not in (None, "") for f in ("type", "line", "severity", "description", "suggestion")) for i in issues)
+    typed = not kind or any(kind.lower() in str(i.get("type", "")).lower() for i in issues)
+    placed = line in (None, 0) or any(i.get("line") == line and not isinstance(i.get("line"), bool) for i in issues)
+    return typed and placed and any(map(_well_formed, issues))
+
+
+def false_positive(content: str | None, status: str = "PASS") -> bool:
+    """A clean change that the review rejects."""
+    value = strict_object(content)[0]
+    return status.upper() == "PASS" and value is not None and str(value.get("status", "")).upper() == "REJECT"
 
 
 def plan_json(content: str | None, fields: list[str], statuses: list[str]) -> bool:
@@ -65,11 +85,39 @@ def valid_json_lenient(content: pd.Series) -> pd.Series:
     return content.map(lambda t: lenient_object(t) is not None)
 
 
-@F.pandas_udf(T.BooleanType())
-def judged(suite: pd.Series, content: pd.Series, expected: pd.Series) -> pd.Series:
-    """Pass or not by the suite's judge; expected: a JSON object of the judge's arguments."""
-    judges = {"tool_syntax": tool_syntax, "anti_loop": anti_loop, "security_vuln": security_review, "security_clean": security_review, "plan_json": plan_json}
-    return pd.Series([judges[s](c, **(strict_object(e)[0] or {})) if s in judges else False for s, c, e in zip(suite, content, expected, strict=True)])
+_JUDGES = {"tool_syntax": tool_syntax, "anti_loop": anti_loop, "security_catch": security_review, "security_vuln": security_review, "plan_json": plan_json}
+
+
+@F.pandas_udf(T.StructType([T.StructField(x, T.BooleanType()) for x in ("passed", "valid_json", "false_positive")]))
+def judgement(suite: pd.Series, content: pd.Series, expected: pd.Series, api_calls: pd.Series) -> pd.DataFrame:
+    """Of each recorded response: whether it passes its suite's judge, is strict JSON, and is a false positive.
+
+    expected: a JSON object of the judge's arguments; api_calls: a JSON list of calls beside the content, or null. The clean
+    suite (security_fp, security_clean) wants the expected status; an unknown suite passes nothing.
+    """
+    out = []
+    for s, c, e, calls in zip(suite, content, expected, api_calls, strict=True):
+        args, value = strict_object(e)[0] or {}, strict_object(c)[0]
+        if s in ("security_fp", "security_clean"):
+            status = str(args.get("status", "PASS"))
+            out.append((value is not None and str(value.get("status", "")).upper() == status.upper(), value is not None, false_positive(c, status)))
+            continue
+        if s in ("tool_syntax", "anti_loop") and calls:
+            args["api_calls"] = json.loads(calls)
+        valid = value is not None and s in ("security_catch", "security_vuln", "plan_json")
+        out.append((s in _JUDGES and bool(_JUDGES[s](c, **args)), valid, False))
+    return pd.DataFrame(out, columns=["passed", "valid_json", "false_positive"])
+
+
+def judged(suite: Column, content: Column, expected: Column) -> Column:
+    """Pass or not by the suite's judge."""
+    return judgement(suite, content, expected, F.lit(None).cast("string"))["passed"]
+
+
+def suite_results(responses: DataFrame) -> DataFrame:
+    """suite, case_id, passed, valid_json, false_positive of each recorded response (suite, case_id, content, expected, api_calls)."""
+    found = responses.select("suite", "case_id", judgement("suite", "content", "expected", "api_calls").alias("j"))
+    return found.select("suite", "case_id", "j.passed", "j.valid_json", "j.false_positive")
 
 
 def wilson(passed: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:
@@ -89,14 +137,30 @@ def suite_summary(results: DataFrame) -> DataFrame:
     return out.select("*", (F.col("passed") / F.col("total")).alias("share"), low.alias("low"), high.alias("high"), (F.col("total") < 30).alias("few_cases"))
 
 
-def gate_values(summary: DataFrame, false_positives: DataFrame | None = None) -> DataFrame:
-    """gate, value in percent: each suite's share, json_validity pooled over the JSON suites, security_fp from (false_positives, total)."""
-    name = F.create_map(*(F.lit(x) for kv in {"security_vuln": "security_catch"}.items() for x in kv))
-    own = summary.where("suite <> 'security_clean'").select(F.coalesce(name[F.col("suite")], F.col("suite")).alias("gate"), (100 * F.col("share")).alias("value"))
-    pooled = summary.where("suite in ('security_vuln', 'security_clean', 'plan_json')").agg((100 * F.sum("valid_json") / F.sum("total")).alias("value")).select(F.lit("json_validity").alias("gate"), "value")
+def false_positives(results: DataFrame) -> DataFrame:
+    """suite, false_positives, total, the rate in percent and its interval (0 to 1) of the clean suites."""
+    out = results.where("suite in ('security_fp', 'security_clean')").groupBy("suite").agg(F.count_if("false_positive").alias("false_positives"), F.count(F.lit(1)).alias("total"))
+    low, high = wilson(F.col("false_positives"), F.col("total"))
+    return out.select("*", (100 * F.col("false_positives") / F.col("total")).alias("rate"), low.alias("low"), high.alias("high"))
+
+
+def gate_values(summary: DataFrame, false_positives: DataFrame | None = None, *, speed: DataFrame | None = None, regression: DataFrame | None = None, end_to_end: DataFrame | None = None) -> DataFrame:
+    """gate, value: each suite's share in percent, json_validity pooled over the JSON suites, security_fp from (false_positives, total).
+
+    speed: (speed_8k); regression: (candidate_passed, candidate_total, base_passed, base_total), the candidate's share of the
+    base's; end_to_end: (candidate, base, previous) success rates, 100 if the candidate is no worse than either.
+    """
+    name = F.when(F.col("suite") == "security_vuln", "security_catch").otherwise(F.col("suite"))
+    own = summary.where("suite not in ('security_clean', 'security_fp')").select(name.alias("gate"), (100 * F.col("share")).alias("value"))
+    pooled = summary.where("suite in ('security_vuln', 'security_catch', 'security_clean', 'security_fp', 'plan_json')").agg((100 * F.sum("valid_json") / F.sum("total")).alias("value")).select(F.lit("json_validity").alias("gate"), "value")
     out = own.unionByName(pooled)
-    if false_positives is not None:
-        out = out.unionByName(false_positives.select(F.lit("security_fp").alias("gate"), (100 * F.col("false_positives") / F.col("total")).alias("value")))
+    ratio = F.expr("100 * try_divide(try_divide(candidate_passed, candidate_total), nullif(try_divide(base_passed, base_total), 0))")
+    for frame, gate, value in (
+        (false_positives, "security_fp", F.expr("100 * try_divide(false_positives, total)")), (speed, "speed_8k", F.col("speed_8k")), (regression, "regression", ratio),
+        (end_to_end, "end_to_end", F.expr("if(candidate is null or base is null or previous is null, null, if(candidate >= base and candidate >= previous, 100, 0))")),
+    ):
+        if frame is not None:
+            out = out.unionByName(frame.select(F.lit(gate).alias("gate"), value.cast("double").alias("value")))
     return out
 
 
@@ -129,12 +193,16 @@ def best_step(metrics: DataFrame) -> DataFrame:
 
 
 def overfits(metrics: DataFrame, patience: int = 3) -> DataFrame:
-    """Whether over the last patience + 1 evaluations eval loss rises every time while train loss falls every time."""
+    """Whether over the last patience + 1 evaluations eval loss rises every time while train loss falls every time.
+
+    metrics: step, train_loss, eval_loss, an entry of either kind or both; the train loss of a step is that of its own entry.
+    """
     from pyspark.sql import Window
 
-    evals = metrics.where("eval_loss is not null").orderBy(F.desc("step")).limit(patience + 1)
+    train = metrics.where("train_loss is not null").groupBy("step").agg(F.first("train_loss").alias("train"))
+    evals = metrics.where("eval_loss is not null").select("step", "eval_loss").orderBy(F.desc("step")).limit(patience + 1).join(train, "step", "left")
     w = Window.orderBy("step")
-    steps = evals.select((F.col("eval_loss") > F.lag("eval_loss").over(w)).alias("up"), (F.col("train_loss") < F.lag("train_loss").over(w)).alias("down")).where("up is not null")
+    steps = evals.select((F.col("eval_loss") > F.lag("eval_loss").over(w)).alias("up"), (F.col("train") < F.lag("train").over(w)).alias("down")).where("up is not null")
     return steps.agg(((F.count(F.lit(1)) == patience) & F.coalesce(F.bool_and(F.col("up") & F.coalesce("down", F.lit(False))), F.lit(False))).alias("overfit"))
 
 

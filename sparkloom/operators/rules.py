@@ -29,7 +29,7 @@ GIVE_UP = (
 )
 PARTIAL = ("rest of the file", "remains unchanged", "remains the same", "unchanged", "same as before", "existing content", "ส่วนที่เหลือ", "เหมือนเดิม", "ไม่เปลี่ยนแปลง", "...")
 DIFF_MARKS = (r"(?m)^\s*@@ .* @@", r"(?m)^\s*\+[^+~]", r"(?m)^\s*-[^-~]", r"<<<<<<< |>>>>>>> |=======\n")
-PLAN_FIELDS, ISSUE_FIELDS = ("status", "target_version", "critique", "final_plan"), ("type", "line", "severity", "description", "suggestion")
+PLAN_FIELDS, ISSUE_FIELDS = ("status", "target_version", "critique", "final_plan"), ("file", "line", "type", "severity", "fix")
 SEVERITIES = ("critical", "high", "medium", "low")
 VERSION = r"^v\d+(\.\d+){1,2}$"
 
@@ -52,7 +52,7 @@ def hunk_lines(diff: str) -> set[int] | None:
         header = re.match(r"@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@", row)
         if header:
             seen, line = True, int(header[1])
-        elif seen and not row.startswith(("+++", "---")) and row[:1] in ("+", " "):
+        elif seen and not row.startswith(("+++", "---")) and row[:1] in ("+", " ", ""):  # an empty line is context
             found.add(line)
             line += 1
     return found if seen else None
@@ -138,22 +138,39 @@ def _review_rules(messages: list[dict[str, str]], add: Any) -> None:
         return
     if not isinstance(issues, list) or not issues:
         add("S3", "err", "REJECT without issues", None)
+    if not isinstance(issues, list):
         return
-    lines = hunk_lines("\n".join(m["content"] or "" for m in messages if m["role"] == "user"))
+    for k, issue in enumerate(issues):
+        for problem in _issue_problems(issue):
+            add("S3", "err", problem, f"issue {k}")
+    lines = hunk_lines("\n".join(m["content"] or "" for m in messages if m["role"] in ("user", "tool")))
     if lines is None:
         add("S4", "err", "no diff hunk", None)
+    if lines is None:
+        return
     for k, issue in enumerate(issues):
-        if not isinstance(issue, dict):
-            add("S3", "err", "issue is not an object", f"issue {k}")
-            continue
-        line = issue.get("line")
-        whole = isinstance(line, int) and not isinstance(line, bool)
-        if any(f not in issue for f in ISSUE_FIELDS) or not whole or issue.get("severity") not in SEVERITIES or any(isinstance(issue.get(f), str) and not issue[f].strip() for f in ISSUE_FIELDS):
-            add("S3", "err", "issue is not well formed", f"issue {k}")
-        if lines is not None and whole and line not in lines:
+        line = issue.get("line") if isinstance(issue, dict) else None
+        if _is_whole(line) and line not in lines:
             add("S4", "err", f"line {line} is not in the diff", f"issue {k}")
 
 
+def _is_whole(value: Any) -> bool:
+    return isinstance(value, int) and not isinstance(value, bool)
+
+
+def _issue_problems(issue: Any) -> list[str]:
+    """Why an issue isn't well formed."""
+    if not isinstance(issue, dict):
+        return ["issue is not an object"]
+    missing = [f for f in ISSUE_FIELDS if f not in issue]
+    if missing:
+        return [f"issue lacks {', '.join(missing)}"]
+    out = [f"{f} is empty" for f in ("file", "type", "fix") if not str(issue[f]).strip()]
+    if not _is_whole(issue["line"]):
+        out.append("line is not an integer")
+    return out + ["unknown severity"] * (str(issue["severity"]).lower() not in SEVERITIES)
+
+
 def category_violations(category: str | None, messages: list[dict[str, str]]) -> list[dict[str, str | None]]:
     """Violations of the rules that read JSON."""
     out: list[dict[str, str | None]] = []
@@ -198,7 +215,7 @@ def structure(messages: Column, tools: Column, tokens: Column | None = None) ->
         where(lambda i: (i > 0) & role(i).isin("user", "assistant") & (role(i) == before(i)), "C1", "same role twice"),
         where(lambda i: (role(i) == "tool") & ~F.coalesce(before(i).isin("assistant", "tool"), F.lit(False)), "C1", "tool turn without a call"),
         F.when(role(F.size(messages) - 1) != "assistant", F.array(_violation("C1", "err", "last turn is not the assistant's"))).otherwise(none),
-        where(lambda i: F.coalesce(F.trim(F.try_element_at(messages, i + 1)["content"]), F.lit("")) == "", "C2", "empty content"),
+        where(lambda i: F.coalesce(F.regexp_replace(F.try_element_at(messages, i + 1)["content"], r"(?U)[\s\x1c-\x1f]+", ""), F.lit("")) == "", "C2", "empty content"),
         F.when(~F.exists(messages, lambda m: m["role"] == "assistant"), F.array(_violation("C3", "err", "no assistant turn"))).otherwise(none),
         where(lambda i: F.size(found_secrets(F.try_element_at(messages, i + 1)["content"])) > 0, "C5", "secret in content"),
         F.when(F.size(found_secrets(F.coalesce(tools, F.lit("")))) > 0, F.array(_violation("C5", "err", "secret in tools"))).otherwise(none),

@@ -74,9 +74,10 @@ def detect_cases(events: DataFrame, rate: float = SUCCESS_RATE, since: str | Non
     name = F.coalesce(F.get_json_object("data", "$.name"), F.get_json_object("data", "$.function.name"))
     bad = (F.col("event") == "tool_call") & (F.coalesce(F.expr("try_parse_json(data)").isNull(), F.lit(True)) | F.coalesce(name, F.lit("")).eqNullSafe(""))
     verdict = F.get_json_object("data", "$.verdict")
-    truth = lambda path: F.coalesce(F.get_json_object("data", path).isin("true", "1"), F.lit(False))
-    flags = rows.withColumn("failed", F.max(((F.col("event") == "outcome") & F.get_json_object("data", "$.success").isin("false", "0")).cast("int")).over(Window.partitionBy("session_id")))
-    flags = flags.withColumn("safe", F.max(((F.col("event") == "override") & truth("$.confirmed_safe")).cast("int")).over(Window.partitionBy("session_id")))
+    # JSON true and false; neither 0 and 1 nor strings
+    is_ = lambda path, value: F.expr(f"coalesce(schema_of_variant(try_variant_get(try_parse_json(data), '{path}', 'variant')) = 'BOOLEAN' and get_json_object(data, '{path}') = '{value}', false)")
+    flags = rows.withColumn("failed", F.max(((F.col("event") == "outcome") & is_("$.success", "false")).cast("int")).over(Window.partitionBy("session_id")))
+    flags = flags.withColumn("safe", F.max(((F.col("event") == "override") & is_("$.confirmed_safe", "true")).cast("int")).over(Window.partitionBy("session_id")))
 
     def once(found: DataFrame, kind: str, signal: str) -> DataFrame:
         return found.groupBy("session_id").agg(F.min_by("model_version", F.struct("ts", "id")).alias("model_version")).select("session_id", "model_version", F.lit(kind).alias("case_type"), F.lit(signal).alias("signal"))

@@ -8,30 +8,43 @@ from pyspark.sql import functions as F
 from sparkloom.schema import VAL_RATIO
 
 
-def group_split(rows: DataFrame, *, id_col: str = "id", stratum: str = "category", group: str = "group_id", ratio: float = VAL_RATIO, seed: int = 42) -> DataFrame:
+def group_split(rows: DataFrame, *, id_col: str = "id", stratum: str = "category", group: str = "group_id", ratio: float = VAL_RATIO, seed: int = 42, spare_last: bool = False) -> DataFrame:
     """Adds split (train or val).
 
     In each stratum the groups (a row without one is its own) are put in the order of a seeded hash and go to val whole
     while val has fewer rows than max(1, round-half-even(n * ratio)); a stratum of one row or one group is all train.
+    spare_last: a stratum's last group in that order never goes to val. The order is summed up within buckets of the hash
+    and then over buckets, so no task sorts all groups of a stratum.
     """
     key = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("__solo__"), F.col(id_col).cast("string")))
     keyed = rows.withColumn("_g", key)
     sizes = keyed.groupBy(stratum, "_g").agg(F.count(F.lit(1)).alias("_n"))
     sizes = sizes.withColumn("_o", F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(stratum), F.col("_g")), 256))
-    by = Window.partitionBy(stratum)
-    before = F.coalesce(F.sum("_n").over(by.orderBy("_o", "_g").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    target = F.greatest(F.lit(1), F.bround(F.sum("_n").over(by) * F.lit(ratio)))
-    val = (F.count(F.lit(1)).over(by) > 1) & (F.sum("_n").over(by) > 1) & (before < target)
+    sizes = sizes.withColumn("_b", F.substring("_o", 1, 3)).withColumn("_s", F.col(stratum))
+    buckets = sizes.groupBy("_s", "_b").agg(F.sum("_n").alias("_rows"), F.count(F.lit(1)).alias("_groups"))
+    by = Window.partitionBy("_s")
+    earlier = by.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = buckets.select(
+        F.col("_s").alias("_t"), F.col("_b").alias("_c"), F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_low"), F.coalesce(F.sum("_groups").over(earlier), F.lit(0)).alias("_at"),
+        F.sum("_rows").over(by).alias("_size"), F.sum("_groups").over(by).alias("_count"),
+    )
+    sizes = sizes.join(buckets, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_b") == F.col("_c")))
+    within = Window.partitionBy("_s", "_b").orderBy("_o", "_g")
+    before = F.col("_low") + F.coalesce(F.sum("_n").over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    target = F.greatest(F.lit(1), F.bround(F.col("_size") * F.lit(ratio)))
+    val = (F.col("_count") > 1) & (F.col("_size") > 1) & (before < target)
+    if spare_last:
+        val = val & (F.col("_at") + F.row_number().over(within) < F.col("_count"))
     sides = sizes.select(stratum, "_g", F.when(val, F.lit("val")).otherwise(F.lit("train")).alias("split"))
     return keyed.join(sides, (keyed["_g"] == sides["_g"]) & keyed[stratum].eqNullSafe(sides[stratum])).drop(sides["_g"]).drop(sides[stratum]).drop("_g")
 
 
 def regression_split(rows: DataFrame, feedback: DataFrame, *, ratio: float = VAL_RATIO, holdout: float = 0.2, seed: int = 42, id_col: str = "id", group: str = "group_id") -> DataFrame:
-    """Originals into train and val (whole groups, not stratified); feedback rows into train and regression, never val."""
+    """Originals into train and val (whole groups, not stratified); feedback rows into train (one group at least) and regression, never val."""
     one = rows.withColumn("_all", F.lit("originals"))
     more = feedback.withColumn("_all", F.lit("feedback"))
     a = group_split(one, id_col=id_col, stratum="_all", group=group, ratio=ratio, seed=seed)
-    b = group_split(more, id_col=id_col, stratum="_all", group=group, ratio=holdout, seed=seed + 1)
+    b = group_split(more, id_col=id_col, stratum="_all", group=group, ratio=holdout, seed=seed + 1, spare_last=True)
     return a.unionByName(b.withColumn("split", F.when(F.col("split") == "val", F.lit("regression")).otherwise(F.col("split")))).drop("_all")
 
 

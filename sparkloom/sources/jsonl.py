@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import content_hash, json_string
@@ -11,28 +11,38 @@ from sparkloom.schema import MESSAGES, STATUSES
 _LINE = f"id string, category string, messages {MESSAGES}, tools string, meta struct<source:string,group:string,status:string>, _corrupt string"
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """file, line (from 1, in its file) and value of all lines. Splits of a file are numbered by themselves and then by the splits before."""
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("k"), "value")
+    blocks = raw.groupBy("file", "block").agg(F.min("k").alias("low"), F.count(F.lit(1)).alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    blocks = blocks.select("file", "block", (before - F.col("low") + 1).alias("shift"))
+    return raw.join(blocks, ["file", "block"]).select("file", (F.col("k") + F.col("shift")).alias("line"), "value")
+
+
 def import_lines(spark: SparkSession, path: str, existing: DataFrame | None = None, default_status: str = "draft") -> tuple[DataFrame, DataFrame]:
-    """Good examples and bad lines (line, error) of line files.
+    """Good examples and bad lines (file, line from 1, error) of line files.
 
     Blank lines are skipped. A line must be a JSON object with messages; meta.status must be a known status or absent. Contents
     that are known already, or stand earlier in the file, are reported as duplicates.
     """
-    lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("line"), "value").where(F.trim("value") != "")
+    lines = numbered_lines(spark, path).where(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", _LINE, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     error = F.when(F.col("r._corrupt").isNotNull() | F.col("r").isNull() | ~F.trim("value").startswith("{"), "not a JSON object").when(F.col("r.messages").isNull(), "no messages")
     error = error.when(F.col("r.meta.status").isNotNull() & ~F.col("r.meta.status").isin(*STATUSES), "unknown status")
     rows = parsed.withColumn("error", error)
     good = rows.where("error is null").select(
-        "line", F.coalesce("r.id", F.concat(F.lit("ex_"), F.sha2("value", 256).substr(1, 26))).alias("id"), "r.category", "r.messages", "r.tools", F.coalesce("r.meta.source", F.lit("manual")).alias("source"),
+        "file", "line", F.coalesce("r.id", F.concat(F.lit("ex_"), F.sha2("value", 256).substr(1, 26))).alias("id"), "r.category", "r.messages", "r.tools", F.coalesce("r.meta.source", F.lit("manual")).alias("source"),
         F.col("r.meta.group").alias("group_id"), F.coalesce("r.meta.status", F.lit(default_status)).alias("status"),
     ).withColumn("content_hash", content_hash(F.col("messages"), F.col("tools")))
-    first = good.groupBy("content_hash").agg(F.min("line").alias("line"))
+    place = F.struct("file", "line")
+    first = good.groupBy("content_hash").agg(F.min(place).alias("p")).select("content_hash", "p.file", "p.line")
     if existing is not None:
         first = first.join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
-    kept = good.join(first, ["content_hash", "line"], "left_semi")
-    again = good.join(first, ["content_hash", "line"], "left_anti").select("line", F.lit("duplicate").alias("error"))
-    bad = rows.where("error is not null").select("line", F.substring("error", 1, 300).alias("error"))
-    return kept.drop("line"), bad.unionByName(again)
+    kept = good.join(first, ["content_hash", "file", "line"], "left_semi")
+    again = good.join(first, ["content_hash", "file", "line"], "left_anti").select("file", "line", F.lit("duplicate").alias("error"))
+    bad = rows.where("error is not null").select("file", "line", F.substring("error", 1, 300).alias("error"))
+    return kept.drop("file", "line"), bad.unionByName(again)
 
 
 def export_lines(examples: DataFrame) -> DataFrame:

@@ -81,6 +81,10 @@ def test_split_invariants(spark):
         if g:
             sides.setdefault((c, g), set()).add(one[i])
     assert all(len(s) == 1 for s in sides.values())
+    few = spark.createDataFrame([("a", "x")] + [(f"b{k}", "y") for k in range(9)], "id string, group_id string")
+    for seed in range(6):
+        got = split.regression_split(few.limit(0), few, seed=seed)
+        assert {r.split for r in got.collect()} == {"train", "regression"}
     whole = split.group_split(df.withColumn("all", F.lit(1).cast("string")), stratum="all")
     assert split.leaking_groups(whole).count() == 0
 
@@ -99,13 +103,14 @@ def test_detectors(spark):
         ("bad", "tool_call", {"name": "", "arguments": "x"}), ("stuck", "tool_call", call), ("stuck", "tool_result", {"error": "no"}), ("stuck", "tool_call", call),
         ("miss", "outcome", {"success": False}), ("miss", "verdict", {"verdict": "PASS"}), ("miss", "verdict", {"verdict": "PASS"}),
         ("strict", "verdict", {"verdict": "REJECT"}), ("strict", "override", {"confirmed_safe": True}), ("off", "undo", {}), ("fine", "tool_result", {"error": None}),
+        ("odd", "outcome", {"success": 0}), ("odd", "outcome", {"success": "false"}), ("odd", "verdict", {"verdict": "PASS"}), ("odd", "verdict", {"verdict": "REJECT"}), ("odd", "override", {"confirmed_safe": "true"}),
     ])
     got = sorted((r.session_id, r.case_type, r.priority) for r in sessions.detect_cases(log, rate=1.0).collect())
     assert got == sorted([
         ("breaker", "loop", 4), ("repeat", "loop", 4), ("bad", "syntax", 3), ("stuck", "loop", 4), ("stuck", "loop", 4), ("miss", "false_negative", 5), ("miss", "false_negative", 5),
-        ("strict", "false_positive", 3), ("off", "cancel", 2), ("fine", "success", 1),
+        ("strict", "false_positive", 3), ("off", "cancel", 2), ("fine", "success", 1), ("odd", "success", 1),
     ])
-    assert sessions.reliability(log).first().sessions == 8
+    assert sessions.reliability(log).first().sessions == 9
 
 
 def test_recoveries_against_loop(spark):
@@ -125,7 +130,7 @@ def _call(name, **args):
 
 
 DIFF = "@@ -1,3 +1,4 @@\n a\n+b\n c\n d\n"
-ISSUE = {"type": "sql_injection", "line": 2, "severity": "high", "description": "d", "suggestion": "s"}
+ISSUE = {"file": "a.py", "line": 2, "type": "sql_injection", "severity": "High", "fix": "bind it"}
 
 
 def _review(status, issues):
@@ -150,12 +155,17 @@ U = {"role": "user", "content": "do it"}
         ("plan", [U, {"role": "assistant", "content": '{"status": "MAYBE", "target_version": "1"}'}], {"P2", "P3", "P4"}),
         ("sec", _review("REJECT", [ISSUE]), set()),
         ("sec", _review("REJECT", [ISSUE | {"line": 9}]), {"S4"}),
+        ("sec", _review("REJECT", [{k: v for k, v in ISSUE.items() if k != "fix"}]), {"S3"}),
+        ("sec", _review("REJECT", [ISSUE | {"severity": "grave"}, "x"]), {"S3"}),
+        ("sec", [U, {"role": "tool", "content": DIFF}, _review("REJECT", [ISSUE])[1]], set()),
+        ("sec", [U, _review("REJECT", [])[1]], {"S3", "S4"}),
         ("sec", _review("REJECT", [ISSUE | {"line": True}]), {"S3"}),
         ("sec", _review("PASS", [ISSUE]), {"S5"}),
         ("sec", _review("HM", []), {"S2"}),
     ],
 )
 def test_category_rules(category, messages, codes):
+    assert rules.hunk_lines("@@ -1 +1,3 @@\n a\n\n+b\n-c\n") == {1, 2, 3} and rules.hunk_lines("a\n+b") is None
     assert {v["code"] for v in rules.category_violations(category, messages)} == codes
 
 
@@ -207,6 +217,7 @@ def test_lines_round_trip(spark, tmp_path):
     (tmp_path / "out" / "more.txt").write_text('\nnot json\n{"messages": null}\n{"messages": [], "meta": {"status": "odd"}}\n')
     good, bad = jsonl.import_lines(spark, str(tmp_path / "out"))
     assert {(r.id, r.group_id, len(r.messages)) for r in good.collect()} == {(r.id, r.group_id, len(r.messages)) for r in rows.collect()}
+    assert sorted(r.line for r in bad.collect()) == [2, 3, 4]
     assert sorted(r.error for r in bad.collect()) == ["no messages", "not a JSON object", "unknown status"]
     again, dup = jsonl.import_lines(spark, str(tmp_path / "out"), existing=good)
     assert again.count() == 0 and dup.where("error = 'duplicate'").count() == rows.count()
@@ -214,6 +225,20 @@ def test_lines_round_trip(spark, tmp_path):
 
 def test_judges_and_gates(spark):
     assert evaluation.tool_syntax(_call("read_file", path="a"), "read_file", {"path": "a"}) and not evaluation.tool_syntax("x", "read_file", {})
+    api = [{"function": {"name": "read_file", "arguments": '{"path": "a"}'}}]
+    assert evaluation.tool_syntax("", "read_file", {"path": "a"}, api) and not evaluation.tool_syntax("", "read_file", {}, [{"function": {"name": "read_file", "arguments": "{"}}])
+    assert evaluation.anti_loop("I cannot continue: permission is missing", "read_file", {}, "boom xyzzy") and evaluation.anti_loop("unable to go on", "read_file", {}, "")
+    assert not evaluation.anti_loop("unable to go on", "read_file", {}, "boom") and not evaluation.anti_loop("", "read_file", {"path": "a"}, "e", api)
+    review = _review("reject", [ISSUE])[1]["content"]
+    assert evaluation.security_review(review, "REJECT", "SQL", 0) and not evaluation.security_review(_review("REJECT", [ISSUE | {"line": 0}])[1]["content"], "REJECT")
+    assert evaluation.false_positive(review) and not evaluation.false_positive("x")
+    recorded = [("security_fp", "a", review, "{}", None), ("security_fp", "b", '{"status": "pass"}', "{}", None), ("security_fp", "c", "x", "{}", None), ("tool_syntax", "d", "", '{"tool": "read_file", "args": {"path": "a"}}', json.dumps(api))]
+    rows = evaluation.suite_results(spark.createDataFrame(recorded, "suite string, case_id string, content string, expected string, api_calls string"))
+    assert [(r.case_id, r.passed, r.valid_json, r.false_positive) for r in rows.orderBy("case_id").collect()] == [("a", False, True, True), ("b", True, True, False), ("c", False, False, False), ("d", True, False, False)]
+    fp = evaluation.false_positives(rows)
+    more = {"speed": spark.sql("select 31.0D as speed_8k"), "regression": spark.sql("select 97 as candidate_passed, 100 as candidate_total, 100 as base_passed, 100 as base_total"), "end_to_end": spark.sql("select 0.9D as candidate, 0.9D as base, 0.95D as previous")}
+    values = {r.gate: r.value for r in evaluation.gate_values(evaluation.suite_summary(rows), fp, **more).collect()}
+    assert round(values["security_fp"], 9) == round(100 / 3, 9) and values["tool_syntax"] == 100 and values["regression"] == 97 and values["end_to_end"] == 0 and values["speed_8k"] == 31 and "security_clean" not in values
     assert evaluation.anti_loop("I cannot read it, error remains", "read_file", {"path": "a"}, "error: gone") and not evaluation.anti_loop("error but done", "read_file", {}, "error")
     assert evaluation.security_review(_review("REJECT", [ISSUE])[1]["content"], "REJECT", "sql", 2) and not evaluation.security_review("{}", "PASS", None, None)
     assert evaluation.plan_json('{"status": "approved", "a": 1}', ["a"], ["APPROVED"])
@@ -229,6 +254,8 @@ def test_judges_and_gates(spark):
 def test_training_metrics(spark):
     m = spark.createDataFrame([(k, 5.0 - k, abs(k - 2) + 1.0) for k in range(6)], "step int, train_loss double, eval_loss double")
     assert evaluation.best_step(m).first() == (1.0, 2) and evaluation.overfits(m).first()[0] and not evaluation.overfits(m.limit(2)).first()[0]
+    apart = m.select("step", "train_loss", F.lit(None).cast("double").alias("eval_loss")).unionByName(m.select("step", F.lit(None).cast("double").alias("train_loss"), "eval_loss"))
+    assert evaluation.overfits(apart).first()[0]
     b = spark.createDataFrame([("a", 1, 4.0), ("a", 2, 9.0), ("a", 3, 5.0)], "k string, i int, c double")
     assert evaluation.budget_accepted(b, "k", "i", "c", 10.0).first().accepted == [1, 3]
 
@@ -255,3 +282,30 @@ def test_stream_redacts(spark, tmp_path):
     query.awaitTermination()
     row = spark.read.schema(ACTIVITY + ", redaction_count int").parquet(str(tmp_path / "out")).first()
     assert row.data == "mail [REDACTED_EMAIL]" and row.redaction_count == 1
+
+
+def test_paths_and_new_ids(spark):
+    paths = {"a/b.py": True, "../x": False, ".env": False, "c/.env.local": False, ".env.production": False, "k.jks": False, "k.pem": False, "env.py": True}
+    rows = spark.createDataFrame([(p,) for p in paths], "p string").select("p", text.allowed_path(F.col("p")).alias("ok"), text.ulid().alias("u")).collect()
+    assert {r.p: r.ok for r in rows} == paths
+    assert all(re.fullmatch(r"ex_[0-9A-HJKMNP-TV-Z]{26}", r.u) for r in rows) and len({r.u for r in rows}) == len(rows)
+
+
+def test_blank_content_of_any_kind(spark):
+    rows = spark.createDataFrame([([{"role": "user", "content": c}, {"role": "assistant", "content": "x"}],) for c in ("\n", "\t \u00a0", "", "y")], "m array<struct<role:string,content:string>>")
+    found = rows.select(rules.structure(F.col("m"), F.lit(None).cast("string")).alias("v")).collect()
+    assert [any(v.code == "C2" for v in r.v) for r in found] == [True, True, True, False]
+
+
+def test_pigeonhole_keys_find_every_similar_pair():
+    import numpy as np
+
+    rng = random.Random(11)
+    for threshold in (0.5, 0.6, 0.85):
+        for size in (1, 2, 3, 7, 20, 60, 400):
+            for _ in range(12):
+                a = {rng.getrandbits(62) for _ in range(size)}
+                b = set(rng.sample(sorted(a), rng.randint(max(1, size - size // 4), size))) | {rng.getrandbits(62) for _ in range(rng.randint(0, size // 5))}
+                if len(a & b) >= threshold * len(a | b):
+                    x, y = ({c: (need, set(k.tolist())) for c, need, k in similarity.pigeonhole_keys(np.array(sorted(s), np.int64), threshold)} for s in (a, b))
+                    assert any(len(x[c][1] & y[c][1]) >= max(x[c][0], y[c][0]) for c in x.keys() & y.keys())
