@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.functions import chat_json, secrets, text, tokens
-from sparkloom.operators import dataset, evaluation, rules, sessions, similarity, split, workflow
+from sparkloom.operators import dataset, evaluation, listing, rules, sessions, similarity, split, workflow
 from sparkloom.schema import ACTIVITY, EXAMPLES
 from sparkloom.sources import jsonl
 from sparkloom.streaming import events as stream
@@ -309,3 +309,20 @@ def test_pigeonhole_keys_find_every_similar_pair():
                 if len(a & b) >= threshold * len(a | b):
                     x, y = ({c: (need, set(k.tolist())) for c, need, k in similarity.pigeonhole_keys(np.array(sorted(s), np.int64), threshold)} for s in (a, b))
                     assert any(len(x[c][1] & y[c][1]) >= max(x[c][0], y[c][0]) for c in x.keys() & y.keys())
+
+
+def test_listing_and_dashboards(spark):
+    cases = spark.sql("""select * from values ('a', 'pending', 'loop', timestamp'2024-01-01 00:00:00'), ('b', 'pending', 'loop', timestamp'2024-01-01 03:00:00'), ('c', 'merged', 'sec', timestamp'2024-01-01 00:00:00'),
+        ('d', 'rejected', 'sec', null), ('e', 'approved', null, null) as t(case_id, status, case_type, created_at)""")
+    assert listing.queue_metrics(cases, F.expr("timestamp'2024-01-01 04:00:00'")).first() == (5, 2, 1, 1, 2.5)
+    assert listing.queue_metrics(cases.limit(0), F.current_timestamp()).first() == (0, 0, 0, 0, 0.0)
+    assert [tuple(r) for r in listing.case_types(cases).collect()] == [("loop", 2), ("sec", 2), (None, 1)]
+    some = listing.matching(cases, {"status": "pending", "case_type": None}, "LO_P", ("case_id", "case_type"))
+    assert listing.total(some).first().total == 2 and [r.case_id for r in listing.page(some, [F.desc("created_at"), F.col("case_id")], limit=1, offset=1).collect()] == ["a"]
+    cost = spark.sql("select * from values ('gpt-4o', 1000000, 0), ('x', 0, 1000000) as t(m, p, c)").select(listing.estimated_cost(F.col("m"), F.col("p"), F.col("c")).alias("c"))
+    assert [r.c for r in cost.collect()] == [2.5, 3.0]
+    assert listing.nearest_checkpoint(spark.sql("select * from values (10, 'x'), (20, 'y') as t(step, path)"), 15).first().path == "x"
+    found = spark.sql("select * from values ('a', 'C1', 'err'), ('a', 'C1', 'err'), ('b', 'T5', 'warn') as t(id, code, level)")
+    assert sorted(map(tuple, listing.code_counts(found).collect())) == [("err", "C1", 2), ("warn", "T5", 1)]
+    examples = spark.sql("select * from values ('a', 'plan'), ('b', 'plan') as t(id, category)")
+    assert listing.outcome_counts(examples, rules.report(examples, found)).first() == ("plan", 1, 1)
