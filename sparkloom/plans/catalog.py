@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, redaction_count
 from sparkloom.functions.text import content_hash, md5_bucket, normalize
 from sparkloom.functions.tokens import rendered, token_count
-from sparkloom.operators import evaluation, rules, sessions, similarity, split
+from sparkloom.operators import evaluation, listing, rules, sessions, similarity, split
 from sparkloom.schema import TOKEN_EDGES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -269,8 +269,30 @@ def wilson_by_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query("select doc_id, lang, source from documents where text ilike '%license%' and lang = 'en' order by n_chars desc, doc_id limit 20")
 def list_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
     """B1: filtered listing, one page."""
-    docs = _table(spark, sf_dir, "documents").where(F.col("text").ilike("%license%") & (F.col("lang") == "en"))
-    return docs.orderBy(F.desc("n_chars"), "doc_id").limit(20).select("doc_id", "lang", "source")
+    docs = listing.matching(_table(spark, sf_dir, "documents"), {"lang": "en"}, "license", ("text",))
+    return listing.page(docs, [F.desc("n_chars"), F.col("doc_id")], limit=20).select("doc_id", "lang", "source")
+
+
+@_query("select count(*) as total from documents where text ilike '%license%' and lang = 'en'")
+def list_examples_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B1: how many rows all pages of list_examples hold."""
+    return listing.total(listing.matching(_table(spark, sf_dir, "documents"), {"lang": "en"}, "license", ("text",)))
+
+
+@_query("""
+select case when quality = 1 then 'approved' when toxic = 1 then 'rejected' else 'pending' end as case_type, count(*) as n from labels group by 1""")
+def case_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cases by type, the most frequent first; labels stand for cases."""
+    kind = F.expr("case when quality = 1 then 'approved' when toxic = 1 then 'rejected' else 'pending' end")
+    return listing.case_types(_table(spark, sf_dir, "labels").select(kind.alias("case_type")))
+
+
+@_query("select lang, sum(n_chars * case lang when 'en' then 2.5 when 'de' then 0.15 else 1.0 end + 10 * case lang when 'en' then 10.0 when 'de' then 0.6 else 3.0 end)::double / 1000000 as dollars from documents group by 1")
+def estimated_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dollars by language, where a language stands for a model and texts for prompts of ten answer tokens."""
+    model = F.expr("case lang when 'en' then 'gpt-4o' when 'de' then 'gpt-4o-mini' else lang end")
+    rows = _table(spark, sf_dir, "documents").select("lang", (1_000_000 * listing.estimated_cost(model, F.col("n_chars"), F.lit(10))).cast("decimal(20,4)").alias("c"))
+    return rows.groupBy("lang").agg((F.sum("c").cast("double") / 1_000_000).alias("dollars"))
 
 
 @_query("select event_id, ts::varchar as ts from (select * from events where event_type = 'error' and user_id % 3 = 1 order by ts desc, event_id desc limit 50)")
