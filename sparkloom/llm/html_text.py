@@ -153,7 +153,7 @@ def _hashed(key: str, dim: int) -> tuple[int, float]:
 @lru_cache(maxsize=20_000)
 def _path_vector(path: tuple[str, ...]) -> np.ndarray:
     v = np.zeros(PATH_DIM)
-    for depth, entry in enumerate(reversed(path[-12:])):
+    for depth, entry in enumerate(reversed(path)):
         for k, part in enumerate(entry.split(".")):
             for key in (f"c:{part}" if k else f"t:{part}", *((f"0:{part}",) if depth == 0 else ())):
                 at, sign = _hashed(key, PATH_DIM)
@@ -165,7 +165,7 @@ def vectors(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), PATH_DIM + WORD_DIM + NUMBERS))
     for k, b in enumerate(found):
         out[k, :PATH_DIM] = _path_vector(b.path)
-        words = b.text[:400].lower().split()[:40]
+        words = b.text.lower().split()
         for w in words:
             at, sign = _hashed(w.strip(".,;:!?"), WORD_DIM)
             out[k, PATH_DIM + at] += sign / (len(words) + 3)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import collections
 import hashlib
+import html
 import itertools
 import json
 import math
@@ -14,12 +15,14 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sparkloom.llm import components, decontaminate, html_text, license_scan, minhash, preference, segment, token_output, toxicity, url_filter, vectors
 from sparkloom.llm import words as W
 
+SMALL = "/root/testdata/sf0.001"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 ODD = [(900, None), (901, ""), (902, "..."), (None, "a null id"), (903, "x" * 5000 + " é漢字😀 <b>&amp;"), (904, "tie"), (904, "tie")]
 
@@ -385,6 +388,29 @@ def test_html_pages(spark):
     assert by[2].text == by[3].text == "" and len(got) == 6
 
 
+def test_html_pages_equal_their_articles():
+    """The pages of the smallest test tables, against the text between their article tags without what is nested there."""
+    pages = pq.read_table(SMALL + "/pages.parquet")["html"].to_pylist()
+    got = html_text.texts(html_text.trained(), pages)
+    for page, text in zip(pages, got, strict=True):
+        body = re.search(r"<article\b[^>]*>(.*?)</article>", page, re.DOTALL)[1]
+        body = re.sub(r"<(nav|aside|form|script|style|header|footer)\b.*?</\1>|<div class=\"(?:ad|share|notice|comments).*?</div>", " ", body, flags=re.DOTALL)
+        want = html.unescape(re.sub(r"<[^>]+>", " ", body))
+        assert text.split() == want.split()
+        assert "".join(text.split(" ")) == "".join(text.split()) and text == text.strip()
+
+
+def test_html_labeller_reads_whole_blocks_and_paths():
+    block = lambda path, text: html_text.vectors([html_text.Block(path, text, 0)])[0]
+    words = " ".join(f"w{k}" for k in range(500))
+    kept = slice(html_text.PATH_DIM, html_text.PATH_DIM + html_text.WORD_DIM)
+    assert (block(("p",), words + " other")[kept] != block(("p",), words + " words")[kept]).any()
+    deep = ("table", "tbody", "tr", "td") * 5
+    assert (block(("footer", *deep), "x")[: html_text.PATH_DIM] != block(("article", *deep), "x")[: html_text.PATH_DIM]).any()
+    [text] = html_text.texts(html_text.trained(), ["<article><h1>Title</h1><p>" + "Long words here. " * 100_000 + "</p></article><div class=footer>" + "<div>" * 2000 + "&copy; site" + "</div>" * 2000 + "</div>"])
+    assert text.startswith("Title Long words") and len(text) == 6 + 17 * 100_000 - 1
+
+
 def test_html_hidden_elements_end_where_they_should():
     found = lambda page: [b.text for b in html_text.blocks(page)]
     text = ["Kept one.", "Kept two."]
