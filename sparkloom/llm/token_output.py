@@ -14,6 +14,7 @@ behind a leading 0 byte when one is over 65,535. The dictionary lies beside the
 from __future__ import annotations
 
 import hashlib
+import json
 import re
 import struct
 import uuid
@@ -36,23 +37,50 @@ from sparkloom.llm.words import chunks
 MAGIC = b"SLTK1"
 END_ID = 1
 LEVEL = 3
-#: The dictionary is trained on the id arrays of so many documents at most, the first by a hash of the id, each cut to so many ids.
-TRAIN_ROWS, TRAIN_IDS, DICT_BYTES = 1000, 4096, 112_640
+#: The dictionary is trained on so many documents at most, the first by a hash of the id; of a longer one a window of so
+#: many characters at a place drawn by the hash is taken. Their id arrays are cut into samples of so many ids.
+TRAIN_ROWS, TRAIN_CHARS, TRAIN_IDS, DICT_BYTES = 1000, 32_768, 1024, 112_640
+#: zstandard trains on so many samples at least; where the table gives fewer, their ids themselves are the dictionary.
+TRAIN_SAMPLES = 20
+#: A shard holds about so many ids, or fewer where that gives less than spark.sql.shuffle.partitions shards.
+SHARD_IDS = 1 << 26
 #: Chunks whose ids a Python worker remembers.
 MEMO = 1_500_000
 #: Ends a chunk in a joined text; a chunk that has it is encoded alone.
 _MARK = "\x01"
+#: Fixed value: the split pattern of tokenizer files whose texts may be cut.
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 # Letters up to blank or a closing mark, closing marks up to blank, or anything up to blank: the tokenizer never joins across these.
 _CHUNK = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[ \t\n\r.,;:!?]|\Z)|[.,;:!?]+(?=[ \t\n\r]|\Z)|[^ \t\n\r]+")
 
 
+def cuttable(path: str) -> bool:
+    """Whether the tokenizer file splits texts as _CHUNK takes for granted: white space goes, and letters, digits and marks never join across it."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    normal, pre = spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    kinds = [(x.get("type"), (x.get("pattern") or {}).get("Regex"), x.get("content")) for x in normal.get("normalizers", [])]
+    parts = pre.get("pretokenizers", [])
+    split = parts[0] if parts else {}
+    return (
+        kinds == [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+        and [x.get("type") for x in parts] == ["Split", "ByteLevel"]
+        and (split.get("pattern"), split.get("behavior"), split.get("invert")) == ({"Regex": SPLIT}, "Removed", True)
+        and (parts[1].get("add_prefix_space"), parts[1].get("use_regex")) == (False, False)
+        and not spec["model"].get("dropout")
+    )
+
+
 class Encoder:
-    """Ids of whole texts by the tokenizers library; each different chunk of a text is encoded once and remembered."""
+    """Ids of whole texts by the tokenizers library.
+
+    Where the tokenizer's file allows it, each different chunk of a text is encoded once and remembered; else texts go whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
+        self.tokenizer, self.cuttable = Tokenizer.from_file(path), cuttable(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         mark = self.tokenizer.encode(_MARK, add_special_tokens=False).ids
         self.mark = mark[0] if len(mark) == 1 else None
@@ -61,7 +89,7 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Little-endian ids, 2 bytes each (4 if the vocabulary is larger)."""
-        cut = [None if any(s in t for s in self.special) else _CHUNK.findall(t) for t in texts]
+        cut = [None if not self.cuttable or any(s in t for s in self.special) else _CHUNK.findall(t) for t in texts]
         new = set().union(*(c for c in cut if c)).difference(self.memo)
         if len(self.memo) + len(new) > MEMO:
             self.memo.clear()
@@ -109,32 +137,36 @@ def unpack(data: bytes) -> np.ndarray:
 
 
 def train(docs: DataFrame, tokenizer_path: str, end_id: int, id_col: str, text_col: str) -> bytes:
-    """The shared dictionary; empty where the sample is too small to train one."""
-    rows = docs.select(F.xxhash64(id_col).alias("h"), F.substring(text_col, 1, 8 * TRAIN_IDS).alias("t")).orderBy("h", "t").limit(TRAIN_ROWS)
+    """The shared dictionary; never empty, but for an empty table.
+
+    Trained on samples of serialized ids. Of few or tiny samples nothing can be trained: then the samples, one after another,
+    are a dictionary of raw content.
+    """
+    h, spare = F.xxhash64(id_col), F.greatest(F.length(text_col) - TRAIN_CHARS, F.lit(0))
+    at = (F.pmod(F.xxhash64(F.lit("window"), id_col), spare + 1) + 1).cast("int")
+    rows = docs.select(h.alias("h"), F.col(text_col).substr(F.coalesce(at, F.lit(1)), F.lit(TRAIN_CHARS)).alias("t")).orderBy("h", "t").limit(TRAIN_ROWS)
     enc = encoder(tokenizer_path)
-    texts = [r.t or "" for r in rows.toLocalIterator()]
-    samples = [pack(x, enc.small, end_id)[1][: 2 * TRAIN_IDS] for x in enc.encode(texts)]
-    samples = [x for x in samples if len(x) > 16]
-    size = min(DICT_BYTES, sum(map(len, samples)) // 20)
-    if len(samples) < 20 or size < 1024:
-        return b""
-    try:
-        return zstandard.train_dictionary(size, samples, level=LEVEL, threads=0).as_bytes()
-    except zstandard.ZstdError:
-        return b""
+    whole = [pack(x, enc.small, end_id)[1] for x in enc.encode([r.t or "" for r in rows.toLocalIterator()])]
+    samples = [x[k : k + 2 * TRAIN_IDS] for x in whole for k in range(0, len(x), 2 * TRAIN_IDS)]
+    useful = [x for x in samples if len(x) > 16]
+    size = min(DICT_BYTES, sum(map(len, useful)) // 20)
+    if len(useful) < TRAIN_SAMPLES or size < 1024:
+        return b"".join(samples)[-DICT_BYTES:]
+    return zstandard.train_dictionary(size, useful, level=LEVEL, threads=0).as_bytes()
 
 
 def _dictionary(data: bytes) -> zstandard.ZstdCompressionDict | None:
-    return zstandard.ZstdCompressionDict(data) if data else None
+    return zstandard.ZstdCompressionDict(data) if data else None  # raw content if it doesn't begin with the dictionary magic
 
 
 def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text",
           partitions: int | None = None) -> DataFrame:
     """Encodes every whole text and writes shards below ``path`` in ascending id order; returns one row per shard, in order.
 
-    Null texts count as empty (one id, the end). Ids are integers; null ids come first, repeated ids stand side by side in
-    the order of their ids' bytes. An empty table writes no shard. Other columns aren't read. A shard appears under its
-    final name only when whole, so a task that is run again does no harm.
+    Null texts count as empty (one id, the end). Ids are integers; null ids come first, repeated ids stand side by side by
+    length and a hash of their ids, and may span shards. An empty table writes no shard. Other columns aren't read. A shard
+    appears under its final name only when whole, so a task that is run again does no harm. ``partitions`` shards are
+    written, by default as many as the number of ids asks for.
     """
     spark = docs.sparkSession
     dictionary = train(docs, tokenizer_path, end_id, id_col, text_col)
@@ -153,19 +185,23 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = END_
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array([n for n, _ in packed], pa.int64()), frames], ["id", "n", "frame"])
 
     frames = kept(rows.mapInArrow(encode, "id long, n long, frame binary"), "frames")  # the range sort reads them twice
-    n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = frames.repartitionByRange(n, "id").sortWithinPartitions("id", "n", "frame")
+    n = partitions
+    if not n:
+        ids = frames.agg(F.sum("n")).first()[0] or 0
+        n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-ids // SHARD_IDS))
+    # a hash after the id splits a hot id, null among them, over ranges
+    ordered = frames.withColumn("h", F.xxhash64("frame")).repartitionByRange(n, "id", "n", "h").sortWithinPartitions("id", "n", "h", "frame")
     digest = hashlib.sha256(dictionary).digest()
 
     def shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        name = temp = out = None
+        name = temp = out = tie = None
         ids, counts, sizes = [], [], []
         fs, base = pafs.FileSystem.from_uri(path)
         for batch in batches:
             if not batch.num_rows:
                 continue
             if out is None:
-                first = batch.column("id")[0].as_py()
+                first, tie = batch.column("id")[0].as_py(), batch.column("h")[0].as_py()
                 name = f"{base}/shard-{'null' if first is None else f'{first + (1 << 63):020d}'}-{uuid.uuid4().hex}"
                 temp, out = name + ".part", fs.open_output_stream(name + ".part")
                 out.write(MAGIC + digest + struct.pack("<QQ", 0, 0))
@@ -185,15 +221,15 @@ def write(docs: DataFrame, path: str, tokenizer_path: str, *, end_id: int = END_
         fs.move(temp, name + ".sltk")
         low, high = key[0].as_py(), key[-1].as_py()
         yield pa.RecordBatch.from_pydict(
-            {"path": [name + ".sltk"], "low": [low], "high": [high], "docs": [len(count)], "ids": [int(count.sum())]},
-            schema=pa.schema([("path", pa.string()), ("low", pa.int64()), ("high", pa.int64()), ("docs", pa.int64()), ("ids", pa.int64())]),
+            {"path": [name + ".sltk"], "low": [low], "high": [high], "docs": [len(count)], "ids": [int(count.sum())], "n": [int(count[0])], "h": [tie]},
+            schema=pa.schema([("path", pa.string()), *((x, pa.int64()) for x in ("low", "high", "docs", "ids", "n", "h"))]),
         )
 
-    shards = ordered.mapInArrow(shard, "path string, low long, high long, docs long, ids long")
-    found = sorted(shards.collect(), key=lambda r: (r.low is not None, r.low or 0, r.high or 0))  # one row per shard
+    shards = ordered.mapInArrow(shard, "path string, low long, high long, docs long, ids long, n long, h long")
+    found = sorted(shards.collect(), key=lambda r: (r.low is not None, r.low or 0, r.n, r.h))  # one row per shard
     starts = accumulate((r.ids for r in found), initial=0)
     schema = T.StructType([T.StructField(x, T.StringType() if x == "path" else T.LongType()) for x in ("path", "low", "high", "docs", "ids", "start")])
-    return spark.createDataFrame([(*r, s) for r, s in zip(found, starts, strict=False)], schema)
+    return spark.createDataFrame([(r.path, r.low, r.high, r.docs, r.ids, s) for r, s in zip(found, starts, strict=False)], schema)
 
 
 class Shard:

@@ -250,6 +250,40 @@ def test_token_files(spark, tokenizers, tmp_path):
     assert token_output.unpack(token_output.pack(b"\x01\x00", True, 70_000)[1]).tolist() == [1, 70_000]
 
 
+def test_token_files_split_hot_ids(spark, tokenizers, tmp_path):
+    path, rng = tokenizers.path("word_bpe_49k.json"), random.Random(8)
+    rows = [(rng.choice([None, None, 5, k]), prose(rng, rng.randrange(9))) for k in range(400)]
+    folder = "file://" + str(tmp_path / "out")
+    shards = token_output.write(docs_frame(spark, rows), folder, path, partitions=8)
+    found = shards.collect()
+    assert sum(r.low is None and r.high is None for r in found) >= 2 and sum(r.docs for r in found) == 400
+    got = token_output.read(shards, folder, with_ids=True).orderBy("start").collect()
+    keys = [(r.doc_id is not None, r.doc_id or 0, r.n_tokens) for r in got]
+    assert keys == sorted(keys)
+    encode = token_output.encoder(path).tokenizer.encode
+    want = collections.Counter((i, *encode(t, add_special_tokens=False).ids, 1) for i, t in rows)
+    assert collections.Counter((r.doc_id, *r.ids) for r in got) == want
+    assert [r.start for r in got] == [0, *itertools.accumulate(r.n_tokens for r in got)][:-1]
+
+
+def test_token_dictionary_at_every_size(spark, tokenizers):
+    path, rng = tokenizers.path("word_bpe_49k.json"), random.Random(9)
+    for rows, magic in (([], False), ([(1, None)], False), ([(1, "a b")], False), ([(k, prose(rng, 300)) for k in range(60)], True), ([(1, prose(rng, 20_000))], False), ([(k, "the same words again " * 150) for k in range(60)], True)):
+        data = token_output.train(docs_frame(spark, rows), path, 1, "doc_id", "text")
+        assert bool(data) == bool(rows) and data.startswith(b"\x37\xa4\x30\xec") == magic
+
+
+def test_token_ids_of_a_tokenizer_that_keeps_white_space(tokenizers):
+    from tokenizers import Tokenizer
+
+    assert token_output.cuttable(tokenizers.path("word_bpe_49k.json"))
+    path = tokenizers.path("byte_bpe_50k.json")
+    plain, texts = Tokenizer.from_file(path), ["  two  blanks\n\nlines ", "", "it's 3.5", "é漢字😀"]
+    enc = token_output.Encoder(path)
+    assert not enc.cuttable
+    assert [np.frombuffer(x, "<u2" if enc.small else "<u4").tolist() for x in enc.encode(texts)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def all_segmentations(v, t):
     t, out = v.normalize(t), []
     pieces = {p: i for i, p in enumerate(v.pieces) if v.logp[i] != 0}
