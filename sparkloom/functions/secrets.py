@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import Column
@@ -73,3 +74,14 @@ def redaction_count(text: Column) -> Column:
         total = total + F.regexp_count(state, F.lit(_insensitive(pattern)))
         state = F.regexp_replace(state, _insensitive(pattern), placeholder)
     return total
+
+
+def redaction_audit(text: Column) -> Column:
+    """placeholder -> first 12 digits of the sha256 of what it replaced first: the pattern's first group if it has one, the match otherwise; empty ones don't count."""
+    entries, state = [], text
+    for pattern, placeholder in REDACT:
+        group = min(1, re.compile(pattern).groups)
+        hit = F.get(F.filter(F.regexp_extract_all(state, F.lit(_insensitive(pattern)), F.lit(group)), lambda m: m != ""), F.lit(0))
+        entries.append(F.struct(F.lit(placeholder).alias("key"), F.substring(F.sha2(hit, 256), 1, 12).alias("value")))
+        state = F.regexp_replace(state, _insensitive(pattern), placeholder)
+    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))

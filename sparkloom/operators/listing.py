@@ -29,6 +29,45 @@ def total(rows: DataFrame) -> DataFrame:
     return rows.agg(F.count(F.lit(1)).alias("total"))
 
 
+def list_cases(cases: DataFrame, *, case_type: str | None = None, priority: int | None = None, status: str | None = None, model_version: str | None = None) -> DataFrame:
+    """Cases that match, the highest priority first, then the oldest; ties by id."""
+    return matching(cases, {"case_type": case_type, "priority": priority, "status": status, "model_version": model_version}).orderBy(F.desc("priority"), "created_at", "case_id")
+
+
+def approved_cases(cases: DataFrame, limit: int = 1000) -> DataFrame:
+    """The approved cases of highest priority."""
+    return page(matching(cases, {"status": "approved"}), [F.desc("priority"), F.col("created_at"), F.col("case_id")], limit)
+
+
+def pending_reviews(queue: DataFrame, category: str | None = None) -> DataFrame:
+    """Review items that wait for a decision, the newest first; ties by id."""
+    return matching(queue, {"status": "pending", "category": category}).orderBy(F.desc("created_at"), "id")
+
+
+def lookup(rows: DataFrame, key: str, value: object) -> DataFrame:
+    """The row of a key, or none."""
+    return rows.where(F.col(key) == F.lit(value))
+
+
+def listed(rows: DataFrame, status: str | None = None, *, by: str = "created_at", newest: bool = False) -> DataFrame:
+    """Dataset versions, models or runs of a status (None: any) in order of a column; ties by id."""
+    return matching(rows, {"status": status}).orderBy(F.desc(by) if newest else F.asc(by), "id")
+
+
+def distribution(examples: DataFrame) -> DataFrame:
+    """kind, value, n: examples in all, by category, by source, and by what meta, a JSON object, says of language and of the vulnerability.
+
+    A missing category or source counts as unknown; a missing or empty language or vulnerability isn't counted.
+    """
+    meta = lambda *names: F.coalesce(*(F.nullif(F.get_json_object("meta", f"$.{x}"), F.lit("")) for x in names))
+    kinds = {
+        "total": F.lit(""), "by_category": F.coalesce("category", F.lit("unknown")), "by_source": F.coalesce("source", F.lit("unknown")),
+        "by_language": meta("language", "lang"), "by_vuln_type": meta("vulnerability_type", "injected_flaw"),
+    }
+    rows = examples.select(F.inline(F.array(*(F.struct(F.lit(k).alias("kind"), v.alias("value")) for k, v in kinds.items()))))
+    return rows.where("value is not null").groupBy("kind", "value").agg(F.count(F.lit(1)).alias("n"))
+
+
 def queue_metrics(cases: DataFrame, now: Column) -> DataFrame:
     """total_cases, pending, approved, rejected, and the mean age of pending cases in hours at ``now`` (0 without any)."""
     n = lambda status: F.count_if(F.col("status") == status).alias(status)

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions.secrets import redact
+from sparkloom.operators.sessions import first_events
 from sparkloom.schema import RUN_TRANSITIONS
 
 
@@ -31,6 +32,30 @@ def decided(queue: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select(*[F.col(f"n{c}").alias(c) if c in ("status", "reviewer", "reason") else F.col(c) for c in queue.columns])
 
 
+def enqueued(cases: DataFrame, events: DataFrame, at: Column) -> DataFrame:
+    """Detected cases as pending rows of the queue, with the session's first events as JSON in time order.
+
+    The id is a digest of session, type, signal and the number among equal cases, so a scan that runs again gives the same ids.
+    """
+    log = first_events(events).groupBy("session_id").agg(F.array_sort(F.collect_list(F.struct("n", "id", "ts", "event", "data"))).alias("e"))  # at most 500 of a session
+    told = log.select("session_id", F.to_json(F.transform("e", lambda x: x.dropFields("n"))).alias("events_json"))
+    same = Window.partitionBy("session_id", "case_type", "signal").orderBy("model_version")
+    key = F.concat_ws("\x1f", F.col("session_id").cast("string"), "case_type", "signal", F.row_number().over(same))
+    empty = [F.lit(None).cast("string").alias(c) for c in ("reviewer", "second_reviewer", "rejection_reason", "edited_example_json")]
+    rows = cases.withColumn("case_id", F.concat(F.lit("case_"), F.substring(F.sha2(key, 256), 1, 26))).join(told, "session_id", "left")
+    return rows.select("case_id", "session_id", "model_version", "case_type", "priority", "signal", "events_json", F.lit("pending").alias("status"), *empty, at.alias("created_at"), at.alias("updated_at"))
+
+
+def edited_or_rejected(cases: DataFrame, changes: DataFrame, at: Column) -> DataFrame:
+    """cases with changes (case_id, status editing or rejected, reviewer, reason) applied, whatever their status: editing sets the reviewer, rejecting the reason."""
+    c = changes.where("status in ('editing', 'rejected')").select("case_id", F.col("status").alias("_s"), F.col("reviewer").alias("_r"), F.col("reason").alias("_w"))
+    out = cases.join(c, "case_id", "left").withColumns({
+        "reviewer": F.when(F.col("_s") == "editing", F.col("_r")).otherwise(F.col("reviewer")), "rejection_reason": F.when(F.col("_s") == "rejected", F.col("_w")).otherwise(F.col("rejection_reason")),
+        "status": F.coalesce("_s", "status"), "updated_at": F.when(F.col("_s").isNotNull(), at).otherwise(F.col("updated_at")),
+    })
+    return out.select(*cases.columns)
+
+
 def case_approvals(cases: DataFrame) -> DataFrame:
     """Cases that may be approved: pending or being edited; a sec case needs a second reviewer other than the first. The example is redacted."""
     able = F.col("status").isin("pending", "editing") & ((F.col("case_type") != "sec") | (F.col("second_reviewer").isNotNull() & (F.col("second_reviewer") != F.col("reviewer"))))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, redaction_count
+from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, redaction_audit, redaction_count
 from sparkloom.functions.text import content_hash, md5_bucket, normalize
 from sparkloom.functions.tokens import rendered, token_count
 from sparkloom.operators import evaluation, listing, rules, sessions, similarity, split
-from sparkloom.schema import TOKEN_EDGES
+from sparkloom.schema import CASE_PRIORITY, TOKEN_EDGES
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -36,6 +37,35 @@ def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").selectExpr("event_id as id", "user_id as session_id", "ts", "concat('m', user_id % 3) as model_version", f"{kind} as event", "props as data", "value")
 
 
+# The activity log with data such as agents write, by the number k in the properties: sessions are the days of a user.
+_AGENT = """case event_type when 'error' then case when k % 6 = 0 then 'circuit_breaker' when k % 6 = 1 then 'cancel' else 'message' end when 'click' then 'tool_call'
+when 'view' then 'tool_result' when 'purchase' then 'outcome' else case when k % 5 = 0 then 'override' else 'verdict' end end as event,
+case event_type when 'click' then case when k % 10 = 0 then '{"name": ""}' else concat('{"name": "t', k % 2, '", "arguments": {"p": ', k % 3, '}}') end
+when 'view' then case when k % 2 = 0 then concat('{"error": "boom ', k, '"}') else '{"content": "fine"}' end
+when 'purchase' then concat('{"success": ', case when k % 2 = 0 then 'true' else 'false' end, ', "duration_ms": ', k, '}')
+when 'signup' then case when k % 5 = 0 then '{"confirmed_safe": true}' when k % 2 = 0 then '{"verdict": "PASS"}' else '{"verdict": "REJECT"}' end else '{}' end as data"""
+_AGT = f"(select event_id as id, concat(user_id, '-', day(ts)) as session_id, ts, concat('m', user_id % 3) as model_version, {_AGENT} from (select *, (props::json->>'k')::integer as k from events))"
+
+
+def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
+    event, data = _AGENT.split(" as event,")
+    return rows.selectExpr("event_id as id", "concat(user_id, '-', day(ts)) as session_id", "ts", "concat('m', user_id % 3) as model_version", f"{event} as event", data)
+
+
+_BUCKET = "(" + " + ".join(f"('0x' || substr(md5(session_id), {8 * k + 1}, 8))::bigint * {pow(96, 3 - k, 100)}" for k in range(4)) + ") % 100"
+_CALL = "(data::json->>'name') || chr(31) || coalesce((data::json->'arguments')::varchar, '')"
+_BY_TIME = "(partition by session_id order by ts, id)"
+_RECOVERED = f"""
+n as (select *, row_number() over {_BY_TIME} as n, case when event = 'tool_result' and data like '%error%' then 'error' when event = 'tool_call' then 'call' end as kind from {_AGT}),
+k as (select *, lead(kind) over {_BY_TIME} as next_kind, lead(n) over {_BY_TIME} as next_n from n where kind is not null),
+recovered as (select * from k where kind = 'error' and next_kind = 'call' and next_n - n <= 3)"""
+_REPEATED = f"repeated as (select * from (select *, lag({_CALL}) over {_BY_TIME} as b, {_CALL} as c from {_AGT} where event = 'tool_call') where b = c)"
+_UNCHANGED = f"""
+around as (select *, last_value(case when event = 'tool_call' then {_CALL} end ignore nulls) over (partition by session_id order by ts, id rows between unbounded preceding and 1 preceding) as b,
+first_value(case when event = 'tool_call' then {_CALL} end ignore nulls) over (partition by session_id order by ts, id rows between 1 following and unbounded following) as f from {_AGT}),
+unchanged as (select * from around where event = 'tool_result' and data::json->>'error' is not null and b = f)"""
+
 _ACT = "(select event_id as id, user_id as session_id, ts, 'm' || (user_id % 3) as model_version, case event_type when 'error' then 'circuit_breaker' when 'click' then 'tool_call' when 'view' then 'tool_result' when 'purchase' then 'outcome' else 'message' end as event, props as data, value from events)"
 _NORM = r"trim(regexp_replace(lower(text), '[\s\x1c-\x1f\x85\xA0\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{1680}]+', ' ', 'g'))"
 _GRAMS = "case when length(t) = 0 then [] when length(t) <= 5 then [t] else list_distinct(list_transform(range(1, length(t) - 3), lambda i: substr(t, i, 5))) end"
@@ -159,13 +189,29 @@ def redacted_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", F.md5("r").alias("redacted_md5"), F.char_length("r").cast("long").alias("n_chars"))
 
 
-@_query(None)
+_COUNTED = "s0 as (select doc_id, lang, text as t, 0 as n from documents)" + "".join(
+    f", s{k + 1} as (select doc_id, lang, regexp_replace(t, '{p}', '{to}', 'g') as t, n + len(regexp_extract_all(t, '{p}')) as n from s{k})" for k, (p, to) in enumerate(("(?i)" + p.replace("'", "''"), to) for p, to in REDACT)
+)
+
+
+@_query(f"with {_COUNTED} select lang, sum(n)::bigint as redactions, count(*) filter (n > 0) as docs from s{len(REDACT)} group by 1")
 def redaction_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Places that redaction replaces, by language."""
     docs = _table(spark, sf_dir, "documents").select("lang", redaction_count(F.col("text")).alias("c"))
     return docs.groupBy("lang").agg(F.sum("c").cast("long").alias("redactions"), F.count_if(F.col("c") > 0).alias("docs"))
 
 
+_AUDITED = " union all ".join(
+    f"select doc_id, '{to}' as placeholder, list_filter(regexp_extract_all(t, '(?i){p.replace(chr(39), chr(39) * 2)}', {min(1, re.compile(p).groups)}), lambda m: m <> '')[1] as m from s{k}" for k, (p, to) in enumerate(REDACT)
+)
+
+
+@_query(f"with {_COUNTED} select doc_id, placeholder, substr(sha256(m), 1, 12) as digest from ({_AUDITED}) where m is not null")
+def redaction_audits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit map of redacted texts, an entry a row."""
+    return _table(spark, sf_dir, "documents").select("doc_id", F.explode(redaction_audit(F.col("text"))).alias("placeholder", "digest"))
+
+
 @_query("select model_version, count(distinct session_id) as sessions, count(*) filter (event = 'circuit_breaker') as breakers, count(*) filter (event = 'circuit_breaker') / count(distinct session_id) as breaker_rate from " + _ACT + " group by 1")
 def circuit_breaker_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1."""
@@ -174,11 +220,10 @@ def circuit_breaker_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return act.groupBy("model_version").agg(n.alias("sessions"), c.alias("breakers"), (c / n).alias("breaker_rate"))
 
 
-@_query("select model_version, count(*) filter (event = 'tool_call') as calls, count(*) filter (event = 'tool_result' and data like '%7%') as errors from " + _ACT + " group by 1")
+@_query(f"with {_RECOVERED}, r as (select model_version, count(*) as n from recovered group by 1) select model_version, calls, errors, coalesce(errors / nullif(calls, 0), 0) as error_rate, case when errors = 0 then 1 else coalesce(r.n, 0) / errors end as recovery_rate from (select model_version, count(*) filter (event = 'tool_call') as calls, count(*) filter (event = 'tool_result' and data like '%error%') as errors from {_AGT} group by 1) left join r using (model_version)")
 def tool_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """D2 with a marker that the data have."""
-    act = _activity(spark, sf_dir)
-    return act.groupBy("model_version").agg(F.count_if(F.col("event") == "tool_call").alias("calls"), F.count_if((F.col("event") == "tool_result") & F.col("data").like("%7%")).alias("errors"))
+    """D2."""
+    return sessions.reliability(_agents(spark, sf_dir)).select("model_version", "calls", "errors", "error_rate", "recovery_rate")
 
 
 @_query("select model_version, count(*) filter (event = 'outcome') as successes, count(distinct session_id) as sessions, (sum(cast(value as decimal(18, 2))) filter (event = 'outcome'))::double as total_value from " + _ACT + " group by 1")
@@ -189,24 +234,22 @@ def task_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return act.groupBy("model_version").agg(F.count_if(F.col("event") == "outcome").alias("successes"), F.countDistinct("session_id").alias("sessions"), total.alias("total_value"))
 
 
-@_query(f"""
-with a as (select *, row_number() over (partition by session_id order by ts, id) as n from {_ACT}),
-b as (select *, lead(event) over w as next_event, lead(n) over w as next_n from a where event in ('circuit_breaker', 'tool_call') window w as (partition by session_id order by ts, id))
-select id, session_id, next_n - n as distance from b where event = 'circuit_breaker' and next_event = 'tool_call' and next_n - n <= 3""")
+@_query(f"with {_RECOVERED} select id, session_id from recovered")
 def recoveries_within_three(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An error and the next call at most three rows later."""
-    w = Window.partitionBy("session_id").orderBy("ts", "id")
-    rows = _activity(spark, sf_dir).withColumn("n", F.row_number().over(w)).where("event in ('circuit_breaker', 'tool_call')")
-    rows = rows.withColumn("next_event", F.lead("event").over(w)).withColumn("distance", (F.lead("n").over(w) - F.col("n")).cast("long"))
-    return rows.where("event = 'circuit_breaker' and next_event = 'tool_call' and distance <= 3").select("id", "session_id", "distance")
+    return sessions.recoveries(_agents(spark, sf_dir)).select("id", "session_id")
 
 
-@_query(f"select id, session_id from (select *, lag(data) over w as before, lag(id) over w as before_id from {_ACT} where event = 'tool_call' window w as (partition by session_id order by ts, id)) where before_id is not null and before = data")
+@_query(f"with {_REPEATED} select id, session_id from repeated")
 def repeated_calls(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A call that repeats the one before."""
-    w = Window.partitionBy("session_id").orderBy("ts", "id")
-    calls = _activity(spark, sf_dir).where("event = 'tool_call'")
-    return calls.withColumn("b", F.lag("data").over(w)).withColumn("i", F.lag("id").over(w)).where("i is not null and b = data").select("id", "session_id")
+    return sessions.repeated_calls(_agents(spark, sf_dir)).select("id", "session_id")
+
+
+@_query(f"with {_UNCHANGED} select id, session_id from unchanged")
+def unchanged_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An error whose next call equals the one before it."""
+    return sessions.unchanged_after_error(_agents(spark, sf_dir)).select("id", "session_id")
 
 
 @_query(f"""
@@ -287,6 +330,22 @@ def case_type_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return listing.case_types(_table(spark, sf_dir, "labels").select(kind.alias("case_type")))
 
 
+_CASES = ("doc_id as case_id", "case when quality = 1 then 'approved' when toxic = 1 then 'rejected' else 'pending' end as status", "doc_id % 5 as priority", "doc_id % 7 as created_at")
+
+
+@_query(f"select case_id, priority from (select {', '.join(_CASES)} from labels) where status = 'approved' order by priority desc, created_at, case_id limit 100")
+def approved_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The approved cases of highest priority; labels stand for cases."""
+    return listing.approved_cases(_table(spark, sf_dir, "labels").selectExpr(*_CASES), 100).select("case_id", "priority")
+
+
+@_query("select 'total' as kind, '' as value, count(*) as n from documents union all select 'by_category', lang, count(*) from documents group by lang union all select 'by_source', source, count(*) from documents group by source union all select 'by_language', lang, count(*) from documents where n_chars > 1000 group by lang")
+def distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Examples by category, source and what their metadata say."""
+    meta = F.to_json(F.struct(F.lit("").alias("language"), F.when(F.col("n_chars") > 1000, F.col("lang")).alias("lang")))
+    return listing.distribution(_table(spark, sf_dir, "documents").select(F.col("lang").alias("category"), "source", meta.alias("meta")))
+
+
 @_query("select lang, sum(n_chars * case lang when 'en' then 2.5 when 'de' then 0.15 else 1.0 end + 10 * case lang when 'en' then 10.0 when 'de' then 0.6 else 3.0 end)::double / 1000000 as dollars from documents group by 1")
 def estimated_costs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dollars by language, where a language stands for a model and texts for prompts of ten answer tokens."""
@@ -356,16 +415,33 @@ def feedback_threshold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "labels").agg(n.alias("approved"), (n >= 150).alias("ready"))
 
 
-@_query(None)
+_PRIORITY = " ".join(f"when '{k}' then {v}" for k, v in CASE_PRIORITY.items())
+
+
+@_query(f"""
+with {_REPEATED}, {_UNCHANGED}, a as (select *, bool_or(event = 'outcome' and data::json->>'success' = 'false') over (partition by session_id) as failed, bool_or(event = 'override') over (partition by session_id) as safe from {_AGT}),
+once as (select distinct session_id, model_version, case_type, signal from (select *, 'loop' as case_type, 'circuit_breaker' as signal from a where event = 'circuit_breaker'
+union all by name select *, 'loop' as case_type, 'repeated_call' as signal from repeated union all by name select *, 'syntax' as case_type, 'malformed_call' as signal from a where event = 'tool_call' and data::json->>'name' = ''
+union all by name select *, 'loop' as case_type, 'unchanged_after_error' as signal from unchanged union all by name select *, 'cancel' as case_type, 'cancelled' as signal from a where event = 'cancel')),
+cases as (from once union all select session_id, model_version, 'false_negative', 'pass_then_failed' from a where event = 'verdict' and data::json->>'verdict' = 'PASS' and failed
+union all select session_id, model_version, 'false_positive', 'reject_confirmed_safe' from a where event = 'verdict' and data::json->>'verdict' = 'REJECT' and safe),
+every as (from cases union all select distinct session_id, model_version, 'success', 'clean' from a where session_id not in (select session_id from cases) and {_BUCKET} / 100 <= 0.2)
+select *, case case_type {_PRIORITY} end::integer as priority from every""")
 def mined_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Failure cases of all sessions."""
-    return sessions.detect_cases(_activity(spark, sf_dir))
+    return sessions.detect_cases(_agents(spark, sf_dir))
 
 
-@_query(None)
+@_query(f"""
+with {_RECOVERED}, r as (select model_version, count(*) as n from recovered group by 1), j as (select *, data::json as d from {_AGT}),
+b as (select model_version, count(distinct session_id) as sessions, count(*) filter (event = 'circuit_breaker') as breakers, count(*) filter (event = 'tool_call') as calls, count(*) filter (event = 'tool_result' and data like '%error%') as errors,
+count(*) filter (d->>'verdict' = 'PASS') as passes, count(*) filter (d->>'verdict' = 'REJECT') as rejects, count(*) filter (d->>'success' = 'false') as failed, count(*) filter (d->>'success' = 'true') as succeeded,
+count(*) filter (d->>'confirmed_safe' = 'true') as confirmed_safe, avg((d->>'duration_ms')::double) as mean_ms from j group by 1)
+select b.* replace (nullif(mean_ms, 0) as mean_ms), coalesce(n, 0) as recovered, coalesce(breakers / nullif(sessions, 0), 0) as breaker_rate, coalesce(errors / nullif(calls, 0), 0) as error_rate, case when errors = 0 then 1 else coalesce(n, 0) / errors end as recovery_rate,
+coalesce(failed / nullif(passes, 0), 0) as false_negative_rate, coalesce(confirmed_safe / nullif(rejects, 0), 0) as false_positive_rate, coalesce(succeeded / nullif(sessions, 0), 0) as success_rate from b left join r using (model_version)""")
 def model_reliability(spark: SparkSession, sf_dir: str) -> DataFrame:
     """D1 to D4 in one frame, with recoveries."""
-    return sessions.reliability(_activity(spark, sf_dir))
+    return sessions.reliability(_agents(spark, sf_dir))
 
 
 @_query(None)
@@ -378,7 +454,7 @@ def validation_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rules.report(rows, rules.validate(rows.withColumn("tokens", tokens), tokens_col="tokens"))
 
 
-@_query(None)
+@_query("select event_type, count(*) filter (json_valid(props) and json_type(props) = 'OBJECT') as valid, count(*) as n from events group by 1")
 def json_validity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """H1: which event properties are strict JSON objects."""
     rows = _table(spark, sf_dir, "events").select("event_type", evaluation.valid_json(F.col("props")).alias("ok"))

@@ -326,3 +326,44 @@ def test_listing_and_dashboards(spark):
     assert sorted(map(tuple, listing.code_counts(found).collect())) == [("err", "C1", 2), ("warn", "T5", 1)]
     examples = spark.sql("select * from values ('a', 'plan'), ('b', 'plan') as t(id, category)")
     assert listing.outcome_counts(examples, rules.report(examples, found)).first() == ("plan", 1, 1)
+
+
+def test_listings_of_cases_reviews_and_versions(spark):
+    cases = spark.sql("""select * from values ('a', 'approved', 'loop', 4, 'm1', timestamp'2024-01-02'), ('b', 'approved', 'loop', 4, 'm2', timestamp'2024-01-01'), ('c', 'approved', 'sec', 5, 'm1', null),
+        ('d', 'pending', 'loop', 9, null, timestamp'2024-01-01') as t(case_id, status, case_type, priority, model_version, created_at)""")
+    assert [r.case_id for r in listing.list_cases(cases).collect()] == ["d", "c", "b", "a"]
+    assert [r.case_id for r in listing.list_cases(cases, case_type="loop", status="approved", priority=4, model_version="m1").collect()] == ["a"]
+    assert [r.case_id for r in listing.approved_cases(cases, 2).collect()] == ["c", "b"]
+    queue = cases.select(F.col("case_id").alias("id"), "status", F.col("case_type").alias("category"), "created_at").withColumn("status", F.lit("pending"))
+    assert [r.id for r in listing.pending_reviews(queue, "loop").collect()] == ["a", "b", "d"]
+    assert listing.lookup(cases, "case_id", "c").first().priority == 5 and listing.lookup(cases, "case_id", "z").count() == 0
+    assert [r.id for r in listing.listed(queue, newest=True).collect()] == ["a", "b", "d", "c"] and listing.listed(queue, "production").count() == 0
+
+
+def test_distribution_counts_the_unknown(spark):
+    rows = spark.sql("""select * from values ('sec', 'gold', '{"language": "", "lang": "go", "injected_flaw": "xss"}'), (null, null, null), ('sec', null, '{"vulnerability_type": "sqli", "injected_flaw": "xss"}') as t(category, source, meta)""")
+    want = {("total", "", 3), ("by_category", "sec", 2), ("by_category", "unknown", 1), ("by_source", "gold", 1), ("by_source", "unknown", 2), ("by_language", "go", 1), ("by_vuln_type", "xss", 1), ("by_vuln_type", "sqli", 1)}
+    assert set(map(tuple, listing.distribution(rows).collect())) == want
+    assert listing.distribution(rows.limit(0)).count() == 0
+
+
+def test_cases_are_enqueued_edited_and_rejected(spark):
+    events = spark.sql("""select * from values (2, 's', timestamp'2024-01-01 00:00:01', 'm', 'cancel', '{}'), (1, 's', timestamp'2024-01-01', 'm', 'tool_call', '{"name": "x"}') as t(id, session_id, ts, model_version, event, data)""")
+    found = spark.sql("select * from values ('s', 'm', 'cancel', 'cancelled', 2), ('s', 'm', 'cancel', 'cancelled', 2), ('t', 'm', 'loop', 'x', 4) as t(session_id, model_version, case_type, signal, priority)")
+    at = F.expr("timestamp'2024-02-01'")
+    queue = workflow.enqueued(found, events, at).cache()
+    rows = queue.orderBy("session_id", "case_id").collect()
+    assert len({r.case_id for r in rows}) == 3 and {r.case_id for r in rows} == {r.case_id for r in workflow.enqueued(found, events, at).collect()}
+    assert [e["id"] for e in json.loads(rows[0].events_json)] == [1, 2] and rows[2].events_json is None and {r.status for r in rows} == {"pending"}
+    first, second = rows[0].case_id, rows[1].case_id
+    changes = spark.createDataFrame([(first, "editing", "ann", None), (second, "rejected", "bob", "no"), (rows[2].case_id, "approved", "bob", None), ("none", "editing", "ann", None)], "case_id string, status string, reviewer string, reason string")
+    by = {r.case_id: r for r in workflow.edited_or_rejected(queue, changes, F.expr("timestamp'2024-03-01'")).collect()}
+    assert (by[first].status, by[first].reviewer, by[first].rejection_reason) == ("editing", "ann", None) and (by[second].status, by[second].reviewer, by[second].rejection_reason) == ("rejected", None, "no")
+    assert by[rows[2].case_id].status == "pending" and by[first].updated_at.month == 3 and by[rows[2].case_id].updated_at.month == 2 and len(by) == 3
+
+
+def test_redaction_audit_names_first_hits(spark):
+    text = "mail a.b@c.org and d@e.net, password: hunter2222, from 10.0.0.1"
+    got = spark.createDataFrame([(text,), ("none",), (None,)], "t string").select(secrets.redaction_audit(F.col("t")).alias("m")).collect()
+    digest = lambda x: hashlib.sha256(x.encode()).hexdigest()[:12]
+    assert got[0].m == {"[REDACTED_EMAIL]": digest("a.b@c.org"), "[REDACTED_PASSWORD]": digest("password"), "[REDACTED_IP]": digest("10.0.0.1")} and got[1].m == {}
