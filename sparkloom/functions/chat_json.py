@@ -82,6 +82,19 @@ def response_calls(text: str | None, api_calls: list[Any] | None = None) -> list
     return out
 
 
+def structured(messages: list[dict[str, Any]]) -> list[dict[str, Any]]:
+    """The turns, with the calls of an assistant turn as a field of their own where it holds calls and nothing else but white space."""
+    out = []
+    for m in messages:
+        calls, _, rest = tool_calls(m["content"]) if m["role"] == "assistant" else ([], [], "")
+        if calls and not rest.strip():
+            functions = [{"name": c["name"], "arguments": c["arguments"]} for c in calls]
+            out.append({"role": "assistant", "content": None, "tool_calls": [{"type": "function", "function": f} for f in functions]})
+        else:
+            out.append({"role": m["role"], "content": m["content"]})
+    return out
+
+
 def argument_problems(name: str, arguments: Any) -> list[str]:
     """Why a call doesn't fit the tool registry."""
     if name not in TOOLS:

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
 from functools import lru_cache
 from typing import Any
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkloom.functions.chat_json import structured
 
 
 def rendered(messages: Column, tools: Column | None = None) -> Column:
@@ -33,3 +37,9 @@ def token_count(text: Column, path: str) -> Column:
         return pd.Series([None if t is None else len(e.ids) for t, e in zip(texts, encoded, strict=True)], dtype="Int64")
 
     return count(text)
+
+
+@F.pandas_udf(T.StringType())
+def structured_messages(messages: pd.Series) -> pd.Series:
+    """The turns as a JSON list with tool calls as fields; null for null."""
+    return messages.map(lambda x: None if x is None else json.dumps(structured(list(x)), ensure_ascii=False))

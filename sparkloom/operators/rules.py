@@ -275,6 +275,18 @@ def _review(messages: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"status": status, "types": types})
 
 
+@F.pandas_udf(T.StringType())
+def _review_status(messages: pd.Series) -> pd.Series:
+    last = lambda x: next((m["content"] for m in reversed(list(x)) if m["role"] == "assistant"), None)
+    found = (strict_object(last(x))[0] for x in messages)
+    return pd.Series(["unparsed" if v is None else str(v.get("status")) for v in found], dtype=object)
+
+
+def review_statuses(examples: DataFrame) -> DataFrame:
+    """status and n of the reviews among the examples; unparsed without a JSON object, None without a status."""
+    return examples.where("category = 'sec'").groupBy(_review_status("messages").alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def dataset_rules(examples: DataFrame) -> DataFrame:
     """L4, S6 and S7 over the whole dataset: code, subject, value, ok."""
     loops = examples.where("category = 'loop'").select(_gives_up("messages").alias("g")).agg(F.avg(F.col("g").cast("double")).alias("value"))

@@ -142,11 +142,13 @@ def curation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.groupBy("lang").agg(F.count(F.lit(1)).alias("docs"), n.alias("distinct_texts"), (F.count(F.lit(1)) - n).alias("surplus_copies"), F.sum("n_chars").alias("chars"))
 
 
-@_query("""
-with g as (select lang, source, count(*) as n, sha256('42|' || lang || '|' || source) as o from documents group by 1, 2),
+_SPLIT = """
+g as (select lang, source, count(*) as n, sha256('42|' || lang || '|' || source) as o from documents group by 1, 2),
 w as (select *, sum(n) over (partition by lang) as total, count(*) over (partition by lang) as groups, coalesce(sum(n) over (partition by lang order by o, source rows between unbounded preceding and 1 preceding), 0) as before from g),
-s as (select lang, source, case when groups > 1 and total > 1 and before < greatest(1, round_even(total * 0.1::double, 0)) then 'val' else 'train' end as split from w)
-select doc_id, lang, source, split from documents join s using (lang, source)""")
+s as (select lang, source, case when groups > 1 and total > 1 and before < greatest(1, round_even(total * 0.1::double, 0)) then 'val' else 'train' end as split from w)"""
+
+
+@_query(f"with {_SPLIT} select doc_id, lang, source, split from documents join s using (lang, source)")
 def group_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     """whole groups, stratified, in seeded order."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
@@ -159,11 +161,10 @@ def split_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return split.split_counts(group_split(spark, sf_dir), "lang")
 
 
-@_query("select source from documents where false")
+@_query(f"with {_SPLIT} select source from s group by 1 having count(distinct split) > 1")
 def leaking_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """F9 on a split isolated across strata: no group on both sides."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "source").withColumn("all", F.lit("all"))
-    return split.leaking_groups(split.group_split(docs, id_col="doc_id", stratum="all", group="source"), "source")
+    """groups on both sides of a split that isolates them within each language only."""
+    return split.leaking_groups(group_split(spark, sf_dir), "source")
 
 
 _SCANS = ", ".join(f"regexp_matches(html, '{p.replace(chr(39), chr(39) * 2)}') as p{k}" for k, p in enumerate(SCAN.values()))

@@ -367,3 +367,20 @@ def test_redaction_audit_names_first_hits(spark):
     got = spark.createDataFrame([(text,), ("none",), (None,)], "t string").select(secrets.redaction_audit(F.col("t")).alias("m")).collect()
     digest = lambda x: hashlib.sha256(x.encode()).hexdigest()[:12]
     assert got[0].m == {"[REDACTED_EMAIL]": digest("a.b@c.org"), "[REDACTED_PASSWORD]": digest("password"), "[REDACTED_IP]": digest("10.0.0.1")} and got[1].m == {}
+
+
+def test_calls_become_fields_only_alone(spark):
+    block = lambda n: f'<tool_call>\n{{"name": "{n}", "arguments": {{"a": 1}}}}\n</tool_call>'
+    turns = [("user", block("u")), ("assistant", block("x") + "\n" + block("y")), ("assistant", "text " + block("z")), ("assistant", None)]
+    rows = spark.createDataFrame([(turns,), (None,), ([],)], "m array<struct<role:string,content:string>>").select(tokens.structured_messages("m").alias("j")).collect()
+    got = json.loads(rows[0].j)
+    assert [c["function"] for c in got[1]["tool_calls"]] == [{"name": "x", "arguments": {"a": 1}}, {"name": "y", "arguments": {"a": 1}}] and got[1]["content"] is None
+    assert got[0] == {"role": "user", "content": block("u")} and "tool_calls" not in got[2] and got[3]["content"] is None
+    assert rows[1].j is None and rows[2].j == "[]"
+
+
+def test_review_statuses(spark):
+    answers = ['{"status": "PASS"}', '{"status": "PASS"}', '{"issues": []}', "[1]", None, '{"status": 1}']
+    rows = [("sec", [("user", "x"), ("assistant", a)]) for a in answers] + [("sec", []), ("plan", [("assistant", '{"status": "PASS"}')])]
+    got = rules.review_statuses(spark.createDataFrame(rows, "category string, messages array<struct<role:string,content:string>>"))
+    assert {tuple(r) for r in got.collect()} == {("PASS", 2), ("None", 1), ("unparsed", 3), ("1", 1)}
