@@ -1,19 +1,23 @@
 """URL rules as a sorted digest array: 64-bit xxhash keys in a memory-mapped file, probed by vectorised binary search.
 
 A rule is ``host/path-prefix``. Rules may be many: they are hashed and sorted by Spark's driver into one file of keys,
-one of offsets and one of the full strings in the shared folder; tasks map these files and confirm every key that is found against the
-stored string, so a collision of digests never decides.
+one of offsets and one of the full strings in the shared folder; tasks map these files, or the one copy that an executor makes of files
+on another store, and confirm every key that is found against the stored string, so a collision of digests never decides.
 """
 
 from __future__ import annotations
 
 import io
+import os
+import shutil
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
 import xxhash
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -82,23 +86,35 @@ def parts(url: str | None) -> tuple[str, str]:
     return _lower(host), slash + path
 
 
+def copied(fs: pafs.FileSystem, base: str) -> str:
+    """A folder with a copy of an index, in the folder that Spark keeps for the files of an executor: made by the first worker there, mapped by all."""
+    root = SparkFiles.getRootDirectory()
+    made = fs.get_file_info(f"{base}/labels.npy").mtime_ns  # the file that is written last
+    folder = os.path.join(root, f"url-rules-{xxhash.xxh3_64_hexdigest(f'{base} {made}')}")
+    if not os.path.isdir(folder):
+        part = tempfile.mkdtemp(dir=root)
+        pafs.copy_files(base, part, source_filesystem=fs, destination_filesystem=pafs.LocalFileSystem())
+        try:
+            os.rename(part, folder)
+        except OSError:  # another worker was faster
+            shutil.rmtree(part)
+    return folder
+
+
 class Index:
     def __init__(self, path: str):
         fs, base = pafs.FileSystem.from_uri(path)
+        folder = base if isinstance(fs, pafs.LocalFileSystem) else copied(fs, base)
         for name in ("keys", "offsets", "blocks", "strings", "path_lengths", "labels"):
-            if isinstance(fs, pafs.LocalFileSystem):
-                array = np.load(f"{base}/{name}.npy", mmap_mode="r")
-            else:
-                with fs.open_input_file(f"{base}/{name}.npy") as f:
-                    array = np.load(io.BytesIO(f.read()))
-            setattr(self, name, array)
+            setattr(self, name, np.load(f"{folder}/{name}.npy", mmap_mode="r"))
 
     def find(self, probes: list[str]) -> np.ndarray:
         """Row of each full string, or -1."""
         h = digests(probes)
         at = np.searchsorted(self.keys, h)
         out = np.full(len(probes), -1, np.int64)
-        for k in np.flatnonzero(at < len(self.keys)).tolist():
+        inside = np.flatnonzero(at < len(self.keys))
+        for k in inside[self.keys[at[inside]] == h[inside]].tolist():
             row, text = int(at[k]), probes[k].encode()
             while row < len(self.keys) and self.keys[row] == h[k]:
                 if bytes(self.strings[self.offsets[row] : self.offsets[row + 1]]) == text:
