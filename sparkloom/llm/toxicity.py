@@ -24,6 +24,8 @@ from sparkloom.llm.words import chunks
 THRESHOLD = 0.7
 #: Labelled rows the lexicon is learned from, at most; taken in the order of a hash of the id.
 MAX_TRAIN_ROWS = 8_000
+#: Characters of these rows, at most: further rows aren't taken once so many have been read.
+MAX_TRAIN_CHARS = 1 << 28
 #: Lengths of word beginnings that may become entries.
 STEMS = (4, 5, 6, 7)
 MIN_DOCS = 3
@@ -178,12 +180,27 @@ def learn(rows: Iterable[tuple[str | None, int]], min_docs: int = MIN_DOCS, min_
 
 
 def fit(documents: DataFrame, labels: DataFrame, *, train: str, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic",
-        max_rows: int = MAX_TRAIN_ROWS) -> Lexicon:
-    """The lexicon of at most ``max_rows`` labelled rows that satisfy the SQL condition ``train``, the first by a hash of the id."""
-    known = labels.where(f"{label_col} is not null and {id_col} is not null").where(train)
-    known = known.select(id_col, F.col(label_col).alias("y")).orderBy(F.xxhash64(id_col), id_col, "y").limit(max_rows)
-    rows = documents.select(id_col, F.col(text_col).alias("t")).join(F.broadcast(known), id_col).select("t", "y")
-    return learn((r[0], r[1]) for r in rows.toLocalIterator())
+        max_rows: int = MAX_TRAIN_ROWS, max_chars: int = MAX_TRAIN_CHARS) -> Lexicon:
+    """The lexicon of at most ``max_rows`` labelled rows that satisfy the SQL condition ``train``, the first by a hash of the id.
+
+    An id that repeats is one row, with the highest of its labels and the first of its texts in order. Null ids, and ids
+    without a label or a text, teach nothing. Of rows of more than ``max_chars`` characters in all, those that come first
+    in the partitions of a shuffle by id are taken.
+    """
+    known = labels.where(f"{label_col} is not null and {id_col} is not null").where(train).groupBy(id_col).agg(F.max(label_col).alias("y"))
+    known = known.orderBy(F.xxhash64(id_col), id_col).limit(max_rows)
+    rows = documents.where(F.col(text_col).isNotNull()).select(id_col, F.col(text_col).alias("t")).join(F.broadcast(known), id_col)
+    rows = rows.groupBy(id_col).agg(F.min("t").alias("t"), F.max("y").alias("y")).select("t", "y")
+
+    def taken() -> Iterator[tuple[str, int]]:
+        room = max_chars
+        for text, label in rows.toLocalIterator():
+            if room <= 0:
+                break
+            room -= len(text)
+            yield text, label
+
+    return learn(taken())
 
 
 def probability(lexicon: Lexicon, x: np.ndarray) -> np.ndarray:
