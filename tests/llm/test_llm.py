@@ -15,6 +15,7 @@ import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -207,6 +208,18 @@ def test_digest_collisions_are_confirmed(spark, monkeypatch):
     assert index.find(["b/y", "a/y", "cc/", "a/x"]).tolist().count(-1) == 1
 
 
+@pytest.mark.parametrize("rules", [[("block", "a/x"), ("allow", "cc/")], []])
+def test_digest_files_of_another_store_are_copied_once(spark, tmp_path, monkeypatch, rules):
+    url_filter.build(spark, iter(rules), str(tmp_path / "rules"))
+    fs = pa.fs.SubTreeFileSystem(str(tmp_path), pa.fs.LocalFileSystem())
+    store = types.SimpleNamespace(FileSystem=types.SimpleNamespace(from_uri=lambda _: (fs, "rules")), LocalFileSystem=pa.fs.LocalFileSystem, copy_files=pa.fs.copy_files)
+    monkeypatch.setattr(url_filter, "pafs", store)
+    index = url_filter.Index("other://rules")
+    assert index.find(["cc/", "a/y", "a/x"]).tolist().count(-1) == (1 if rules else 3)
+    folder = url_filter.copied(fs, "rules")
+    assert folder.startswith(url_filter.SparkFiles.getRootDirectory()) and index.keys.filename == f"{folder}/keys.npy"
+
+
 def test_toxicity(spark):
     rng = random.Random(6)
     rows = [(k, prose(rng, rng.randrange(1, 60)) + (rng.choice([" you idiot", " total Scоm here", " vile1x thing", " v1lemost"]) if k % 4 == 0 else " villa" if k % 9 == 0 else ""), int(k % 4 == 0)) for k in range(400)]
@@ -221,6 +234,14 @@ def test_toxicity(spark):
     assert toxicity.evidence(toxicity.learn([]).automaton(), "x") == 0
 
 
+def test_toxicity_fit_takes_an_id_once(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "learn", sorted)
+    docs = docs_frame(spark, [(1, "b"), (1, "a"), (1, None), (2, "c"), (3, None), (None, "d")])
+    labels = spark.createDataFrame([(1, 0), (1, 1), (1, None), (2, 0), (3, 1), (None, 1), (9, 1)], "doc_id long, toxic int")
+    assert toxicity.fit(docs, labels, train="true") == [("a", 1), ("c", 0)]
+    assert len(toxicity.fit(docs, labels, train="true", max_chars=1)) == 1
+
+
 def test_toxicity_fit_reads_only_the_rows_asked_for(spark):
     docs = docs_frame(spark, [(k, f"bad word{k}" if k % 2 else f"good word{k}") for k in range(40)])
     labels = spark.createDataFrame([(k, k % 2 if k < 30 else 1 - k % 2) for k in range(40)], "doc_id long, toxic int")
