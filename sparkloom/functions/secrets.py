@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import json
 import re
-from functools import reduce
+from functools import lru_cache, reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from sparkloom.functions.chat_json import redacted
 
 # Patterns that scanning looks for, by name.
 SCAN = {
@@ -85,3 +90,24 @@ def redaction_audit(text: Column) -> Column:
         entries.append(F.struct(F.lit(placeholder).alias("key"), F.substring(F.sha2(hit, 256), 1, 12).alias("value")))
         state = F.regexp_replace(state, _insensitive(pattern), placeholder)
     return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+
+
+@lru_cache(maxsize=1)
+def _chain() -> tuple[tuple[re.Pattern[str], str], ...]:
+    return tuple((re.compile(p, re.IGNORECASE | re.ASCII), placeholder) for p, placeholder in REDACT)
+
+
+@F.pandas_udf(T.StringType())
+def redact_json(values: pd.Series) -> pd.Series:
+    """JSON with every string value redacted, at any depth; keys and what isn't a string stay. Null for null and for what isn't JSON."""
+
+    def clean(text: str) -> str:
+        return reduce(lambda t, p: p[0].sub(lambda _: p[1], t), _chain(), text)
+
+    def one(value: str | None) -> str | None:
+        try:
+            return None if value is None else json.dumps(redacted(json.loads(value), clean), ensure_ascii=False)
+        except ValueError:
+            return None
+
+    return pd.Series([one(v) for v in values], dtype=object)

@@ -68,6 +68,15 @@ def all_text(messages: Column, sep: str = "\n") -> Column:
     return F.array_join(F.transform(messages, lambda m: m["content"]), sep)
 
 
+def template_hash(template: Column) -> Column:
+    return F.sha2(template, 256)
+
+
+def prompt_key(prompt: Column) -> Column:
+    """The key of a prompt in a cache of results."""
+    return F.substring(F.sha2(prompt, 256), 1, 16)
+
+
 def tool_call(name: Column, arguments: Column) -> Column:
     """The block of a tool call; arguments: a JSON object as a string."""
     return F.concat(F.lit('<tool_call>\n{"name": "'), name, F.lit('", "arguments": '), arguments, F.lit("}\n</tool_call>"))

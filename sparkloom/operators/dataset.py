@@ -6,7 +6,7 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import all_text, content_hash
@@ -14,6 +14,9 @@ from sparkloom.operators import rules, similarity, split
 from sparkloom.schema import FEEDBACK_RATIO, VAL_RATIO
 from sparkloom.sources.jsonl import export_lines
 
+#: Rows of a part file, at most, as a task hashes a file as a whole.
+PART_ROWS = 1_000_000
+
 
 def clean_examples(examples: DataFrame, evals: DataFrame | None, item_text: str = "text", tokens_col: str | None = None) -> tuple[DataFrame, DataFrame]:
     """Approved examples without errors and without evaluation overlap, and all violations found on the way; too long ones go if tokens_col counts their tokens."""
@@ -43,7 +46,7 @@ def build_feedback(originals: DataFrame, feedback: DataFrame, evals: DataFrame |
 def write_version(rows: DataFrame, path: str, version: str, seed: int, ratio: float = VAL_RATIO) -> dict:
     """Writes one line file for each split, rows by id, and manifest.json with counts and sha256; returns the manifest.
 
-    For folders that the driver can reach; larger versions are written by Spark, partitioned by split.
+    For folders that the driver can reach and versions that it can write by itself; ``write_parts`` writes larger ones.
     """
     folder = Path(path.removeprefix("file://")) / version
     folder.mkdir(parents=True, exist_ok=True)
@@ -61,6 +64,37 @@ def write_version(rows: DataFrame, path: str, version: str, seed: int, ratio: fl
     return manifest
 
 
+def write_parts(rows: DataFrame, path: str, version: str, seed: int, ratio: float = VAL_RATIO) -> DataFrame:
+    """A version of any size: each split in part files of lines below ``split=``, written by tasks, rows by id within ranges; returns the manifest.
+
+    The manifest (split, file, n, sha256, seed, val_ratio) is hashed by tasks and kept below ``_manifest``.
+    """
+    folder, spark = f"{path.rstrip('/')}/{version}", rows.sparkSession
+    placed = rows.repartitionByRange("split", "id").sortWithinPartitions("split", "id")
+    export_lines(placed, "split").write.partitionBy("split").option("maxRecordsPerFile", PART_ROWS).mode("errorifexists").text(folder)
+    return _manifest(spark, folder).withColumns({"seed": F.lit(seed), "val_ratio": F.lit(ratio)}).transform(lambda m: _stored(m, f"{folder}/_manifest"))
+
+
+def _manifest(spark: SparkSession, folder: str) -> DataFrame:
+    """split, file, n and sha256 of the part files."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "part-*").load(folder)
+    lines = F.length("content") - F.length(F.translate(F.decode("content", "ISO-8859-1"), "\n", ""))
+    return files.select(F.regexp_extract("path", "split=([^/]*)/", 1).alias("split"), F.element_at(F.split("path", "/"), -1).alias("file"), lines.cast("long").alias("n"), F.sha2("content", 256).alias("sha256"))
+
+
+def _stored(rows: DataFrame, path: str) -> DataFrame:
+    rows.write.json(path)
+    return rows.sparkSession.read.schema(rows.schema).json(path)
+
+
+def parts_hold(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """split, file, holds: whether each file of the manifest is there with its hash, and false for files that it doesn't name."""
+    folder = f"{path.rstrip('/')}/{version}"
+    stated = spark.read.schema("split string, file string, sha256 string").json(f"{folder}/_manifest").withColumnRenamed("sha256", "stated")
+    found = _manifest(spark, folder).select("split", "file", "sha256")
+    return stated.join(found, ["split", "file"], "full").select("split", "file", F.coalesce(F.col("stated") == F.col("sha256"), F.lit(False)).alias("holds"))
+
+
 def manifest_holds(path: str, version: str) -> dict[str, bool]:
     """Whether each file of a version still has the hash its manifest states."""
     folder = Path(path.removeprefix("file://")) / version

@@ -120,6 +120,11 @@ def suite_results(responses: DataFrame) -> DataFrame:
     return found.select("suite", "case_id", "j.passed", "j.valid_json", "j.false_positive")
 
 
+def combined_modes(raw: DataFrame, api: DataFrame) -> DataFrame:
+    """Results of one suite by both modes as one, so that its summary adds them up."""
+    return raw.unionByName(api).withColumn("mode", F.lit("raw+api"))
+
+
 def wilson(passed: Column, total: Column, z: float = 1.96) -> tuple[Column, Column]:
     """Wilson interval of a share, 0 to 1, unrounded; both ends 0 without trials."""
     p = F.least(F.greatest(passed / F.nullif(total, F.lit(0)), F.lit(0.0)), F.lit(1.0))

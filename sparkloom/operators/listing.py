@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.functions.text import prompt_key
+from sparkloom.schema import MESSAGES
+
 # Dollars per million prompt and completion tokens by model, and for any other model.
 TOKEN_COSTS = {"gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "claude-sonnet-4": (3.0, 15.0)}
 DEFAULT_COST = (1.0, 3.0)
@@ -54,6 +57,17 @@ def listed(rows: DataFrame, status: str | None = None, *, by: str = "created_at"
     return matching(rows, {"status": status}).orderBy(F.desc(by) if newest else F.asc(by), "id")
 
 
+def decoded(rows: DataFrame) -> DataFrame:
+    """Stored examples (messages_json, tools_json) as examples."""
+    return rows.select("id", "category", F.from_json("messages_json", MESSAGES).alias("messages"), F.col("tools_json").alias("tools"), "source", "group_id", "status")
+
+
+def cached_results(prompts: DataFrame, cache: DataFrame) -> DataFrame:
+    """prompts (prompt) with the result that the cache (key, result, at) holds for them, or null; the newest of a key counts."""
+    newest = cache.groupBy("key").agg(F.max_by("result", F.struct("at", "result")).alias("result"))
+    return prompts.withColumn("key", prompt_key(F.col("prompt"))).join(newest, "key", "left").drop("key")
+
+
 def distribution(examples: DataFrame) -> DataFrame:
     """kind, value, n: examples in all, by category, by source, and by what meta, a JSON object, says of language and of the vulnerability.
 

@@ -259,6 +259,14 @@ def report(examples: DataFrame, violations: DataFrame) -> DataFrame:
     return examples.select("id").join(counts, "id", "left").select("id", (F.coalesce("errors", F.lit(0)) == 0).alias("ok"), F.coalesce("errors", F.lit(0)).alias("errors"), F.coalesce("warnings", F.lit(0)).alias("warnings"))
 
 
+def report_json(examples: DataFrame, violations: DataFrame, skipped: tuple[str, ...] = ()) -> DataFrame:
+    """id and the report of every example as JSON: ok, violations in order of code, skipped rules."""
+    found = violations.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("code", "level", "message", "location"))).alias("violations"))
+    listed = F.coalesce("violations", F.array().cast(VIOLATIONS))
+    body = F.struct((~F.exists(listed, lambda v: v["level"] == "err")).alias("ok"), listed.alias("violations"), F.array(*map(F.lit, skipped)).cast("array<string>").alias("skipped"))
+    return examples.select("id").join(found, "id", "left").select("id", F.to_json(body, {"ignoreNullFields": "false"}).alias("report"))
+
+
 @F.pandas_udf(T.BooleanType())
 def _gives_up(messages: pd.Series) -> pd.Series:
     return pd.Series([gives_up([dict(m) for m in x]) for x in messages])

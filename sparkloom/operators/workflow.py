@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.secrets import redact
+from sparkloom.functions.secrets import redact_json
+from sparkloom.functions.text import all_text, content_hash
+from sparkloom.operators import rules, similarity
 from sparkloom.operators.sessions import first_events
-from sparkloom.schema import RUN_TRANSITIONS
+from sparkloom.schema import CATEGORIES, MESSAGES, ROLES, RUN_TRANSITIONS
 
 
 def latest(revisions: DataFrame, key: str = "id", at: str = "updated_at") -> DataFrame:
@@ -56,10 +58,60 @@ def edited_or_rejected(cases: DataFrame, changes: DataFrame, at: Column) -> Data
     return out.select(*cases.columns)
 
 
+def edited_and_approved(queue: DataFrame, edits: DataFrame, at: Column) -> DataFrame:
+    """queue with edits (id, example_data_json, reviewer) put in and approved, whatever the status was."""
+    e = edits.select("id", F.col("example_data_json").alias("_e"), F.col("reviewer").alias("_r"), F.lit(True).alias("_hit"))
+    hit, out = F.coalesce("_hit", F.lit(False)), queue.join(e, "id", "left")
+    new = {"example_data_json": F.col("_e"), "status": F.lit("approved"), "reviewer": F.col("_r"), "updated_at": at}
+    return out.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in queue.columns])
+
+
 def case_approvals(cases: DataFrame) -> DataFrame:
-    """Cases that may be approved: pending or being edited; a sec case needs a second reviewer other than the first. The example is redacted."""
-    able = F.col("status").isin("pending", "editing") & ((F.col("case_type") != "sec") | (F.col("second_reviewer").isNotNull() & (F.col("second_reviewer") != F.col("reviewer"))))
-    return cases.where(able).withColumn("edited_example_json", redact(F.col("edited_example_json")))
+    """Cases that may be approved: pending or being edited; a sec case needs a second reviewer other than the first, if there is a first. The example is redacted."""
+    second = F.coalesce(F.trim("second_reviewer"), F.lit(""))
+    able = F.col("status").isin("pending", "editing") & ((F.col("case_type") != "sec") | ((second != "") & (second != F.coalesce(F.trim("reviewer"), F.lit("")))))
+    return cases.where(able).withColumn("edited_example_json", redact_json("edited_example_json"))
+
+
+def approved_corrections(cases: DataFrame, peers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Examples of the cases that pass every step of approval, and (case_id, reason) of the others.
+
+    Steps: ``case_approvals``, the schema (a known category, messages of known roles), and the rules, with equal contents in
+    peers (content_hash) an error. Tool and loop examples without tools get the registry's; the group is the given one, else the project, else the session.
+    """
+    able = case_approvals(cases)
+    shape = f"category string, messages {MESSAGES}, tools string, group_id string"
+    parsed = able.withColumn("x", F.from_json("edited_example_json", shape))
+    sound = F.col("x.category").isin(*CATEGORIES) & (F.size("x.messages") > 0) & F.forall("x.messages", lambda m: F.coalesce(m["role"].isin(*ROLES) & m["content"].isNotNull(), F.lit(False)))
+    parsed = parsed.withColumn("sound", F.coalesce(sound, F.lit(False)))
+    group = F.coalesce(F.nullif("x.group_id", F.lit("")), F.nullif("project", F.lit("")), F.concat(F.lit("al/session/"), F.col("session_id").cast("string")))
+    rows = parsed.where("sound").select(F.col("case_id").alias("id"), "x.category", "x.messages", "x.tools", F.lit("active_learning").alias("source"), group.alias("group_id"), F.lit("approved").alias("status"))
+    rows = rules.with_tools(rows).withColumn("content_hash", content_hash(F.col("messages"), F.col("tools")))
+    failed = rules.validate(rows, hash_col=None).where("level = 'err'").select("id", "code")
+    if peers is not None:
+        failed = failed.unionByName(rows.join(peers.select("content_hash").distinct(), "content_hash", "left_semi").select("id", F.lit("C6").alias("code")))
+    failed = failed.groupBy("id").agg(F.concat(F.lit("rules: "), F.array_join(F.array_sort(F.collect_set("code")), ", ")).alias("reason"))
+    refused = cases.join(able.select("case_id"), "case_id", "left_anti").select("case_id", F.lit("may not be approved").alias("reason"))
+    refused = refused.unionByName(parsed.where("not sound").select("case_id", F.lit("schema").alias("reason"))).unionByName(failed.select(F.col("id").alias("case_id"), "reason"))
+    return rows.join(failed, "id", "left_anti"), refused
+
+
+def accepted_candidates(candidates: DataFrame, existing: DataFrame, evals: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Candidates (id, category, messages, tools, group_id) that enter the review queue, and (id, reason) of the rejected ones.
+
+    Reasons: exact_duplicate of an existing content_hash or of an earlier candidate, contamination by evals (item_id, text),
+    or the codes of rules that are broken. Similar texts are only a warning, so the first of equal candidates is what a
+    loop over them would accept.
+    """
+    rows = candidates.withColumn("content_hash", content_hash(F.col("messages"), F.col("tools")))
+    first = rows.groupBy("content_hash").agg(F.min("id").alias("id")).join(existing.select("content_hash").distinct(), "content_hash", "left_anti")
+    reasons = rows.join(first, ["content_hash", "id"], "left_anti").select("id", F.lit("exact_duplicate").alias("reason"))
+    if evals is not None:
+        texts = rows.select(F.col("id").alias("doc_id"), all_text(F.col("messages"), " ").alias("text"))
+        reasons = reasons.unionByName(similarity.contamination(texts, evals).select(F.col("doc_id").alias("id"), F.lit("contamination").alias("reason")))
+    reasons = reasons.unionByName(rules.validate(rows, hash_col=None).where("level = 'err'").select("id", F.col("code").alias("reason")))
+    rejected = reasons.groupBy("id").agg(F.array_join(F.array_sort(F.collect_set("reason")), "; ").alias("reason"))
+    return rows.join(rejected, "id", "left_anti").withColumn("status", F.lit("pending")), rejected
 
 
 def bad_transitions(spark: SparkSession, changes: DataFrame) -> DataFrame:

@@ -10,8 +10,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import schema
 from sparkloom.functions import chat_json, secrets, text, tokens
-from sparkloom.operators import dataset, evaluation, listing, rules, sessions, similarity, split, workflow
+from sparkloom.operators import dataset, evaluation, listing, preflight, rules, sessions, similarity, split, workflow
 from sparkloom.schema import ACTIVITY, EXAMPLES
 from sparkloom.sources import jsonl
 from sparkloom.streaming import events as stream
@@ -384,3 +385,127 @@ def test_review_statuses(spark):
     rows = [("sec", [("user", "x"), ("assistant", a)]) for a in answers] + [("sec", []), ("plan", [("assistant", '{"status": "PASS"}')])]
     got = rules.review_statuses(spark.createDataFrame(rows, "category string, messages array<struct<role:string,content:string>>"))
     assert {tuple(r) for r in got.collect()} == {("PASS", 2), ("None", 1), ("unparsed", 3), ("1", 1)}
+
+
+def test_import_keeps_free_string_ids(spark, tmp_path):
+    line = lambda given, say: json.dumps({"id": given, "category": "plan", "messages": [{"role": "assistant", "content": say}]})
+    (tmp_path / "in.jsonl").write_text("\n".join([line("a", "1"), line("a", "2"), line(5, "3"), line("old", "4"), line(None, "5"), line("a", "1")]))
+    existing = spark.createDataFrame([("old", "x")], "id string, content_hash string")
+    good, bad = jsonl.import_lines(spark, str(tmp_path / "in.jsonl"), existing)
+    by = {r.messages[0].content: r.id for r in good.collect()}
+    assert by["1"] == "a" and all(by[k].startswith("ex_") for k in "245") and len(set(by.values())) == 4
+    assert sorted((r.line, r.error) for r in bad.collect()) == [(3, "id is not a string"), (6, "duplicate")]
+
+
+def test_readers_name_bad_lines(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n\n[1]\n{"x": \n{"x": 2}\n')
+    good, bad = jsonl.named_lines(spark, str(tmp_path / "a.jsonl"), "x int")
+    assert sorted((r.line, r.x) for r in good.collect()) == [(1, 1), (5, 2)]
+    assert sorted((r.line, r.error) for r in bad.collect()) == [(3, "not a JSON object"), (4, "invalid JSON")]
+    with pytest.raises(ValueError, match=r"not a JSON object in .*a\.jsonl:3"):
+        jsonl.read_named(spark, str(tmp_path / "a.jsonl"), "x int")
+    (tmp_path / "a.jsonl").write_text('{"x": 1}\n')
+    assert jsonl.read_named(spark, str(tmp_path / "a.jsonl"), "x int").collect() == [(1,)]
+
+
+def test_evaluation_folder(spark, tmp_path):
+    (tmp_path / "deep").mkdir()
+    (tmp_path / "deep" / "a.jsonl").write_text('{"prompt": "p1"}\nbroken\n[1]\n\n{"messages": [{"content": "m1"}, {"content": null}], "prompt": "no"}\n')
+    (tmp_path / "b.json").write_text('[{"prompt": "p2"}, 3]')
+    (tmp_path / "c.json").write_text('{"examples": [{"k": 1, "a": "ก"}], "other": 2}')
+    (tmp_path / "d.json").write_text('{"prompt": "neither a list nor examples"}')
+    (tmp_path / "e.json").write_text("broken")
+    (tmp_path / "f.txt").write_text('{"prompt": "another kind of file"}')
+    assert sorted(r.text for r in jsonl.evaluation_items(spark, str(tmp_path)).collect()) == sorted(["p1", "m1 ", "p2", '{"a": "ก", "k": 1}'])
+
+
+def test_metric_log_and_calibration(spark, tmp_path):
+    for k in range(2):
+        jsonl.append_metrics(spark.createDataFrame([(k, 0.5)], "step int, train_loss double"), str(tmp_path / "log"))
+    assert sorted(jsonl.read_tolerant(spark, str(tmp_path / "log"), "step int, train_loss double").collect()) == [(0, 0.5), (1, 0.5)]
+    rows = spark.createDataFrame([(k, [{"role": "user", "content": f"q{k}\nx"}, {"role": "assistant", "content": ""}]) for k in range(5)], "id int, messages array<struct<role:string,content:string>>")
+    corpus = spark.createDataFrame([(f"def f{k}(): pass",) for k in range(9)], "value string")
+    got = [r.value for r in jsonl.calibration_text(rows, 3, 1, corpus, 2).collect()]
+    assert {x for x in got if x[0] == "q"} == {"q0 x", "q1 x", "q2 x"} and len(got) == 5 and got == [r.value for r in jsonl.calibration_text(rows, 3, 1, corpus.repartition(3), 2).collect()]
+
+
+def test_json_is_redacted_by_value(spark):
+    value = {"password: hunter2222": ["mail a.b@c.org", 10, {"x": "password: hunter2222"}], "ip": "10.0.0.1", "n": None}
+    got = spark.createDataFrame([(json.dumps(value),), ("no json 10.0.0.1",), (None,)], "t string").select(secrets.redact_json("t").alias("t")).collect()
+    assert json.loads(got[0].t) == {"password: hunter2222": ["mail [REDACTED_EMAIL]", 10, {"x": "[REDACTED_PASSWORD]"}], "ip": "[REDACTED_IP]", "n": None}
+    assert got[1].t is None and got[2].t is None
+
+
+def test_configs_and_preflight(spark):
+    names = "run_name string, base_model string, dataset_version string, seed int, lora_r int, lora_alpha int, lora_dropout double, epochs int, learning_rate double, max_seq_length int, loss_masking string"
+    rows = [("r", "m", "v1", 42, 16, 32, 0.05, 2, 2e-4, 2048, "assistant_only"), (" ", "other", None, 0, 12, 0, 1.5, 0, 0.0, 255, "none"), ("r", "m", "v1", 1, 0, 1, 0.0, 1, 1.0, 256, "all"), ("r", "m", "v1", None, None, None, None, None, None, None, None)]
+    got = [r.errors for r in preflight.config_errors(spark.createDataFrame(rows, names), ["m"]).collect()]
+    assert got[0] == [] and sorted(got[1]) == sorted(x.split()[0] for x in names.split(", ")) and got[2] == ["lora_r"] and len(got[3]) == 8
+    results = spark.createDataFrame([("a", "PF0", True, True), ("a", "PF1", False, False), ("b", "PF0", None, True), ("c", "PF0", True, None)], "run_id string, code string, passed boolean, critical boolean")
+    assert {r.run_id: (r.can_proceed, r.all_passed, r.failed) for r in preflight.rolled_up(results).collect()} == {"a": (True, False, ["PF1"]), "b": (False, False, ["PF0"]), "c": (True, True, [])}
+
+
+def test_loss_spans_cover_assistant_turns(spark):
+    rows = _examples(spark).where("id in ('e1', 'bad')").withColumn("tools", F.lit("[]"))
+    whole = {r.id: r.t for r in rows.select("id", tokens.rendered(F.col("messages"), F.col("tools")).alias("t")).collect()}
+    spans = preflight.loss_spans(rows, F.char_length)
+    got = spans.collect()
+    assert [(r.id, r.turn) for r in got] == [("e1", 1)] and whole["e1"][got[0].start : got[0].stop].startswith("<|im_start|>assistant\n{") and got[0].stop == len(whole["e1"])
+    assert [r.id for r in preflight.unmasked(rows, spans).collect()] == ["bad"]
+    first = spark.createDataFrame([("x", [{"role": "assistant", "content": "a"}], "[]")], "id string, messages array<struct<role:string,content:string>>, tools string")
+    assert preflight.loss_spans(first, F.char_length).first().start == 0
+
+
+def test_approvals_run_every_step(spark):
+    plan = json.dumps({"status": "APPROVED", "target_version": "v1.2", "critique": "c", "final_plan": "p"})
+    example = lambda say, **more: json.dumps({"category": "plan", "messages": [U, {"role": "assistant", "content": say}]} | more)
+    cases = [
+        ("good", "loop", "pending", None, None, "proj", "s", example(plan)), ("done", "loop", "approved", None, None, None, "s", example(plan)), ("alone", "sec", "editing", "ann", " ann ", None, "s", example(plan)),
+        ("two", "sec", "editing", None, "bob", None, "s", example(plan + " ", group_id="g")), ("rule", "loop", "pending", None, None, None, "s", example("```")), ("shape", "loop", "pending", None, None, None, "s", example(plan, category="odd")),
+        ("none", "loop", "pending", None, None, None, "s", None), ("copy", "loop", "pending", None, None, None, "s", example("\n" + plan)),
+    ]
+    queue = spark.createDataFrame(cases, "case_id string, case_type string, status string, reviewer string, second_reviewer string, project string, session_id string, edited_example_json string")
+    peers = spark.createDataFrame([([U, {"role": "assistant", "content": "\n" + plan}],)], "m array<struct<role:string,content:string>>").select(text.content_hash(F.col("m")).alias("content_hash"))
+    rows, refused = workflow.approved_corrections(queue, peers)
+    assert {(r.id, r.group_id, r.source) for r in rows.collect()} == {("good", "proj", "active_learning"), ("two", "g", "active_learning")}
+    assert {r.case_id: r.reason for r in refused.collect()} == {"done": "may not be approved", "alone": "may not be approved", "rule": "rules: P1", "shape": "schema", "none": "schema", "copy": "rules: C6"}
+
+
+def test_candidates_enter_the_queue_once(spark):
+    plan = json.dumps({"status": "APPROVED", "target_version": "v1.2", "critique": "c", "final_plan": "p"})
+    row = lambda k, ask, say=plan: (k, "plan", [{"role": "user", "content": ask}, {"role": "assistant", "content": say}], None, None)
+    leaked = "an evaluation question that nobody should train on " * 9
+    candidates = spark.createDataFrame([row("a", "x"), row("b", "x"), row("c", "known"), row("d", leaked), row("e", "y", "```")], f"id string, category string, messages {schema.MESSAGES}, tools string, group_id string")
+    existing = candidates.where("id = 'c'").select(text.content_hash(F.col("messages"), F.col("tools")).alias("content_hash"))
+    good, bad = workflow.accepted_candidates(candidates, existing, spark.createDataFrame([(1, leaked)], "item_id int, text string"))
+    assert [(r.id, r.status) for r in good.collect()] == [("a", "pending")]
+    assert {r.id: r.reason for r in bad.collect()} == {"b": "exact_duplicate", "c": "exact_duplicate", "d": "contamination", "e": "P1"}
+
+
+def test_edited_reviews_cache_and_modes(spark):
+    queue = spark.createDataFrame([("a", "plan", "{}", "rejected", None, 1), ("b", "plan", "{}", "pending", "ann", 1)], "id string, category string, example_data_json string, status string, reviewer string, updated_at int")
+    edits = spark.createDataFrame([("a", '{"k": 1}', "bob")], "id string, example_data_json string, reviewer string")
+    assert sorted(workflow.edited_and_approved(queue, edits, F.lit(2)).collect()) == [("a", "plan", '{"k": 1}', "approved", "bob", 2), ("b", "plan", "{}", "pending", "ann", 1)]
+    key = hashlib.sha256(b"p").hexdigest()[:16]
+    cache = spark.createDataFrame([(key, "old", 1), (key, "new", 2)], "key string, result string, at int")
+    assert sorted(listing.cached_results(spark.createDataFrame([("p",), ("q",)], "prompt string"), cache).collect()) == [("p", "new"), ("q", None)]
+    results = spark.createDataFrame([("tool_syntax", "1", True, False, False)], "suite string, case_id string, passed boolean, valid_json boolean, false_positive boolean")
+    both = evaluation.combined_modes(results, results.withColumn("passed", F.lit(False)))
+    assert evaluation.suite_summary(both).select("total", "passed").first() == (2, 1) and {r.mode for r in both.collect()} == {"raw+api"}
+    stored = spark.createDataFrame([("e", "plan", '[{"role": "user", "content": "q"}]', None, "manual", "g", "draft")], "id string, category string, messages_json string, tools_json string, source string, group_id string, status string")
+    assert listing.decoded(stored).first().messages[0].content == "q"
+    examples = _examples(spark).where("id in ('e1', 'bad')")
+    reports = {r.id: json.loads(r.report) for r in rules.report_json(examples, rules.validate(examples, hash_col=None), ("C4",)).collect()}
+    assert reports["e1"] == {"ok": True, "violations": [], "skipped": ["C4"]} and not reports["bad"]["ok"] and {v["code"] for v in reports["bad"]["violations"]} >= {"C1", "C3"}
+
+
+def test_versions_in_parts(spark, tmp_path):
+    rows = dataset.build(_examples(spark))
+    manifest = dataset.write_parts(rows, f"file://{tmp_path}", "v0001", 42).collect()
+    assert sum(r.n for r in manifest) == rows.count() and {r.split for r in manifest} == {"train", "val"}
+    lines = [json.loads(x)["id"] for f in tmp_path.glob("v0001/split=*/part-*") for x in f.read_text().splitlines()]
+    assert sorted(lines) == sorted(r.id for r in rows.collect()) and all(r.holds for r in dataset.parts_hold(spark, str(tmp_path), "v0001").collect())
+    next(tmp_path.glob("v0001/split=val/part-*")).write_text("changed")
+    for crc in tmp_path.glob("v0001/split=val/.*.crc"):
+        crc.unlink()
+    assert [r.split for r in dataset.parts_hold(spark, str(tmp_path), "v0001").where("not holds").collect()] == ["val"]
