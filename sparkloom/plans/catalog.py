@@ -8,10 +8,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, redaction_audit, redaction_count
-from sparkloom.functions.text import content_hash, md5_bucket, normalize
+from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, redact_json, redaction_audit, redaction_count
+from sparkloom.functions.text import content_hash, md5_bucket, normalize, prompt_key
 from sparkloom.functions.tokens import rendered, token_count
-from sparkloom.operators import evaluation, listing, rules, sessions, similarity, split
+from sparkloom.operators import evaluation, listing, preflight, rules, sessions, similarity, split, workflow
 from sparkloom.schema import CASE_PRIORITY, TOKEN_EDGES
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -475,6 +475,80 @@ def md5_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", md5_bucket(F.col("doc_id").cast("string")).alias("bucket"))
 
 
+@_query("""
+with m as (select conv_id, turn, role, row_number() over w - 1 as k, length(coalesce(role, '')) + length(coalesce(text, '')) + 24 as size from conversations window w as (partition by conv_id order by turn, role, text)),
+p as (select *, sum(size) over (partition by conv_id order by k) as stop from m)
+select conv_id, k::integer as turn, (stop - size)::bigint as start, stop::bigint as stop from p where role = 'assistant'""")
+def loss_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What assistant turns add to the rendered conversation, counted in characters."""
+    rows = _conversations(spark, sf_dir).select(F.col("conv_id").alias("id"), "messages", F.lit("").alias("tools"))
+    return preflight.loss_spans(rows, F.char_length).withColumnRenamed("id", "conv_id")
+
+
+@_query("""
+select source as run_id, bool_and(toxic = 0 or quality = 0) as can_proceed, bool_and(toxic = 0) as all_passed, coalesce(string_agg(distinct lang, ',' order by lang) filter (toxic = 1), '') as failed
+from documents join labels using (doc_id) group by 1""")
+def preflight_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K9: the roll-up of checks; sources stand for runs, languages for checks, good documents for critical ones."""
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
+    found = preflight.rolled_up(rows.select(F.col("source").alias("run_id"), F.col("lang").alias("code"), (F.col("toxic") == 0).alias("passed"), (F.col("quality") == 1).alias("critical")))
+    return found.withColumn("failed", F.array_join("failed", ","))
+
+
+@_query("""
+select doc_id, concat_ws(',', case when trim(source) = '' then 'run_name' end, case when lang not in ('en', 'de') then 'base_model' end, case when doc_id % 20 not in (1, 2, 4, 8, 16) then 'lora_r' end,
+case when doc_id % 7 = 0 then 'seed' end, case when doc_id % 30 > 10 then 'lora_dropout' end, case when doc_id % 3 < 1 then 'epochs' end, case when n_chars < 256 then 'max_seq_length' end) as errors from documents""")
+def config_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields of a configuration that break a rule; documents stand for configurations."""
+    configs = _table(spark, sf_dir, "documents").selectExpr(
+        "doc_id", "source as run_name", "lang as base_model", "doc_id % 20 as lora_r", "doc_id % 7 as seed", "(doc_id % 30) / 10D as lora_dropout", "doc_id % 3 as epochs", "n_chars as max_seq_length"
+    )
+    return preflight.config_errors(configs, ["en", "de"]).select("doc_id", F.array_join("errors", ",").alias("errors"))
+
+
+@_query("""
+with c as (select substr(sha256(text), 1, 16) as key, max(doc_id) as doc_id from documents where doc_id % 2 = 0 group by 1)
+select d.doc_id, 'r' || c.doc_id as result from documents d left join c on substr(sha256(d.text), 1, 16) = c.key""")
+def cached_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results by the key of a prompt, the newest of a key; even documents stand for the cache."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("prompt"))
+    cache = docs.where("doc_id % 2 = 0").select(prompt_key(F.col("prompt")).alias("key"), F.concat(F.lit("r"), "doc_id").alias("result"), F.col("doc_id").alias("at"))
+    return listing.cached_results(docs, cache).select("doc_id", "result")
+
+
+@_query("""
+select case_id, status, reviewer, second_reviewer from (select doc_id as case_id, case when quality = 1 then 'pending' else 'approved' end as status, case toxic when 1 then 'sec' else 'loop' end as case_type,
+case when doc_id % 3 > 0 then 'r' || doc_id % 3 end as reviewer, case when doc_id % 4 > 0 then 'r' || doc_id % 4 end as second_reviewer from labels)
+where status = 'pending' and (case_type <> 'sec' or second_reviewer is not null and second_reviewer is distinct from reviewer)""")
+def case_approvals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K4: cases that may be approved; labels stand for cases."""
+    cases = _table(spark, sf_dir, "labels").selectExpr(
+        "doc_id as case_id", "if(quality = 1, 'pending', 'approved') as status", "if(toxic = 1, 'sec', 'loop') as case_type", "if(doc_id % 3 > 0, concat('r', doc_id % 3), null) as reviewer",
+        "if(doc_id % 4 > 0, concat('r', doc_id % 4), null) as second_reviewer", "'{}' as edited_example_json",
+    )
+    return workflow.case_approvals(cases).select("case_id", "status", "reviewer", "second_reviewer")
+
+
+@_query("""
+with r as (select lang as suite, quality = 1 as passed, toxic = 0 as valid_json from documents join labels using (doc_id)),
+two as (select suite, passed, valid_json from r union all select suite, passed and valid_json, valid_json from r)
+select suite, count(*) as total, count(*) filter (passed) as passed, count(*) filter (valid_json) as valid_json from two group by 1""")
+def combined_suites(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results of two modes as one suite."""
+    rows = _table(spark, sf_dir, "documents").join(_table(spark, sf_dir, "labels"), "doc_id")
+    raw = rows.select(F.col("lang").alias("suite"), F.col("doc_id").alias("case_id"), (F.col("quality") == 1).alias("passed"), (F.col("toxic") == 0).alias("valid_json"))
+    api = raw.withColumn("passed", F.col("passed") & F.col("valid_json"))
+    return evaluation.suite_summary(evaluation.combined_modes(raw, api)).select("suite", "total", "passed", "valid_json")
+
+
+@_query("select event_id, json_object('k', props::json->'k', 'ip', '[REDACTED_IP]') as redacted from events")
+def redacted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """String values of JSON redacted, at any depth."""
+    value = F.concat(F.lit('{"k":'), F.coalesce(F.get_json_object("props", "$.k"), F.lit("null")), F.lit(', "ip": "10.0.'), F.col("event_id") % 200, F.lit('.1"}'))
+    out = _table(spark, sf_dir, "events").select("event_id", redact_json(value).alias("redacted"))
+    return out.withColumn("redacted", F.replace(F.replace("redacted", F.lit('": '), F.lit('":')), F.lit(", "), F.lit(",")))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
