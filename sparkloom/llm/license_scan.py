@@ -37,13 +37,45 @@ _GNU = (
     "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
 )
+_GNU_2 = (
+    "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;",
+)
+_LGPL = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."
+_LGPL_3 = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+_AGPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."
+_ZLIB = (
+    "This software is provided 'as-is', without any express or implied warranty.",
+    "In no event will the authors be held liable for any damages arising from the use of this software.",
+    "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions:",
+)
+_BOOST = "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:"
+_BSD_ADVERTISING = "All advertising materials mentioning features or use of this software must display the following acknowledgement:"
+_APACHE_TEXT = (
+    "\"License\" shall mean the terms and conditions for use, reproduction, and distribution as defined by Sections 1 through 9 of this document.",
+    "\"Licensor\" shall mean the copyright owner or entity authorized by the copyright owner that is granting the License.",
+)
+_GPL_TEXT = (
+    "The GNU General Public License is a free, copyleft license for software and other kinds of works.",
+    "The licenses for most software and other practical works are designed to take away your freedom to share and change the works.",
+)
+_MPL_TEXT = (
+    "\"Contributor\" means each individual or legal entity that creates, contributes to the creation of, or owns Covered Software.",
+    "\"Contributor Version\" means the combination of the Contributions of others (if any) used by a Contributor and that particular Contributor's Contribution.",
+)
+# SPDX identifiers, for rules of the one sentence that names them.
+SPDX = (
+    "0BSD", "AFL-3.0", "AGPL-3.0-only", "AGPL-3.0-or-later", "Apache-1.1", "Apache-2.0", "Artistic-2.0", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0", "CC-BY-3.0", "CC-BY-4.0", "CC-BY-NC-4.0", "CC-BY-NC-ND-4.0",
+    "CC-BY-NC-SA-4.0", "CC-BY-ND-4.0", "CC-BY-SA-3.0", "CC-BY-SA-4.0", "CC0-1.0", "CDDL-1.0", "ECL-2.0", "EPL-1.0", "EPL-2.0", "EUPL-1.2", "GFDL-1.3-only", "GPL-2.0-only", "GPL-2.0-or-later", "GPL-3.0-only", "GPL-3.0-or-later", "ISC",
+    "LGPL-2.1-only", "LGPL-2.1-or-later", "LGPL-3.0-only", "LGPL-3.0-or-later", "LPPL-1.3c", "MIT", "MIT-0", "MPL-1.1", "MPL-2.0", "MS-PL", "NCSA", "ODbL-1.0", "OFL-1.1", "OSL-3.0", "PostgreSQL", "Python-2.0", "Unlicense", "UPL-1.0", "WTFPL", "Zlib",
+)
 RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
-    ("MIT", _MIT), ("MIT", _MIT[:1]), ("MIT", ("Released under the MIT License.",)), ("MIT", ("Licensed under the MIT License.",)), ("MIT", ("This project is licensed under the MIT License.",)), ("MIT", ("SPDX-License-Identifier: MIT",)),
+    ("MIT", _MIT), ("MIT", _MIT[:1]), ("MIT", ("Released under the MIT License.",)), ("MIT", ("Licensed under the MIT License.",)), ("MIT", ("This project is licensed under the MIT License.",)), 
     ("BSD-3-Clause", (*_BSD, _BSD_NAME)), ("BSD-2-Clause", _BSD), ("BSD-3-Clause", ("Licensed under the BSD 3-Clause License.",)), ("BSD-2-Clause", ("Licensed under the BSD 2-Clause License.",)),
     ("ISC", ("Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",)),
     ("Apache-2.0", ("Licensed under the Apache License, Version 2.0 (the \"License\");", "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0")),
-    ("Apache-2.0", ("Licensed under the Apache License, Version 2.0 (the \"License\");",)), ("Apache-2.0", ("Licensed under the Apache License, Version 2.0.",)), ("Apache-2.0", ("SPDX-License-Identifier: Apache-2.0",)),
-    ("GPL-3.0-or-later", _GNU), ("GPL-3.0-or-later", _GNU[:1]), ("GPL-3.0-only", ("This work is licensed under the GNU General Public License, version 3.",)), ("GPL-3.0-only", ("Licensed under the GNU General Public License, version 3.",)), ("GPL-3.0-only", ("SPDX-License-Identifier: GPL-3.0-only",)),
+    ("Apache-2.0", ("Licensed under the Apache License, Version 2.0 (the \"License\");",)), ("Apache-2.0", ("Licensed under the Apache License, Version 2.0.",)), 
+    ("GPL-3.0-or-later", _GNU), ("GPL-3.0-or-later", _GNU[:1]), ("GPL-3.0-only", ("This work is licensed under the GNU General Public License, version 3.",)), ("GPL-3.0-only", ("Licensed under the GNU General Public License, version 3.",)),
     ("GPL-2.0-only", ("This work is licensed under the GNU General Public License, version 2.",)), ("GPL-2.0-only", ("Licensed under the GNU General Public License, version 2.",)),
     ("LGPL-3.0-only", ("Licensed under the GNU Lesser General Public License, version 3.",)), ("AGPL-3.0-only", ("Licensed under the GNU Affero General Public License, version 3.",)),
     ("MPL-2.0", ("This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",)), ("MPL-2.0", ("Licensed under the Mozilla Public License, version 2.0.",)),
@@ -51,6 +83,17 @@ RULES: tuple[tuple[str, tuple[str, ...]], ...] = (
     ("CC-BY-4.0", ("This work is licensed under a Creative Commons Attribution 4.0 International License.",)), ("CC-BY-SA-4.0", ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",)),
     ("CC0-1.0", ("To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work.",)),
     ("Unlicense", ("This is free and unencumbered software released into the public domain.",)),
+    ("Unlicense", ("This is free and unencumbered software released into the public domain.", "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.")),
+    ("GPL-2.0-or-later", _GNU_2), ("GPL-2.0-or-later", _GNU_2[:1]), ("LGPL-2.1-or-later", (_LGPL,)), ("LGPL-3.0-or-later", (_LGPL_3,)), ("AGPL-3.0-or-later", (_AGPL,)),
+    ("BSD-4-Clause", (*_BSD, _BSD_ADVERTISING, _BSD_NAME)), ("BSD-4-Clause", (*_BSD, _BSD_ADVERTISING)), ("Zlib", _ZLIB), ("Zlib", _ZLIB[2:]), ("BSL-1.0", (_BOOST,)),
+    ("BSL-1.0", ("Distributed under the Boost Software License, Version 1.0.",)), ("Apache-2.0", _APACHE_TEXT), ("GPL-3.0-only", _GPL_TEXT), ("MPL-2.0", _MPL_TEXT),
+    ("EPL-2.0", ("This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",)),
+    ("EPL-1.0", ("All rights reserved.", "This program and the accompanying materials are made available under the terms of the Eclipse Public License v1.0 which accompanies this distribution, and is available at http://www.eclipse.org/legal/epl-v10.html")),
+    ("WTFPL", ("Everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed.",)),
+    ("OFL-1.1", ("This Font Software is licensed under the SIL Open Font License, Version 1.1.",)), ("Artistic-2.0", ("This is free software, licensed under: The Artistic License 2.0",)),
+    ("CC-BY-NC-4.0", ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",)), ("CC-BY-ND-4.0", ("This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",)),
+    ("CC-BY-NC-SA-4.0", ("This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",)), ("CC-BY-NC-ND-4.0", ("This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",)),
+    *((name, (f"SPDX-License-Identifier: {name}",)) for name in SPDX),
     ("LicenseRef-Proprietary", ("All rights reserved.",)),
 )
 

@@ -410,11 +410,20 @@ def test_licences(spark):
     assert dict(rows)[5][got[5].spans[0].start : got[5].spans[0].end] == "Licensed under CC BY-NC 4.0." and got[900].n_licenses == 0
 
 
+def test_licence_families_are_told_apart():
+    table = license_scan.Rules.of(license_scan.RULES)
+    named = lambda *parts: [x[0] for x in license_scan.matches(license_scan.sentence_ids("\n\n".join(parts), table), table)]
+    bsd, name, advert = license_scan._BSD, license_scan._BSD_NAME, license_scan._BSD_ADVERTISING
+    assert named(*bsd) == ["BSD-2-Clause"] and named(*bsd, name) == ["BSD-3-Clause"] and named(*bsd, advert, name) == ["BSD-4-Clause"]
+    assert named(license_scan._GNU[0]) == ["GPL-3.0-or-later"] and named(license_scan._GNU_2[0]) == ["GPL-2.0-or-later"] and named(license_scan._LGPL_3) == ["LGPL-3.0-or-later"] and named(license_scan._AGPL) == ["AGPL-3.0-or-later"]
+    assert named("All rights reserved.") == ["LicenseRef-Proprietary"] and named("SPDX-License-Identifier: GPL-2.0-or-later") == ["GPL-2.0-or-later"] and named("SPDX-License-Identifier: GPL-9") == []
+
+
 def test_every_licence_rule_is_found_in_its_own_text():
     table = license_scan.Rules.of(license_scan.RULES)
     for name, parts in license_scan.RULES:
         for text in (" ".join(parts), "\n\n".join(parts), "Some words before. " + re.sub(r"(\w+ \w+ \w+) ", r"\1\n# ", " ".join(parts)) + "\n\nAnd words after."):
-            assert [x[0] for x in license_scan.matches(license_scan.sentence_ids(text, table), table)] == [name]
+            assert [x[0] for x in license_scan.matches(license_scan.sentence_ids(text, table), table)] == [name], text
     notice = "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0."
     text = f"/* {notice} If a copy of the MPL was not distributed with this\nfile, You can obtain one at https://mozilla.org/MPL/2.0/. */"
     [(name, a, b)] = license_scan.matches(license_scan.sentence_ids(text, table), table)
