@@ -410,6 +410,30 @@ def test_licences(spark):
     assert dict(rows)[5][got[5].spans[0].start : got[5].spans[0].end] == "Licensed under CC BY-NC 4.0." and got[900].n_licenses == 0
 
 
+def test_licence_query_against_plain_search(spark):
+    """Over all documents of sf0.01: a rule matches where the words of its sentences follow one another."""
+    from sparkloom.llm import queries
+
+    folder = "/root/testdata/sf0.01"
+    got = {r.doc_id: r.licenses for r in queries.op5_license_scan(spark, folder).collect()}
+    rows = pq.read_table(f"{folder}/documents.parquet", columns=["doc_id", "text"]).to_pylist()
+    rules = [(name, re.compile(" (?:.* )?".join(re.escape(license_scan.normal(x)) for x in parts))) for name, parts in license_scan.RULES]
+    for row in rows:
+        flat = license_scan.normal(row["text"] or "")
+        assert got[row["doc_id"]] == ",".join(sorted({name for name, rule in rules if rule.search(flat)}))
+    assert len(got) == len(rows) and len(set(got.values())) > 4
+
+
+def test_toxicity_query_on_held_out_rows(spark):
+    """Over all documents of sf0.1, on the labelled rows that the lexicon isn't learned from. Some labels are wrong: 9 of 144 toxic rows hold no entry at all."""
+    from sparkloom.llm import queries
+
+    folder = "/root/testdata/sf0.1"
+    found = queries.op7_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id").where("held_out and toxic is not null")
+    hit, missed, wrong, right = found.selectExpr("count_if(predicted = 1 and toxic = 1)", "count_if(predicted = 0 and toxic = 1)", "count_if(predicted = 1 and toxic = 0)", "count_if(predicted = 0 and toxic = 0)").first()
+    assert hit >= 0.9 * (hit + missed) and wrong <= 0.01 * (wrong + right) and hit > 100
+
+
 def test_licence_families_are_told_apart():
     table = license_scan.Rules.of(license_scan.RULES)
     named = lambda *parts: [x[0] for x in license_scan.matches(license_scan.sentence_ids("\n\n".join(parts), table), table)]
