@@ -5,9 +5,15 @@ All windows of a session share one partitioning, so Catalyst plans a single exch
 
 from __future__ import annotations
 
+import json
+from typing import Any
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from sparkloom.functions.chat_json import canonical, strict_object, tool_calls
 from sparkloom.functions.text import md5_bucket
 from sparkloom.schema import CASE_PRIORITY, SESSION_LIMIT, SUCCESS_RATE
 
@@ -50,11 +56,64 @@ def recoveries(events: DataFrame, within: int = 3) -> DataFrame:
     return rows.where((F.col("kind") == "error") & (F.col("next_kind") == "call") & (F.col("next_n") - F.col("n") <= within)).drop("kind", "next_kind", "next_n", "n")
 
 
+def _arguments(value: Any) -> Any:
+    """Decoded where they are a string; a number without a fraction as an integer."""
+    if isinstance(value, str):
+        value = strict_object(value)[0]
+    return json.loads(json.dumps(value), parse_float=lambda x: int(float(x)) if float(x).is_integer() else float(x))
+
+
+def message_call(data: dict[str, Any]) -> tuple[str, Any] | None:
+    """Name and arguments of an assistant message's call: its own fields, the first of tool_calls, or the first in its content."""
+    if isinstance(data.get("name"), str):
+        arguments = _arguments(data.get("arguments"))
+        return (data["name"], arguments) if isinstance(arguments, dict) else None
+    first = data["tool_calls"][0] if isinstance(data.get("tool_calls"), list) and data["tool_calls"] else None
+    if isinstance(first, dict) and isinstance(first.get("function", {}), dict):
+        return message_call(first.get("function", {}))
+    found = tool_calls(data["content"])[0] if isinstance(data.get("content"), str) else []
+    return (found[0]["name"], _arguments(found[0]["arguments"])) if found else None
+
+
+@F.pandas_udf(T.StringType())
+def _call_made(event: pd.Series, data: pd.Series) -> pd.Series:
+    """The call of a tool_call event or an assistant message as text that equal calls share: empty for an assistant message without one, null for other events."""
+
+    def one(kind: str, text: str | None) -> str | None:
+        value = strict_object(text)[0] or {}
+        if kind == "tool_call":
+            inner = value["function"] if isinstance(value.get("function"), dict) else value
+            return canonical([inner.get("name"), _arguments(inner.get("arguments"))])
+        if kind != "message" or value.get("role") != "assistant":
+            return None
+        call = message_call(value)
+        return canonical(list(call)) if call else ""
+
+    return pd.Series([one(k, t) for k, t in zip(event, data, strict=True)], dtype=object)
+
+
 def unchanged_after_error(events: DataFrame) -> DataFrame:
-    """Errors after which the next call equals the one before: as-of backward and forward in the session."""
-    call = F.when(F.col("event") == "tool_call", call_key())
-    rows = events.withColumn("_c", call).withColumn("before", F.last("_c", ignorenulls=True).over(_by_time().rowsBetween(Window.unboundedPreceding, -1))).withColumn("after", F.first("_c", ignorenulls=True).over(_by_time().rowsBetween(1, Window.unboundedFollowing)))
-    return rows.where((F.col("event") == "tool_result") & is_error(F.col("data")) & (F.col("before") == F.col("after"))).drop("_c", "before", "after")
+    """Errors where the session's next assistant message makes the call of the last tool_call event before: as-of backward and forward."""
+    rows = events.withColumn("_c", _call_made("event", "data"))
+    seen = lambda kind: F.when(F.col("event") == kind, F.col("_c"))
+    rows = rows.withColumn("_b", F.last(seen("tool_call"), ignorenulls=True).over(_by_time().rowsBetween(Window.unboundedPreceding, -1)))
+    rows = rows.withColumn("_a", F.first(seen("message"), ignorenulls=True).over(_by_time().rowsBetween(1, Window.unboundedFollowing)))
+    return rows.where((F.col("event") == "tool_result") & is_error(F.col("data")) & (F.col("_b") == F.col("_a"))).drop("_c", "_b", "_a")
+
+
+def well_formed_call(data: Column) -> Column:
+    """Whether a logged call is a JSON object with a name that isn't blank and an object of arguments, which may be a string of JSON; both may stand below function."""
+    whole = F.try_parse_json(data)
+    kind = lambda v: F.coalesce(F.schema_of_variant(v), F.lit(""))
+    of = lambda path: F.try_variant_get(whole, path, "variant")
+
+    def sound(at: str) -> Column:
+        name, arguments = F.get_json_object(data, f"{at}.name"), F.get_json_object(data, f"{at}.arguments")
+        named = (kind(of(f"{at}.name")) == "STRING") & (F.trim(F.coalesce(name, F.lit(""))) != "")
+        decoded = (kind(of(f"{at}.arguments")) == "STRING") & kind(F.try_parse_json(arguments)).startswith("OBJECT")
+        return named & (kind(of(f"{at}.arguments")).startswith("OBJECT") | decoded)
+
+    return F.when(kind(of("$.function")).startswith("OBJECT"), sound("$.function")).otherwise(sound("$"))
 
 
 def success_sample(sessions: DataFrame, rate: float = SUCCESS_RATE) -> DataFrame:
@@ -71,8 +130,7 @@ def detect_cases(events: DataFrame, rate: float = SUCCESS_RATE, since: str | Non
     if since:
         events = events.join(events.where(F.col("ts") >= F.lit(since).cast("timestamp")).select("session_id").distinct(), "session_id", "left_semi")
     rows = first_events(events).drop("n")
-    name = F.coalesce(F.get_json_object("data", "$.name"), F.get_json_object("data", "$.function.name"))
-    bad = (F.col("event") == "tool_call") & (F.coalesce(F.expr("try_parse_json(data)").isNull(), F.lit(True)) | F.coalesce(name, F.lit("")).eqNullSafe(""))
+    bad = (F.col("event") == "tool_call") & ~well_formed_call(F.col("data"))
     verdict = F.get_json_object("data", "$.verdict")
     # JSON true and false; neither 0 and 1 nor strings
     is_ = lambda path, value: F.expr(f"coalesce(schema_of_variant(try_variant_get(try_parse_json(data), '{path}', 'variant')) = 'BOOLEAN' and get_json_object(data, '{path}') = '{value}', false)")

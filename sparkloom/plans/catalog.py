@@ -37,20 +37,21 @@ def _activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "events").selectExpr("event_id as id", "user_id as session_id", "ts", "concat('m', user_id % 3) as model_version", f"{kind} as event", "props as data", "value")
 
 
-# The activity log with data such as agents write, by the number k in the properties: sessions are the days of a user.
+# The activity log with data such as agents write, by the number k in the properties: sessions are the days of users of one remainder.
 _AGENT = """case event_type when 'error' then case when k % 6 = 0 then 'circuit_breaker' when k % 6 = 1 then 'cancel' else 'message' end when 'click' then 'tool_call'
 when 'view' then 'tool_result' when 'purchase' then 'outcome' else case when k % 5 = 0 then 'override' else 'verdict' end end as event,
-case event_type when 'click' then case when k % 10 = 0 then '{"name": ""}' else concat('{"name": "t', k % 2, '", "arguments": {"p": ', k % 3, '}}') end
+case event_type when 'click' then case when k % 10 = 0 then '{"name": ""}' when k % 10 = 5 then '{"name": "t1", "arguments": [1]}' else concat('{"name": "t', k % 2, '", "arguments": {"p": ', k % 3, '}}') end
 when 'view' then case when k % 2 = 0 then concat('{"error": "boom ', k, '"}') else '{"content": "fine"}' end
+when 'error' then case when k % 6 > 3 then concat('{"role": "assistant", "name": "t', k % 2, '", "arguments": {"p": ', k % 3, '}}') when k % 6 = 3 then '{"role": "assistant", "content": "I stop"}' else '{"role": "user"}' end
 when 'purchase' then concat('{"success": ', case when k % 2 = 0 then 'true' else 'false' end, ', "duration_ms": ', k, '}')
 when 'signup' then case when k % 5 = 0 then '{"confirmed_safe": true}' when k % 2 = 0 then '{"verdict": "PASS"}' else '{"verdict": "REJECT"}' end else '{}' end as data"""
-_AGT = f"(select event_id as id, concat(user_id, '-', day(ts)) as session_id, ts, concat('m', user_id % 3) as model_version, {_AGENT} from (select *, (props::json->>'k')::integer as k from events))"
+_AGT = f"(select event_id as id, concat(user_id % 20, '-', day(ts)) as session_id, ts, concat('m', user_id % 20 % 3) as model_version, {_AGENT} from (select *, (props::json->>'k')::integer as k from events))"
 
 
 def _agents(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("int"))
     event, data = _AGENT.split(" as event,")
-    return rows.selectExpr("event_id as id", "concat(user_id, '-', day(ts)) as session_id", "ts", "concat('m', user_id % 3) as model_version", f"{event} as event", data)
+    return rows.selectExpr("event_id as id", "concat(user_id % 20, '-', day(ts)) as session_id", "ts", "concat('m', user_id % 20 % 3) as model_version", f"{event} as event", data)
 
 
 _BUCKET = "(" + " + ".join(f"('0x' || substr(md5(session_id), {8 * k + 1}, 8))::bigint * {pow(96, 3 - k, 100)}" for k in range(4)) + ") % 100"
@@ -63,7 +64,7 @@ recovered as (select * from k where kind = 'error' and next_kind = 'call' and ne
 _REPEATED = f"repeated as (select * from (select *, lag({_CALL}) over {_BY_TIME} as b, {_CALL} as c from {_AGT} where event = 'tool_call') where b = c)"
 _UNCHANGED = f"""
 around as (select *, last_value(case when event = 'tool_call' then {_CALL} end ignore nulls) over (partition by session_id order by ts, id rows between unbounded preceding and 1 preceding) as b,
-first_value(case when event = 'tool_call' then {_CALL} end ignore nulls) over (partition by session_id order by ts, id rows between 1 following and unbounded following) as f from {_AGT}),
+first_value(case when event = 'message' and data::json->>'role' = 'assistant' then coalesce({_CALL}, '') end ignore nulls) over (partition by session_id order by ts, id rows between 1 following and unbounded following) as f from {_AGT}),
 unchanged as (select * from around where event = 'tool_result' and data::json->>'error' is not null and b = f)"""
 
 _ACT = "(select event_id as id, user_id as session_id, ts, 'm' || (user_id % 3) as model_version, case event_type when 'error' then 'circuit_breaker' when 'click' then 'tool_call' when 'view' then 'tool_result' when 'purchase' then 'outcome' else 'message' end as event, props as data, value from events)"
@@ -422,7 +423,7 @@ _PRIORITY = " ".join(f"when '{k}' then {v}" for k, v in CASE_PRIORITY.items())
 @_query(f"""
 with {_REPEATED}, {_UNCHANGED}, a as (select *, bool_or(event = 'outcome' and data::json->>'success' = 'false') over (partition by session_id) as failed, bool_or(event = 'override') over (partition by session_id) as safe from {_AGT}),
 once as (select distinct session_id, model_version, case_type, signal from (select *, 'loop' as case_type, 'circuit_breaker' as signal from a where event = 'circuit_breaker'
-union all by name select *, 'loop' as case_type, 'repeated_call' as signal from repeated union all by name select *, 'syntax' as case_type, 'malformed_call' as signal from a where event = 'tool_call' and data::json->>'name' = ''
+union all by name select *, 'loop' as case_type, 'repeated_call' as signal from repeated union all by name select *, 'syntax' as case_type, 'malformed_call' as signal from a where event = 'tool_call' and (data::json->>'name' = '' or coalesce(json_type(data::json->'arguments'), '') <> 'OBJECT')
 union all by name select *, 'loop' as case_type, 'unchanged_after_error' as signal from unchanged union all by name select *, 'cancel' as case_type, 'cancelled' as signal from a where event = 'cancel')),
 cases as (from once union all select session_id, model_version, 'false_negative', 'pass_then_failed' from a where event = 'verdict' and data::json->>'verdict' = 'PASS' and failed
 union all select session_id, model_version, 'false_positive', 'reject_confirmed_safe' from a where event = 'verdict' and data::json->>'verdict' = 'REJECT' and safe),

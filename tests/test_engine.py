@@ -101,17 +101,20 @@ def test_detectors(spark):
     same = '{"arguments": {"n": 1, "path": "a"}, "name": "read_file"}'
     log = _log(spark, [
         ("breaker", "circuit_breaker", {"reason": "x"}), ("repeat", "tool_call", call), ("repeat", "message", {}), ("repeat", "tool_call", same),
-        ("bad", "tool_call", {"name": "", "arguments": "x"}), ("stuck", "tool_call", call), ("stuck", "tool_result", {"error": "no"}), ("stuck", "tool_call", call),
+        ("bad", "tool_call", {"name": "", "arguments": "x"}), ("stuck", "tool_call", call), ("stuck", "tool_result", {"error": "no"}), ("stuck", "message", {"role": "user"}), ("stuck", "message", {"role": "assistant", "tool_calls": [{"function": {"name": "read_file", "arguments": '{"n": 1.0, "path": "a"}'}}]}),
+        ("said", "tool_call", call), ("said", "tool_result", {"status": "error"}), ("said", "message", {"role": "assistant", "content": 'again <tool_call>{"name": "read_file", "arguments": {"path": "a", "n": 1}}</tool_call>'}),
+        ("changed", "tool_call", call), ("changed", "tool_result", {"error": "no"}), ("changed", "message", {"role": "assistant", "content": "I stop"}), ("changed", "message", {"role": "assistant", "name": "read_file", "arguments": {"path": "a", "n": 1}}),
+        ("bare", "tool_call", {"name": "x"}), ("nested", "tool_call", {"function": {"name": "x", "arguments": "{}"}}), ("list", "tool_call", {"name": "x", "arguments": [1]}), ("text", "tool_call", {"name": "x", "arguments": "no json"}),
         ("miss", "outcome", {"success": False}), ("miss", "verdict", {"verdict": "PASS"}), ("miss", "verdict", {"verdict": "PASS"}),
         ("strict", "verdict", {"verdict": "REJECT"}), ("strict", "override", {"confirmed_safe": True}), ("off", "undo", {}), ("fine", "tool_result", {"error": None}),
         ("odd", "outcome", {"success": 0}), ("odd", "outcome", {"success": "false"}), ("odd", "verdict", {"verdict": "PASS"}), ("odd", "verdict", {"verdict": "REJECT"}), ("odd", "override", {"confirmed_safe": "true"}),
     ])
     got = sorted((r.session_id, r.case_type, r.priority) for r in sessions.detect_cases(log, rate=1.0).collect())
     assert got == sorted([
-        ("breaker", "loop", 4), ("repeat", "loop", 4), ("bad", "syntax", 3), ("stuck", "loop", 4), ("stuck", "loop", 4), ("miss", "false_negative", 5), ("miss", "false_negative", 5),
+        ("breaker", "loop", 4), ("repeat", "loop", 4), ("bad", "syntax", 3), ("stuck", "loop", 4), ("said", "loop", 4), ("changed", "success", 1), ("bare", "syntax", 3), ("nested", "success", 1), ("list", "syntax", 3), ("text", "syntax", 3), ("miss", "false_negative", 5), ("miss", "false_negative", 5),
         ("strict", "false_positive", 3), ("off", "cancel", 2), ("fine", "success", 1), ("odd", "success", 1),
     ])
-    assert sessions.reliability(log).first().sessions == 9
+    assert sessions.reliability(log).first().sessions == 15
 
 
 def test_recoveries_against_loop(spark):
