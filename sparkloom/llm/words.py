@@ -6,6 +6,7 @@ of single bytes, so whole record batches are split and hashed with a few numpy p
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer single text is handled alone.
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _BYTES = np.arange(256)
 _LOWER = np.where((_BYTES >= 65) & (_BYTES <= 90), _BYTES + 32, _BYTES).astype(np.uint8)
@@ -67,8 +68,16 @@ def string_parts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
+def give_back() -> None:
+    """Returns what Arrow and the C library keep of freed memory, as Spark's Python workers live on between tasks, beside those of other stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim:
+        trim(0)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit: int = 0) -> Iterator[pa.RecordBatch]:
-    """The batches cut by rows so that each holds about ``limit`` bytes of text, or one row."""
+    """The batches cut by rows so that each holds about ``limit`` bytes of text, or one row. Gives memory back after each batch."""
     limit = limit or CHUNK_BYTES
     for batch in batches:
         if not batch.num_rows:
@@ -80,6 +89,7 @@ def chunks(batches: Iterator[pa.RecordBatch], column: str | int = "text", limit:
             stop = max(at + 1, int(np.searchsorted(ends, done + limit, "right")))
             yield batch.slice(at, stop - at)
             at = stop
+        give_back()
 
 
 @dataclass
