@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, html_text, license_scan, minhash, preference, segment, token_output, toxicity, url_filter, vectors
-from sparkloom.llm.store import table
+from sparkloom.llm import decontaminate, html_text, license_scan, minhash, preference, prefix_trie, segment, token_output, toxicity, url_filter, vectors
+from sparkloom.llm.store import scope, table
 
 #: The rules of op6: verdict, host/path.
 URL_RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
@@ -66,10 +66,17 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with scope(spark) as stay:
+        found = prefix_trie.build(*prefix_trie.rebuilt(prefix_trie.turns(table(spark, sf_dir, "conversations"))))
+        stay.append(found)
+    return found
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_embedding_near_dedup, op2_sentencepiece_sampling, op3_token_output, op4_preference_format, op5_license_scan, op6_url_filter,
-        op7_toxicity, op8_html_extraction, op9_decontamination, op10_minhash_near_dedup,
+        op7_toxicity, op8_html_extraction, op9_decontamination, op10_minhash_near_dedup, op11_conversation_trie,
     )
     return {f.__name__: f for f in found}
 
@@ -140,6 +147,27 @@ links as (select u, v from one union all select v, u from one),
 reach(u, v) as (select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u),
 low as (select u, min(v) as low from reach group by u)
 select doc_id, least(doc_id, coalesce(low, doc_id)) as component_id, doc_id = least(doc_id, coalesce(low, doc_id)) as kept from documents left join low on low.u = doc_id
+""",
+    "op11_conversation_trie": r"""
+with crc_table as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, b::bigint)) as t),
+turn_rows as (select conv_id, sha256(concat(strlen(coalesce(role, '')), ':', coalesce(role, ''), coalesce(text, ''))) as digest, turn, length(coalesce(text, '')) as chars from conversations where conv_id is not null),
+t as (select *, row_number() over (partition by conv_id order by turn nulls first, digest) as k from turn_rows),
+ids as (select conv_id, n, conv_id - conv_id % 100 as first_id,
+        xor(list_reduce(list_transform(string_split(conv_id::varchar, ''), lambda x: ord(x)::bigint), lambda c, b: xor(c >> 8, crc_table.t[(xor(c, b) & 255) + 1]), 4294967295::bigint), 4294967295::bigint) % 6 as h
+        from (select conv_id, count(*) as n from t group by 1), crc_table),
+c as (select a.*, least(a.h, coalesce(b.n, 0)) as m from ids a left join ids b on b.conv_id = a.first_id),
+r as (select c.conv_id, t.k as d, digest, chars from c join t on t.conv_id = c.first_id and t.k <= c.h union all
+      select c.conv_id, m + t.k - h, digest, chars from c join t on t.conv_id = c.conv_id and t.k > c.h),
+p as (select conv_id, 0 as d, '' as path, 0 as chars from c union all
+      select conv_id, d, string_agg(digest, '') over (partition by conv_id order by d) as path, chars from r),
+s as (select *, max(d) over (partition by conv_id) as size, lag(path) over (partition by conv_id order by d) as above from p),
+node as (select d, path, min(conv_id) as conv_id, count(*) as n, any_value(above) as above, any_value(chars) as chars, sha256(coalesce(string_agg(conv_id::varchar, ',' order by conv_id) filter (d = size), '')) as ends_sha256 from s group by 1, 2),
+kids as (select d - 1 as d, above as path, count(*) as n_children from node where d > 0 group by 1, 2),
+leaf as (select node.* from node left join kids using (d, path) where n_children is null),
+leaves as (select s.d, s.path, count(*) as n_leaves from leaf join s on s.conv_id = leaf.conv_id and s.d <= leaf.d group by 1, 2),
+saved as (select s.d, s.path, sum((node.n - 1) * node.chars)::bigint as saved_tokens from node join s on s.conv_id = node.conv_id and s.d <= node.d group by 1, 2)
+select node.conv_id, node.d::bigint as depth, up.conv_id as parent_conv_id, node.n as n_convs, coalesce(n_children, 0) as n_children, n_leaves, saved_tokens, node.ends_sha256
+from node join leaves using (d, path) join saved using (d, path) left join kids using (d, path) left join node up on up.d = node.d - 1 and up.path = node.above
 """,
 }
 
