@@ -17,10 +17,10 @@ def positions(df: DataFrame, keys: list[str], order: list[str], *, number: str =
     """
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = kept(df.repartitionByRange(n, *keys, *order).withColumn("_part", F.spark_partition_id()), "ranged")
-    sums = [F.count(F.lit(1)).alias("_n")] + [F.sum(total).alias("_total")] * bool(total)
+    sums = [F.count(F.lit(1)).alias("_n")] + ([F.sum(total).alias("_total")] if total else [])
     earlier = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     parts = placed.groupBy(*keys, "_part").agg(*sums)
-    parts = parts.select("*", F.sum("_n").over(earlier).alias("_n0"), *[F.sum("_total").over(earlier).alias("_t0")] * bool(total)).where("_n0 is not null")
+    parts = parts.select("*", F.sum("_n").over(earlier).alias("_n0"), *([F.sum("_total").over(earlier).alias("_t0")] if total else [])).where("_n0 is not null")
     parts = parts.select(F.col("_part").alias("_p"), *(F.col(k).alias(f"_key_{i}") for i, k in enumerate(keys)), "_n0", *["_t0"] * bool(total))
     here = Window.partitionBy("_part", *keys).orderBy(*order)
     out = placed.withColumn("_k", F.row_number().over(here))

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import decontaminate, html_text, license_scan, minhash, preference, prefix_trie, segment, token_output, toxicity, url_filter, vectors
+from sparkloom.llm import change_feed, decontaminate, html_text, license_scan, minhash, preference, prefix_trie, segment, token_output, toxicity, url_filter, vectors
 from sparkloom.llm.store import scope, table
 
 #: The rules of op6: verdict, host/path.
@@ -73,10 +73,15 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op13_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return change_feed.apply_changes(table(spark, sf_dir, "client_changes"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_embedding_near_dedup, op2_sentencepiece_sampling, op3_token_output, op4_preference_format, op5_license_scan, op6_url_filter,
         op7_toxicity, op8_html_extraction, op9_decontamination, op10_minhash_near_dedup, op11_conversation_trie,
+        op13_sequenced_changes,
     )
     return {f.__name__: f for f in found}
 
