@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import change_feed, decontaminate, html_text, license_scan, minhash, preference, prefix_trie, segment, token_output, toxicity, url_filter, vectors
+from sparkloom.llm import change_feed, decontaminate, html_text, license_scan, minhash, preference, prefix_trie, segment, substring, token_output, toxicity, url_filter, vectors
 from sparkloom.llm.store import scope, table
 
 #: The rules of op6: verdict, host/path.
@@ -73,6 +73,10 @@ def op11_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found
 
 
+def op12_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents"))
+
+
 def op13_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return change_feed.apply_changes(table(spark, sf_dir, "client_changes"))
 
@@ -80,7 +84,7 @@ def op13_sequenced_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_embedding_near_dedup, op2_sentencepiece_sampling, op3_token_output, op4_preference_format, op5_license_scan, op6_url_filter,
-        op7_toxicity, op8_html_extraction, op9_decontamination, op10_minhash_near_dedup, op11_conversation_trie,
+        op7_toxicity, op8_html_extraction, op9_decontamination, op10_minhash_near_dedup, op11_conversation_trie, op12_substring_dedup,
         op13_sequenced_changes,
     )
     return {f.__name__: f for f in found}
@@ -152,6 +156,15 @@ links as (select u, v from one union all select v, u from one),
 reach(u, v) as (select u, v from links union select r.u, l.v from reach r join links l on r.v = l.u),
 low as (select u, min(v) as low from reach group by u)
 select doc_id, least(doc_id, coalesce(low, doc_id)) as component_id, doc_id = least(doc_id, coalesce(low, doc_id)) as kept from documents left join low on low.u = doc_id
+""",
+    "op12_substring_dedup": r"""
+with w as (select doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+win as (select doc_id, k, list_aggregate(w[k:k + 49], 'string_agg', ' ') as g from w, unnest(range(1, len(w) - 48)) t(k) where doc_id is not null),
+least_ids as (select g, min(doc_id) as low from win group by g having min(doc_id) < max(doc_id)),
+gone as (select doc_id, list_distinct(flatten(list(range(k, k + 50)))) as gone from win join least_ids using (g) where low < doc_id group by doc_id)
+select doc_id, len(w)::bigint as n_words, coalesce(len(gone), 0)::bigint as n_removed,
+       sha256(coalesce(list_aggregate(list_filter(w, lambda x, i: not coalesce(list_contains(gone, i), false)), 'string_agg', ' '), '')) as kept_sha256
+from w left join gone using (doc_id)
 """,
     "op11_conversation_trie": r"""
 with crc_table as (select list_transform(range(256), lambda b: list_reduce(range(8), lambda c, k: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end, b::bigint)) as t),

@@ -106,10 +106,11 @@ class Words:
     offsets: np.ndarray
 
 
-def split(column: pa.Array) -> Words:
+def split(column: pa.Array, is_word: np.ndarray = _IS_WORD, value: np.ndarray = _VALUE) -> Words:
+    """is_word, value: whether a byte belongs to words, and the random value of each byte."""
     data, offsets = string_parts(column)
     n = len(data)
-    inside = _IS_WORD[data]
+    inside = is_word[data]
     before = np.zeros(n, bool)
     before[1:] = inside[:-1]
     cuts = offsets[:-1][offsets[:-1] < n]
@@ -121,7 +122,7 @@ def split(column: pa.Array) -> Words:
         after[cuts[cuts > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * powers(_BASE, n), out=total[1:])
+    np.cumsum(value[data] * powers(_BASE, n), out=total[1:])
     hashed = mix((total[end] - total[start]) * powers(_INVERSE, n)[start])
     first = np.searchsorted(start, offsets)
     count = np.diff(first)
