@@ -38,7 +38,12 @@ SLOTS = 16
 #: The event time behind all batches, in seconds.
 FOREVER = 100_000_000_000
 _ROW = pa.schema([("n", pa.int64()), ("day", pa.int64()), ("change_id", pa.int64()), ("op", pa.string()), ("city", pa.string()), ("balance", pa.float64())])
-_ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+#: Settings of the streaming query. Each start opens its state anew; short maintenance closes what an earlier start has left open on executors.
+_SETTINGS = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+    "spark.sql.streaming.stateStore.maintenanceInterval": "2s",
+}
 
 
 def numbered(changes: DataFrame) -> DataFrame:
@@ -247,10 +252,9 @@ def feed(rows: DataFrame) -> DataFrame:
     largest = {r.batch: r.day for r in staged.groupBy("batch").agg(F.max("day").alias("day")).collect()}
     schema = staged.withColumn("at", F.timestamp_seconds(F.lit(0))).schema
     spark.createDataFrame([], schema).write.parquet(source)
-    own = {"spark.sql.streaming.stateStore.providerClass": _ROCKS, "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true"}
-    before = {k: spark.conf.get(k, None) for k in own}
+    before = {k: spark.conf.get(k, None) for k in _SETTINGS}
     try:
-        for k, v in own.items():
+        for k, v in _SETTINGS.items():
             spark.conf.set(k, v)
         seen = 0
         for batch in range(1, BATCHES + 2):
