@@ -32,11 +32,12 @@ def lenient_object(text: str | None) -> dict[str, Any] | None:
 
 def tool_calls(text: str | None) -> tuple[list[dict[str, Any]], list[str], str]:
     """Calls (name, arguments, block), issues and the text outside blocks."""
-    calls, issues, outside, at = [], [], [], 0
+    calls, issues, outside, at, blocks = [], [], [], 0, 0
     text = text or ""
     while (start := text.find(_OPEN, at)) >= 0:
         outside.append(text[at:start])
         end = text.find(_CLOSE, start)
+        blocks += 1
         if end < 0:
             issues.append("unclosed_tag")
             at = len(text)
@@ -53,7 +54,7 @@ def tool_calls(text: str | None) -> tuple[list[dict[str, Any]], list[str], str]:
             issues.append("bad_shape")
     outside.append(text[at:])
     rest = "".join(outside)
-    if _CLOSE in rest:
+    if text.count(_CLOSE) > blocks:
         issues.append("stray_close_tag")
     return calls, issues, rest
 

@@ -6,6 +6,7 @@ import json
 from functools import lru_cache
 from typing import Any
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,6 +15,11 @@ from pyspark.sql import types as T
 from sparkloom.functions.chat_json import structured
 
 
+def rendered_pieces(messages: Column, tools: Column) -> Column:
+    """``rendered`` in pieces: the tools, then each turn."""
+    return F.concat(F.array(F.coalesce(tools, F.lit(""))), F.transform(messages, lambda m: rendered(F.array(m))))
+
+
 def rendered(messages: Column, tools: Column | None = None) -> Column:
     """ChatML of all turns, after the tools if there are any; what else a model's own template adds isn't in it."""
     turn = lambda m: F.concat(F.lit("<|im_start|>"), F.coalesce(m["role"], F.lit("")), F.lit("\n"), F.coalesce(m["content"], F.lit("")), F.lit("<|im_end|>\n"))
@@ -39,6 +45,26 @@ def token_count(text: Column, path: str) -> Column:
     return count(text)
 
 
+def piece_ends(pieces: Column, path: str | None = None) -> Column:
+    """For each piece of a text, the tokens (of the tokenizer file at path; characters without one) that end with it or before.
+
+    The joined text is encoded once, and places of pieces are looked up among the ends of its tokens; null for null.
+    """
+
+    def ends(texts: list[str]) -> list[int]:
+        places = np.cumsum([len(x) for x in texts])
+        if path is None:
+            return places.tolist()
+        tokens = _tokenizer(path).encode("".join(texts), add_special_tokens=False).offsets
+        return np.searchsorted(np.array([b for _, b in tokens], np.int64), places, "right").tolist()
+
+    @F.pandas_udf("array<long>")
+    def counted(column: pd.Series) -> pd.Series:
+        return column.map(lambda x: None if x is None else ends(list(x)))
+
+    return counted(pieces)
+
+
 @F.pandas_udf(T.StringType())
 def structured_messages(messages: pd.Series) -> pd.Series:
     """The turns as a JSON list with tool calls as fields; null for null."""

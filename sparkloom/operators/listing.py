@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import prompt_key
-from sparkloom.schema import MESSAGES
+from sparkloom.schema import MESSAGES, TOKEN_EDGES
 
 # Dollars per million prompt and completion tokens by model, and for any other model.
 TOKEN_COSTS = {"gpt-4o": (2.5, 10.0), "gpt-4o-mini": (0.15, 0.6), "claude-sonnet-4": (3.0, 15.0)}
@@ -118,3 +118,11 @@ def outcome_counts(examples: DataFrame, report: DataFrame) -> DataFrame:
 def code_counts(violations: DataFrame) -> DataFrame:
     """level, code and n of all violations."""
     return violations.groupBy("level", "code").agg(F.count(F.lit(1)).alias("n"))
+
+
+def length_histogram(rows: DataFrame, size: str, edges: tuple[int, ...] = TOKEN_EDGES) -> DataFrame:
+    """bucket and n: rows by the number of edges below their size, with empty buckets; rows of unknown size are bucket -1."""
+    bucket = F.when(F.col(size).isNull(), -1).otherwise(sum((F.when(F.col(size) > e, 1).otherwise(0) for e in edges), F.lit(0))).cast("int")
+    counts = rows.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
+    every = rows.sparkSession.range(-1, len(edges) + 1).select(F.col("id").cast("int").alias("bucket"))
+    return every.join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions.tokens import rendered
+from sparkloom.functions.tokens import rendered, rendered_pieces
 
 # Numeric fields that must be at least this large, and fields that must be above 0.
 AT_LEAST = {
@@ -49,9 +49,23 @@ def rolled_up(results: DataFrame, key: str = "run_id") -> DataFrame:
     return results.groupBy(key).agg(F.bool_and(passed | ~F.coalesce("critical", F.lit(False))).alias("can_proceed"), F.bool_and(passed).alias("all_passed"), failed.alias("failed"))
 
 
+def assistant_spans(examples: DataFrame, ends: Callable[[Column], Column], pieces: Callable[[Column, Column], Column] = rendered_pieces) -> DataFrame:
+    """``loss_spans`` in one pass: id, turn, start, stop. A conversation is rendered once, in pieces, and counted once.
+
+    ends: for each piece how much of the whole ends with it or before, such as ``tokens.piece_ends``; pieces: of messages and tools, the
+    part before the turns first, such as ``templates.pieces``. Equal to counting every prefix where no token reaches
+    across the end of a turn, which special tokens at both sides of it prevent.
+    """
+    counted = examples.select("id", "messages", ends(pieces(F.col("messages"), F.col("tools"))).alias("ends"))
+    turns = counted.select("id", "ends", F.posexplode("messages").alias("turn", "m")).where("m.role = 'assistant'")
+    start = F.when(F.col("turn") == 0, F.lit(0)).otherwise(F.get("ends", F.col("turn"))).cast("long")
+    return turns.select("id", "turn", start.alias("start"), F.get("ends", F.col("turn") + 1).alias("stop")).where("stop > start")
+
+
 def loss_spans(examples: DataFrame, count: Callable[[Column], Column]) -> DataFrame:
     """id, turn, start, stop: the tokens that each assistant turn adds to the rendered example, the only ones that training learns from.
 
+    The definition by prefixes, each of which is rendered and counted: for tests; ``assistant_spans`` is the one for data.
     count: tokens of a rendered text, such as ``tokens.token_count``. A turn that adds none has no row; stop is never beyond the whole.
     """
     turns = examples.select("id", "messages", "tools", F.posexplode("messages").alias("turn", "m")).where("m.role = 'assistant'")

@@ -86,7 +86,7 @@ def _tool_rules(messages: list[dict[str, str]], add: Any, category: str) -> None
                 for problem in argument_problems(call["name"], call["arguments"]):
                     add("T3", "err", problem, f"message {k}")
             content = call["arguments"].get("content")
-            if category == "tool" and call["name"] == "write_file" and isinstance(content, str):
+            if call["name"] == "write_file" and isinstance(content, str):
                 if any(re.search(p, content) for p in DIFF_MARKS) or any(p in content.lower() for p in PARTIAL):
                     add("T6", "err", "write_file content is not a whole file", f"message {k}")
         follow = next((j for j, x in enumerate(messages[k + 1 :]) if x["role"] != "tool"), len(messages) - k - 1)

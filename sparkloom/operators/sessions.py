@@ -28,10 +28,12 @@ def first_events(events: DataFrame, limit: int = SESSION_LIMIT) -> DataFrame:
 
 def is_error(data: Column) -> Column:
     """A tool result that reports an error: a truthy error, status error, or a content that speaks of one."""
-    flag = F.get_json_object(data, "$.error")
-    return F.coalesce(
-        (flag.isNotNull() & ~flag.isin("", "false", "0", "null", "[]", "{}")) | (F.get_json_object(data, "$.status") == "error") | F.get_json_object(data, "$.content").rlike("(?i)error|exception"), F.lit(False)
-    )
+    flag, text = F.try_variant_get(F.try_parse_json(data), "$.error", "variant"), F.get_json_object(data, "$.error")
+    kind = F.schema_of_variant(flag)
+    # as Python judges JSON values: text by being there, numbers by not being 0
+    number = ~kind.isin("VOID", "BOOLEAN", "STRING") & ~kind.startswith("ARRAY") & ~kind.startswith("OBJECT") & (text.try_cast("double") != 0)
+    truthy = ((kind == "STRING") & (text != "")) | ((kind == "BOOLEAN") & (text == "true")) | ((kind.startswith("ARRAY") | kind.startswith("OBJECT")) & ~F.to_json(flag).isin("[]", "{}")) | number
+    return F.coalesce(truthy, F.lit(False)) | F.coalesce((F.get_json_object(data, "$.status") == "error") | F.get_json_object(data, "$.content").rlike("(?i)error|exception"), F.lit(False))
 
 
 def call_key() -> Column:

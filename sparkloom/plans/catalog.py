@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, redact_json, redaction_audit, redaction_count
 from sparkloom.functions.text import content_hash, md5_bucket, normalize, prompt_key
-from sparkloom.functions.tokens import rendered, token_count
+from sparkloom.functions import templates
+from sparkloom.functions.tokens import piece_ends, rendered, token_count
 from sparkloom.operators import evaluation, listing, preflight, rules, sessions, similarity, split, workflow
 from sparkloom.schema import CASE_PRIORITY, TOKEN_EDGES
 
@@ -282,13 +283,10 @@ def first_session_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 _EDGES = ", ".join(f"({k}, {e})" for k, e in enumerate(TOKEN_EDGES))
 
 
-@_query(f"with e(bucket, edge) as (values {_EDGES}), d as (select (select count(*) from e where n_chars > edge) as bucket from documents), all_b as (select unnest(range(0, {len(TOKEN_EDGES) + 1})) as bucket) select cast(all_b.bucket as integer) as bucket, count(d.bucket) as n from all_b left join d using (bucket) group by 1")
+@_query(f"with e(bucket, edge) as (values {_EDGES}), d as (select case when n_chars is null then -1 else (select count(*) from e where n_chars > edge) end as bucket from documents), all_b as (select unnest(range(-1, {len(TOKEN_EDGES) + 1})) as bucket) select cast(all_b.bucket as integer) as bucket, count(d.bucket) as n from all_b left join d using (bucket) group by 1")
 def length_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts by size bucket, empty buckets too."""
-    docs = _table(spark, sf_dir, "documents")
-    bucket = sum((F.when(F.col("n_chars") > e, 1).otherwise(0) for e in TOKEN_EDGES), F.lit(0)).cast("int")
-    counts = docs.groupBy(bucket.alias("bucket")).agg(F.count(F.lit(1)).alias("n"))
-    return spark.range(len(TOKEN_EDGES) + 1).select(F.col("id").cast("int").alias("bucket")).join(counts, "bucket", "left").select("bucket", F.coalesce("n", F.lit(0)).alias("n"))
+    """Counts by size bucket, empty buckets too; -1 holds the unknown sizes."""
+    return listing.length_histogram(_table(spark, sf_dir, "documents"), "n_chars")
 
 
 @_query("select lang, cast(quality as integer) as quality, count(*) as n, grouping(lang)::integer as all_langs, grouping(quality)::integer as all_qualities from documents left join labels using (doc_id) group by grouping sets ((lang), (quality), ())")
@@ -483,7 +481,50 @@ select conv_id, k::integer as turn, (stop - size)::bigint as start, stop::bigint
 def loss_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What assistant turns add to the rendered conversation, counted in characters."""
     rows = _conversations(spark, sf_dir).select(F.col("conv_id").alias("id"), "messages", F.lit("").alias("tools"))
-    return preflight.loss_spans(rows, F.char_length).withColumnRenamed("id", "conv_id")
+    return preflight.assistant_spans(rows, piece_ends).withColumnRenamed("id", "conv_id")
+
+
+# Tools of every second conversation; every fourth turn is a tool's.
+_TOOLS = """[{"type": "function", "function": {"name": "read_file", "description": "Reads a file.", "parameters": {"type": "object", "properties": {"path": {"type": "string", "description": " where "}, "n": {"type": ["integer", "string"]}, "tags": {"type": "array", "items": {"type": "string"}}, "env": {"type": "object", "additionalProperties": {"type": "number"}}}, "required": ["path"]}}}]"""
+_SIGNATURE = """{"type": "function", "function": {"name": "read_file", "description": "read_file(path: str, n: Union[int,str], tags: list[Union[]], env: dict[str, float]) - Reads a file.
+
+    Args:
+        path(str): where        n(Union[int,str]):         tags(list[Union[]]):         env(dict[str, float]): ", "parameters": {"type": "object", "properties": {"path": {"type": "string", "description": " where "}, "n": {"type": ["integer", "string"]}, "tags": {"type": "array", "items": {"type": "string"}}, "env": {"type": "object", "additionalProperties": {"type": "number"}}}, "required": ["path"]}}"""
+_RENDERED = f"""
+m as (select conv_id, row_number() over w as k, count(*) over (partition by conv_id) as n, case when row_number() over w % 4 = 3 then 'tool' else coalesce(role, '') end as role, coalesce(text, '') as text from conversations window w as (partition by conv_id order by turn, role, text)),
+b as (select *, coalesce(lag(role) over (partition by conv_id order by k), '') as before, coalesce(lead(role) over (partition by conv_id order by k), '') as after, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) as plain from m),
+q as (select conv_id, k, conv_id % 2 = 0 as tools, case when k = 1 and role = 'system' then text end as own, plain,
+case when role = 'user' or role = 'assistant' or (role = 'system' and k > 1) then plain when role = 'tool' then case when before <> 'tool' then '<|im_start|>user' else '' end || chr(10) || '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' || case when after <> 'tool' then '<|im_end|>' || chr(10) else '' end else '' end as qwen,
+case when role in ('user', 'system', 'assistant') then plain when role = 'tool' then case when k > 1 and before <> 'tool' then '<|im_start|>tool' || chr(10) else '' end || '<tool_response>' || chr(10) || text || chr(10) || '</tool_response>' || case when k = n then '<|im_end|>' else chr(10) || case when after <> 'tool' then '<|im_end|>' else '' end end else '' end as hermes from b),
+r as (select conv_id, string_agg(plain, '' order by k) as chatml,
+'<|im_start|>system' || chr(10) || coalesce(max(own), 'You are Qwen, created by Alibaba Cloud. You are a helpful assistant.') || case when any_value(tools) then $a${templates.QWEN_TOOLS}
+{_TOOLS[1:-1]}{templates.QWEN_CALLS}$a$ else '<|im_end|>' || chr(10) end || string_agg(qwen, '' order by k) as qwen,
+'<|begin_of_text|>' || case when any_value(tools) then $a$<|im_start|>system
+{templates.HERMES_TOOLS}{_SIGNATURE}{templates.HERMES_SCHEMA}{templates.HERMES_CALLS}$a$ || string_agg(hermes, '' order by k) else string_agg(plain, '' order by k) end as hermes from q group by 1)"""
+
+
+def _dialogues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = F.transform("messages", lambda m, i: F.struct(F.when(i % 4 == 2, F.lit("tool")).otherwise(m["role"]).alias("role"), m["content"].alias("content")))
+    return _conversations(spark, sf_dir).select("conv_id", turns.alias("messages"), F.when(F.col("conv_id") % 2 == 0, F.lit(_TOOLS)).alias("tools"))
+
+
+@_query(f"with {_RENDERED} select conv_id, case when conv_id % 2 = 0 then 'tool_use' else 'default' end as template, sha256(qwen) as qwen_sha256, length(qwen) as qwen_chars, sha256(hermes) as hermes_sha256, length(hermes) as hermes_chars from r")
+def rendered_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as the chat templates of both model families render them, with tools and tool answers."""
+    rows = _dialogues(spark, sf_dir)
+    out = rows.select("conv_id", templates.pick_template(F.col("tools")).alias("template"), *(templates.render(F.col("messages"), F.col("tools"), adapter=a).alias(n) for a, n in (("qwen25", "qwen"), ("hermes2pro", "hermes"))))
+    return out.select("conv_id", "template", *(f(F.col(n)).alias(f"{n}_{x}") for n in ("qwen", "hermes") for x, f in (("sha256", lambda c: F.sha2(c, 256)), ("chars", F.char_length))))
+
+
+@_query(f"""with {_RENDERED},
+p as (select conv_id, chatml as a, case when conv_id % 3 = 0 then chatml else hermes end as b from r)
+select conv_id, a = b as same, case when a <> b then (select min(i) - 1 from range(1, greatest(strlen(a), strlen(b)) + 2) t(i) where coalesce(substr(a, i, 1), '') <> coalesce(substr(b, i, 1), '')) end::integer as first_byte from p""")
+def template_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K8c/PF2: two renderings of a conversation, and the first byte at which they part."""
+    rows = _dialogues(spark, sf_dir)
+    a, b = rendered(F.col("messages")), templates.render(F.col("messages"), F.col("tools"), adapter="hermes2pro")
+    both = rows.select("conv_id", a.alias("a"), F.when(F.col("conv_id") % 3 == 0, a).otherwise(b).alias("b"))
+    return templates.parity(both, "a", "b", keys=("conv_id",))
 
 
 @_query("""
