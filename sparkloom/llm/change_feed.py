@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle, TimerValues
 
 from sparkloom.llm.ordered import positions
-from sparkloom.llm.store import kept, new_dir, scope
+from sparkloom.llm.store import kept, new_dir, scope, until_exit
 
 BATCHES, FIRST_DAY, SPAN = 8, 19723, 160
 #: Days a client's earliest held row waits for missing numbers.
@@ -269,6 +269,8 @@ def feed(rows: DataFrame) -> DataFrame:
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+        for path in (source, out, checkpoint):
+            until_exit(spark, path)
     return spark.read.schema(_OUT).parquet(out)
 
 

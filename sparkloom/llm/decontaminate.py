@@ -28,13 +28,13 @@ from sparkloom.llm import words as W
 
 WINDOW = 10
 #: Symbols of a shard's index; a longer single text is a shard of its own.
-SHARD_SYMBOLS = 1 << 20
+SHARD_SYMBOLS = 1 << 18
 SAMPLE = 16
 #: Windows searched at once.
 BLOCK_WINDOWS = 1 << 18
 MAX_BENCHMARK_BYTES = 256 << 20
 #: Bytes of documents that wait for the verdict of their shard in ``removed``, about.
-HELD_BYTES = 16 << 20
+HELD_BYTES = 4 << 20
 
 OUT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, spans array<struct<start:int,end:int>>, items array<string>"
 _SPANS = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))

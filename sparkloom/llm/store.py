@@ -6,13 +6,17 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Paths of the tables kept in each open scope, the innermost last.
-_scopes: list[list[str]] = []
+#: Paths of the tables kept in each open scope of this thread or task, the innermost last.
+_scopes: ContextVar[tuple[list[str], ...]] = ContextVar("scopes", default=())
+#: Rows sent to a Python worker at once while a table is written: texts are a few kB, and JVM and worker each hold a batch.
+BATCH_ROWS = 2000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -36,13 +40,28 @@ def removed(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def until_exit(spark: SparkSession, path: str) -> None:
+    """path goes with the application at the latest: a result may read it until then."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
+
+
 def kept(df: DataFrame, kind: str = "table") -> DataFrame:
-    """df written as Parquet in the shared folder and read again: cuts lineage, and survives lost executors."""
+    """df written as Parquet in the shared folder and read again: cuts lineage, and survives lost executors.
+
+    The table is removed with the scope around, or with the application.
+    """
     spark = df.sparkSession
     path = new_dir(spark, kind)
-    df.write.parquet(path)
-    if _scopes:
-        _scopes[-1].append(path)
+    rows = spark.conf.get(_BATCH)
+    spark.conf.set(_BATCH, min(int(rows), BATCH_ROWS) if int(rows) > 0 else BATCH_ROWS)
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_BATCH, rows)
+    until_exit(spark, path)
+    if _scopes.get():
+        _scopes.get()[-1].append(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.kept_path = path
     return out
@@ -53,16 +72,17 @@ def scope(spark: SparkSession) -> Iterator[list[DataFrame]]:
     """Tables kept inside are removed at the end, but for those put into the yielded list, which pass to the scope around."""
     own: list[str] = []
     stay: list[DataFrame] = []
-    _scopes.append(own)
+    around = _scopes.get()
+    token = _scopes.set((*around, own))
     try:
         yield stay
     finally:
-        _scopes.pop()
+        _scopes.reset(token)
         for path in own:
             if path not in {df.kept_path for df in stay}:
                 removed(spark, path)
-            elif _scopes:
-                _scopes[-1].append(path)
+            elif around:
+                around[-1].append(path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
