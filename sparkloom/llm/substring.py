@@ -4,7 +4,7 @@ Windows of SIZE words are dealt by minimisers: the smallest hash among a window'
 minimiser share a super-k-mer, a run of words that starts windows of that minimiser only, so equal windows always meet in
 the bucket of their minimiser, and a text is cut into some words / 20 super-k-mers instead of its words.
 
-1. Each document is cut; of a super-k-mer only minimiser, 128-bit digest and place are kept. Equal ones are counted by digest, and a
+1. Each document is cut; of a super-k-mer only minimiser, 128-bit digest and place are kept, and of those only where the minimiser occurs again. Equal ones are counted by digest, and a
    document that isn't the first to have one loses all of its windows there.
 2. Where a minimiser has super-k-mers that differ, windows may be equal all the same: those super-k-mers, one copy of each,
    travel to the bucket as packed strings. There words are coded by a dictionary, windows are ranked by prefix doubling, which sorts
@@ -33,6 +33,8 @@ LONGEST = 1024
 HOT = 512
 #: Words of packed strings that are sorted at once, about.
 SORTED = 1 << 18
+#: Documents whose keys are broadcast, at most, so that the others aren't shuffled.
+KEYS = 1 << 19
 _BYTES = np.arange(256)
 _IS_WORD = ~((_BYTES == 32) | ((_BYTES >= 9) & (_BYTES <= 13)))
 _VALUE = W.mix(np.arange(1, 257, dtype=np.uint64))
@@ -112,16 +114,24 @@ def cut(docs: DataFrame, size: int, gram: int) -> DataFrame:
             rows = np.concatenate([np.arange(part.num_rows), words.doc[first]])
             place = np.concatenate([np.full(part.num_rows, -1), first - words.first[words.doc[first]]]).astype(np.int32)
             taken = part.select(["id", "row_key"]).take(pa.array(rows))
-            columns = [*taken.columns, pa.array(np.concatenate([np.zeros(part.num_rows, np.int64), low])), pa.array(whole + digests, pa.binary()), pa.array(place), pa.array(np.concatenate([words.count, n]).astype(np.int32))]
-            yield pa.RecordBatch.from_arrays(columns, ["id", "row_key", "low", "digest", "start", "n"])
+            halves = np.frombuffer(b"\0" * 16 * part.num_rows + b"".join(digests), ">i8").astype(np.int64).reshape(-1, 2)
+            key = taken.column("row_key")
+            columns = [taken.column("id"), key.field("file"), key.field("place"), pa.array(np.concatenate([np.zeros(part.num_rows, np.int64), low])), pa.array(halves[:, 0]), pa.array(halves[:, 1])]
+            columns += [pa.array(place), pa.array(np.concatenate([words.count, n]).astype(np.int32)), pa.array(whole + [None] * len(n), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, ["id", "file", "place", "low", "d1", "d2", "start", "n", "whole"])
 
-    return docs.mapInArrow(run, "id long, row_key struct<file: long, place: long>, low long, digest binary, start int, n int")
+    return docs.mapInArrow(run, "id long, file long, place long, low long, d1 long, d2 long, start int, n int, whole binary")
+
+
+def _only(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """docs of these row keys, where they are few enough to be broadcast; all of them otherwise."""
+    return docs.join(F.broadcast(keys.select("row_key").distinct()), "row_key", "left_semi") if keys.limit(KEYS + 1).count() <= KEYS else docs
 
 
 def packed_strings(docs: DataFrame, wanted: DataFrame, size: int) -> DataFrame:
     """low, digest, first and packed of the super-k-mers wanted (row_key, low, digest, first, start, n), read from their documents."""
     lists = wanted.groupBy("row_key").agg(F.collect_list(F.struct("low", "digest", "first", "start", "n")).alias("places"))  # no more than a document has
-    both = docs.join(lists, "row_key").select("text", "places")
+    both = _only(docs, wanted).join(lists, "row_key").select("text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches):
@@ -219,11 +229,15 @@ def single_windows(strings: DataFrame, size: int) -> DataFrame:
 
 def repeated_spans(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
     """row_key and spans: the words (from, to) of each document that windows of smaller ids cover."""
-    places = places.where("start >= 0")
-    strings = kept(places.groupBy("low", "digest").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "strings")
-    buckets = kept(strings.groupBy("low").agg(F.count(F.lit(1)).alias("kinds")).where("kinds > 1"), "buckets")
-    strings = kept(strings.join(buckets, "low", "left").where("copies > 1 or kinds is not null").select("low", "digest", "first", "kinds"), "strings")
-    mine = kept(places.join(strings, ["low", "digest"]), "places")
+    places = places.where("start >= 0").drop("whole")
+    # minimisers that occur once, most of all, take part in nothing more
+    spread = (F.min("d1") != F.max("d1")) | (F.min("d2") != F.max("d2"))
+    buckets = kept(places.groupBy("low").agg(F.count(F.lit(1)).alias("c"), spread.alias("mixed")).where("c > 1").drop("c"), "buckets")
+    digest = F.unhex(F.concat(*(F.lpad(F.hex(x), 16, "0") for x in ("d1", "d2"))))
+    shared = kept(places.join(buckets, "low").select("id", F.struct("file", "place").alias("row_key"), "low", digest.alias("digest"), "start", "n", "mixed"), "shared")
+    strings = kept(shared.groupBy("low", "digest", "mixed").agg(F.min("id").alias("first")), "strings")
+    kinds = strings.where("mixed").groupBy("low").agg(F.count(F.lit(1)).alias("kinds"))
+    mine = kept(shared.drop("mixed").join(strings.join(kinds, "low", "left").drop("mixed"), ["low", "digest"]).where("id > first or kinds is not null"), "places")
     wanted = mine.where("kinds is not null and id = first").groupBy("low", "digest", "first", "kinds").agg(F.min(F.struct("row_key", "start", "n")).alias("p"))
     wanted = kept(wanted.select("low", "digest", "first", "kinds", "p.*"), "wanted")
     runs = bucket_runs(packed_strings(docs, wanted.where(f"kinds <= {HOT}"), size), size)
@@ -231,12 +245,12 @@ def repeated_spans(docs: DataFrame, places: DataFrame, size: int) -> DataFrame:
         runs = runs.unionByName(single_windows(packed_strings(docs, hot, size), size))
     spans = mine.where("id > first").select("row_key", F.col("start").alias("from"), (F.col("start") + F.col("n") + size - 1).alias("to"))
     spans = spans.unionByName(mine.where("id = first").join(runs, ["low", "digest"]).select("row_key", (F.col("start") + F.col("begin")).alias("from"), (F.col("start") + F.col("end") + size - 1).alias("to")))
-    return spans.groupBy("row_key").agg(F.collect_list(F.struct("from", "to")).alias("spans"))  # no more than a document has windows
+    return kept(spans.groupBy("row_key").agg(F.collect_list(F.struct("from", "to")).alias("spans")), "spans")  # no more than a document has windows
 
 
 def cleaned(docs: DataFrame, spans: DataFrame) -> DataFrame:
     """row_key, n_removed, kept (the words that stay, joined by one space) and its SHA-256, of the documents that have spans."""
-    both = docs.join(spans, "row_key").select("row_key", "text", "spans")
+    both = _only(docs, spans).join(spans, "row_key").select("row_key", "text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in W.chunks(batches):
@@ -272,7 +286,7 @@ def deduplicated(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "te
         places = kept(cut(source, size, gram), "cut")
         changed = kept(cleaned(source.select("row_key", "text"), repeated_spans(source.select("row_key", "text"), places, size)).drop("kept"), "cleaned")
         stay += [places, changed]
-    heads = places.where("start < 0").select("id", "row_key", F.col("n").cast("long").alias("n_words"), F.col("digest").alias("whole"))
+    heads = places.where("start < 0").select("id", F.struct("file", "place").alias("row_key"), F.col("n").cast("long").alias("n_words"), "whole")
     return heads.join(changed, "row_key", "left").select(
         F.col("id").alias(id_col), "n_words", F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"), F.lower(F.hex(F.coalesce("digest", "whole"))).alias("kept_sha256")
     )
