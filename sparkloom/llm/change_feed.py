@@ -75,8 +75,9 @@ def with_firsts(rows: DataFrame) -> DataFrame:
 class Pages:
     """The held rows of one client: pages loaded when touched, written back when changed."""
 
-    def __init__(self, blobs: Any, days: Any, count: int):
+    def __init__(self, blobs: Any, days: Any, count: int, page: int, cached: int):
         self.blobs, self.days, self.count = blobs, days, count  # count: pages of the stored index
+        self.width, self.cached = page, cached
         self.rows: dict[int, dict[int, tuple]] = {}
         self.changed: set[int] = set()
         self.stored: set[int] = set()  # of the loaded pages
@@ -85,7 +86,7 @@ class Pages:
 
     def page(self, at: int) -> dict[int, tuple]:
         if at not in self.rows:
-            if self.size > CACHED:
+            if self.size > self.cached:
                 self.flush()
             found = self.blobs.getValue((at,)) if self.count and (self.index is None or at in self.index) else None
             held = {}
@@ -99,7 +100,7 @@ class Pages:
 
     def add(self, row: tuple) -> bool:
         """Holds a row, unless its number is held."""
-        at = row[0] // PAGE
+        at = row[0] // self.width
         held = self.page(at)
         if row[0] in held:
             return False
@@ -111,7 +112,7 @@ class Pages:
         return True
 
     def take(self, n: int) -> tuple | None:
-        at = n // PAGE
+        at = n // self.width
         if self.index is not None and at not in self.index:
             return None
         held = self.page(at)
@@ -155,6 +156,9 @@ class Pages:
 class Applier(StatefulProcessor):
     """One client's changes. Rows of a call have different numbers; their order doesn't matter, as numbers are jumped before them."""
 
+    def __init__(self, page: int = PAGE, cached: int = CACHED):
+        self.width, self.cached = page, cached
+
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.head = handle.getValueState("head", "next long, city string, balance double, batch int, pages long, timer long")
@@ -164,7 +168,7 @@ class Applier(StatefulProcessor):
     def _load(self) -> None:
         head = self.head.get()
         self.next, self.city, self.balance, self.batch, count, self.timer = head if head is not None else (1, None, None, 0, 0, 0)
-        self.pages = Pages(self.blobs, self.days, count)
+        self.pages = Pages(self.blobs, self.days, count, self.width, self.cached)
 
     def _store(self) -> None:
         index = self.pages.whole_index()
@@ -244,7 +248,7 @@ def _clock(timers: TimerValues) -> int:
 _OUT = "change_id long, client_id long, n long, op string, status string, batch int, missed long, city string, balance double"
 
 
-def feed(rows: DataFrame) -> DataFrame:
+def feed(rows: DataFrame, page: int = PAGE, cached: int = CACHED) -> DataFrame:
     """rows (of ``numbered``, with ``first``) fed batch by batch: the status of each, as _OUT. Folders are new at every call."""
     spark = rows.sparkSession
     source, out, checkpoint = (new_dir(spark, f"changes-{x}") for x in ("in", "out", "state"))
@@ -265,7 +269,7 @@ def feed(rows: DataFrame) -> DataFrame:
                 new = spark.range(1).select(*(F.lit(None).cast(f.dataType).alias(f.name) for f in staged.schema if f.name not in ("batch", "first")), F.lit(batch).alias("batch"), F.lit(True).alias("first"))
                 at = FOREVER
             new.withColumn("at", F.timestamp_seconds(F.lit(at))).select(*schema.names).write.mode("append").parquet(source)
-            _start(spark, source, schema, out, checkpoint)
+            _start(spark, source, schema, out, checkpoint, Applier(page, cached))
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
@@ -274,23 +278,23 @@ def feed(rows: DataFrame) -> DataFrame:
     return spark.read.schema(_OUT).parquet(out)
 
 
-def _start(spark: SparkSession, source: str, schema: Any, out: str, checkpoint: str) -> None:
+def _start(spark: SparkSession, source: str, schema: Any, out: str, checkpoint: str, applier: Applier) -> None:
     stream = spark.readStream.schema(schema).parquet(source)
-    ours = stream.withWatermark("at", "0 seconds").where("first").groupBy("client_id").transformWithState(Applier(), _OUT, "append", "eventTime")
+    ours = stream.withWatermark("at", "0 seconds").where("first").groupBy("client_id").transformWithState(applier, _OUT, "append", "eventTime")
     null = lambda kind: F.lit(None).cast(kind)
     others = stream.where(f"not first and batch <= {BATCHES}").select("change_id", "client_id", "n", "op", F.lit("rejected").alias("status"), "batch", F.lit(0).cast("long").alias("missed"), null("string").alias("city"), null("double").alias("balance"))
     query = ours.unionByName(others).writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     query.awaitTermination()
 
 
-def apply_changes(changes: DataFrame) -> DataFrame:
+def apply_changes(changes: DataFrame, *, page: int = PAGE, cached: int = CACHED) -> DataFrame:
     """change_id, client_id, status, batch, missed, city, cents and current of every change that takes part.
 
     Rows that differ only in columns that aren't named above are rows of their own; equal rows are one. An unknown op is applied and
     changes nothing. cents is null where the balance is null or not finite. An empty table gives an empty result.
     """
     with scope(changes.sparkSession) as stay:
-        found = feed(with_firsts(numbered(changes)))
+        found = feed(with_firsts(numbered(changes)), page, cached)
         last = found.where("status = 'applied'").groupBy("client_id").agg(F.max(F.struct("n", "op")).alias("last")).select(F.col("client_id").alias("c"), F.col("last.n").alias("m"), F.coalesce(F.col("last.op") != "D", F.lit(True)).alias("alive"))
         is_last = F.col("client_id").eqNullSafe(F.col("c")) & (F.col("n") == F.col("m")) & (F.col("status") == "applied")
         cents = F.floor(100 * F.col("balance") + 0.5)
