@@ -79,8 +79,11 @@ class Quantiser:
         books = [kmeans(residual[:, m * SUB_DIM : (m + 1) * SUB_DIM], CODES, seed=m) if len(sample) else np.zeros((1, SUB_DIM)) for m in range(self.sub)]
         size = max(map(len, books))
         self.books = np.stack([np.concatenate([b, np.repeat(b[:1], size - len(b), 0)]) for b in books])
-        d = np.sqrt(np.maximum(0, ((self.coarse[:, None] - self.coarse[None]) ** 2).sum(2)))
-        self.between = np.where(d > 0, d, np.inf)
+        # row by row, so that no more than one list's differences are in memory; rounded up, which only adds probes
+        self.between = np.empty((len(self.coarse), len(self.coarse)), np.float32)
+        for k, c in enumerate(self.coarse):
+            d = np.sqrt(((self.coarse - c) ** 2).sum(1))
+            self.between[k] = np.nextafter(np.where(d > 0, d, np.inf).astype(np.float32), np.float32(np.inf))
 
     def padded(self, x: np.ndarray) -> np.ndarray:
         """Vectors with zeros up to the quantiser's dimension; longer ones lose their tail, which only loosens bounds."""
@@ -180,12 +183,12 @@ def _classes(rows: DataFrame, id_col: str, vector_col: str, label_col: str, thre
     vectors = source.select("node", "label", "vector", "id").join(nodes.withColumnRenamed("id", "first"), "node")
     vectors = vectors.where(F.col("id").eqNullSafe(F.col("first"))).select("node", "label", "vector", "copies").distinct()
     vectors = kept(vectors, "distinct")
-    n, kinds = vectors.agg(F.count(F.lit(1)), F.approx_count_distinct("label")).first()
+    n, largest = vectors.groupBy("label").agg(F.count(F.lit(1)).alias("c")).agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.max("c"), F.lit(0))).first()
     sample = [np.array(r[0], np.float64) for r in vectors.orderBy("node").limit(fit_rows).select("vector").toLocalIterator()]
     dims = [len(x) for x in sample]
     dim = max(set(dims), key=dims.count) if dims else 1
     sample = [x / np.linalg.norm(x) for x in sample if len(x) == dim]
-    pq = Quantiser(np.stack(sample) if sample else np.zeros((0, 1)), max(4, min(math.isqrt(n), n // (max(1, kinds) * block))))
+    pq = Quantiser(np.stack(sample) if sample else np.zeros((0, 1)), max(4, min(math.isqrt(n), largest // block)))
     shared = rows.sparkSession.sparkContext.broadcast(pq)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -626,3 +626,35 @@ def test_comparison_across_roots_against_brute_force():
     left, right = minhash.Bags(pa.array(texts), 5), minhash.Bags(pa.array(texts[::-1]), 5)
     common = [sum(min(w, bags[-1 - k].get(v, 0)) for v, w in bags[k].items()) for k in range(len(texts))]
     assert left.common(right).tolist() == common
+
+
+def test_distances_between_lists_take_little_memory():
+    import tracemalloc
+
+    from sparkloom.llm import vectors
+
+    rng = np.random.default_rng(4)
+    sample = rng.normal(size=(16 * 512, 256))
+    sample /= np.linalg.norm(sample, axis=1)[:, None]
+    tracemalloc.start()
+    pq = vectors.Quantiser(sample, 512)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    exact = np.sqrt(((pq.coarse[:8, None] - pq.coarse[None]) ** 2).sum(2))
+    exact[exact == 0] = np.inf
+    assert (pq.between[:8] >= exact).all() and np.isclose(pq.between[:8], exact, rtol=1e-6).all()
+    assert peak < 512 * 512 * 256 * 8 / 2
+
+
+def test_vectors_of_one_large_label_among_many_small_ones(spark):
+    from sparkloom.llm import vectors
+
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(40, 16))
+    x = [centres[rng.integers(40)] + rng.normal(size=16) * rng.choice([0.02, 0.2]) for _ in range(900)]
+    rows = [(k, [float(np.float32(a)) for a in v], 0 if k < 600 else k) for k, v in enumerate(x)]
+    got = {r.vec_id: r.n_links for r in vectors.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    unit = np.array([v for _, v, _ in rows[:600]])
+    unit /= np.linalg.norm(unit, axis=1)[:, None]
+    want = ((unit @ unit.T) >= 0.93).sum(1) - 1
+    assert [got[k] for k in range(600)] == want.tolist() and all(got[k] == 0 for k in range(600, 900))
