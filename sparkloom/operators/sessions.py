@@ -124,38 +124,39 @@ def success_sample(sessions: DataFrame, rate: float = SUCCESS_RATE) -> DataFrame
 
 
 def detect_cases(events: DataFrame, rate: float = SUCCESS_RATE, since: str | None = None) -> DataFrame:
-    """Cases of all sessions: session_id, model_version, case_type, priority, signal; highest priority first is up to the reader.
+    """Cases of all sessions: session_id, model_version, case_type, signal, priority; highest priority first is up to the reader.
 
     since: only sessions with an event from then on, but these are read whole. Every session without a case is a success
-    and sampled.
+    and sampled. Verdicts give a case each, other signals one a session, with the model version of their first event. All
+    windows and the grouping share one exchange by session.
     """
     if since:
         events = events.join(events.where(F.col("ts") >= F.lit(since).cast("timestamp")).select("session_id").distinct(), "session_id", "left_semi")
-    rows = first_events(events).drop("n")
-    bad = (F.col("event") == "tool_call") & ~well_formed_call(F.col("data"))
-    verdict = F.get_json_object("data", "$.verdict")
+    kind, verdict, whole = F.col("event"), F.get_json_object("data", "$.verdict"), Window.partitionBy("session_id")
+    before, after = _by_time().rowsBetween(Window.unboundedPreceding, -1), _by_time().rowsBetween(1, Window.unboundedFollowing)
     # JSON true and false; neither 0 and 1 nor strings
     is_ = lambda path, value: F.expr(f"coalesce(schema_of_variant(try_variant_get(try_parse_json(data), '{path}', 'variant')) = 'BOOLEAN' and get_json_object(data, '{path}') = '{value}', false)")
-    flags = rows.withColumn("failed", F.max(((F.col("event") == "outcome") & is_("$.success", "false")).cast("int")).over(Window.partitionBy("session_id")))
-    flags = flags.withColumn("safe", F.max(((F.col("event") == "override") & is_("$.confirmed_safe", "true")).cast("int")).over(Window.partitionBy("session_id")))
-
-    def once(found: DataFrame, kind: str, signal: str) -> DataFrame:
-        return found.groupBy("session_id").agg(F.min_by("model_version", F.struct("ts", "id")).alias("model_version")).select("session_id", "model_version", F.lit(kind).alias("case_type"), F.lit(signal).alias("signal"))
-
-    def each(found: DataFrame, kind: str, signal: str) -> DataFrame:
-        return found.select("session_id", "model_version", F.lit(kind).alias("case_type"), F.lit(signal).alias("signal"))
-
-    cases = once(rows.where("event = 'circuit_breaker'"), "loop", "circuit_breaker")
-    for more in (
-        once(repeated_calls(rows), "loop", "repeated_call"), once(rows.where(bad), "syntax", "malformed_call"), once(unchanged_after_error(rows), "loop", "unchanged_after_error"),
-        each(flags.where((F.col("event") == "verdict") & (verdict == "PASS") & (F.col("failed") == 1)), "false_negative", "pass_then_failed"),
-        each(flags.where((F.col("event") == "verdict") & (verdict == "REJECT") & (F.col("safe") == 1)), "false_positive", "reject_confirmed_safe"),
-        once(rows.where("event in ('cancel', 'undo')"), "cancel", "cancelled"),
-    ):
-        cases = cases.unionByName(more)
-    good = once(success_sample(rows.join(cases.select("session_id").distinct(), "session_id", "left_anti"), rate), "success", "clean")
+    rows = first_events(events).withColumns({"_key": F.when(kind == "tool_call", call_key()), "_made": _call_made("event", "data")})
+    rows = rows.withColumns({
+        "_last": F.last("_key", ignorenulls=True).over(before), "_failed": F.max((kind == "outcome") & is_("$.success", "false")).over(whole),
+        "_safe": F.max((kind == "override") & is_("$.confirmed_safe", "true")).over(whole),
+        "_b": F.last(F.when(kind == "tool_call", F.col("_made")), ignorenulls=True).over(before), "_a": F.first(F.when(kind == "message", F.col("_made")), ignorenulls=True).over(after),
+    })
+    signals = (
+        ("loop", "circuit_breaker", False, kind == "circuit_breaker"), ("loop", "repeated_call", False, F.col("_last") == F.col("_key")),
+        ("syntax", "malformed_call", False, (kind == "tool_call") & ~well_formed_call(F.col("data"))),
+        ("loop", "unchanged_after_error", False, (kind == "tool_result") & is_error(F.col("data")) & (F.col("_b") == F.col("_a"))),
+        ("false_negative", "pass_then_failed", True, (kind == "verdict") & (verdict == "PASS") & F.col("_failed")),
+        ("false_positive", "reject_confirmed_safe", True, (kind == "verdict") & (verdict == "REJECT") & F.col("_safe")), ("cancel", "cancelled", False, kind.isin("cancel", "undo")),
+    )
+    one = lambda case, signal, each: F.struct(F.lit(case).alias("case_type"), F.lit(signal).alias("signal"), (F.col("n") if each else F.lit(0)).alias("at"))
+    found = F.array_compact(F.array(*(F.when(cond, one(case, signal, each)) for case, signal, each, cond in signals)))
+    rows = rows.withColumn("_found", found).withColumn("_any", F.max(F.size("_found")).over(whole))
+    clean = (F.col("n") == 1) & (F.col("_any") == 0) & (md5_bucket(F.col("session_id").cast("string")) / 100 <= rate)
+    rows = rows.select("session_id", "model_version", "ts", "id", F.explode(F.when(clean, F.array(one("success", "clean", False))).otherwise(F.col("_found"))).alias("c"))
+    cases = rows.groupBy("session_id", "c.case_type", "c.signal", "c.at").agg(F.min_by("model_version", F.struct("ts", "id")).alias("model_version"))
     priority = F.create_map(*(x for k, v in CASE_PRIORITY.items() for x in (F.lit(k), F.lit(v))))
-    return cases.unionByName(good).withColumn("priority", priority[F.col("case_type")])
+    return cases.select("session_id", "model_version", "case_type", "signal", priority[F.col("case_type")].alias("priority"))
 
 
 def reliability(events: DataFrame) -> DataFrame:

@@ -14,6 +14,7 @@ from sparkloom.functions import templates
 from sparkloom.functions.tokens import piece_ends, rendered, token_count
 from sparkloom.operators import evaluation, listing, preflight, rules, sessions, similarity, split, workflow
 from sparkloom.schema import CASE_PRIORITY, TOKEN_EDGES
+from sparkloom.streaming import cases
 
 Query = Callable[[SparkSession, str], DataFrame]
 _FOUND: dict[str, tuple[Query, str | None]] = {}
@@ -432,6 +433,12 @@ def mined_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.detect_cases(_agents(spark, sf_dir))
 
 
+@_query(_FOUND["mined_cases"][1])
+def streamed_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J9 with since as a stream: the log in four batches, events up to two hours late, sessions searched whenever they are quiet for an hour."""
+    return cases.replayed(_agents(spark, sf_dir), "ts + make_interval(0, 0, 0, 0, cast(crc32(cast(id as string)) % 3 as int))", late="4 hours", quiet="1 hour", forget="3 days")
+
+
 @_query(f"""
 with {_RECOVERED}, r as (select model_version, count(*) as n from recovered group by 1), j as (select *, data::json as d from {_AGT}),
 b as (select model_version, count(distinct session_id) as sessions, count(*) filter (event = 'circuit_breaker') as breakers, count(*) filter (event = 'tool_call') as calls, count(*) filter (event = 'tool_result' and data like '%error%') as errors,
