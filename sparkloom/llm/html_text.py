@@ -12,7 +12,7 @@ import html
 import re
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import numpy as np
 import pyarrow as pa
@@ -46,45 +46,121 @@ _PIECE = re.compile(r"[A-Za-z]+")
 _SPACE = re.compile(r"\s+")
 
 
+class Path:
+    """An open element that isn't inline, linked to the one around it; blocks share these. ``total``: the summed vectors of it and all around it."""
+
+    __slots__ = ("parent", "entry", "total")
+
+    def __init__(self, parent: Path | None, entry: str):
+        self.parent, self.entry, self.total = parent, entry, None
+
+
 class Block:
-    __slots__ = ("path", "text", "linked")
+    """A run of text in an element (a Path, its entries from the outermost on, or none), and how many of its characters are in links."""
+
+    __slots__ = ("element", "text", "linked")
+
+    def __init__(self, path: Path | tuple[str, ...] | None, text: str, linked: int):
+        self.text, self.linked = text, linked
+        self.element = reduce(Path, path, None) if isinstance(path, tuple) else path
+
+    @property
+    def path(self) -> tuple[str, ...]:
+        out, node = [], self.element
+        while node is not None:
+            out.append(node.entry)
+            node = node.parent
+        return tuple(reversed(out))
+
+
+class _Open:
+    """The open elements, and where in the stack those of each tag, of inline, muted and foreign tags are, so that no step looks through the stack."""
+
+    def __init__(self) -> None:
+        self.stack: list[tuple[str, Path | None]] = []  # tag, innermost path
+        self.places: dict[str, list[int]] = {}
+        self.whole: list[int] = []  # not inline
+        self.special: list[int] = []  # muted or foreign
+        self.muted = 0
+
+    def push(self, tag: str, entry: str) -> None:
+        at, around = len(self.stack), self.path()
+        self.stack.append((tag, around if tag in INLINE else Path(around, entry)))
+        self.places.setdefault(tag, []).append(at)
+        if tag not in INLINE:
+            self.whole.append(at)
+        if tag in MUTED or tag in FOREIGN:
+            self.special.append(at)
+            self.muted += tag in MUTED
+
+    def pop(self) -> str:
+        tag, _ = self.stack.pop()
+        self.places[tag].pop()
+        if tag not in INLINE:
+            self.whole.pop()
+        if tag in MUTED or tag in FOREIGN:
+            self.special.pop()
+            self.muted -= tag in MUTED
+        return tag
+
+    def pop_to(self, tag: str) -> None:
+        while self.pop() != tag:
+            pass
+
+    def path(self) -> Path | None:
+        return self.stack[-1][1] if self.stack else None
+
+    def top(self) -> str | None:
+        return self.stack[-1][0] if self.stack else None
+
+    def has(self, tag: str) -> bool:
+        return bool(self.places.get(tag))
+
+    def has_inline(self, tag: str) -> bool:
+        """Whether an inline element is open inside the innermost block."""
+        return self.has(tag) and self.places[tag][-1] > (self.whole[-1] if self.whole else -1)
 
-    def __init__(self, path: tuple[str, ...], text: str, linked: int):
-        self.path, self.text, self.linked = path, text, linked
+    def inside(self) -> str | None:
+        return self.stack[self.special[-1]][0] if self.special else None
 
 
 def blocks(page: str) -> list[Block]:
     """Leaf blocks in page order. Unclosed and stray tags are closed as browsers do, roughly; scripts, styles, forms' values, drawings, media and the title give none.
 
-    What isn't shown ends at its close tag or its parent's, or at once if it's closed by itself or never.
+    What isn't shown ends at its close tag or its parent's, or at once if it's closed by itself or never. Time and memory
+    grow with the page's length, however deep elements are nested.
     """
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []  # tag, path entry
+    open_ = _Open()
     text: list[str] = []
     at, linked = 0, 0
-    seen: dict[str, int] = {}
+    seen: dict[str, tuple[int, int]] = {}
+
+    def found(pattern: str) -> tuple[int, int]:
+        """Where the next match starts and ends, the page's length if there's none."""
+        if seen.get(pattern, (-1, -1))[0] < at:
+            m = re.compile(pattern, re.IGNORECASE).search(page, at)
+            seen[pattern] = m.span() if m else (len(page), len(page))
+        return seen[pattern]
 
     def ahead(start: str) -> int:
-        """Where the next tag that begins so is, the page's length if there's none."""
-        if seen.get(start, -1) < at:
-            m = re.compile(rf"<{re.escape(start)}(?=[\s/>])", re.IGNORECASE).search(page, at)
-            seen[start] = m.start() if m else len(page)
-        return seen[start]
+        """Where the next tag that begins so is."""
+        return found(rf"<{re.escape(start)}(?=[\s/>])")[0]
 
     def flush() -> None:
         nonlocal linked
         body = _SPACE.sub(" ", html.unescape("".join(text))).strip()
         if body:
-            out.append(Block(tuple(entry for tag, entry in stack if tag not in INLINE), body, min(linked, len(body))))
+            out.append(Block(open_.path(), body, min(linked, len(body))))
         text.clear()
         linked = 0
 
     while True:
         m = _TAG.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
-        if piece and not any(tag in MUTED for tag, _ in stack):
+        if piece and not open_.muted:
             text.append(piece)
-            if any(tag == "a" for tag, _ in stack):
+            if open_.has("a"):
                 linked += len(piece)
         if not m:
             break
@@ -96,75 +172,74 @@ def blocks(page: str) -> list[Block]:
         if closing:
             if name not in INLINE:
                 flush()
-            if any(tag == name for tag, _ in stack) and (name not in INLINE or _open_inline(stack, name)):
-                while stack.pop()[0] != name:
-                    pass
+            if open_.has_inline(name) if name in INLINE else open_.has(name):
+                open_.pop_to(name)
             continue
         if name in RAW:
             flush()
             if rest.endswith("/") and ahead(name) <= ahead("/" + name):  # closed by itself, if no close tag of its own follows
                 continue
-            end = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(page, at)
-            at = end.end() if end else len(page) if name in ("script", "style") else at
+            start, end = found(rf"</{re.escape(name)}\s*>")
+            at = end if start < len(page) or name in ("script", "style") else at
             continue
-        inside = next((tag for tag, _ in reversed(stack) if tag in MUTED or tag in FOREIGN), None)
-        if inside == "svg" and name in HTML or inside == "option" and name not in INLINE and not any(tag == "select" for tag, _ in stack):
-            while stack.pop()[0] != inside:
-                pass
+        inside = open_.inside()
+        if inside == "svg" and name in HTML or inside == "option" and name not in INLINE and not open_.has("select"):
+            open_.pop_to(inside)
             inside = None
         if name in MUTED:
             flush()
             if inside == name == "option":
-                while stack.pop()[0] != name:
-                    pass
+                open_.pop_to(name)
             # option ends by itself, svg and template may hold their like, another one is unclosed if its like opens first
             end = ahead("/" + name)
             if rest.endswith("/") or name != "option" and (end == len(page) or name not in ("svg", "template") and ahead(name) < end):
                 continue
-        elif name not in INLINE and not any(tag in MUTED for tag, _ in stack):
+        elif name not in INLINE and not open_.muted:
             flush()
-            while stack and (stack[-1][0] in INLINE or stack[-1][0] == "p" or stack[-1][0] == name == "li"):
-                stack.pop()
+            while open_.stack and (open_.top() in INLINE or open_.top() == "p" or open_.top() == name == "li"):
+                open_.pop()
         if name not in VOID and not rest.endswith("/"):
             entry = name
             for named in _NAMED.findall(rest):
                 entry += "".join("." + x.lower() for x in _PIECE.findall("".join(named)))
-            stack.append((name, entry))
+            open_.push(name, entry)
     flush()
     return out
 
 
-def _open_inline(stack: list[tuple[str, str]], name: str) -> bool:
-    """Whether an inline element is open inside the innermost block."""
-    for tag, _ in reversed(stack):
-        if tag == name:
-            return True
-        if tag not in INLINE:
-            return False
-    return False
-
-
 @lru_cache(maxsize=100_000)
 def _hashed(key: str, dim: int) -> tuple[int, float]:
     h = zlib.crc32(key.encode("utf-8", "surrogatepass"))
     return h % dim, 1.0 if h >> 31 else -1.0
 
 
-@lru_cache(maxsize=20_000)
-def _path_vector(path: tuple[str, ...]) -> np.ndarray:
+@lru_cache(maxsize=2_000)
+def _entry_vector(entry: str, innermost: bool) -> np.ndarray:
     v = np.zeros(PATH_DIM)
-    for depth, entry in enumerate(reversed(path)):
-        for k, part in enumerate(entry.split(".")):
-            for key in (f"c:{part}" if k else f"t:{part}", *((f"0:{part}",) if depth == 0 else ())):
-                at, sign = _hashed(key, PATH_DIM)
-                v[at] += sign
+    for k, part in enumerate(entry.split(".")):
+        at, sign = _hashed(f"0:{part}" if innermost else f"c:{part}" if k else f"t:{part}", PATH_DIM)
+        v[at] += sign
     return v
 
 
+def _path_vector(path: Path | None) -> np.ndarray:
+    """All entries of a path, summed, and the innermost one once more by itself. Sums are whole numbers, kept with the elements."""
+    if path is None:
+        return np.zeros(PATH_DIM)
+    chain, node = [], path
+    while node is not None and node.total is None:
+        chain.append(node)
+        node = node.parent
+    total = node.total if node is not None else np.zeros(PATH_DIM, np.float32)
+    for node in reversed(chain):
+        total = node.total = (total + _entry_vector(node.entry, False)).astype(np.float32)
+    return total + _entry_vector(path.entry, True)
+
+
 def vectors(found: list[Block]) -> np.ndarray:
     out = np.zeros((len(found), PATH_DIM + WORD_DIM + NUMBERS))
     for k, b in enumerate(found):
-        out[k, :PATH_DIM] = _path_vector(b.path)
+        out[k, :PATH_DIM] = _path_vector(b.element)
         words = b.text.lower().split()
         for w in words:
             at, sign = _hashed(w.strip(".,;:!?"), WORD_DIM)

@@ -10,6 +10,8 @@ import json
 import math
 import random
 import re
+import time
+import tracemalloc
 import types
 import zlib
 
@@ -488,6 +490,28 @@ def test_html_pages_equal_their_articles():
         assert "".join(text.split(" ")) == "".join(text.split()) and text == text.strip()
 
 
+def test_html_texts_of_the_next_larger_tables():
+    """The 250 pages that the README counts: as the smaller ones, against their articles."""
+    pages = pq.read_table(SMALL.replace("sf0.001", "sf0.01") + "/pages.parquet")["html"].to_pylist()
+    assert len(pages) == 250
+    for page, text in zip(pages, html_text.texts(html_text.trained(), pages), strict=True):
+        body = re.search(r"<article\b[^>]*>(.*?)</article>", page, re.DOTALL)[1]
+        body = re.sub(r"<(nav|aside|form|script|style|header|footer)\b.*?</\1>|<div class=\"(?:ad|share|notice|comments).*?</div>", " ", body, flags=re.DOTALL)
+        assert text.split() == html.unescape(re.sub(r"<[^>]+>", " ", body)).split()
+
+
+def test_html_deep_and_unclosed_pages_take_linear_time_and_memory():
+    for unit, n, found in (("<div>a ", 50_000, 50_000), ("<b>a ", 50_000, 1), ("<title>a ", 50_000, 50_000), ("<b>x</i>", 50_000, 1), ("<svg>", 50_000, 0), ("<a>" * 9 + "<li>b", 20_000, 20_000)):
+        tracemalloc.start()
+        began = time.time()
+        got = html_text.blocks(unit * n)
+        x = html_text.vectors(got) if got else None
+        took, peak = time.time() - began, tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(got) == found and took < 20 and peak < 200e6, (unit, took, peak)
+        assert unit != "<div>a " or np.abs(x[-1, : html_text.PATH_DIM]).max() >= n - 1  # the whole path is in the vector
+
+
 def test_html_labeller_reads_whole_blocks_and_paths():
     block = lambda path, text: html_text.vectors([html_text.Block(path, text, 0)])[0]
     words = " ".join(f"w{k}" for k in range(500))
