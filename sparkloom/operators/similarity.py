@@ -7,9 +7,11 @@ the grams themselves, or counted on hashes whose chance of a clash is 1e-10 for
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,7 +19,7 @@ from pyspark.sql import types as T
 from sparkloom.functions.text import gram_hashes, grams_of, normalize, shingles
 from sparkloom.schema import EVAL_OVERLAP, NEAR_DUP
 
-#: Grams up to which the evaluation side of a contamination join is broadcast (some 100 bytes each); a larger side is joined by shuffle.
+#: Grams (or items) up to which the evaluation side of a contamination join is broadcast, at some 20 bytes each; a larger side is joined by shuffle.
 BROADCAST_GRAMS = 1 << 21
 
 
@@ -47,51 +49,89 @@ def _grams(rows: DataFrame, id_col: str, text_col: str, side: str) -> DataFrame:
     return out.select(f"{side}_id", F.size("g").alias(f"n_{side}"), "g")
 
 
-def overlaps(docs: DataFrame, evals: DataFrame, *, doc_id: str = "doc_id", eval_id: str = "item_id", text: str = "text", jaccard: float = 0.0) -> DataFrame:
-    """doc_id, item_id, common, n_doc, n_eval for all pairs that share a gram and whose sizes allow the Jaccard similarity.
+class _Items:
+    """The gram sets of evaluation items as postings: for each gram, ascending, the items that hold it."""
 
-    The evaluation side is broadcast if its size allows: a text has no more grams than characters.
-    """
-    right = _grams(evals, eval_id, text, "eval")
-    size = evals.agg(F.coalesce(F.sum(F.char_length(text)), F.lit(0))).first()[0]
-    left = _grams(docs, doc_id, text, "doc")
-    if jaccard:  # a set outside these sizes is similar to no item
-        low, high = right.where("n_eval > 0").agg(F.min("n_eval"), F.max("n_eval")).first()
-        left = left.where(F.col("n_doc").between(F.lit(jaccard * (low or 0)), F.lit((high or 0) / jaccard)))
-    flat = lambda df, side: df.select(f"{side}_id", f"n_{side}", F.explode("g").alias("gram"))
-    right = flat(right, "eval")
-    joined = flat(left, "doc").join(F.broadcast(right) if size <= BROADCAST_GRAMS else right, "gram")
-    if jaccard:
-        joined = joined.where(F.least("n_doc", "n_eval") >= F.lit(jaccard) * F.greatest("n_doc", "n_eval"))
-    out = joined.groupBy("doc_id", "eval_id", "n_doc", "n_eval").agg(F.count(F.lit(1)).alias("common"))
-    return out.withColumnRenamed("eval_id", "item_id")
-
-
-def contamination(docs: DataFrame, evals: DataFrame, threshold: float = EVAL_OVERLAP, **cols: str) -> DataFrame:
-    """Pairs with Jaccard similarity from ``threshold`` (> 0) on: doc_id, item_id, common, n_union."""
-    out = overlaps(docs, evals, jaccard=threshold, **cols).withColumn("n_union", F.expr("n_doc + n_eval - common"))
-    return out.where(F.col("common") >= threshold * F.col("n_union")).select("doc_id", "item_id", "common", "n_union")
+    def __init__(self, sets: list[np.ndarray]):
+        self.sizes = np.array([len(g) for g in sets], np.int64)
+        flat, item = np.concatenate([np.zeros(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), self.sizes)
+        order = np.argsort(flat, kind="stable")
+        self.grams, first = np.unique(flat[order], return_index=True)
+        self.items, self.ends = item[order], np.append(first, len(flat))
 
+    def common(self, grams: np.ndarray) -> np.ndarray:
+        """How many grams each item has in common with a set."""
+        at = np.searchsorted(self.grams, grams)
+        at = at[at < len(self.grams)] if not len(self.grams) else at[self.grams[np.minimum(at, len(self.grams) - 1)] == grams]
+        low, n = self.ends[at], self.ends[at + 1] - self.ends[at]
+        places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return np.bincount(self.items[places], minlength=len(self.sizes))
 
-def containment(docs: DataFrame, evals: DataFrame, threshold: float = 0.9, *, doc_id: str = "doc_id", eval_id: str = "item_id", text: str = "text") -> DataFrame:
-    """Pairs where the document holds that share of the item's grams: doc_id, item_id, common, n_eval.
 
-    A document that does holds one of any n - ceil(threshold n) + 1 grams of the item, so the grams that the fewest items
-    have find the candidates, and only these are compared in full.
+def _pairs(docs: DataFrame, evals: DataFrame, threshold: float, union: bool, doc_id: str, eval_id: str, text: str) -> DataFrame:
+    """doc_id, item_id, common, n_doc, n_eval of pairs with common >= threshold * size of the union, or of the item.
+
+    Either way they share that part of the item. Whether the postings of all items are small enough for a broadcast is
+    counted first (a text has no more grams than characters); beyond that, the grams that the fewest items have find the
+    candidates: a document that holds n - r + 1 of an item's n grams, or fewer, can't do without all of any r of them.
     """
+    size, n_items = evals.agg(F.coalesce(F.sum(F.char_length(text)), F.lit(0)), F.count(F.lit(1))).first()
+    enough = lambda common, n_doc, n_eval: common >= threshold * ((n_doc + n_eval - common) if union else n_eval)
+    if max(size, n_items) > BROADCAST_GRAMS:
+        return _by_rare_grams(docs, evals, threshold, doc_id, eval_id, text).where(enough(F.col("common"), F.col("n_doc"), F.col("n_eval")))
+    known = evals.select(eval_id, normalize(F.col(text)).alias("t")).toPandas()  # bounded by BROADCAST_GRAMS
+    spark = docs.sparkSession
+    items = spark.sparkContext.broadcast(_Items([grams_of(t) for t in known["t"]]))
+
+    def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        of = items.value
+        shortest, longest = (of.sizes[of.sizes > 0].min(), of.sizes.max()) if of.sizes.any() else (0, 0)
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for k, t in enumerate(batch.column(1)):
+                grams = grams_of(t.as_py())
+                if union and not threshold * shortest <= len(grams) <= longest / threshold:  # similar to no item
+                    continue
+                common = of.common(grams)
+                at = np.flatnonzero((common > 0) & enough(common, len(grams), of.sizes))
+                if len(at):
+                    out.append((np.full(len(at), k), at, common[at], np.full(len(at), len(grams)), of.sizes[at]))
+            if out:
+                row, at, common, n_doc, n_eval = (np.concatenate(x) for x in zip(*out, strict=True))
+                kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32()]
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, k) for x, k in zip((at, common, n_doc, n_eval), kinds, strict=True))], names)
+
+    names = ["doc_id", "_at", "common", "n_doc", "n_eval"]
+    kind, item_kind = docs.schema[doc_id].dataType, evals.schema[eval_id].dataType
+    shape = T.StructType([T.StructField("doc_id", kind), *(T.StructField(x, k) for x, k in zip(names[1:], (T.IntegerType(), T.LongType(), T.IntegerType(), T.IntegerType()), strict=True))])
+    pairs = docs.select(F.col(doc_id).alias("doc_id"), normalize(F.col(text)).alias("t")).mapInArrow(found, shape)
+    ids = spark.createDataFrame([(k, x) for k, x in enumerate(known[eval_id].tolist())], T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("item_id", item_kind)]))
+    return pairs.join(F.broadcast(ids), "_at").select("doc_id", "item_id", "common", "n_doc", "n_eval")
+
+
+def _by_rare_grams(docs: DataFrame, evals: DataFrame, threshold: float, doc_id: str, eval_id: str, text: str) -> DataFrame:
+    """doc_id, item_id, common, n_doc, n_eval of all pairs where the document may hold that share of the item, by shuffles alone."""
     right, left = _grams(evals, eval_id, text, "eval").where("n_eval > 0"), _grams(docs, doc_id, text, "doc")
     grams = right.select("eval_id", "n_eval", F.explode("g").alias("gram"))
     counts = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("df"))
-    order = F.sort_array(F.collect_list(F.struct("df", "gram")))
+    order = F.sort_array(F.collect_list(F.struct("df", "gram")))  # the grams of one item
     least = grams.join(counts, "gram").groupBy("eval_id", "n_eval").agg(order.alias("o"))
-    least = least.select("eval_id", F.explode(F.slice("o", F.lit(1), F.greatest(F.lit(1), (F.col("n_eval") - F.ceil(F.lit(threshold) * F.col("n_eval")) + 1).cast("int")))).alias("x")).select("eval_id", F.col("x.gram").alias("gram"))
-    size = evals.agg(F.coalesce(F.sum(F.char_length(text)), F.lit(0))).first()[0]
-    flat = left.select("doc_id", F.explode("g").alias("gram"))
-    found = flat.join(F.broadcast(least) if size <= BROADCAST_GRAMS else least, "gram").select("doc_id", "eval_id").distinct()
-    sets = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t")).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
-    full = found.join(right.select("eval_id", "n_eval", F.col("g").alias("e")), "eval_id").join(sets.select("doc_id", gram_hashes(normalize(F.col("t"))).alias("g")), "doc_id")
-    out = full.select("doc_id", F.col("eval_id").alias("item_id"), F.size(F.array_intersect("g", "e")).cast("long").alias("common"), "n_eval")
-    return out.where(F.col("common") >= threshold * F.col("n_eval"))
+    need = F.greatest(F.lit(1), (F.col("n_eval") - F.ceil(F.lit(threshold) * F.col("n_eval")) + 1).cast("int"))
+    least = least.select("eval_id", F.explode(F.slice("o", F.lit(1), need)).alias("x")).select("eval_id", F.col("x.gram").alias("gram"))
+    found = left.select("doc_id", F.explode("g").alias("gram")).join(least, "gram").select("doc_id", "eval_id").distinct()
+    full = found.join(right.select("eval_id", "n_eval", F.col("g").alias("e")), "eval_id").join(left, "doc_id")
+    return full.select("doc_id", F.col("eval_id").alias("item_id"), F.size(F.array_intersect("g", "e")).cast("long").alias("common"), "n_doc", "n_eval")
+
+
+def contamination(docs: DataFrame, evals: DataFrame, threshold: float = EVAL_OVERLAP, *, doc_id: str = "doc_id", eval_id: str = "item_id", text: str = "text") -> DataFrame:
+    """Pairs with Jaccard similarity from ``threshold`` (> 0) on: doc_id, item_id, common, n_union. Null and empty texts are in no pair."""
+    out = _pairs(docs, evals, threshold, True, doc_id, eval_id, text)
+    return out.select("doc_id", "item_id", "common", F.expr("n_doc + n_eval - common").alias("n_union"))
+
+
+def containment(docs: DataFrame, evals: DataFrame, threshold: float = 0.9, *, doc_id: str = "doc_id", eval_id: str = "item_id", text: str = "text") -> DataFrame:
+    """Pairs where the document holds that share (> 0) of the item's grams: doc_id, item_id, common, n_eval."""
+    return _pairs(docs, evals, threshold, False, doc_id, eval_id, text).select("doc_id", "item_id", "common", "n_eval")
 
 
 def with_first(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
