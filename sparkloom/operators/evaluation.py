@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -211,9 +213,34 @@ def overfits(metrics: DataFrame, patience: int = 3) -> DataFrame:
     return steps.agg(((F.count(F.lit(1)) == patience) & F.coalesce(F.bool_and(F.col("up") & F.coalesce("down", F.lit(False))), F.lit(False))).alias("overfit"))
 
 
+def budget_scan(rows: DataFrame, key: str, order: str, cost: str, limit: float) -> DataFrame:
+    """rows with accepted and spent: in order, an item of a key is accepted while spent + cost stays within limit; others use up nothing.
+
+    One sorted scan that carries a sum from batch to batch: linear time, and no more memory than a batch, whatever a key
+    holds. What is spent depends on every item before, so the items of one key pass one task. Ties go by cost; items without
+    an order come last; without a cost they aren't accepted; those without a key share one.
+    """
+    names = rows.columns
+    first = rows.withColumn("_cost", F.col(cost).cast("double")).repartition(F.col(key)).sortWithinPartitions(F.col(key), F.asc_nulls_last(order), F.asc_nulls_last(cost))
+    schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType()), T.StructField("spent", T.DoubleType())])
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, spent, started = None, 0.0, False
+        for batch in batches:
+            accepted, after = [], []
+            for k, c in zip(batch.column(names.index(key)).to_pylist(), batch.column(len(names)).to_pylist(), strict=True):
+                if not started or k != last:
+                    last, spent, started = k, 0.0, True
+                fits = c is not None and spent + c <= limit
+                spent = spent + c if fits else spent
+                accepted.append(fits)
+                after.append(spent)
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(names)], pa.array(accepted, pa.bool_()), pa.array(after, pa.float64())], [*names, "accepted", "spent"])
+
+    return first.mapInArrow(scan, schema)
+
+
 def budget_accepted(rows: DataFrame, key: str, order: str, cost: str, limit: float) -> DataFrame:
-    """Items accepted in order while spent + cost stays within limit; rejected items use up nothing: key, accepted (ids in order)."""
-    items = F.array_sort(F.collect_list(F.struct(order, cost)))
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<long>").alias("ids"))
-    step = lambda s, x: F.when(s["spent"] + x[cost] <= limit, F.struct((s["spent"] + x[cost]).alias("spent"), F.array_append(s["ids"], x[order].cast("long")).alias("ids"))).otherwise(s)
-    return rows.groupBy(key).agg(F.aggregate(items, start, step, lambda s: s["ids"]).alias("accepted"))
+    """The items that ``budget_scan`` accepts: key, accepted (ids in order)."""
+    ids = F.collect_list(F.when(F.col("accepted"), F.col(order).cast("long")))
+    return budget_scan(rows, key, order, cost, limit).groupBy(key).agg(F.array_sort(ids).alias("accepted"))

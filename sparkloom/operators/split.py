@@ -61,6 +61,29 @@ def seeded_sample(rows: DataFrame, n: int, seed: int, id_col: str = "id") -> Dat
     return rows.orderBy(F.sha2(F.concat_ws("|", F.lit(str(seed)), F.col(id_col)), 256), id_col).limit(n)
 
 
+def seeded_mix(rows: DataFrame, shares: dict[str, float], *, rate: float, stratum: str = "category", weight: str | None = None, seed: int = 42, id_col: str = "id") -> DataFrame:
+    """A mix of bround(rate * rows) rows of which each stratum gives its share (bround), drawn by weight without replacement.
+
+    A row's key is -ln(u) / weight with u from a hash of seed and id, and the smallest keys of a stratum are drawn: the same
+    rows however they are partitioned. Rows whose weight is null or not positive and strata without a share are never
+    drawn; a stratum that has too few rows gives all of them. Ties go by id. Keys are counted by buckets of their
+    logarithm, so that only the bucket at the end of the draw (under 2 % of it) is put in order.
+    """
+    w = F.lit(1.0) if weight is None else F.col(weight).cast("double")
+    u = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"))), 1, 8), 16, 10).cast("double") + 0.5) / 2.0**32
+    quota = F.create_map(*(x for k, v in shares.items() for x in (F.lit(k), F.lit(float(v)))))
+    keyed = rows.withColumn("_k", F.when(w > 0, -F.ln(u) / w)).withColumn("_b", F.floor(F.ln("_k") * 64)).withColumn("_s", F.when(F.col(stratum).isin(*shares), F.col(stratum)))  # others count together
+    counts = keyed.groupBy("_s", "_b").agg(F.count(F.lit(1)).alias("_n"))
+    total = F.sum("_n").over(Window.partitionBy(F.lit(0)))  # over a few thousand buckets a stratum
+    by = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.withColumn("_want", F.bround(F.bround(total * F.lit(rate)) * quota[F.col("_s")])).where("_b is not null")
+    counts = counts.withColumn("_low", F.coalesce(F.sum("_n").over(by), F.lit(0))).where("_low < _want").withColumnsRenamed({"_s": "_t", "_b": "_c"})
+    found = keyed.join(F.broadcast(counts), (F.col("_s") == F.col("_t")) & (F.col("_b") == F.col("_c")))
+    whole = F.col("_low") + F.col("_n") <= F.col("_want")
+    edge = found.where(~whole).withColumn("_r", F.row_number().over(Window.partitionBy("_s").orderBy("_k", id_col))).where("_low + _r <= _want")
+    return found.where(whole).select(rows.columns).unionByName(edge.select(rows.columns))
+
+
 def next_version(ids: DataFrame, col: str = "id", prefix: str = "v", width: int = 4) -> DataFrame:
     """The id after the largest numeric suffix."""
     top = F.max(F.try_to_number(F.regexp_extract(col, rf"^{prefix}(\d+)$", 1), F.lit("999999999")).cast("long"))

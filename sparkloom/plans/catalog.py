@@ -598,6 +598,27 @@ def redacted_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("redacted", F.replace(F.replace("redacted", F.lit('": '), F.lit('":')), F.lit(", "), F.lit(",")))
 
 
+_MIX = {"en": 0.5, "de": 0.3, "fr": 0.2}
+
+
+@_query(f"""with k as (select doc_id, lang, -ln((('0x' || substr(md5('7|' || doc_id), 1, 8))::bigint + 0.5::double) / 4294967296.0::double) / n_chars as k from documents),
+q as (select lang, round_even(round_even((select count(*) from documents) * 0.1::double, 0) * case lang {" ".join(f"when '{k}' then {v}::double" for k, v in _MIX.items())} end, 0) as n from documents group by 1)
+select doc_id, lang from (select doc_id, lang, row_number() over (partition by lang order by k, doc_id) as r from k where k is not null) join q using (lang) where r <= n""")
+def seeded_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """a tenth of the documents, half of it English, by length."""
+    return split.seeded_mix(_table(spark, sf_dir, "documents").select("doc_id", "lang", "n_chars"), _MIX, rate=0.1, stratum="lang", weight="n_chars", seed=7, id_col="doc_id").select("doc_id", "lang")
+
+
+@_query("""with recursive o as (select user_id % 50 as key, event_id, value, row_number() over (partition by user_id % 50 order by event_id, value) as n from events),
+r as (select key, n, event_id, case when value <= 100 then value else 0.0 end as spent, coalesce(value <= 100, false) as accepted from o where n = 1
+union all select o.key, o.n, o.event_id, case when r.spent + o.value <= 100 then r.spent + o.value else r.spent end, coalesce(r.spent + o.value <= 100, false) from r join o on o.key = r.key and o.n = r.n + 1)
+select key, event_id, accepted, floor(spent * 1000 + 0.5)::bigint as spent_milli from r""")
+def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events accepted in order within a budget of 100 for each of fifty payers."""
+    rows = _table(spark, sf_dir, "events").select((F.col("user_id") % 50).alias("key"), "event_id", "value")
+    return evaluation.budget_scan(rows, "key", "event_id", "value", 100.0).select("key", "event_id", "accepted", F.floor(F.col("spent") * 1000 + 0.5).alias("spent_milli"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
