@@ -16,6 +16,8 @@ from sparkloom.sources.jsonl import export_lines
 
 #: Rows of a part file, at most, as a task hashes a file as a whole.
 PART_ROWS = 1_000_000
+#: Hex digits that the lines below a node of a tree hash share, from the lowest level up.
+LEVELS = (6, 4, 2)
 
 
 def clean_examples(examples: DataFrame, evals: DataFrame | None, item_text: str = "text", tokens_col: str | None = None) -> tuple[DataFrame, DataFrame]:
@@ -67,11 +69,13 @@ def write_version(rows: DataFrame, path: str, version: str, seed: int, ratio: fl
 def write_parts(rows: DataFrame, path: str, version: str, seed: int, ratio: float = VAL_RATIO) -> DataFrame:
     """A version of any size: each split in part files of lines below ``split=``, written by tasks, rows by id within ranges; returns the manifest.
 
-    The manifest (split, file, n, sha256, seed, val_ratio) is hashed by tasks and kept below ``_manifest``.
+    The manifest (split, file, n, sha256, seed, val_ratio) is hashed by tasks and kept below ``_manifest``; the hash of each
+    split as a whole, whatever its files, below ``_tree``.
     """
     folder, spark = f"{path.rstrip('/')}/{version}", rows.sparkSession
     placed = rows.repartitionByRange("split", "id").sortWithinPartitions("split", "id")
     export_lines(placed, "split").write.partitionBy("split").option("maxRecordsPerFile", PART_ROWS).mode("errorifexists").text(folder)
+    _stored(tree_hash(_lines(spark, folder), "split"), f"{folder}/_tree")
     return _manifest(spark, folder).withColumns({"seed": F.lit(seed), "val_ratio": F.lit(ratio)}).transform(lambda m: _stored(m, f"{folder}/_manifest"))
 
 
@@ -95,6 +99,36 @@ def parts_hold(spark: SparkSession, path: str, version: str) -> DataFrame:
     return stated.join(found, ["split", "file"], "full").select("split", "file", F.coalesce(F.col("stated") == F.col("sha256"), F.lit(False)).alias("holds"))
 
 
+def tree_hash(lines: DataFrame, split: str, line: str = "value") -> DataFrame:
+    """split, n and hash: one hash of all lines of each split that depends neither on their order nor on how they lie in files.
+
+    A tree over the sha256 of the lines: those that share LEVELS[0] hex digits are hashed together in ascending order, then
+    the nodes that share fewer digits, each with its digits, up to the root. Repeated lines count, null is a line of its
+    own (no digest is empty). A node has at most 256 children, and one of 2^24 parts of all lines' digests.
+    """
+    leaf = F.coalesce(F.sha2(F.col(line), 256), F.lit(""))
+    nodes = lines.select(F.col(split).alias("split"), leaf.alias("h")).groupBy("split", F.substring("h", 1, LEVELS[0]).alias("p"))
+    nodes = nodes.agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(F.array_sort(F.collect_list("h")), ","), 256).alias("hash"))
+    for width in (*LEVELS[1:], 0):
+        parts = F.array_sort(F.collect_list(F.concat("p", F.lit(":"), "hash")))
+        nodes = nodes.groupBy("split", F.substring("p", 1, width).alias("q")).agg(F.sum("n").alias("n"), F.sha2(F.array_join(parts, ","), 256).alias("hash")).withColumnRenamed("q", "p")
+    return nodes.select("split", "n", "hash")
+
+
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """value and split of the lines of a version in parts."""
+    files = spark.read.option("lineSep", "\n").option("pathGlobFilter", "part-*").option("recursiveFileLookup", "true").text(folder)
+    return files.select("value", F.regexp_extract(F.input_file_name(), "split=([^/]*)/", 1).alias("split"))
+
+
+def splits_hold(spark: SparkSession, path: str, version: str) -> DataFrame:
+    """split, holds: whether the lines of each split are those that were written, in any files. Reads line by line."""
+    folder = f"{path.rstrip('/')}/{version}"
+    stated = spark.read.schema("split string, n long, hash string").json(f"{folder}/_tree").toDF("split", "n_stated", "stated")
+    found = tree_hash(_lines(spark, folder), "split")
+    return stated.join(found, "split", "full").select("split", F.coalesce((F.col("stated") == F.col("hash")) & (F.col("n_stated") == F.col("n")), F.lit(False)).alias("holds"))
+
+
 def manifest_holds(path: str, version: str) -> dict[str, bool]:
     """Whether each file of a version still has the hash its manifest states."""
     folder = Path(path.removeprefix("file://")) / version

@@ -12,7 +12,7 @@ from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, red
 from sparkloom.functions.text import content_hash, md5_bucket, normalize, prompt_key
 from sparkloom.functions import templates
 from sparkloom.functions.tokens import piece_ends, rendered, token_count
-from sparkloom.operators import evaluation, listing, preflight, rules, sessions, similarity, split, workflow
+from sparkloom.operators import dataset, evaluation, listing, preflight, rules, sessions, similarity, split, workflow
 from sparkloom.schema import CASE_PRIORITY, TOKEN_EDGES
 from sparkloom.streaming import cases
 
@@ -619,6 +619,16 @@ def running_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.budget_scan(rows, "key", "event_id", "value", 100.0).select("key", "event_id", "accepted", F.floor(F.col("spent") * 1000 + 0.5).alias("spent_milli"))
 
 
+@_query("""with l as (select lang as split, sha256(text) as h from documents),
+a as (select split, h[1:6] as p, count(*) as n, sha256(string_agg(h, ',' order by h)) as hash from l group by 1, 2),
+b as (select split, p[1:4] as p, sum(n) as n, sha256(string_agg(p || ':' || hash, ',' order by p)) as hash from a group by split, p[1:4]),
+c as (select split, p[1:2] as p, sum(n) as n, sha256(string_agg(p || ':' || hash, ',' order by p)) as hash from b group by split, p[1:2])
+select split, sum(n)::bigint as n, sha256(string_agg(p || ':' || hash, ',' order by p)) as hash from c group by split""")
+def tree_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One hash for the texts of each language, however they are stored."""
+    return dataset.tree_hash(_table(spark, sf_dir, "documents"), "lang", "text")
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
