@@ -13,7 +13,7 @@ from sparkloom.functions.text import content_hash, md5_bucket, normalize, prompt
 from sparkloom.functions import templates
 from sparkloom.functions.tokens import piece_ends, rendered, token_count
 from sparkloom.operators import dataset, evaluation, listing, preflight, rules, sessions, similarity, split, workflow
-from sparkloom.schema import CASE_PRIORITY, TOKEN_EDGES
+from sparkloom.schema import CASE_PRIORITY, GATES, TOKEN_EDGES
 from sparkloom.streaming import cases
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -629,6 +629,27 @@ def tree_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dataset.tree_hash(_table(spark, sf_dir, "documents"), "lang", "text")
 
 
+# Events as judged responses: the kind is the suite, the value decides, the properties are the answer.
+_SUITE = "case event_type when 'click' then 'tool_syntax' when 'view' then 'anti_loop' when 'purchase' then 'security_vuln' when 'signup' then 'security_clean' else 'plan_json' end"
+_LIMITS = ", ".join(f"('{k}', {lo}::double, {'null' if hi is None else hi}::double)" for k, (lo, hi) in GATES.items())
+
+
+@_query(f"""with r as (select {_SUITE} as suite, value > 5 as passed, coalesce(json_valid(props), false) as valid, value < 1 as fp from events),
+s as (select suite, count(*) as total, count(*) filter (passed) as passed, count(*) filter (valid) as valid, count(*) filter (fp) as fp from r group by 1),
+v as (select case suite when 'security_vuln' then 'security_catch' else suite end as gate, 100 * (passed / total) as value from s where suite <> 'security_clean'
+union all select 'json_validity', 100 * sum(valid) / sum(total) from s where suite in ('security_vuln', 'security_clean', 'plan_json')
+union all select 'security_fp', 100 * fp / total from s where suite = 'security_clean'
+union all select 'regression', 100 * ((select passed / total from s where suite = 'anti_loop') / (select passed / total from s where suite = 'tool_syntax')))
+select gate, low, high, v.value, coalesce(v.value >= low and (high is null or v.value <= high), false) as passed from (values {_LIMITS}) l(gate, low, high) left join v using (gate)""")
+def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Summaries of suites as gate values against all gates; speed and end_to_end have no value and fail."""
+    rows = _table(spark, sf_dir, "events").select(F.expr(_SUITE).alias("suite"), (F.col("value") > 5).alias("passed"), evaluation.valid_json(F.col("props")).alias("valid_json"), (F.col("value") < 1).alias("false_positive"))
+    summary = evaluation.suite_summary(rows)
+    of = lambda suite, col: F.max(F.when(F.col("suite") == suite, F.col(col)))
+    regression = summary.agg(of("anti_loop", "passed").alias("candidate_passed"), of("anti_loop", "total").alias("candidate_total"), of("tool_syntax", "passed").alias("base_passed"), of("tool_syntax", "total").alias("base_total"))
+    return evaluation.gate_check(spark, evaluation.gate_values(summary, evaluation.false_positives(rows), regression=regression))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
