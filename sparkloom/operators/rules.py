@@ -321,4 +321,6 @@ def registry_tools() -> str:
 
 
 def with_tools(examples: DataFrame) -> DataFrame:
-    return examples.withColumn("tools", F.when(F.col("tools").isNull() & F.col("category").isin("tool", "loop"), F.lit(registry_tools())).otherwise(F.col("tools")))
+    """Tool and loop examples without tools, or with an empty list of them, get the registry's."""
+    none = F.col("tools").isNull() | F.regexp_replace("tools", r"\s", "").isin("", "[]", "null")
+    return examples.withColumn("tools", F.when(none & F.col("category").isin("tool", "loop"), F.lit(registry_tools())).otherwise(F.col("tools")))

@@ -512,3 +512,10 @@ def test_versions_in_parts(spark, tmp_path):
     for crc in tmp_path.glob("v0001/split=val/.*.crc"):
         crc.unlink()
     assert [r.split for r in dataset.parts_hold(spark, str(tmp_path), "v0001").where("not holds").collect()] == ["val"]
+
+
+def test_empty_lists_of_tools_are_filled(spark):
+    rows = [(c, t) for c in ("tool", "loop", "plan") for t in (None, "[]", " [ ]", "", '["a"]')]
+    got = rules.with_tools(spark.createDataFrame(rows, "category string, tools string")).collect()
+    for (c, t), r in zip(rows, got, strict=True):
+        assert r.tools == (rules.registry_tools() if c != "plan" and t != '["a"]' else t)
