@@ -166,6 +166,41 @@ def pigeonhole_keys(grams: np.ndarray, threshold: float) -> list[tuple[int, int,
 _KEYED = T.ArrayType(T.StructType([T.StructField("n", T.IntegerType()), T.StructField("class", T.IntegerType()), T.StructField("need", T.IntegerType()), T.StructField("keys", T.ArrayType(T.LongType()))]))
 
 
+def _texts(rows: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Normalised texts that aren't empty, each with its smallest id."""
+    texts = rows.select(F.col(id_col).alias("id"), normalize(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
+    return texts.groupBy("text").agg(F.min("id").alias("id")).where("text <> ''")
+
+
+def similarity_keys(texts: DataFrame, threshold: float = NEAR_DUP) -> DataFrame:
+    """id, n, class, need, key of normalised texts (id, text): the ``pigeonhole_keys`` of each. May be stored for ``near_duplicates_with``."""
+
+    @F.pandas_udf(_KEYED)
+    def keyed(column: pd.Series) -> pd.Series:
+        sets = [grams_of(t) for t in column]
+        return pd.Series([[{"n": len(g), "class": c, "need": need, "keys": k} for c, need, k in pigeonhole_keys(g, threshold)] for g in sets], dtype=object)
+
+    return texts.select("id", F.explode(keyed("text")).alias("k")).select("id", "k.n", "k.class", "k.need", F.explode("k.keys").alias("key"))
+
+
+def near_duplicates_with(rows: DataFrame, known: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR_DUP, known_keys: DataFrame | None = None) -> DataFrame:
+    """id and peer: every row with the smallest id of each known text, other than its own, that is similar from ``threshold`` (below 1) on.
+
+    As ``near_duplicates``, without comparing known texts with each other. Equal texts after normalisation are similar only
+    if they differ before it. known_keys: the ``similarity_keys`` of known's normalised texts by their smallest ids, if they are stored.
+    """
+    left, right = _texts(rows, id_col, text_col), _texts(known, id_col, text_col)
+    a, b = similarity_keys(left, threshold).toDF("first_id", "n_a", "class", "need_a", "key"), (similarity_keys(right, threshold) if known_keys is None else known_keys).toDF("second_id", "n_b", "class", "need_b", "key")
+    able = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
+    pairs = a.join(b, ["class", "key"]).where(able).groupBy("first_id", "second_id", "class").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    near = _confirmed(pairs.where("shared >= need").select("first_id", "second_id").distinct(), left, right, threshold).select("first_id", F.col("second_id").alias("peer"))
+    both = lambda d: d.select(F.col(id_col).alias("id"), F.sha2(normalize(F.col(text_col)), 256).alias("same"), F.sha2(text_col, 256).alias("exact"))
+    kin = both(rows).join(left.select(F.sha2("text", 256).alias("same"), F.col("id").alias("first_id")), "same")
+    twins = both(known).groupBy("same", "exact").agg(F.min("id").alias("peer")).withColumnRenamed("exact", "other")
+    same = kin.join(twins, "same").where("exact <> other").groupBy("id").agg(F.min("peer").alias("peer"))
+    return kin.join(near, "first_id").select("id", "peer").unionByName(same)
+
+
 def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR_DUP) -> DataFrame:
     """Pairs of different normalised texts with Jaccard similarity from ``threshold`` (below 1) on: first_id, second_id, common, n_union.
 
@@ -176,15 +211,8 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str =
     dealt once as the smaller one and once as the larger one of a pair. A set with no more than H parts that aren't empty
     (a small one) joins others of that kind by a prefix filter in the order of hashes. Candidates are compared gram by gram.
     """
-    texts = rows.select(F.col(id_col).alias("id"), normalize(F.coalesce(F.col(text_col), F.lit(""))).alias("text"))
-    texts = texts.groupBy("text").agg(F.min("id").alias("id")).where("text <> ''")
-
-    @F.pandas_udf(_KEYED)
-    def keyed(column: pd.Series) -> pd.Series:
-        sets = [grams_of(t) for t in column]
-        return pd.Series([[{"n": len(g), "class": c, "need": need, "keys": k} for c, need, k in pigeonhole_keys(g, threshold)] for g in sets], dtype=object)
-
-    keys = texts.select("id", F.explode(keyed("text")).alias("k")).select("id", "k.n", "k.class", "k.need", F.explode("k.keys").alias("key"))
+    texts = _texts(rows, id_col, text_col)
+    keys = similarity_keys(texts, threshold)
     by = Window.partitionBy("class", "key")
     keys = keys.select("*", F.min("id").over(by).alias("low"), F.max("id").over(by).alias("top")).where("low <> top").select("id", "n", "class", "need", "key")
     a, b = keys.toDF("first_id", "n_a", "class", "need_a", "key"), keys.toDF("second_id", "n_b", "class", "need_b", "key")
@@ -192,7 +220,11 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str =
     pairs = a.join(b, ["class", "key"]).where((F.col("first_id") < F.col("second_id")) & able)
     pairs = pairs.groupBy("first_id", "second_id", "class").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
     pairs = pairs.where("shared >= need").select("first_id", "second_id").distinct()
-    full = pairs.join(texts.toDF("text_a", "first_id"), "first_id").join(texts.toDF("text_b", "second_id"), "second_id")
+    return _confirmed(pairs, texts, texts, threshold)
+
+
+def _confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+    full = pairs.join(left.select(F.col("text").alias("text_a"), F.col("id").alias("first_id")), "first_id").join(right.select(F.col("text").alias("text_b"), F.col("id").alias("second_id")), "second_id").where("text_a <> text_b")
     full = full.select("first_id", "second_id", shingles(F.col("text_a")).alias("g_a"), shingles(F.col("text_b")).alias("g_b"))
     common = F.size(F.array_intersect("g_a", "g_b"))
     out = full.select("first_id", "second_id", common.cast("long").alias("common"), (F.size("g_a") + F.size("g_b") - common).cast("long").alias("n_union"))

@@ -12,7 +12,7 @@ from sparkloom.functions.secrets import REDACT, SCAN, found_secrets, redact, red
 from sparkloom.functions.text import content_hash, md5_bucket, normalize, prompt_key
 from sparkloom.functions import templates
 from sparkloom.functions.tokens import piece_ends, rendered, token_count
-from sparkloom.operators import dataset, evaluation, listing, preflight, rules, sessions, similarity, split, workflow
+from sparkloom.operators import dataset, evaluation, listing, preflight, revisions, rules, sessions, similarity, split, workflow
 from sparkloom.schema import CASE_PRIORITY, GATES, TOKEN_EDGES
 from sparkloom.streaming import cases
 
@@ -650,6 +650,45 @@ def gate_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.gate_check(spark, evaluation.gate_values(summary, evaluation.false_positives(rows), regression=regression))
 
 
+# Changes of clients as changes of examples: I creates, U updates or, every fifth, sets the status, D deletes.
+_OP = "case when op = 'I' then 'create' when op = 'D' then 'delete' when op = 'U' and change_id % 5 = 0 then 'status' when op = 'U' then 'update' end"
+_CHG = f"(select distinct client_id::varchar as id, change_id as n, {_OP} as op, segment, source, city from client_changes where client_id is not null and change_id is not null)"
+
+
+def _changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.expr("if(city is null, null, array(struct('user' as role, coalesce(segment, '') as content), struct('assistant' as role, city as content)))")
+    rows = _table(spark, sf_dir, "client_changes").distinct().select(
+        F.col("client_id").cast("string").alias("id"), F.col("change_id").alias("n"), F.expr(_OP).alias("op"), F.col("segment").alias("category"), said.alias("messages"),
+        F.lit(None).cast("string").alias("tools"), "source", F.col("city").alias("group_id"), F.lit("approved").alias("status"),
+    )
+    return rows.where("id is not null and n is not null")
+
+
+@_query(f"""with c as {_CHG}, e as (select id, max(n) filter (op = 'delete') as stop from c group by 1),
+a as (select c.* from c join e using (id) where op <> 'delete' and (stop is null or n > stop)), s as (select id, min(n) filter (op = 'create') as start from a group by 1),
+r as (select a.* from a join s using (id) where n >= start and (op <> 'create' or n = start)),
+l as (select id, arg_max(segment, n) filter (op <> 'status' and segment <> '') as category, arg_max(source, n) filter (op <> 'status' and source <> '') as source, arg_max(city, n) filter (op <> 'status' and city is not null) as group_id,
+arg_max(coalesce(segment, ''), n) filter (op <> 'status' and city is not null) as said, max(case when op = 'status' then 'approved' end) as status from r group by 1)
+select id, category, source, group_id, coalesce(status, 'draft') as status,
+sha256('{{"messages": [{{"content": "' || said || '", "role": "user"}}, {{"content": "' || group_id || '", "role": "assistant"}}], "tools": null}}') as content_hash from l""")
+def revised_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1, K3: the latest rows of a table of revisions after two commits of changes, the earlier half and the later."""
+    rows = _changes(spark, sf_dir)
+    middle = F.lit(rows.agg(F.max("n")).first()[0] or 0) / 2
+    table = revisions.Table(spark, cases.shared_folder(spark, "examples"))
+    for half in (F.col("n") <= middle, F.col("n") > middle):
+        table.apply(rows.where(half))
+    return table.rows().select("id", "category", "source", "group_id", "status", "content_hash")
+
+
+@_query(f"""with c as {_CHG}, b as (select id, n, op, last_value(case when op in ('create', 'delete') then op end ignore nulls) over (partition by id order by n rows between unbounded preceding and 1 preceding) as before from c where op is not null)
+select id, n, op, case when op = 'create' then 'exists' else 'missing' end as reason from b where (op = 'create') = (coalesce(before, 'delete') = 'create')""")
+def refused_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """K1: changes that find no row, and creations that find one."""
+    rows = _changes(spark, sf_dir)
+    return revisions.refused(spark.createDataFrame([], revisions.ROW), rows)
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
