@@ -10,7 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sparkloom.functions.text import all_text, content_hash
-from sparkloom.operators import rules, similarity, split
+from sparkloom.functions.tokens import rendered, token_count
+from sparkloom.operators import rules, similarity, split, workflow
 from sparkloom.schema import FEEDBACK_RATIO, VAL_RATIO
 from sparkloom.sources.jsonl import export_lines
 
@@ -37,6 +38,62 @@ def build(examples: DataFrame, evals: DataFrame | None = None, *, ratio: float =
     return split.group_split(clean_examples(examples, evals, tokens_col=tokens_col)[0], ratio=ratio, seed=seed)
 
 
+def evals_mark(evals: DataFrame | None, item_text: str = "text") -> str:
+    """A number that tells the texts of an evaluation side from others, whatever their order."""
+    if evals is None:
+        return ""
+    n, total = evals.agg(F.count(F.lit(1)), F.sum(F.xxhash64(item_text).cast("decimal(38,0)"))).first()
+    return f"{n}:{total}"
+
+
+def judged(rows: DataFrame, evals: DataFrame | None, item_text: str = "text", tokens_col: str | None = None) -> DataFrame:
+    """id, codes and hit: what the content of an id's rows decides by itself, errors but those of copies, and whether it overlaps an evaluation case."""
+    errors = rules.validate(rows, hash_col=None, tokens_col=tokens_col).where("level = 'err'").groupBy("id").agg(F.array_sort(F.collect_set("code")).alias("codes"))
+    out = rows.select("id").distinct().join(errors, "id", "left").withColumn("codes", F.coalesce("codes", F.array().cast("array<string>")))
+    if evals is None:
+        return out.withColumn("hit", F.lit(False))
+    texts = rows.select(F.col("id").alias("doc_id"), all_text(F.col("messages")).alias("text"))
+    hit = similarity.contamination(texts, evals.withColumnRenamed(item_text, "text")).select(F.col("doc_id").alias("id"), F.lit(True).alias("hit")).distinct()
+    return out.join(hit, "id", "left").withColumn("hit", F.coalesce("hit", F.lit(False)))
+
+
+MARKS = "id string, mark string, content_hash string, n long"
+JUDGED = MARKS + ", codes array<string>, hit boolean"
+
+
+def build_next(
+    examples: DataFrame, evals: DataFrame | None, folder: str, previous: str | None = None, *, categories: list[str] | None = None, ratio: float = VAL_RATIO, seed: int = 42, item_text: str = "text", tokens_col: str | None = None
+) -> DataFrame:
+    """The rows of ``build`` with their split, where only rows that previous doesn't know as they are now are validated and compared with evals.
+
+    folder and previous: where this build writes what it found out about each row (judged, beside the marks of all
+    rows), and where an earlier one did. A row that has changed, or meets other evals, is judged again. Everything after
+    that, copies too, is decided on these narrow tables. A build that has no row left is an error, which names the stage.
+    categories: those to build from, all if none are given.
+    """
+    spark = examples.sparkSession
+    rows = examples.where("status = 'approved' and id is not null")
+    rows = rows.where(F.col("category").isin(categories)) if categories else rows
+    _or_error(rows, "no approved examples to build a dataset from")
+    content = F.to_json(F.struct("category", "messages", "tools", *([F.col(tokens_col).alias("tokens")] if tokens_col else [])), {"ignoreNullFields": "false"})
+    mark = F.sha2(F.concat_ws("\x1f", F.lit(evals_mark(evals, item_text)), content), 256)
+    seen = rows.select("id", mark.alias("mark"), content_hash(F.col("messages"), F.col("tools")).alias("content_hash"))
+    seen.groupBy("id", "mark", "content_hash").agg(F.count(F.lit(1)).alias("n")).write.parquet(f"{folder}/marks")
+    marks = spark.read.schema(MARKS).parquet(f"{folder}/marks")
+    known = spark.read.schema(JUDGED).parquet(f"{previous}/judged") if previous else spark.createDataFrame([], JUDGED)
+    fresh = marks.join(known, ["id", "mark"], "left_anti").select("id").distinct()
+    kept = marks.join(fresh, "id", "left_anti").join(known.select("id", "mark", "codes", "hit"), ["id", "mark"])
+    new = marks.join(judged(rows.join(fresh, "id", "left_semi"), evals, item_text, tokens_col), "id")
+    new.unionByName(kept).write.parquet(f"{folder}/judged")
+    now = spark.read.schema(JUDGED).parquet(f"{folder}/judged")
+    copies = now.groupBy("content_hash").agg(F.sum("n").alias("n")).where("n > 1 and content_hash is not null").select("content_hash")
+    bad = now.where("size(codes) > 0").select("id").unionByName(now.join(copies, "content_hash", "left_semi").select("id"))
+    sound = _or_error(now.join(bad, "id", "left_anti"), "every approved example failed err-level validation")
+    clean = _or_error(sound.join(sound.where("hit").select("id"), "id", "left_anti"), "every approved example overlaps the frozen eval suites")
+    out = rows.join(clean.select("id"), "id", "left_semi").withColumn("content_hash", content_hash(F.col("messages"), F.col("tools")))
+    return split.group_split(out, ratio=ratio, seed=seed)
+
+
 def build_feedback(originals: DataFrame, feedback: DataFrame, evals: DataFrame | None = None, *, seed: int = 42, tokens_col: str | None = None) -> DataFrame:
     """Originals with feedback rows of at most FEEDBACK_RATIO of the whole, by id; equal contents and contaminated feedback don't come in."""
     base = clean_examples(originals, None, tokens_col=tokens_col)[0]
@@ -45,6 +102,36 @@ def build_feedback(originals: DataFrame, feedback: DataFrame, evals: DataFrame |
     return split.regression_split(base, extra.orderBy("id").limit(room).select(*base.columns), seed=seed)
 
 
+def feedback_version(
+    originals: DataFrame, cases: DataFrame, evals: DataFrame | None = None, *, categories: list[str] | None = None, seed: int = 42, tokenizer: str | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """The rows of a version mixed from originals and approved cases, and cases with those that it holds set to merged.
+
+    cases: case_id, session_id, status and edited examples, which are judged as ``workflow.approved_corrections`` does; the first case of
+    equal contents counts. At most FEEDBACK_RATIO of the rows are of cases, by case_id; cases beyond that or contaminated stay
+    approved. A stage that leaves nothing is an error. tokenizer: the file that counts tokens for C4. The split is that of ``build_feedback``.
+    """
+    wanted = F.col("category").isin(categories) if categories else F.lit(True)
+    columns = ["id", "category", "messages", "tools", "source", "group_id", "status"]
+    counted = (lambda d: d.withColumn("tokens", token_count(rendered(F.col("messages"), F.col("tools")), tokenizer))) if tokenizer else (lambda d: d)
+    approved, base = _or_error(cases.where("status = 'approved'"), "no approved cases to build a dataset from"), originals.where("status = 'approved'").select(*columns)
+    known = base.select(content_hash(F.col("messages"), F.col("tools")).alias("content_hash")).distinct()
+    base = _or_error(base.where(wanted), "at least one approved original example is required")
+    extra, _ = workflow.approved_corrections(approved.withColumn("status", F.lit("editing")), second=False)
+    extra = similarity.first_wins(extra.join(known, "content_hash", "left_anti").where(wanted), "content_hash", "id")
+    extra = _or_error(extra, "no new case passes the rules").select(*columns)
+    rows = build_feedback(counted(base), counted(extra), evals, seed=seed, tokens_col="tokens" if tokenizer else None)
+    _or_error(rows.where("split = 'val'"), "fewer than two groups of original examples pass the rules")
+    used = rows.join(extra.select("id"), "id", "left_semi").select(F.col("id").alias("case_id"))
+    return rows, workflow.marked_emitted(cases, _or_error(used, "no case is left: all overlap the evaluation cases, or there are too few originals"))
+
+
+def _or_error(rows: DataFrame, why: str) -> DataFrame:
+    if rows.isEmpty():
+        raise ValueError(why)
+    return rows
+
+
 def write_version(rows: DataFrame, path: str, version: str, seed: int, ratio: float = VAL_RATIO) -> dict:
     """Writes one line file for each split, rows by id, and manifest.json with counts and sha256; returns the manifest.
 

@@ -201,6 +201,27 @@ def near_duplicates_with(rows: DataFrame, known: DataFrame, *, id_col: str = "do
     return kin.join(near, "first_id").select("id", "peer").unionByName(same)
 
 
+def text_ids(rows: DataFrame, text_col: str = "text") -> DataFrame:
+    """id and text: normalised texts that aren't empty, by their sha256."""
+    text = normalize(F.coalesce(F.col(text_col), F.lit("")))
+    return rows.select(text.alias("text")).where("text <> ''").distinct().select(F.sha2("text", 256).alias("id"), "text")
+
+
+def near_texts_next(rows: DataFrame, keys: DataFrame, pairs: DataFrame, *, text_col: str = "text", threshold: float = NEAR_DUP) -> tuple[DataFrame, DataFrame]:
+    """keys and pairs (first_id, second_id) of the different texts of rows, by ``text_ids``, from those of earlier rows.
+
+    Only texts without keys are compared, with each other and with the rest; the keys and pairs of texts that rows don't
+    have any more go. Start with empty ones.
+    """
+    texts = text_ids(rows, text_col)
+    fresh, old = texts.join(keys.select("id").distinct(), "id", "left_anti"), texts.join(keys.select("id").distinct(), "id", "left_semi")
+    kept, added = keys.join(texts.select("id"), "id", "left_semi"), similarity_keys(fresh, threshold)
+    left = pairs.join(texts.select(F.col("id").alias("first_id")), "first_id", "left_semi").join(texts.select(F.col("id").alias("second_id")), "second_id", "left_semi")
+    within = near_duplicates(fresh, id_col="id", threshold=threshold).select("first_id", "second_id")
+    across = near_duplicates_with(fresh, old, id_col="id", threshold=threshold, known_keys=kept).select(F.least("id", "peer").alias("first_id"), F.greatest("id", "peer").alias("second_id"))
+    return kept.unionByName(added), left.select("first_id", "second_id").unionByName(within).unionByName(across)
+
+
 def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR_DUP) -> DataFrame:
     """Pairs of different normalised texts with Jaccard similarity from ``threshold`` (below 1) on: first_id, second_id, common, n_union.
 

@@ -66,20 +66,22 @@ def edited_and_approved(queue: DataFrame, edits: DataFrame, at: Column) -> DataF
     return out.select(*[F.when(hit, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in queue.columns])
 
 
-def case_approvals(cases: DataFrame) -> DataFrame:
-    """Cases that may be approved: pending or being edited; a sec case needs a second reviewer other than the first, if there is a first. The example is redacted."""
-    second = F.coalesce(F.trim("second_reviewer"), F.lit(""))
-    able = F.col("status").isin("pending", "editing") & ((F.col("case_type") != "sec") | ((second != "") & (second != F.coalesce(F.trim("reviewer"), F.lit("")))))
+def case_approvals(cases: DataFrame, second: bool = True) -> DataFrame:
+    """Cases that may be approved: pending or being edited; a sec case needs a second reviewer other than the first, if there is a first (unless second is False). The example is redacted."""
+    able = F.col("status").isin("pending", "editing")
+    if second:
+        other = F.coalesce(F.trim("second_reviewer"), F.lit(""))
+        able = able & ((F.col("case_type") != "sec") | ((other != "") & (other != F.coalesce(F.trim("reviewer"), F.lit("")))))
     return cases.where(able).withColumn("edited_example_json", redact_json("edited_example_json"))
 
 
-def approved_corrections(cases: DataFrame, peers: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+def approved_corrections(cases: DataFrame, peers: DataFrame | None = None, second: bool = True) -> tuple[DataFrame, DataFrame]:
     """Examples of the cases that pass every step of approval, and (case_id, reason) of the others.
 
     Steps: ``case_approvals``, the schema (a known category, messages of known roles), and the rules, with equal contents in
-    peers (content_hash) an error. Tool and loop examples without tools get the registry's; the group is the given one, else the project, else the session.
+    peers (content_hash) an error. second: whether sec cases need a second reviewer, as those approved already don't. Tool and loop examples without tools get the registry's; the group is the given one, else the project, else the session.
     """
-    able = case_approvals(cases)
+    able = case_approvals(cases, second)
     shape = f"category string, messages {MESSAGES}, tools string, group_id string"
     parsed = able.withColumn("x", F.from_json("edited_example_json", shape))
     sound = F.col("x.category").isin(*CATEGORIES) & (F.size("x.messages") > 0) & F.forall("x.messages", lambda m: F.coalesce(m["role"].isin(*ROLES) & m["content"].isNotNull(), F.lit(False)))

@@ -689,6 +689,42 @@ def refused_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return revisions.refused(spark.createDataFrame([], revisions.ROW), rows)
 
 
+_SECRET = "(" + " or ".join(f"regexp_matches(asked, '{p.replace(chr(39), chr(39) * 2)}')" for p in SCAN.values()) + ")"
+_BLANK = "trim(regexp_replace(coalesce({}, ''), '\\s+', '', 'g')) = ''"
+
+
+@_query(f"""with asked as (select doc_id, lang, source, text as said, coalesce(lang || chr(10) || text, lang, text, '') as asked, count(*) over (partition by lang, text) as copies from documents where lang in ('en', 'de', 'fr')),
+{_OVERLAP.replace("as t from documents", "as t from (select doc_id, asked as text from asked)").lstrip()},
+kept as (select * from asked where (copies = 1 or lang is null or said is null) and not {_SECRET} and not {_BLANK.format("said")} and doc_id not in (select doc_id from o where common >= 0.3::double * (n_doc + n_eval - common))),
+{_SPLIT.replace("from documents", "from kept").lstrip()}
+select doc_id, lang, split from kept join s using (lang, source)""")
+def next_version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """the rows and splits of a version of three categories that judges only what the version before, of even ids, hasn't; documents stand for examples."""
+    said = F.array(F.struct(F.lit("user").alias("role"), F.col("lang").alias("content")), F.struct(F.lit("assistant").alias("role"), F.col("text").alias("content")))
+    rows = _table(spark, sf_dir, "documents").select(
+        F.col("doc_id").cast("string").alias("id"), F.col("lang").alias("category"), said.alias("messages"), F.lit(None).cast("string").alias("tools"), "source", F.col("source").alias("group_id"), F.lit("approved").alias("status"), "doc_id"
+    )
+    evals, (first, second) = _table(spark, sf_dir, "benchmark"), (cases.shared_folder(spark, "judged") for _ in range(2))
+    dataset.build_next(rows.where("doc_id % 2 = 0"), evals, first, categories=["en", "de", "fr"])
+    return dataset.build_next(rows, evals, second, first, categories=["en", "de", "fr"]).select("doc_id", F.col("category").alias("lang"), "split")
+
+
+@_query(_FOUND["near_duplicate_pairs"][1].replace(", common, both_n - common as n_union from o", " from o"))
+def near_duplicates_next(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """C2 in steps: pairs of similar texts of all documents from the stored keys and pairs of the even ones."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    none = spark.createDataFrame([], "id string, n int, class int, need int, key long"), spark.createDataFrame([], "first_id string, second_id string")
+    stored = []
+    for kind, found in zip(("keys", "pairs"), similarity.near_texts_next(docs.where("doc_id % 2 = 0"), *none), strict=True):
+        folder = cases.shared_folder(spark, kind)
+        found.write.parquet(folder)
+        stored.append(spark.read.parquet(folder))
+    pairs = similarity.near_texts_next(docs, *stored)[1]
+    named = docs.groupBy(F.sha2(normalize(F.coalesce("text", F.lit(""))), 256).alias("h")).agg(F.min("doc_id").alias("id"))
+    both = pairs.join(named.toDF("first_id", "a"), "first_id").join(named.toDF("second_id", "b"), "second_id")
+    return both.select(F.least("a", "b").alias("first_id"), F.greatest("a", "b").alias("second_id"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, (f, _) in _FOUND.items()}
 
