@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -16,7 +17,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from sparkloom.functions.text import gram_hashes, grams_of, normalize, shingles
+from sparkloom.functions.text import gram_hashes, grams_of, normalize
 from sparkloom.schema import EVAL_OVERLAP, NEAR_DUP
 
 #: Grams (or items) up to which the evaluation side of a contamination join is broadcast, at some 20 bytes each; a larger side is joined by shuffle.
@@ -140,14 +141,64 @@ def with_first(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     return keyed.join(keyed.groupBy("_text").agg(F.min(id_col).alias("first_id")), "_text").drop("_text")
 
 
+#: Size of a set from which on bands find what is similar; smaller sets have fewer pigeonhole keys than that.
+BANDED = 128
+#: Bands in common that a pair needs, and the chance at most that one at the threshold has fewer.
+BANDS_NEED, BANDS_MISS = 2, 1e-12
+#: Classes of sizes that share one dealing into bins, and the grams of a bin, at least, in the mean.
+COARSE, BIN_GRAMS = 4, 4
+
+
+@lru_cache(maxsize=16)
+def bands(threshold: float) -> tuple[int, int]:
+    """Rows of a band and number of bands: a pair at the threshold agrees in a row with that chance, and misses BANDS_NEED bands with BANDS_MISS at most."""
+    rows = max(1, round(math.log(0.2) / math.log(threshold)))
+    one = threshold**rows
+    return rows, next(n for n in range(BANDS_NEED, 1 << 16) if sum(math.comb(n, k) * one**k * (1 - one) ** (n - k) for k in range(BANDS_NEED)) <= BANDS_MISS)
+
+
+def band_keys(grams: np.ndarray, least: int, threshold: float) -> np.ndarray:
+    """A key for each band of a set of at least that many gram hashes: the smallest hashes of its bins.
+
+    Grams are dealt to bins by a hash, as often as it takes to have bins for all bands. In a bin the smallest hashes of two
+    sets are the same with a chance of their similarity, whatever their sizes.
+    """
+    rows, n = bands(threshold)
+    bins = max(1, min(least // BIN_GRAMS, rows * n))
+    passes = np.arange(1, -(-rows * n // bins) + 1, dtype=np.uint64)[:, None]
+    with np.errstate(over="ignore"):
+        h = (grams.view(np.uint64) ^ passes * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0x94D049BB133111EB)
+        h = (h ^ h >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(29)
+        place = ((h >> np.uint64(32)) * np.uint64(bins) >> np.uint64(32)) + (passes - np.uint64(1)) * np.uint64(bins)
+        low = np.sort((place << np.uint64(32) | h & np.uint64(0xFFFFFFFF)).ravel())
+        place = low >> np.uint64(32)
+        first = np.flatnonzero(np.diff(place, prepend=place[-1] + np.uint64(1)))
+        least_of = np.zeros(rows * n, np.uint64)  # an empty bin stays 0
+        at = place[first].astype(np.int64)
+        least_of[at[at < rows * n]] = low[first][at < rows * n]
+        out = np.arange(1, n + 1, dtype=np.uint64)
+        for k in range(rows):
+            out = (out ^ least_of[k::rows]) * np.uint64(0x9E3779B97F4A7C15)
+            out ^= out >> np.uint64(29)
+        out *= np.uint64(0xBF58476D1CE4E5B9)
+    return (out ^ out >> np.uint64(32)).view(np.int64)
+
+
 def pigeonhole_keys(grams: np.ndarray, threshold: float) -> list[tuple[int, int, np.ndarray]]:
     """Class, need and keys of a set of gram hashes (ascending), by class of sizes.
 
-    Two sets of Jaccard similarity from ``threshold`` on have, in some class, as many keys in common as either needs there.
+    Two sets of Jaccard similarity from ``threshold`` on have, in some class, as many keys in common as either needs there:
+    always in classes of sets below BANDED grams, but for a chance of BANDS_MISS in those of larger ones.
     """
     n, base, out = len(grams), (1 + 1e-9) / threshold, []
     own = math.floor(math.log(n) / math.log(base)) if n else -1
     for klass in range(max(0, own - 1), own + 1):
+        if base**klass >= BANDED:
+            coarse = klass // COARSE
+            if not out or out[-1][0] != -2 - coarse:
+                out.append((-2 - coarse, BANDS_NEED, band_keys(grams, math.floor(base ** (coarse * COARSE)), threshold)))
+            continue
         apart = math.floor((1 - threshold) / threshold * base ** (klass + 1) + 1e-6)
         parts = apart + 1 + (apart // 5 + 4 if apart >= 20 else 0)
         part = grams.view(np.uint64) % np.uint64(parts)
@@ -225,12 +276,14 @@ def near_texts_next(rows: DataFrame, keys: DataFrame, pairs: DataFrame, *, text_
 def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR_DUP) -> DataFrame:
     """Pairs of different normalised texts with Jaccard similarity from ``threshold`` (below 1) on: first_id, second_id, common, n_union.
 
-    Equal texts are represented by their smallest id; ``with_first`` names it for every row. Candidates by the pigeonhole
-    principle: sets of n and more grams that similar differ in at most H = (1 - t) / t n grams. Grams are dealt to some
-    1.2 H parts by hash, so all but H of a set's parts are the same in both; the hash of a whole part (some five grams) is
-    the join key, and a pair must share as many keys. Sizes fall into classes by powers of 1 / t; a set is
-    dealt once as the smaller one and once as the larger one of a pair. A set with no more than H parts that aren't empty
-    (a small one) joins others of that kind by a prefix filter in the order of hashes. Candidates are compared gram by gram.
+    Equal texts are represented by their smallest id; ``with_first`` names it for every row. Sizes fall into classes by
+    powers of 1 / t; a set is dealt once as the smaller one and once as the larger one of a pair. Candidates of small sets
+    by the pigeonhole principle: sets of n and more grams that similar differ in at most H = (1 - t) / t n grams. Grams are
+    dealt to some 1.2 H parts by hash, so all but H of a set's parts are the same in both; the hash of a whole part (some
+    five grams) is the join key, and a pair must share as many keys. A set with no more than H parts that aren't empty (a
+    very small one) joins others of that kind by a prefix filter in the order of hashes. Sets from BANDED grams on would
+    have a key for every sixth gram and share some with most others; they have a fixed number of ``band_keys`` instead,
+    which lose a pair with a chance of 1e-12. Candidates are compared by all their grams.
     """
     texts = _texts(rows, id_col, text_col)
     keys = similarity_keys(texts, threshold)
@@ -244,9 +297,15 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str =
     return _confirmed(pairs, texts, texts, threshold)
 
 
+@F.pandas_udf(T.StructType([T.StructField("common", T.LongType()), T.StructField("n_union", T.LongType())]))
+def _in_common(a: pd.Series, b: pd.Series) -> pd.DataFrame:
+    """Grams of two normalised texts in common, and of either."""
+    sets = [(grams_of(x), grams_of(y)) for x, y in zip(a, b, strict=True)]
+    common = np.array([len(np.intersect1d(x, y, assume_unique=True)) for x, y in sets], np.int64)
+    return pd.DataFrame({"common": common, "n_union": np.array([len(x) + len(y) for x, y in sets], np.int64) - common})
+
+
 def _confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     full = pairs.join(left.select(F.col("text").alias("text_a"), F.col("id").alias("first_id")), "first_id").join(right.select(F.col("text").alias("text_b"), F.col("id").alias("second_id")), "second_id").where("text_a <> text_b")
-    full = full.select("first_id", "second_id", shingles(F.col("text_a")).alias("g_a"), shingles(F.col("text_b")).alias("g_b"))
-    common = F.size(F.array_intersect("g_a", "g_b"))
-    out = full.select("first_id", "second_id", common.cast("long").alias("common"), (F.size("g_a") + F.size("g_b") - common).cast("long").alias("n_union"))
+    out = full.select("first_id", "second_id", _in_common("text_a", "text_b").alias("c")).select("first_id", "second_id", "c.common", "c.n_union")
     return out.where(F.col("common") >= F.lit(threshold) * F.col("n_union"))
