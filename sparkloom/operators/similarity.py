@@ -254,23 +254,34 @@ def near_duplicates_with(rows: DataFrame, known: DataFrame, *, id_col: str = "do
 
 def text_ids(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """id and text: normalised texts that aren't empty, by their sha256."""
-    text = normalize(F.coalesce(F.col(text_col), F.lit("")))
-    return rows.select(text.alias("text")).where("text <> ''").distinct().select(F.sha2("text", 256).alias("id"), "text")
+    texts = rows.select(normalize(F.coalesce(F.col(text_col), F.lit(""))).alias("text")).where("text <> ''")
+    return texts.select(F.sha2("text", 256).alias("id"), "text").groupBy("id").agg(F.first("text").alias("text"))
 
 
 def near_texts_next(rows: DataFrame, keys: DataFrame, pairs: DataFrame, *, text_col: str = "text", threshold: float = NEAR_DUP) -> tuple[DataFrame, DataFrame]:
     """keys and pairs (first_id, second_id) of the different texts of rows, by ``text_ids``, from those of earlier rows.
 
-    Only texts without keys are compared, with each other and with the rest; the keys and pairs of texts that rows don't
-    have any more go. Start with empty ones.
+    Only texts without keys are compared, with each other and with the rest in one join; the keys and pairs of texts that
+    rows don't have any more go. Start with empty ones.
     """
     texts = text_ids(rows, text_col)
-    fresh, old = texts.join(keys.select("id").distinct(), "id", "left_anti"), texts.join(keys.select("id").distinct(), "id", "left_semi")
-    kept, added = keys.join(texts.select("id"), "id", "left_semi"), similarity_keys(fresh, threshold)
+    kept, added = keys.join(texts.select("id"), "id", "left_semi"), similarity_keys(texts.join(keys.select("id").distinct(), "id", "left_anti"), threshold)
     left = pairs.join(texts.select(F.col("id").alias("first_id")), "first_id", "left_semi").join(texts.select(F.col("id").alias("second_id")), "second_id", "left_semi")
-    within = near_duplicates(fresh, id_col="id", threshold=threshold).select("first_id", "second_id")
-    across = near_duplicates_with(fresh, old, id_col="id", threshold=threshold, known_keys=kept).select(F.least("id", "peer").alias("first_id"), F.greatest("id", "peer").alias("second_id"))
-    return kept.unionByName(added), left.select("first_id", "second_id").unionByName(within).unionByName(across)
+    every = kept.withColumn("fresh", F.lit(False)).unionByName(added.withColumn("fresh", F.lit(True)))
+    found = _confirmed(_candidates(every, threshold), texts, texts, threshold)
+    return kept.unionByName(added), left.select("first_id", "second_id").unionByName(found.select("first_id", "second_id"))
+
+
+def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
+    """first_id and second_id of texts that share as many keys as they need, those that aren't fresh with fresh ones only."""
+    by = Window.partitionBy("class", "key")
+    columns = ("id", "n", "class", "need", "key", "fresh")
+    keys = keys.select("*", F.min("id").over(by).alias("low"), F.max("id").over(by).alias("top"), F.max("fresh").over(by).alias("some")).where("low <> top and some").select(*columns)
+    a, b = keys.toDF("first_id", "n_a", "class", "need_a", "key", "fresh_a"), keys.toDF("second_id", "n_b", "class", "need_b", "key", "fresh_b")
+    able = (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")) & (F.col("fresh_a") | F.col("fresh_b"))
+    pairs = a.join(b, ["class", "key"]).where((F.col("first_id") < F.col("second_id")) & able)
+    pairs = pairs.groupBy("first_id", "second_id", "class").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
+    return pairs.where("shared >= need").select("first_id", "second_id").distinct()
 
 
 def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR_DUP) -> DataFrame:
@@ -286,14 +297,7 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str =
     which lose a pair with a chance of 1e-12. Candidates are compared by all their grams.
     """
     texts = _texts(rows, id_col, text_col)
-    keys = similarity_keys(texts, threshold)
-    by = Window.partitionBy("class", "key")
-    keys = keys.select("*", F.min("id").over(by).alias("low"), F.max("id").over(by).alias("top")).where("low <> top").select("id", "n", "class", "need", "key")
-    a, b = keys.toDF("first_id", "n_a", "class", "need_a", "key"), keys.toDF("second_id", "n_b", "class", "need_b", "key")
-    able = F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")
-    pairs = a.join(b, ["class", "key"]).where((F.col("first_id") < F.col("second_id")) & able)
-    pairs = pairs.groupBy("first_id", "second_id", "class").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
-    pairs = pairs.where("shared >= need").select("first_id", "second_id").distinct()
+    pairs = _candidates(similarity_keys(texts, threshold).withColumn("fresh", F.lit(True)), threshold)
     return _confirmed(pairs, texts, texts, threshold)
 
 
