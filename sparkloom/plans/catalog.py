@@ -265,7 +265,7 @@ def error_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("ts", "id")
     call = F.when(F.col("event") == "tool_call", F.col("id"))
     rows = _activity(spark, sf_dir).withColumn("call_before", F.last(call, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)))
-    rows = rows.withColumn("call_after", F.first(call, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)))
+    rows = rows.withColumn("call_after", sessions.next_of(call))
     return rows.where("event = 'circuit_breaker'").select("id", "call_before", "call_after")
 
 
