@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from typing import Any
 
@@ -14,6 +15,9 @@ from pyspark.sql import types as T
 
 from sparkloom.functions.chat_json import structured
 
+#: Characters of texts that are encoded at once, at most, unless one text has more.
+BATCH_CHARS = 1 << 18
+
 
 def rendered_pieces(messages: Column, tools: Column) -> Column:
     """``rendered`` in pieces: the tools, then each turn."""
@@ -34,13 +38,25 @@ def _tokenizer(path: str) -> Any:
     return Tokenizer.from_file(path)
 
 
+def _lengths(texts: Iterable[str | None], path: str) -> Iterator[int]:
+    """Tokens of each text. A token takes some hundred bytes while it is encoded, so BATCH_CHARS of texts are at a time, or one text."""
+    some: list[str] = []
+    size = 0
+    for t in texts:
+        if some and size + len(t or "") > BATCH_CHARS:
+            yield from (len(e) for e in _tokenizer(path).encode_batch_fast(some, add_special_tokens=False))
+            some, size = [], 0
+        some.append(t or "")
+        size += len(t or "")
+    yield from (len(e) for e in _tokenizer(path).encode_batch_fast(some, add_special_tokens=False))
+
+
 def token_count(text: Column, path: str) -> Column:
     """Tokens of whole texts by the tokenizer file at path, which every executor must have; null for null."""
 
     @F.pandas_udf("long")
     def count(texts: pd.Series) -> pd.Series:
-        encoded = _tokenizer(path).encode_batch_fast([t or "" for t in texts], add_special_tokens=False)
-        return pd.Series([None if t is None else len(e.ids) for t, e in zip(texts, encoded, strict=True)], dtype="Int64")
+        return pd.Series([None if t is None else n for t, n in zip(texts, _lengths(texts, path), strict=True)], dtype="Int64")
 
     return count(text)
 
