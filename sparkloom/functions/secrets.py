@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Callable
 from functools import lru_cache, reduce
 
 import pandas as pd
@@ -72,24 +73,45 @@ def redact(text: Column) -> Column:
     return reduce(lambda t, p: F.regexp_replace(t, _insensitive(p[0]), p[1]), REDACT, text)
 
 
+# What any match of a pattern of REDACT holds, in lower case: one of these.
+MARKS = (
+    ("akia",), ("aws",), ("api",), ("bearer",), ("ghp_", "gho_", "github_pat_"), ("sk-",), ("sk-ant-",), ("-----begin ",), ("passw", "pwd"), ("://",), ("xox",), ("eyj",), ("secret", "token", "auth"), (".",), ("@",),
+)
+
+
+def _step_by_step(text: Column, start: Column, seen: Callable[[Column, Column, str, str], Column]) -> Column:
+    """What seen makes of start, in turn, from each pattern that matches: of the result so far, the text as that pattern finds it, pattern and placeholder.
+
+    The text of each step is an element of an array, so it is computed once, however often a step uses it; patterns without
+    one of their MARKS in the text aren't tried.
+    """
+    steps = F.array(F.struct(text.alias("t"), start.alias("out")))
+    for (plain, placeholder), marks in zip(REDACT, MARKS, strict=True):
+        pattern = _insensitive(plain)
+
+        def step(x: Column) -> Column:  # called at once by transform
+            t = x["t"]
+            held = reduce(lambda a, b: a | b, (F.contains(F.lower(t), F.lit(m)) for m in marks))
+            after = F.struct(F.regexp_replace(t, pattern, placeholder).alias("t"), seen(x["out"], t, pattern, placeholder).alias("out"))
+            return F.when(held & t.rlike(pattern), after).otherwise(x)
+
+        steps = F.transform(steps, step)
+    return F.get(steps, F.lit(0))["out"]
+
+
 def redaction_count(text: Column) -> Column:
-    """How many places ``redact`` replaces."""
-    total, state = F.lit(0), text
-    for pattern, placeholder in REDACT:
-        total = total + F.regexp_count(state, F.lit(_insensitive(pattern)))
-        state = F.regexp_replace(state, _insensitive(pattern), placeholder)
-    return total
+    """How many places ``redact`` replaces; null for null."""
+    return F.when(text.isNotNull(), _step_by_step(text, F.lit(0), lambda n, t, pattern, _: n + F.regexp_count(t, F.lit(pattern))))
 
 
 def redaction_audit(text: Column) -> Column:
     """placeholder -> first 12 digits of the sha256 of what it replaced first: the pattern's first group if it has one, the match otherwise; empty ones don't count."""
-    entries, state = [], text
-    for pattern, placeholder in REDACT:
-        group = min(1, re.compile(pattern).groups)
-        hit = F.get(F.filter(F.regexp_extract_all(state, F.lit(_insensitive(pattern)), F.lit(group)), lambda m: m != ""), F.lit(0))
-        entries.append(F.struct(F.lit(placeholder).alias("key"), F.substring(F.sha2(hit, 256), 1, 12).alias("value")))
-        state = F.regexp_replace(state, _insensitive(pattern), placeholder)
-    return F.map_from_entries(F.filter(F.array(*entries), lambda e: e["value"].isNotNull()))
+
+    def seen(out: Column, t: Column, pattern: str, placeholder: str) -> Column:
+        hits = F.filter(F.regexp_extract_all(t, F.lit(pattern), F.lit(min(1, re.compile(pattern).groups))), lambda m: m != "")
+        return F.concat(out, F.transform(F.slice(hits, 1, 1), lambda m: F.struct(F.lit(placeholder).alias("key"), F.substring(F.sha2(m, 256), 1, 12).alias("value"))))
+
+    return F.map_from_entries(_step_by_step(text, F.array().cast("array<struct<key:string,value:string>>"), seen))
 
 
 @lru_cache(maxsize=1)
