@@ -52,9 +52,13 @@ def json_string(text: Column) -> Column:
     """A JSON string literal with non-ASCII characters as they are and control characters escaped."""
     out = F.replace(F.replace(text, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
     named = {8: "\\b", 9: "\\t", 10: "\\n", 12: "\\f", 13: "\\r"}
-    for k in range(32):
-        out = F.replace(out, F.lit(chr(k)), F.lit(named.get(k, f"\\u{k:04x}")))
-    return F.concat(F.lit('"'), out, F.lit('"'))
+    usual = (9, 10, 13)
+    for k in usual:
+        out = F.replace(out, F.lit(chr(k)), F.lit(named[k]))
+    rare = out
+    for k in set(range(32)).difference(usual):
+        rare = F.replace(rare, F.lit(chr(k)), F.lit(named.get(k, f"\\u{k:04x}")))
+    return F.concat(F.lit('"'), F.when(text.rlike(r"[\x00-\x08\x0b\x0c\x0e-\x1f]"), rare).otherwise(out), F.lit('"'))
 
 
 def content_hash(messages: Column, tools: Column | None = None) -> Column:

@@ -171,6 +171,10 @@ def _issue_problems(issue: Any) -> list[str]:
     return out + ["unknown severity"] * (str(issue["severity"]).lower() not in SEVERITIES)
 
 
+#: Categories whose rules read JSON.
+JSON_CATEGORIES = ("tool", "loop", "plan", "sec")
+
+
 def category_violations(category: str | None, messages: list[dict[str, str]]) -> list[dict[str, str | None]]:
     """Violations of the rules that read JSON."""
     out: list[dict[str, str | None]] = []
@@ -215,7 +219,7 @@ def structure(messages: Column, tools: Column, tokens: Column | None = None) ->
         where(lambda i: (i > 0) & role(i).isin("user", "assistant") & (role(i) == before(i)), "C1", "same role twice"),
         where(lambda i: (role(i) == "tool") & ~F.coalesce(before(i).isin("assistant", "tool"), F.lit(False)), "C1", "tool turn without a call"),
         F.when(role(F.size(messages) - 1) != "assistant", F.array(_violation("C1", "err", "last turn is not the assistant's"))).otherwise(none),
-        where(lambda i: F.coalesce(F.regexp_replace(F.try_element_at(messages, i + 1)["content"], r"(?U)[\s\x1c-\x1f]+", ""), F.lit("")) == "", "C2", "empty content"),
+        where(lambda i: ~F.coalesce(F.try_element_at(messages, i + 1)["content"].rlike(r"(?U)[^\s\x1c-\x1f]"), F.lit(False)), "C2", "empty content"),
         F.when(~F.exists(messages, lambda m: m["role"] == "assistant"), F.array(_violation("C3", "err", "no assistant turn"))).otherwise(none),
         where(lambda i: F.size(found_secrets(F.try_element_at(messages, i + 1)["content"])) > 0, "C5", "secret in content"),
         F.when(F.size(found_secrets(F.coalesce(tools, F.lit("")))) > 0, F.array(_violation("C5", "err", "secret in tools"))).otherwise(none),
@@ -243,7 +247,9 @@ def validate(examples: DataFrame, hash_col: str | None = "content_hash", tokens_
     C6 warns every example once for each similar text other than its own, naming that text's first example, and once for examples that differ only in case or
     white space. C4 needs ``tokens_col``, the tokens of each rendered example (``functions.tokens``); without it, or where it's null, C4 is skipped.
     """
-    found = examples.select("id", F.concat(structure(F.col("messages"), F.col("tools"), F.col(tokens_col) if tokens_col else None), _category_violations("category", "messages")).alias("v")).select("id", F.inline("v"))
+    of_kind = F.when(F.col("category").isin(*JSON_CATEGORIES), F.col("messages"))  # no rule reads those of others
+    # inline of the array itself: of a column that holds it, Spark infers a filter on its size, which computes all of it twice
+    found = examples.select("id", F.inline(F.concat(structure(F.col("messages"), F.col("tools"), F.col(tokens_col) if tokens_col else None), _category_violations("category", of_kind))))
     if not hash_col:
         return found
     copies = examples.groupBy(hash_col).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
