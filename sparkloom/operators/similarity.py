@@ -6,6 +6,7 @@ the grams themselves, or counted on hashes whose chance of a clash is 1e-10 for
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from functools import lru_cache
@@ -22,6 +23,8 @@ from sparkloom.schema import EVAL_OVERLAP, NEAR_DUP
 
 #: Grams (or items) up to which the evaluation side of a contamination join is broadcast, at some 20 bytes each; a larger side is joined by shuffle.
 BROADCAST_GRAMS = 1 << 21
+#: Places of a document's grams in items that are counted at once, so that memory doesn't grow with the number of items that share grams.
+PLACES = 1 << 16
 
 
 def exact_groups(rows: DataFrame, key: str, id_col: str) -> DataFrame:
@@ -58,31 +61,38 @@ class _Items:
         flat, item = np.concatenate([np.zeros(0, np.int64), *sets]), np.repeat(np.arange(len(sets)), self.sizes)
         order = np.argsort(flat, kind="stable")
         self.grams, first = np.unique(flat[order], return_index=True)
-        self.items, self.ends = item[order], np.append(first, len(flat))
+        self.items, self.ends = item[order].astype(np.int32), np.append(first, len(flat))
 
     def common(self, grams: np.ndarray) -> np.ndarray:
         """How many grams each item has in common with a set."""
         at = np.searchsorted(self.grams, grams)
         at = at[at < len(self.grams)] if not len(self.grams) else at[self.grams[np.minimum(at, len(self.grams) - 1)] == grams]
         low, n = self.ends[at], self.ends[at + 1] - self.ends[at]
-        places = np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())
-        return np.bincount(self.items[places], minlength=len(self.sizes))
+        common = np.zeros(len(self.sizes), np.int64)
+        part = np.cumsum(n) // PLACES  # a part's places are fewer than PLACES and one gram's
+        for first, end in itertools.pairwise(np.append(np.flatnonzero(np.diff(part, prepend=-1)), len(n))):
+            some, many = low[first:end], n[first:end]
+            places = np.repeat(some - np.cumsum(many) + many, many) + np.arange(many.sum())
+            common += np.bincount(self.items[places], minlength=len(common))
+        return common
 
 
 def _pairs(docs: DataFrame, evals: DataFrame, threshold: float, union: bool, doc_id: str, eval_id: str, text: str) -> DataFrame:
     """doc_id, item_id, common, n_doc, n_eval of pairs with common >= threshold * size of the union, or of the item.
 
-    Either way they share that part of the item. Whether the postings of all items are small enough for a broadcast is
-    counted first (a text has no more grams than characters); beyond that, the grams that the fewest items have find the
-    candidates: a document that holds n - r + 1 of an item's n grams, or fewer, can't do without all of any r of them.
+    Either way they share that part of the item. Items of one normalised text are compared once. Whether the postings of all
+    texts are small enough for a broadcast is counted first (a text has no more grams than characters); beyond that, the
+    grams that the fewest items have find the candidates: a document that holds n - r + 1 of an item's n grams, or fewer,
+    can't do without all of any r of them.
     """
-    size, n_items = evals.agg(F.coalesce(F.sum(F.char_length(text)), F.lit(0)), F.count(F.lit(1))).first()
+    texts = evals.select(normalize(F.col(text)).alias("t")).where("t <> ''").distinct()
+    size, n_items = texts.agg(F.coalesce(F.sum(F.char_length("t")), F.lit(0)), F.count(F.lit(1))).first()
     enough = lambda common, n_doc, n_eval: common >= threshold * ((n_doc + n_eval - common) if union else n_eval)
     if max(size, n_items) > BROADCAST_GRAMS:
         return _by_rare_grams(docs, evals, threshold, doc_id, eval_id, text).where(enough(F.col("common"), F.col("n_doc"), F.col("n_eval")))
-    known = evals.select(eval_id, normalize(F.col(text)).alias("t")).toPandas()  # bounded by BROADCAST_GRAMS
+    known = texts.toPandas()["t"].tolist()  # bounded by BROADCAST_GRAMS
     spark = docs.sparkSession
-    items = spark.sparkContext.broadcast(_Items([grams_of(t) for t in known["t"]]))
+    items = spark.sparkContext.broadcast(_Items([grams_of(t) for t in known]))
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = items.value
@@ -103,11 +113,12 @@ def _pairs(docs: DataFrame, evals: DataFrame, threshold: float, union: bool, doc
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), *(pa.array(x, k) for x, k in zip((at, common, n_doc, n_eval), kinds, strict=True))], names)
 
     names = ["doc_id", "_at", "common", "n_doc", "n_eval"]
-    kind, item_kind = docs.schema[doc_id].dataType, evals.schema[eval_id].dataType
+    kind = docs.schema[doc_id].dataType
     shape = T.StructType([T.StructField("doc_id", kind), *(T.StructField(x, k) for x, k in zip(names[1:], (T.IntegerType(), T.LongType(), T.IntegerType(), T.IntegerType()), strict=True))])
     pairs = docs.select(F.col(doc_id).alias("doc_id"), normalize(F.col(text)).alias("t")).mapInArrow(found, shape)
-    ids = spark.createDataFrame([(k, x) for k, x in enumerate(known[eval_id].tolist())], T.StructType([T.StructField("_at", T.IntegerType()), T.StructField("item_id", item_kind)]))
-    return pairs.join(F.broadcast(ids), "_at").select("doc_id", "item_id", "common", "n_doc", "n_eval")
+    places = spark.createDataFrame(list(enumerate(known)), "_at int, t string")
+    ids = evals.select(F.col(eval_id).alias("item_id"), normalize(F.col(text)).alias("t")).join(F.broadcast(places), "t").select("_at", "item_id")
+    return pairs.join(ids, "_at").select("doc_id", "item_id", "common", "n_doc", "n_eval")
 
 
 def _by_rare_grams(docs: DataFrame, evals: DataFrame, threshold: float, doc_id: str, eval_id: str, text: str) -> DataFrame:

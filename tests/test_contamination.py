@@ -32,3 +32,18 @@ def test_pairs_against_brute_force(spark, monkeypatch, limit):
     assert {x for x in held if key(x[0])} == {(k, i, len(g & h), len(h)) for k, i, g, h in sets if key(k) and h and g & h and len(g & h) >= 0.9 * len(h)} and held
     none = spark.createDataFrame([], e.schema)
     assert similarity.contamination(d, none).count() == similarity.contamination(spark.createDataFrame([], d.schema), e).count() == 0
+
+
+def test_items_that_share_grams_with_long_texts_are_counted_in_parts(monkeypatch):
+    monkeypatch.setattr(similarity, "PLACES", 100)
+    rng = random.Random(6)
+    text = lambda n: "".join(rng.choice("abc ") for _ in range(n))
+    items, docs = [text(40) for _ in range(90)] + ["", "zz"], [text(3000), "zz", "", "q" * 50]
+    many, whole = [], similarity.np.arange
+    monkeypatch.setattr(similarity.np, "arange", lambda *a: many.append(a[0]) or whole(*a))
+    of = similarity._Items([similarity.grams_of(t) for t in items])
+    for d in docs:
+        del many[:]
+        g = similarity.grams_of(d)
+        assert of.common(g).tolist() == [len(set(g) & set(similarity.grams_of(t))) for t in items]
+        assert max(many, default=0) < 100 + len(items)
