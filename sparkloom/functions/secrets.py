@@ -97,22 +97,28 @@ MARKS = (
     ("akia",), ("aws",), ("api",), ("bearer",), ("ghp_", "gho_", "github_pat_"), ("sk-",), ("sk-ant-",), ("-----begin ",), ("passw", "pwd"), ("://",), ("xox",), ("eyj",), ("secret", "token", "auth"), (".",), ("@",),
 )
 
+# What any match of these holds, where marks are common in texts without one.
+FORMS = {"[REDACTED_IP]": r"\d\.\d{1,3}\.\d", "[REDACTED_EMAIL]": r"[A-Za-z0-9._%+-]@[A-Za-z0-9.-]+\.[A-Za-z]{2}"}
+
 
 def _step_by_step(text: Column, start: Column, seen: Callable[[Column, Column, str, str], Column]) -> Column:
     """What seen makes of start, in turn, from each pattern that matches: of the result so far, the text as that pattern finds it, pattern and placeholder.
 
-    The text of each step is an element of an array, so it is computed once, however often a step uses it; patterns without
-    one of their MARKS in the text aren't tried.
+    The text of each step is an element of an array, with its lower case, so both are computed once, however often steps use
+    them; patterns without one of their MARKS in the text, or their part of FORMS, aren't tried.
     """
-    steps = F.array(F.struct(text.alias("t"), start.alias("out")))
+    state = lambda t, out: F.struct(t.alias("t"), F.lower(t).alias("low"), out.alias("out"))
+    steps = F.array(state(text, start))
     for (plain, placeholder), marks in zip(REDACT, MARKS, strict=True):
         pattern = _insensitive(plain)
 
         def step(x: Column) -> Column:  # called at once by transform
             t = x["t"]
-            held = reduce(lambda a, b: a | b, (F.contains(F.lower(t), F.lit(m)) for m in marks))
-            after = F.struct(F.regexp_replace(t, pattern, placeholder).alias("t"), seen(x["out"], t, pattern, placeholder).alias("out"))
-            return F.when(held & t.rlike(pattern), after).otherwise(x)
+            held = _holds(x["low"], marks)
+            if placeholder in FORMS:
+                held = held & t.rlike(FORMS[placeholder])
+            after = F.transform(F.array(F.regexp_replace(t, pattern, placeholder)), lambda r: state(r, seen(x["out"], t, pattern, placeholder)))
+            return F.when(held & t.rlike(pattern), F.get(after, F.lit(0))).otherwise(x)
 
         steps = F.transform(steps, step)
     return F.get(steps, F.lit(0))["out"]

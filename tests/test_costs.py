@@ -33,3 +33,15 @@ def test_structural_rules_are_computed_once(spark):
     got = found.collect()
     assert {r.id for r in got if r.code == "C2"} == empty
     assert {int(r.id) % 2 for r in got if r.code not in ("C1", "C2", "C3", "C5")} == {1}  # rules of plans
+
+
+def test_redaction_counts_equal_the_plain_chain(spark):
+    tails = ["1.2.3.4", "v1.2.3", "1.22.333.4 and 5.6.7.8", "256.1.1.1", "a@b.co", "a.b@c.d.ef_x@y.zz", "@", "x@y", "Token: " + "Q" * 20 + " é", "AUTH=" + "z" * 25 + " me@ex.org 10.0.0.1", "İ.pwd: hunter2222"]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(ODD + tails)], "k int, t string")
+    t, n = F.col("t"), F.lit(0)
+    for pattern, placeholder in secrets.REDACT:
+        n, t = n + F.regexp_count(t, F.lit("(?i)" + pattern)), F.regexp_replace(t, "(?i)" + pattern, placeholder)
+    got = rows.select("k", secrets.redaction_count(F.col("t")).alias("n"), n.alias("plain")).collect()
+    assert all(r.n == r.plain for r in got) and sum(r.n or 0 for r in got) > 8
+    plan = rows.select(secrets.redaction_count(F.col("t")).alias("n"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("lower(") == 1 + len(secrets.REDACT)  # once for the text and once for each replacement, not for each mark
