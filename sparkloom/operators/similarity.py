@@ -14,12 +14,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from sparkloom.functions.text import gram_hashes, grams_of, normalize
 from sparkloom.schema import EVAL_OVERLAP, NEAR_DUP
+from sparkloom.streaming.cases import shared_folder
 
 #: Grams (or items) up to which the evaluation side of a contamination join is broadcast, at some 20 bytes each; a larger side is joined by shuffle.
 BROADCAST_GRAMS = 1 << 21
@@ -155,15 +156,21 @@ def with_first(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 #: Size of a set from which on bands find what is similar; smaller sets have fewer pigeonhole keys than that.
 BANDED = 128
 #: Bands in common that a pair needs, and the chance at most that one at the threshold has fewer.
-BANDS_NEED, BANDS_MISS = 2, 1e-12
+BANDS_NEED, BANDS_MISS = 4, 1e-12
 #: Classes of sizes that share one dealing into bins, and the grams of a bin, at least, in the mean.
-COARSE, BIN_GRAMS = 4, 4
+COARSE, BIN_GRAMS = 8, 4
+#: Bits of the filters by which texts are picked without a shuffle: 3 MB of broadcast words.
+BITS = 1 << 23
+#: Texts that share a key from which on they are compared as a crowd, and the texts of a block of one.
+CROWD, BLOCK = 12, 128
+#: Bytes up to which rows are spread over all cores, as a small table may be one task; texts of larger ones are read where they are.
+SPREAD = 1 << 25
 
 
 @lru_cache(maxsize=16)
 def bands(threshold: float) -> tuple[int, int]:
     """Rows of a band and number of bands: a pair at the threshold agrees in a row with that chance, and misses BANDS_NEED bands with BANDS_MISS at most."""
-    rows = max(1, round(math.log(0.2) / math.log(threshold)))
+    rows = max(1, round(math.log(0.27) / math.log(threshold)))
     one = threshold**rows
     return rows, next(n for n in range(BANDS_NEED, 1 << 16) if sum(math.comb(n, k) * one**k * (1 - one) ** (n - k) for k in range(BANDS_NEED)) <= BANDS_MISS)
 
@@ -269,32 +276,139 @@ def text_ids(rows: DataFrame, text_col: str = "text") -> DataFrame:
     return texts.select(F.sha2("text", 256).alias("id"), "text").groupBy("id").agg(F.first("text").alias("text"))
 
 
+def _written(rows: DataFrame, text_col: str, *columns: Column) -> DataFrame:
+    """written, a hash of the text as it is, text and those columns of rows whose text isn't empty after normalisation."""
+    if rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD:
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    if rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes() < SPREAD:
+        rows = rows.repartition(rows.sparkSession.sparkContext.defaultParallelism)
+    some = rows.where(F.col(text_col).rlike(r"(?U)[^\s\x1c-\x1f]"))  # a filter on the normalised text would normalise it twice
+    return some.select(F.xxhash64(text_col).alias("written"), F.col(text_col).alias("text"), *columns)
+
+
+def _named(texts: DataFrame) -> DataFrame:
+    """texts with normalised text, and its sha256 as same."""
+    return texts.withColumn("text", normalize(F.col("text"))).withColumn("same", F.unhex(F.sha2("text", 256)))
+
+
+def _picked(texts: DataFrame, wanted: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of texts with a hash among wanted (written), and few others (left_anti: those that remain), without a shuffle of texts.
+
+    A bit for each hash is broadcast, BITS at most, however many are wanted; the more, the more others pass.
+    """
+    place = F.col("written").bitwiseAND(F.lit(BITS - 1))
+    bits = wanted.select(place.alias("place")).select(F.shiftright("place", 6).alias("word"), F.expr("shiftleft(1L, cast(place & 63 as int))").alias("bit"))
+    words = F.broadcast(bits.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    placed = texts.withColumn("place", place)
+    there = (F.shiftright(placed.place, 6) == words.word) & F.expr("(bits & shiftleft(1L, cast(place & 63 as int))) <> 0")
+    return placed.join(words, there, how).drop("place")
+
+
+#: For each class of a text's set: what keys must agree in (grams, class and need; need alone for bands), and 32 bits of the keys, which hold the class.
+_SIGNED = T.ArrayType(T.StructType([T.StructField("kind", T.LongType()), T.StructField("keys", T.ArrayType(T.IntegerType()))]))
+#: Columns of the keys and pairs that ``near_texts_next`` goes on from.
+KEYS, PAIRS = "id string, keys array<struct<kind: bigint, keys: array<int>>>", "first_id string, second_id string"
+
+
+def _signature(grams: np.ndarray, threshold: float) -> list[tuple[int, np.ndarray]]:
+    out = []
+    for klass, need, keys in pigeonhole_keys(grams, threshold):
+        with np.errstate(over="ignore"):
+            mixed = (keys.view(np.uint64) ^ np.uint64((klass + (1 << 16)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) * np.uint64(0x94D049BB133111EB)
+        kind = need if klass < -1 else len(grams) << 32 | klass + 2 << 16 | need
+        out.append((kind, (mixed >> np.uint64(32)).astype(np.uint32).view(np.int32)))
+    return out
+
+
+def _lists(lengths: list[int], values: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *lengths]), pa.int32()), values)
+
+
+def _signed(texts: DataFrame, names: DataFrame, threshold: float) -> DataFrame:
+    """same and keys of each different text. names: same and written of texts and n, their rows; only texts of several rows pass a shuffle."""
+
+    @F.arrow_udf(_SIGNED)
+    def keyed(column: pa.Array) -> pa.Array:
+        found = [_signature(grams_of(t.as_py()), threshold) for t in column]
+        flat = [x for one in found for x in one]
+        keys = _lists([len(k) for _, k in flat], pa.array(np.concatenate([np.zeros(0, np.int32), *(k for _, k in flat)])))
+        return _lists([len(one) for one in found], pa.StructArray.from_arrays([pa.array([kind for kind, _ in flat], pa.int64()), keys], ["kind", "keys"]))
+
+    several = names.join(names.groupBy("same").agg(F.sum("n").alias("rows")).where("rows > 1"), "same", "left_semi").select("written")
+    once, more = (_named(_picked(texts, several, how)).select("same", keyed("text").alias("keys")) for how in ("left_anti", "left_semi"))
+    return once.unionByName(more.groupBy("same").agg(F.first("keys").alias("keys")))
+
+
+def _kept(df: DataFrame, kind: str) -> DataFrame:
+    """df as a table of the shared folder, which goes with the application."""
+    folder = shared_folder(df.sparkSession, kind)
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
+def _who() -> Column:
+    """32 bits that stand for a text while keys are joined; texts that share them are told apart afterwards."""
+    return F.shiftright(F.xxhash64("same"), 32).cast("int")
+
+
+def _candidates(signed: DataFrame, names: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs and crowds of texts that may be similar, those that aren't fresh with fresh ones only.
+
+    signed: same, keys, fresh; names: same, id. What is joined are 32 bits of keys and texts, as rows of keys are most of what
+    is shuffled. Pairs: first_id and second_id, first_same and second_same of texts that share as many keys as they need.
+    Pairs of many texts that are alike would be found by most of their keys, so a text that shares a key with CROWD - 1
+    others and more gets a label, the smallest text of all such keys of it, and texts of one label are no pairs but a
+    crowd: same, id, fresh, label. Pairs of two labels are found as others.
+    """
+    keys = signed.select(_who().alias("who"), "fresh", F.explode("keys").alias("k")).select("who", "fresh", "k.kind", F.explode("k.keys").alias("key"))
+    by = Window.partitionBy("key")
+    held = [F.min("who").over(by).alias("low"), F.max("who").over(by).alias("top"), F.max("fresh").over(by).alias("some"), F.count(F.lit(1)).over(by).alias("size")]
+    keys = _kept(keys.select("*", *held).where("low <> top and some").select("who", "fresh", "kind", "key", "low", "size"), "shared")
+    few = keys.where(F.col("size") < CROWD).select("who", "fresh", "kind", "key", F.col("who").alias("label"))
+    many = keys.where(F.col("size") >= CROWD).select("who", "fresh", "kind", "key", F.min("low").over(Window.partitionBy("who")).alias("label"))
+    pairs = _sharing(few, threshold).unionByName(_sharing(many, threshold)).groupBy("a", "b").agg(F.count(F.lit(1)).alias("shared"), F.min("need").alias("need"))
+    pairs = pairs.where("shared >= need").select("a", "b")
+    known = names.select(_who().alias("who"), "same", "id")
+    labels = many.groupBy("who").agg(F.min("label").alias("label"), F.max("fresh").alias("fresh"))
+    alone = known.groupBy("who").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(F.col("who").alias("a"), F.col("who").alias("b"))
+    known = known.join(labels, "who", "left")
+    a, b = known.select("who", "same", "id", "label").toDF("a", "same_a", "id_a", "label_a"), known.select("who", "same", "id", "label").toDF("b", "same_b", "id_b", "label_b")
+    pairs = pairs.unionByName(alone).join(a, "a").join(b, "b").where("id_a <> id_b and (a <> b or id_a < id_b) and (label_a = label_b) is not true")
+    pairs = pairs.select(F.least("id_a", "id_b").alias("first_id"), F.greatest("id_a", "id_b").alias("second_id"), F.col("same_a").alias("first_same"), F.col("same_b").alias("second_same"))
+    return _kept(pairs, "candidates"), _kept(known.where("label is not null").select("same", "id", "fresh", "label"), "crowds")
+
+
+def _sharing(keys: DataFrame, threshold: float) -> DataFrame:
+    """a, b and need for each key that two texts of different labels share."""
+    columns = ("who", "fresh", "kind", "label", "key")
+    a, b = (keys.select(*columns).toDF(side, *(f"{x}_{side}" for x in columns[1:4]), "key") for side in "ab")
+    n = lambda side: F.shiftright(f"kind_{side}", 32)
+    alike = F.expr("a < b and label_a <> label_b and (fresh_a or fresh_b) and (kind_a & 4294901760) = (kind_b & 4294901760)")
+    pairs = a.join(b, "key").where(alike & (F.least(n("a"), n("b")) >= F.lit(threshold) * F.greatest(n("a"), n("b"))))
+    return pairs.select("a", "b", F.greatest(F.expr("kind_a & 65535"), F.expr("kind_b & 65535")).alias("need"))
+
+
 def near_texts_next(rows: DataFrame, keys: DataFrame, pairs: DataFrame, *, text_col: str = "text", threshold: float = NEAR_DUP) -> tuple[DataFrame, DataFrame]:
     """keys and pairs (first_id, second_id) of the different texts of rows, by ``text_ids``, from those of earlier rows.
 
     Only texts without keys are compared, with each other and with the rest in one join; the keys and pairs of texts that
-    rows don't have any more go. Start with empty ones.
+    rows don't have any more go. Start with empty ones of KEYS and PAIRS. Keys of another form, as earlier versions stored
+    them, are made anew, and so are their pairs. The new keys and candidates are tables in the shared folder.
     """
-    texts = text_ids(rows, text_col)
-    kept, added = keys.join(texts.select("id"), "id", "left_semi"), similarity_keys(texts.join(keys.select("id").distinct(), "id", "left_anti"), threshold)
-    left = pairs.join(texts.select(F.col("id").alias("first_id")), "first_id", "left_semi").join(texts.select(F.col("id").alias("second_id")), "second_id", "left_semi")
-    every = kept.withColumn("fresh", F.lit(False)).unionByName(added.withColumn("fresh", F.lit(True)))
-    found = _confirmed(_candidates(every, threshold), texts, texts, threshold)
+    if keys.columns != ["id", "keys"]:
+        keys, pairs = rows.sparkSession.createDataFrame([], KEYS), pairs.limit(0)
+    texts = _written(rows, text_col)
+    names = _kept(_named(texts).groupBy("same", "written").agg(F.count(F.lit(1)).alias("n")), "names").withColumn("id", F.lower(F.hex("same")))
+    fresh = names.join(keys.select("id"), "id", "left_anti")
+    added = _signed(_picked(texts, fresh), names, threshold).join(fresh.select("same"), "same", "left_semi")
+    added = _kept(added.select(F.lower(F.hex("same")).alias("id"), "keys"), "keys")
+    kept = keys.join(names.select("id"), "id", "left_semi").select("id", "keys")
+    signed = kept.withColumn("fresh", F.lit(False)).unionByName(added.withColumn("fresh", F.lit(True))).select(F.unhex("id").alias("same"), "keys", "fresh")
+    found = _confirmed_in(texts, names, *_candidates(signed, signed.select("same", F.lower(F.hex("same")).alias("id")), threshold), threshold)
+    left = pairs.join(names.select(F.col("id").alias("first_id")), "first_id", "left_semi").join(names.select(F.col("id").alias("second_id")), "second_id", "left_semi")
     return kept.unionByName(added), left.select("first_id", "second_id").unionByName(found.select("first_id", "second_id"))
 
 
-def _candidates(keys: DataFrame, threshold: float) -> DataFrame:
-    """first_id and second_id of texts that share as many keys as they need, those that aren't fresh with fresh ones only."""
-    by = Window.partitionBy("class", "key")
-    columns = ("id", "n", "class", "need", "key", "fresh")
-    keys = keys.select("*", F.min("id").over(by).alias("low"), F.max("id").over(by).alias("top"), F.max("fresh").over(by).alias("some")).where("low <> top and some").select(*columns)
-    a, b = keys.toDF("first_id", "n_a", "class", "need_a", "key", "fresh_a"), keys.toDF("second_id", "n_b", "class", "need_b", "key", "fresh_b")
-    able = (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b")) & (F.col("fresh_a") | F.col("fresh_b"))
-    pairs = a.join(b, ["class", "key"]).where((F.col("first_id") < F.col("second_id")) & able)
-    pairs = pairs.groupBy("first_id", "second_id", "class").agg(F.count(F.lit(1)).alias("shared"), F.max(F.greatest("need_a", "need_b")).alias("need"))
-    return pairs.where("shared >= need").select("first_id", "second_id").distinct()
-
-
 def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = NEAR_DUP) -> DataFrame:
     """Pairs of different normalised texts with Jaccard similarity from ``threshold`` (below 1) on: first_id, second_id, common, n_union.
 
@@ -305,14 +419,76 @@ def near_duplicates(rows: DataFrame, *, id_col: str = "doc_id", text_col: str =
     five grams) is the join key, and a pair must share as many keys. A set with no more than H parts that aren't empty (a
     very small one) joins others of that kind by a prefix filter in the order of hashes. Sets from BANDED grams on would
     have a key for every sixth gram and share some with most others; they have a fixed number of ``band_keys`` instead,
-    which lose a pair with a chance of 1e-12. Candidates are compared by all their grams.
+    which lose a pair with a chance of 1e-12. Candidates, which are found at once and kept in the shared folder, are compared
+    by all their grams. Texts are shuffled only if they are in one.
     """
-    texts = _texts(rows, id_col, text_col)
-    pairs = _candidates(similarity_keys(texts, threshold).withColumn("fresh", F.lit(True)), threshold)
-    return _confirmed(pairs, texts, texts, threshold)
+    texts = _written(rows, text_col, F.col(id_col).alias("id"))
+    names = _kept(_named(texts).groupBy("same", "written").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("n")), "names")
+    signed = _signed(texts, names, threshold).withColumn("fresh", F.lit(True))
+    ids = names.groupBy("same").agg(F.min("id").alias("id"))
+    return _confirmed_in(texts, names, *_candidates(signed, ids, threshold), threshold)
+
+
+#: Texts pass shuffles in this form, in two thirds of what they take there otherwise.
+_CODEC = "zstd"
+#: Grams of texts that are remembered while candidates are compared, as a text is in several of them.
+REMEMBERED = 1 << 21
+
+
+@F.arrow_udf(T.BinaryType())
+def _packed(texts: pa.Array) -> pa.Array:
+    codec = pa.Codec(_CODEC, 3)
+    raw = [t.as_py().encode() for t in texts]
+    return pa.array([len(x).to_bytes(8, "little") + codec.compress(x, asbytes=True) for x in raw], pa.binary())
+
 
+def _unpacked(text: bytes) -> str:
+    return pa.Codec(_CODEC).decompress(text[8:], int.from_bytes(text[:8], "little"), asbytes=True).decode()
 
-@F.pandas_udf(T.StructType([T.StructField("common", T.LongType()), T.StructField("n_union", T.LongType())]))
+
+def _confirmed_in(texts: DataFrame, names: DataFrame, pairs: DataFrame, crowds: DataFrame, threshold: float) -> DataFrame:
+    """first_id, second_id, common and n_union of those candidates that are similar. texts: written, text; names: same, written."""
+    wanted = pairs.select(F.explode(F.array("first_same", "second_same")).alias("same")).unionByName(crowds.select("same")).distinct()
+    places = names.groupBy("same").agg(F.min("written").alias("written")).join(wanted, "same", "left_semi")  # one way of writing each
+    some = _named(_picked(texts, places)).select("same", _packed("text").alias("text")).groupBy("same").agg(F.first("text").alias("text"))
+    full = pairs.join(some.toDF("first_same", "text_a"), "first_same").join(some.toDF("second_same", "text_b"), "second_same")
+    out = full.select("first_id", "second_id", _common_packed("text_a", "text_b").alias("c")).select("first_id", "second_id", "c.common", "c.n_union")
+    return out.where(F.col("common") >= F.lit(threshold) * F.col("n_union")).unionByName(_in_crowds(crowds, some, threshold))
+
+
+def _in_crowds(crowds: DataFrame, texts: DataFrame, threshold: float) -> DataFrame:
+    """first_id, second_id, common and n_union of similar texts of one label, compared block by block, so that a text moves once for each block."""
+    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
+    sized = crowds.join(crowds.groupBy("label").agg(F.count(F.lit(1)).alias("size")).where("size > 1"), "label")
+    own = sized.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("same"), F.col("blocks")).cast("int"))
+    dealt = own.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("same", "id", "fresh", "label", "own", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y")).join(texts, "same")
+    kind = crowds.schema["id"].dataType
+
+    def compared(table: pa.Table) -> pa.Table:
+        own, fresh, least = (np.array(table.column(c)) for c in ("own", "fresh", "x"))
+        sets = [grams_of(_unpacked(t.as_py())) for t in table.column("text")]
+        second = np.flatnonzero(own == table.column("y")[0].as_py())
+        items, one = _Items([sets[k] for k in second]), own[0] == least[0] and (own == own[0]).all()
+        out = [np.zeros((0, 4), np.int64)]
+        for k in np.flatnonzero(own == least):
+            common = items.common(sets[k])
+            union = len(sets[k]) + items.sizes - common
+            at = np.flatnonzero((common >= threshold * union) & (fresh[k] | fresh[second]) & ((second > k) if one else True))
+            out.append(np.stack([np.full(len(at), k), second[at], common[at], union[at]], 1))
+        a, b, common, union = np.concatenate(out).T
+        ids = table.column("id").combine_chunks()
+        return pa.table([ids.take(pa.array(a)), ids.take(pa.array(b)), pa.array(common), pa.array(union)], ["a", "b", "common", "n_union"])
+
+    shape = T.StructType([T.StructField("a", kind), T.StructField("b", kind), T.StructField("common", T.LongType()), T.StructField("n_union", T.LongType())])
+    found = dealt.select("id", "fresh", "label", "own", "x", "y", "text").groupBy("label", "x", "y").applyInArrow(compared, shape)
+    return found.select(F.least("a", "b").alias("first_id"), F.greatest("a", "b").alias("second_id"), "common", "n_union")
+
+
+_COMMON = T.StructType([T.StructField("common", T.LongType()), T.StructField("n_union", T.LongType())])
+
+
+@F.pandas_udf(_COMMON)
 def _in_common(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     """Grams of two normalised texts in common, and of either."""
     sets = [(grams_of(x), grams_of(y)) for x, y in zip(a, b, strict=True)]
@@ -320,6 +496,34 @@ def _in_common(a: pd.Series, b: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"common": common, "n_union": np.array([len(x) + len(y) for x, y in sets], np.int64) - common})
 
 
+class _Grams:
+    """``grams_of`` packed texts, with the last REMEMBERED grams at least."""
+
+    def __init__(self) -> None:
+        self.sets: dict[bytes, np.ndarray] = {}
+        self.total = 0
+
+    def __call__(self, text: bytes) -> np.ndarray:
+        found = self.sets.pop(text, None)
+        if found is None:
+            found = grams_of(_unpacked(text))
+            self.total += len(found)
+            while self.sets and self.total > REMEMBERED:
+                self.total -= len(self.sets.pop(next(iter(self.sets))))
+        self.sets[text] = found
+        return found
+
+
+@F.arrow_udf(_COMMON)
+def _common_packed(a: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    grams = _Grams()
+    for some, others in a:
+        sets = ((grams(x.as_py()), grams(y.as_py())) for x, y in zip(some, others, strict=True))
+        common, either = zip(*((len(np.intersect1d(x, y, assume_unique=True)), len(x) + len(y)) for x, y in sets), strict=True) if len(some) else ((), ())
+        common = np.array(common, np.int64)
+        yield pa.StructArray.from_arrays([pa.array(common), pa.array(np.array(either, np.int64) - common)], ["common", "n_union"])
+
+
 def _confirmed(pairs: DataFrame, left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
     full = pairs.join(left.select(F.col("text").alias("text_a"), F.col("id").alias("first_id")), "first_id").join(right.select(F.col("text").alias("text_b"), F.col("id").alias("second_id")), "second_id").where("text_a <> text_b")
     out = full.select("first_id", "second_id", _in_common("text_a", "text_b").alias("c")).select("first_id", "second_id", "c.common", "c.n_union")

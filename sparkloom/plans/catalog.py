@@ -713,7 +713,7 @@ def next_version_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def near_duplicates_next(spark: SparkSession, sf_dir: str) -> DataFrame:
     """C2 in steps: pairs of similar texts of all documents from the stored keys and pairs of the even ones."""
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
-    none = spark.createDataFrame([], "id string, n int, class int, need int, key long"), spark.createDataFrame([], "first_id string, second_id string")
+    none = (spark.createDataFrame([], kind) for kind in (similarity.KEYS, similarity.PAIRS))
     stored = []
     for kind, found in zip(("keys", "pairs"), similarity.near_texts_next(docs.where("doc_id % 2 = 0"), *none), strict=True):
         folder = cases.shared_folder(spark, kind)
